@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave import constants as C
-from tagweave.functions.arrays import exclusive_running_sum
+from tagweave.functions.arrays import exclusive_running_sum, running_sum
 from tagweave.functions.text import py_strip, split_words
 
 
@@ -37,16 +37,19 @@ def regex_span_items(text: Column, pattern: str, drop_pattern: str | None = None
     """
     gaps = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
+    # lambdas below only read lambda variables: a row-level expression inside
+    # a lambda body would be re-evaluated once per array element
+    glens = F.slice(F.transform(gaps, lambda g: F.length(g)), 1, F.size(matches))
 
     def keep_of(m: Column) -> Column:
         if drop_pattern is None:
             return F.lit(True)
         return ~m.rlike(drop_pattern)
 
-    items = F.transform(
-        matches,
-        lambda m, i: F.struct(
-            F.length(F.get(gaps, i)).alias("glen"),
+    items = F.zip_with(
+        matches, glens,
+        lambda m, gl: F.struct(
+            gl.alias("glen"),
             F.length(m).alias("mlen"),
             m.alias("text"),
             keep_of(m).alias("keep"),
@@ -187,12 +190,14 @@ def tokenize_whitespace(df: DataFrame, text_col: str = "text", keys: str | Seque
     stripped = py_strip(t)
     lead = (F.length(t) - F.length(F.regexp_replace(t, r"^\s+", ""))) if not normalize else F.lit(0)
     words = split_words(stripped)
-    lens = F.transform(words, lambda w: F.length(w) + F.lit(1))
-    before = exclusive_running_sum(lens)
-    items = F.zip_with(words, before, lambda w, b: F.struct(w.alias("token"), (b + lead).cast("int").alias("start")))
+    # starts = running sum of [lead, len(w0)+1, len(w1)+1, ...]: the leading
+    # whitespace rides in the array so no lambda touches a row expression
+    steps = F.concat(F.array(lead.cast("int")), F.transform(words, lambda w: F.length(w) + F.lit(1)))
+    starts = F.slice(running_sum(steps), 1, F.size(words))
+    items = F.arrays_zip(words.alias("token"), starts.alias("start"))
     return (df.select(*ks, F.posexplode(items).alias("pos", "x"))
             .select(*ks, F.col("pos").cast("int").alias("pos"), F.col("x.token").alias("token"),
-                    F.col("x.start").alias("start"),
+                    F.col("x.start").cast("int").alias("start"),
                     (F.col("x.start") + F.length("x.token")).cast("int").alias("end")))
 
 

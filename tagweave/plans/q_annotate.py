@@ -11,6 +11,10 @@ from tagweave.plans.fixtures import table
 # --- oracle SQL pieces -------------------------------------------------------
 # DuckDB's RE2 has no lookbehind; the number scan is re-stated as a recursive
 # CTE that restarts after every match, exactly like the documented loop.
+def metric_cte(source: str = "documents") -> str:
+    return METRIC_CTE.replace("from documents where", f"from {source} where")
+
+
 METRIC_CTE = r"""
 with recursive st(doc_id,text,base,pos,m,s,hit) as (
  select doc_id,text,1,1,null::varchar,null::int,false from documents where regexp_matches(text,'\d')
