@@ -9,20 +9,33 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import mix_hash
 from tagweave.operators.spans import _keys
+from tagweave.session import ensure_checkpoint_dir
 
 
 def _order_cols(order: str | Sequence[str | Column]) -> list:
     return [order] if isinstance(order, (str, Column)) else list(order)
 
 
-def dense_ids(df: DataFrame, order: str | Sequence[str | Column], id_col: str = "id") -> DataFrame:
+def dense_ids(df: DataFrame, order: str | Sequence[str | Column], id_col: str = "id",
+              num_partitions: int | None = None) -> DataFrame:
     """0-based ordinal in ``order`` (which must be a total order), assigned
-    distributed: a range-partitioned sort, per-partition row counts (one row
-    per partition, the only data that is broadcast), running offsets, and the
-    position inside the partition taken from ``monotonically_increasing_id``
-    (partition id in the upper bits, row index in the lower 33 bits)."""
-    sorted_df = df.sort(*_order_cols(order)).withColumn("__mid", F.monotonically_increasing_id())
-    sorted_df = sorted_df.withColumn("__pid", F.shiftright(F.col("__mid"), 33))
+    distributed: a range repartition on the full order key (splits hot
+    leading keys), sorted within partitions, tagged with
+    ``monotonically_increasing_id`` (partition id in the upper bits, row
+    index in the lower 33 bits) and written once with a reliable checkpoint
+    to the shared checkpoint folder.  Per-partition row counts (one row per
+    partition -- the only data broadcast) give running offsets.
+
+    The checkpoint matters for correctness: the range partitioner samples
+    with a seed derived from the RDD id, so two evaluations of the same sort
+    may cut different partition bounds; counting and numbering must read the
+    same materialized partitions.  It also cuts the lineage."""
+    cols = _order_cols(order)
+    n = int(num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+              .withColumn("__mid", F.monotonically_increasing_id()))
+    sorted_df = ranged.checkpoint(eager=True).withColumn("__pid", F.shiftright(F.col("__mid"), 33))
     counts = sorted_df.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__off"))
     out = sorted_df.join(F.broadcast(offsets), "__pid")
