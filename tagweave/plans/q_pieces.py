@@ -1 +1,117 @@
-"""Queries."""
+"""Queries: sub-word pieces, alignment, padding, piece/word mapping."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tagweave.operators import pieces as P
+from tagweave.operators.sampling import sequential_batches
+from tagweave.plans.catalog import register
+from tagweave.plans.fixtures import doc_sentences, doc_tokens
+from tagweave.plans.q_labels import LABELS_SQL_LIST
+from tagweave.plans.q_tokens import TAGGED_SQL
+
+WIDTH = 4
+MAX_LEN = 64
+
+# per piece: (sent_id, pos, j, piece, label, is_first)
+PIECES_SQL = f"""{TAGGED_SQL},
+pw as (select sent_id, pos, gold, (list_position({LABELS_SQL_LIST}, gold) - 1) as lab,
+              regexp_extract_all(token, '.{{1,{WIDTH}}}') as ps from tagged),
+pc as (select sent_id, pos, lab, j, case when j = 1 then ps[j] else '##' || ps[j] end as piece
+       from (select sent_id, pos, lab, ps, unnest(generate_series(1, greatest(len(ps), 1))) as j from pw)),
+pn as (select *, row_number() over (partition by sent_id order by pos, j) as k from pc)"""
+
+
+def _expanded(spark, sf_dir):
+    return P.expand_pieces(doc_sentences(spark, sf_dir), P.fixed_width_splitter(WIDTH))
+
+
+@register("expand_pieces", f"""with {PIECES_SQL}
+select sent_id, (count(*) + 2)::INTEGER as n_pieces,
+       '[CLS] ' || string_agg(piece, ' ' order by k) || ' [SEP]' as pieces,
+       '0' || string_agg(case when j = 1 then '1' else '0' end, '' order by k) || '0' as token_starts,
+       string_agg(lab::VARCHAR, ',' order by k) filter (where j = 1) as labels
+from pn group by sent_id
+""")
+def q_expand_pieces(spark, sf_dir):
+    e = _expanded(spark, sf_dir)
+    return e.select("sent_id", F.size("pieces").cast("int").alias("n_pieces"),
+                    F.array_join("pieces", " ").alias("pieces"),
+                    F.array_join("token_starts", "").alias("token_starts"),
+                    F.array_join("labels", ",").alias("labels"))
+
+
+B2I_SQL = """case when lab in (1, 3, 5, 7, 9, 11, 13) then lab + 1 else lab end"""
+
+
+@register("align_piece_labels", f"""with {PIECES_SQL}
+select sent_id, '-100,' || coalesce(string_agg((case when j = 1 then lab else {B2I_SQL} end)::VARCHAR, ',' order by k)
+                                    filter (where k <= {MAX_LEN - 2}) || ',', '') || '-100' as aligned_labels
+from pn group by sent_id
+""")
+def q_align_piece_labels(spark, sf_dir):
+    a = P.align_piece_labels(_expanded(spark, sf_dir), label_all_tokens=True, max_len=MAX_LEN)
+    return a.select("sent_id", F.array_join("aligned_labels", ",").alias("aligned_labels"))
+
+
+@register("pad_batches", f"""with {PIECES_SQL},
+enc as (select sent_id, [101] || list(1000 + length(piece) order by k) || [102] as ids,
+               [0] || list(case when j = 1 then 1 else 0 end order by k) || [0] as st,
+               list(lab order by k) filter (where j = 1) as labs
+        from pn group by sent_id),
+b as (select *, (row_number() over (order by sent_id) - 1) // 8 as batch_id from enc),
+w as (select *, (ceil(max(len(ids)) over (partition by batch_id) / 8) * 8)::INTEGER as wd,
+             max(len(labs)) over (partition by batch_id) as lw from b),
+p as (select sent_id, batch_id, least(wd, {MAX_LEN})::INTEGER as width,
+             (ids || list_transform(range(wd - len(ids)), lambda x: 0))[1:{MAX_LEN}] as pids,
+             (st || list_transform(range(wd - len(st)), lambda x: 0))[1:{MAX_LEN}] as pst,
+             (labs || list_transform(range(lw - len(labs)), lambda x: -1))[1:{MAX_LEN}] as plab from w)
+select sent_id, batch_id, width, array_to_string(pids, ',') as input_ids,
+       array_to_string(list_transform(pids, lambda x: case when x <> 0 then 1 else 0 end), ',') as attention_mask,
+       array_to_string(pst, ',') as token_starts, array_to_string(plab, ',') as labels
+from p
+""")
+def q_pad_batches(spark, sf_dir):
+    e = _expanded(spark, sf_dir).withColumn("input_ids", P.piece_ids(F.col("pieces")))
+    b = sequential_batches(e.select("sent_id", "input_ids", "token_starts", "labels"), "sent_id", 8)
+    p = P.pad_batches(b, "batch_id", "input_ids", "token_starts", "labels", pad_id=0, max_len=MAX_LEN,
+                      multiple_of=8)
+    return p.select("sent_id", "batch_id", F.col("width").cast("int").alias("width"),
+                    *[F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask", "token_starts",
+                                                               "labels")])
+
+
+@register("gather_first_pieces", f"""with {PIECES_SQL}
+select sent_id, string_agg(piece, ' ' order by k) filter (where j = 1) as first_pieces from pn group by sent_id
+""")
+def q_gather_first_pieces(spark, sf_dir):
+    g = P.gather_first_pieces(_expanded(spark, sf_dir), "pieces", "token_starts", "first_pieces")
+    return g.select("sent_id", F.array_join("first_pieces", " ").alias("first_pieces"))
+
+
+@register("pieces_to_words", f"""with {TAGGED_SQL}
+select sent_id, pos, token as word, case when token = '' then 'O' else gold end as tag from tagged
+""")
+def q_pieces_to_words(spark, sf_dir):
+    e = _expanded(spark, sf_dir)
+    # predicted piece tags: a word's first piece carries the word's tag, the
+    # continuation pieces carry O, special pieces O
+    piece_tags = F.concat(
+        F.array(F.lit("O")),
+        F.flatten(F.zip_with("word_pieces", "tags",
+                             lambda ps, t: F.transform(ps, lambda p, i: F.when(i == 0, t).otherwise(F.lit("O"))))),
+        F.array(F.lit("O")))
+    preds = e.select("sent_id", "pieces", piece_tags.alias("piece_tags"))
+    words = e.select("sent_id", F.col("tokens").alias("words"))
+    return P.pieces_to_words(preds, words, "sent_id", "pieces", "piece_tags", "words")
+
+
+@register("fill_truncated", f"""with {TAGGED_SQL}
+select sent_id, pos, token, case when pos < 50 then pred else 'O' end as tag from tagged
+""")
+def q_fill_truncated(spark, sf_dir):
+    t = doc_tokens(spark, sf_dir)
+    words = t.select("sent_id", "pos", "token")
+    preds = t.where(F.col("pos") < 50).select("sent_id", "pos", F.col("pred").alias("tag"))
+    return P.fill_truncated(words, preds)
