@@ -166,3 +166,17 @@ def q_mean_of_batch_losses(spark, sf_dir):
                         EV.token_cross_entropy(F.col("logits"), F.col("label")).alias("loss"))
     r = EV.mean_of_batch_losses(per_tok, "batch_id", "loss")
     return r.withColumn("loss", _r6(F.col("loss")))
+
+
+@register("evaluate_files", OVERALL_SQL + f"""
+select n_correct, n_pred, n_gold, n_tokens, {PRF_SQL}, round(n_equal / n_tokens, 6) as accuracy from o
+""")
+def q_evaluate_files(spark, sf_dir):
+    from tagweave.plans.score import evaluate_files
+    from tagweave.session import scratch_path
+    from tagweave.sources.conll import write_conll
+    toks = doc_tokens(spark, sf_dir)
+    gp, pp = scratch_path(spark, "gold"), scratch_path(spark, "pred")
+    write_conll(toks.select("sent_id", "pos", "token", F.col("gold").alias("tag")), gp, sep="\t")
+    write_conll(toks.select("sent_id", "pos", "token", F.col("pred").alias("tag")), pp, sep="\t")
+    return _round_metrics(evaluate_files(spark, gp, pp, "\t"))

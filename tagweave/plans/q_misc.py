@@ -1 +1,69 @@
-"""Queries."""
+"""Queries: batched user functions, skip-on-failure map, stored results,
+the streaming annotator."""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from tagweave.operators import batchmap as BM
+from tagweave.plans.catalog import register
+from tagweave.plans.fixtures import doc_tokens, normalized_documents, table
+from tagweave.plans.q_annotate import metric_cte
+from tagweave.plans.q_tokens import DOC_TOKENS_SQL, NDOCS_SQL
+from tagweave.session import scratch_path
+from tagweave.streaming.annotate import annotate_stream
+
+
+def _word_counts(b: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": b["doc_id"], "n_words": b["text"].str.split().str.len().astype("int64")})
+
+
+@register("map_batches", r"""select doc_id,
+len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '))::BIGINT as n_words from documents""")
+def q_map_batches(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return BM.map_batches(d, _word_counts, "doc_id long, n_words long")
+
+
+def _parse_props(rec: dict) -> dict:
+    return {"event_id": rec["event_id"], "k": int(json.loads(rec["props"])["k"])}
+
+
+@register("try_map", """select event_id, json_extract(props, '$.k')::BIGINT as k from events
+where try_cast(json_extract(props, '$.k') as BIGINT) is not null""")
+def q_try_map(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "props")
+    ok, _errors = BM.try_map(e, _parse_props, "event_id long, k long")
+    return ok
+
+
+@register("materialize", f"""with {DOC_TOKENS_SQL}
+select sent_id as doc_id, count(*) as n_tokens from dtok group by 1""")
+def q_materialize(spark, sf_dir):
+    counts = (doc_tokens(spark, sf_dir, with_tags=False).groupBy(F.col("sent_id").alias("doc_id"))
+              .agg(F.count(F.lit(1)).alias("n_tokens")))
+    p = scratch_path(spark, "materialized")
+    BM.materialize(counts, p)                      # computes and stores
+    return BM.materialize(counts, p)               # re-uses the stored result
+
+
+_STREAM_SQL = metric_cte("ndocs_src").replace(
+    "with recursive", f"with recursive {NDOCS_SQL.replace('ndocs as', 'ndocs_src as')},", 1) + r"""
+, hits as (select doc_id, s-1 as st, m from st where hit and not regexp_matches(m,'(19|20)\d{2}'))
+select doc_id, (row_number() over (partition by doc_id order by st) - 1)::INTEGER as ord,
+       st::INTEGER as start, (st+length(m))::INTEGER as "end", m as text, 'MetricValue' as label
+from hits
+"""
+
+
+@register("annotate_stream", _STREAM_SQL)
+def q_annotate_stream(spark, sf_dir):
+    in_dir = scratch_path(spark, "stream_in")
+    nd = normalized_documents(spark, sf_dir)
+    nd.select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.col("text")).alias("value")) \
+      .repartition(4).write.text(in_dir)
+    return annotate_stream(spark, in_dir, scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt"),
+                           max_files_per_trigger=2)

@@ -1 +1,65 @@
-"""Queries."""
+"""Queries: count-based tagger training, continuation, prediction."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tagweave.operators import tagger as TG
+from tagweave.plans.catalog import register
+from tagweave.plans.fixtures import doc_tokens, normalized_documents
+from tagweave.plans.q_tokens import TAGGED_SQL
+
+
+def _gold(spark, sf_dir):
+    return doc_tokens(spark, sf_dir).select("sent_id", "pos", "token", F.col("gold").alias("tag"))
+
+
+def _events_sql(src: str) -> str:
+    return f"""(select 'start' as kind, '' as a, gold as b from {src} where pos = 0
+  union all select 'end', gold, '' from {src} t where pos = (select max(pos) from {src} u where u.sent_id = t.sent_id)
+  union all select 'trans', lag_gold, gold from (select *, lag(gold) over (partition by sent_id order by pos)
+                                                  as lag_gold from {src}) where lag_gold is not null
+  union all select 'emit', gold, lower(token) from {src})"""
+
+
+def _normalize_sql(counts: str) -> str:
+    return f"""c as (select kind, a, b, n, case when kind in ('start', 'end') then '' else a end as cond from {counts}),
+sz as (select count(distinct a) filter (where kind = 'emit') as kk,
+              count(distinct b) filter (where kind = 'emit') as vv from c),
+tot as (select kind, cond, sum(n) as tt from c group by 1, 2)
+select c.kind, c.a, c.b, c.n::BIGINT as n,
+       round(ln((c.n + 1.0) / (tot.tt + (case when c.kind = 'emit' then sz.vv else sz.kk end))), 6) as logp
+from c join tot using (kind, cond), sz"""
+
+
+@register("train_tag_model", f"""with {TAGGED_SQL},
+cnt as (select kind, a, b, count(*) as n from {_events_sql('tagged')} group by 1, 2, 3),
+{_normalize_sql('cnt')}
+""")
+def q_train_tag_model(spark, sf_dir):
+    m = TG.train_tag_model(_gold(spark, sf_dir))
+    return m.where(F.col("kind").isin(*TG.KINDS)).select("kind", "a", "b", "n", F.round("logp", 6).alias("logp"))
+
+
+@register("merge_tag_models", f"""with {TAGGED_SQL},
+ev_base as (select kind, a, b, count(*) as n from {_events_sql('(select * from tagged where sent_id % 2 = 0)')}
+            group by 1, 2, 3),
+ev_new as (select kind, a, b, count(*) as n from {_events_sql('(select * from tagged where sent_id % 2 = 1)')}
+           group by 1, 2, 3),
+cnt as (select kind, a, b, sum(n) as n from (select * from ev_base where kind <> 'emit'
+                                             union all select * from ev_new) group by 1, 2, 3),
+{_normalize_sql('cnt')}
+""")
+def q_merge_tag_models(spark, sf_dir):
+    g = _gold(spark, sf_dir)
+    base = TG.train_tag_model(g.where(F.pmod("sent_id", F.lit(2)) == 0))
+    new = TG.train_tag_model(g.where(F.pmod("sent_id", F.lit(2)) == 1))
+    m = TG.merge_tag_models(base, new, exclude=("emit",))
+    return m.where(F.col("kind").isin(*TG.KINDS)).select("kind", "a", "b", "n", F.round("logp", 6).alias("logp"))
+
+
+@register("predict_tags")  # rows-only: decoding correctness is checked by brute force in tests
+def q_predict_tags(spark, sf_dir):
+    model = TG.train_tag_model(_gold(spark, sf_dir))
+    lines = normalized_documents(spark, sf_dir).withColumnRenamed("doc_id", "sent_id")
+    return TG.predict_tags(lines, model, "text", "sent_id")
