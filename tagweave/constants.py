@@ -40,9 +40,10 @@ TARGET_VENUES = [
 # --- fixed values: annotation patterns (Java regex syntax) ------------------
 # Number pattern.  The search restarts after every match, so the digit
 # lookbehind may not see text consumed by the previous match; \G (end of the
-# previous match) restores that behaviour inside one Java scan.
+# previous match) restores that behaviour inside one Java scan.  The leading
+# (?=\d) only makes non-digit positions fail before the lookbehinds run.
 METRIC_VALUE_PATTERN = (
-    r"(?i)(?<!table\s|fig\s|figure\s|section\s)"
+    r"(?i)(?=\d)(?<!table\s|fig\s|figure\s|section\s)"
     r"(?:(?<=\G)|(?<=\G.)|(?<!\d.))"
     r"\d[.]?[^a-z\s][\d]*[%]?"
 )

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 def py_strip(c: Column) -> Column:
     """Python ``str.strip()``: remove leading/trailing whitespace of any kind
     (Spark ``trim`` only removes spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    # the regex only runs when an end character is whitespace (rare); its
+    # "\s+$" branch would otherwise be tried at every position of every text
+    edge = F.substring(c, 1, 1).rlike(r"^\s$") | F.substring(c, -1, 1).rlike(r"^\s$")
+    return F.when(edge, F.regexp_replace(c, r"^\s+|\s+$", "")).otherwise(c)
 
 
 def normalize_ws(c: Column) -> Column:

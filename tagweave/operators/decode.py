@@ -85,22 +85,53 @@ def sequence_nll(df: DataFrame, emissions_col: str, labels_col: str, transitions
 # Viterbi (Arrow UDF)
 # --------------------------------------------------------------------------
 def _viterbi_one(em: np.ndarray, trans: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    T_, K = em.shape
-    score = start + em[0]
-    back = np.zeros((T_, K), dtype=np.int32)
-    for t in range(1, T_):
-        cand = score[:, None] + trans          # K x K: from i to j
-        back[t] = np.argmax(cand, axis=0)
-        score = cand[back[t], np.arange(K)] + em[t]
-    score = score + end
-    path = np.empty(T_, dtype=np.int32)
-    path[-1] = int(np.argmax(score))
-    for t in range(T_ - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
-
-
-def _make_viterbi_udf(transitions, start, end):
+    """Reference single-sequence Viterbi (used by tests)."""
+    return _viterbi_batch([em], trans, start, end)[0]
+
+
+def _viterbi_batch(ems: list[np.ndarray], trans: np.ndarray, start: np.ndarray, end: np.ndarray
+                   ) -> list[np.ndarray]:
+    """Viterbi for many sequences at once.  Sequences are sorted by length
+    (longest first); at step t only the prefix of sequences longer than t is
+    advanced, so the work is sum(T_i) * K^2 in vectorized steps of
+    max(T_i)."""
+    n = len(ems)
+    if n == 0:
+        return []
+    K = len(start)
+    lens = np.array([e.shape[0] for e in ems])
+    order = np.argsort(-lens, kind="stable")
+    T_max = int(lens[order[0]])
+    E = np.zeros((n, T_max, K))
+    for r, i in enumerate(order):
+        E[r, :lens[i]] = ems[i]
+    slen = lens[order]
+    score = start[None, :] + E[:, 0, :]
+    back = np.zeros((n, T_max, K), dtype=np.int32)
+    final = np.empty((n, K))
+    done = slen == 1
+    final[done] = score[done] + end
+    for t in range(1, T_max):
+        m = int(np.searchsorted(-slen, -t, side="left"))      # rows with length > t
+        cand = score[:m, :, None] + trans[None, :, :]           # m x K(from) x K(to)
+        bp = np.argmax(cand, axis=1)
+        back[:m, t] = bp
+        score = np.take_along_axis(cand, bp[:, None, :], axis=1)[:, 0, :] + E[:m, t, :]
+        ending = slen[:m] == t + 1
+        final[:m][ending] = score[ending] + end
+    out: list[np.ndarray] = [None] * n  # type: ignore[list-item]
+    best = np.argmax(final, axis=1)
+    for r in range(n):
+        L = int(slen[r])
+        path = np.empty(L, dtype=np.int32)
+        path[L - 1] = best[r]
+        for t in range(L - 1, 0, -1):
+            path[t - 1] = back[r, t, path[t]]
+        out[order[r]] = path
+    return out
+
+
+def _make_viterbi_udf(transitions, start, end, max_batch_cells: int = 4_000_000):
     trans = np.asarray(transitions, dtype=np.float64)
     st = np.asarray(start, dtype=np.float64)
     en = np.asarray(end, dtype=np.float64)
@@ -113,20 +144,34 @@ def _make_viterbi_udf(transitions, start, end):
         inner = em_col.values                       # list<double> per token
         inner_off = np.asarray(inner.offsets)
         flat = np.asarray(inner.values.fill_null(0.0), dtype=np.float64) if len(inner.values) else np.zeros(0)
-        paths, offs = [], [0]
         valid = np.asarray(em_col.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
-        for r in range(len(em_col)):
+        rows = [r for r in range(len(em_col)) if valid[r] and outer_off[r + 1] > outer_off[r]]
+        ems = []
+        for r in rows:
             a, b = int(outer_off[r]), int(outer_off[r + 1])
-            if not valid[r] or b <= a:
-                offs.append(offs[-1])
-                continue
-            lo, hi = int(inner_off[a]), int(inner_off[b])
-            em = flat[lo:hi].reshape(b - a, K)
-            p = _viterbi_one(em, trans, st, en)
-            paths.append(p)
-            offs.append(offs[-1] + len(p))
-        vals = np.concatenate(paths) if paths else np.zeros(0, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.asarray(offs, dtype=np.int32)), pa.array(vals, pa.int32()),
+            ems.append(flat[int(inner_off[a]):int(inner_off[b])].reshape(b - a, K))
+        paths: dict[int, np.ndarray] = {}
+        # chunks keep the padded T_max x rows block bounded in memory
+        i = 0
+        while i < len(rows):
+            j, cells, tmax = i, 0, 0
+            while j < len(rows):
+                tmax2 = max(tmax, ems[j].shape[0])
+                if j > i and tmax2 * (j - i + 1) * K > max_batch_cells:
+                    break
+                tmax = tmax2
+                j += 1
+            for r, p in zip(rows[i:j], _viterbi_batch(ems[i:j], trans, st, en)):
+                paths[r] = p
+            i = j
+        offs, vals = [0], []
+        for r in range(len(em_col)):
+            p = paths.get(r)
+            if p is not None:
+                vals.append(p)
+            offs.append(offs[-1] + (0 if p is None else len(p)))
+        v = np.concatenate(vals) if vals else np.zeros(0, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.asarray(offs, dtype=np.int32)), pa.array(v, pa.int32()),
                                         mask=pa.array(~valid) if em_col.null_count else None)
 
     return F.arrow_udf(run, T.ArrayType(T.IntegerType()))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.operators.spans import _keys, chunk_flags, entity_type
+from tagweave.session import cut_lineage
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -28,10 +29,11 @@ def _prf(correct: Column, pred: Column, gold: Column):
     return p, r, f
 
 
-def chunk_matches(tokens_df: DataFrame, gold_col: str = "gold", pred_col: str = "pred",
+def scored_tokens(tokens_df: DataFrame, gold_col: str = "gold", pred_col: str = "pred",
                   part_cols: str | Sequence[str] = "sent_id", order_cols: Sequence[str] = ("pos",)) -> DataFrame:
-    """Per chunk-ending token: ``(gold_type, pred_type, correct)``; either
-    type is null when that side has no chunk ending there."""
+    """Every token row with ``gold_type`` / ``pred_type`` (set where a gold /
+    predicted chunk ends on this token), ``correct`` (both chunks end here
+    with the same type and start) and ``equal`` (token tags agree)."""
     ps = _keys(part_cols)
     order = list(order_cols)
     w = Window.partitionBy(*ps).orderBy(*order)
@@ -45,12 +47,20 @@ def chunk_matches(tokens_df: DataFrame, gold_col: str = "gold", pred_col: str =
                              idx.alias("__i"))
     step2 = (step1
              .withColumn("__gst", F.max(F.when(F.col("__gs"), F.col("__i"))).over(run))
-             .withColumn("__pst", F.max(F.when(F.col("__ps"), F.col("__i"))).over(run))
-             .where(F.col("__ge") | F.col("__pe")))
+             .withColumn("__pst", F.max(F.when(F.col("__ps"), F.col("__i"))).over(run)))
     gt = F.when(F.col("__ge"), entity_type(F.col("__g")))
     pt = F.when(F.col("__pe"), entity_type(F.col("__p")))
     correct = F.coalesce(F.col("__ge") & F.col("__pe") & (gt == pt) & (F.col("__gst") == F.col("__pst")), F.lit(False))
-    return step2.select(*ps, gt.alias("gold_type"), pt.alias("pred_type"), correct.alias("correct"))
+    return step2.select(*ps, gt.alias("gold_type"), pt.alias("pred_type"), correct.alias("correct"),
+                        F.coalesce(F.col("__g") == F.col("__p"), F.lit(False)).alias("equal"))
+
+
+def chunk_matches(tokens_df: DataFrame, gold_col: str = "gold", pred_col: str = "pred",
+                  part_cols: str | Sequence[str] = "sent_id", order_cols: Sequence[str] = ("pos",)) -> DataFrame:
+    """Per chunk-ending token: ``(gold_type, pred_type, correct)``; either
+    type is null when that side has no chunk ending there."""
+    s = scored_tokens(tokens_df, gold_col, pred_col, part_cols, order_cols)
+    return s.where(F.col("gold_type").isNotNull() | F.col("pred_type").isNotNull()).drop("equal")
 
 
 def _type_counts(matches: DataFrame) -> DataFrame:
@@ -75,7 +85,22 @@ def entity_metrics_by_type(tokens_df: DataFrame, gold_col: str = "gold", pred_co
                     f.alias("f1"), F.col("n_gold").alias("number"))
 
 
+def _overall_from_scored(scored: DataFrame) -> DataFrame:
+    """Micro scores and token accuracy in one aggregation over scored tokens."""
+    j = scored.agg(
+        F.coalesce(F.sum(F.col("correct").cast("long")), F.lit(0)).alias("n_correct"),
+        F.count(F.col("pred_type")).alias("n_pred"),
+        F.count(F.col("gold_type")).alias("n_gold"),
+        F.count(F.lit(1)).alias("n_tokens"),
+        F.coalesce(F.sum(F.col("equal").cast("long")), F.lit(0)).alias("n_equal"))
+    p, r, f = _prf(F.col("n_correct"), F.col("n_pred"), F.col("n_gold"))
+    return j.select("n_correct", "n_pred", "n_gold", "n_tokens", p.alias("precision"), r.alias("recall"),
+                    f.alias("f1"), _safe_div(F.col("n_equal"), F.col("n_tokens")).alias("accuracy"))
+
+
 def _overall(matches: DataFrame, tokens_df: DataFrame, gold_col: str, pred_col: str) -> DataFrame:
+    """Micro scores from chunk matches plus accuracy from the token table
+    (two inputs; prefer ``_overall_from_scored`` when tokens are scored)."""
     m = matches.agg(
         F.coalesce(F.sum(F.col("correct").cast("long")), F.lit(0)).alias("n_correct"),
         F.count(F.col("pred_type")).alias("n_pred"),
@@ -90,17 +115,24 @@ def _overall(matches: DataFrame, tokens_df: DataFrame, gold_col: str, pred_col:
 
 def entity_metrics_overall(tokens_df: DataFrame, gold_col: str = "gold", pred_col: str = "pred",
                            sent_col: str | Sequence[str] = "sent_id", pos_col: str = "pos") -> DataFrame:
-    """Micro precision/recall/f1 over all chunks, and token accuracy."""
-    m = chunk_matches(tokens_df, gold_col, pred_col, sent_col, [pos_col])
-    return _overall(m, tokens_df, gold_col, pred_col)
+    """Micro precision/recall/f1 over all chunks, and token accuracy (one
+    window pass, one aggregation)."""
+    return _overall_from_scored(scored_tokens(tokens_df, gold_col, pred_col, sent_col, [pos_col]))
 
 
 def entity_metrics_batched(tokens_df: DataFrame, batch_col: str = "batch_id", gold_col: str = "gold",
                            pred_col: str = "pred", sent_col: str = "sent_id", pos_col: str = "pos") -> DataFrame:
     """Same micro score, but each batch is one sequence (sentences in batch
     order), so chunks may run across sentence ends."""
-    m = chunk_matches(tokens_df, gold_col, pred_col, batch_col, [sent_col, pos_col])
-    return _overall(m, tokens_df, gold_col, pred_col)
+    return _overall_from_scored(scored_tokens(tokens_df, gold_col, pred_col, batch_col, [sent_col, pos_col]))
+
+
+def overall_from_type_counts(by_type_df: DataFrame) -> DataFrame:
+    """Micro scores from per-type counts (no second pass over tokens)."""
+    t = by_type_df.agg(F.sum("n_correct").alias("n_correct"), F.sum("n_pred").alias("n_pred"),
+                       F.sum("n_gold").alias("n_gold"))
+    p, r, f = _prf(F.col("n_correct"), F.col("n_pred"), F.col("n_gold"))
+    return t.select("n_correct", "n_pred", "n_gold", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
 def flatten_metrics(by_type_df: DataFrame, overall_df: DataFrame | None = None,
@@ -116,6 +148,9 @@ def flatten_metrics(by_type_df: DataFrame, overall_df: DataFrame | None = None,
         longf = longf.unionByName(overall_df.select(F.explode(F.array(*[
             F.struct(F.lit(f"overall_{m}").alias("key"), F.col(m).cast("double").alias("value")) for m in om]))
             .alias("x")).select("x.key", "x.value"))
+    # the long form has (types x metrics) rows: materialize it so the pivot's
+    # key-discovery job does not re-run the token pass
+    longf = cut_lineage(longf)
     return longf.groupBy().pivot("key").agg(F.first("value"))
 
 

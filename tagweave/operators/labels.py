@@ -21,9 +21,18 @@ def labels_table(spark: SparkSession, labels: Sequence[str] = C.LABELS) -> DataF
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if its row count is within ``max_rows``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast ``df`` only behind a size check.
+
+    A driver-local relation (built from a Python list) is counted on the
+    spot and hinted when within ``max_rows``.  A computed table is not
+    counted eagerly (that would run its whole plan twice); adaptive
+    execution measures its shuffle output at run time and switches to a
+    broadcast join only under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
+    -- the same check, done with real sizes."""
+    if df.isLocal():
+        n = df.limit(max_rows + 1).count()
+        return F.broadcast(df) if n <= max_rows else df
+    return df
 
 
 def label_list(sent_df: DataFrame, tags_col: str = "tags") -> DataFrame:

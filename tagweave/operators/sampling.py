@@ -43,6 +43,26 @@ def dense_ids(df: DataFrame, order: str | Sequence[str | Column], id_col: str =
     return out.withColumn(id_col, F.col("__off") + local).drop("__mid", "__pid", "__off")
 
 
+def prefix_offsets(df: DataFrame, order: str | Sequence[str | Column], weight_col: str,
+                   out_col: str = "offset", num_partitions: int | None = None) -> DataFrame:
+    """For each row, the sum of ``weight_col`` over all rows before it in
+    ``order`` (a total order): a distributed exclusive prefix sum.  Same
+    scheme as ``dense_ids``; the in-partition running sum is a window over
+    each (already sorted, checkpointed) range partition."""
+    cols = _order_cols(order)
+    n = int(num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+              .withColumn("__mid", F.monotonically_increasing_id()))
+    ck = ranged.checkpoint(eager=True).withColumn("__pid", F.shiftright(F.col("__mid"), 33))
+    tot = ck.groupBy("__pid").agg(F.sum(weight_col).alias("__s"))
+    poff = tot.select("__pid", (F.sum("__s").over(Window.orderBy("__pid")) - F.col("__s")).alias("__poff"))
+    w = Window.partitionBy("__pid").orderBy("__mid").rowsBetween(Window.unboundedPreceding, -1)
+    out = ck.join(F.broadcast(poff), "__pid")
+    return (out.withColumn(out_col, F.col("__poff") + F.coalesce(F.sum(weight_col).over(w), F.lit(0)))
+            .drop("__mid", "__pid", "__poff"))
+
+
 def sequential_batches(df: DataFrame, order: str | Sequence[str | Column], size: int,
                        batch_col: str = "batch_id") -> DataFrame:
     """Batch id in input order; the last partial batch is kept."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tagweave import constants as C
 from tagweave.functions.text import py_strip
-from tagweave.operators.sampling import dense_ids
+from tagweave.operators.sampling import dense_ids, prefix_offsets
 from tagweave.operators.spans import _keys
 
 _SENT_BREAK = "\u0001"
@@ -121,16 +121,30 @@ def merge_abbreviation_breaks(sentences_df: DataFrame, order: Sequence[str] = ("
     return merged.select(F.col("__g").alias("first_index"), *ks, text_col)
 
 
+def _token_ordinals(df: DataFrame, order: Sequence[str], out_col: str) -> DataFrame:
+    """Global token ordinal = tokens in earlier groups + position, where the
+    group is every order column but the last and positions run 0..n-1.
+    Only the group-level table (one row per sentence/paragraph) is sorted and
+    prefix-summed; tokens are never globally sorted."""
+    order = list(order)
+    if len(order) == 1:
+        return dense_ids(df, order, out_col)
+    grp, pos = order[:-1], order[-1]
+    counts = df.groupBy(*grp).agg(F.count(F.lit(1)).alias("__n"))
+    offs = prefix_offsets(counts, grp, "__n", "__off").select(*grp, "__off")
+    return df.join(offs, grp).withColumn(out_col, F.col("__off") + F.col(pos)).drop("__off")
+
+
 def restore_paragraphs(pred_tokens_df: DataFrame, template_tokens_df: DataFrame,
                        pred_order: Sequence[str] = ("sent_id", "pos"),
                        template_order: Sequence[str] = ("para_id", "pos"),
                        token_col: str = "token") -> DataFrame:
     """Give predicted tokens (sentence-segmented) the template's paragraph
-    ids: both sides get a global token ordinal (distributed) and are joined
-    on it.  Output: template keys + token + every other predicted column."""
-    p = dense_ids(pred_tokens_df, list(pred_order), "__n")
-    t = dense_ids(template_tokens_df.select(*template_order, F.col(token_col).alias("__tt")),
-                  list(template_order), "__n")
+    ids: both sides get a global token ordinal and are equi-joined on it.
+    Output: template keys + token + every other predicted column."""
+    p = _token_ordinals(pred_tokens_df, list(pred_order), "__n")
+    t = _token_ordinals(template_tokens_df.select(*template_order, F.col(token_col).alias("__tt")),
+                        list(template_order), "__n")
     extra = [c for c in pred_tokens_df.columns if c not in pred_order and c != token_col]
     return (t.join(p.select("__n", F.col(token_col).alias("__pt"), *extra), "__n", "inner")
             .select(*template_order, F.col("__pt").alias(token_col), *extra))

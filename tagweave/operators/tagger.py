@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tagweave.operators.decode import viterbi_decode
 from tagweave.operators.labels import checked_broadcast
 from tagweave.operators.spans import _keys, tokenize_whitespace
+from tagweave.session import cut_lineage
 
 KINDS = ("start", "end", "trans", "emit")
 
@@ -112,6 +113,9 @@ def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text
     row count is within ``broadcast_max_rows``), emissions are gathered per
     sentence (bounded by the sentence length) and decoded with Viterbi."""
     ks = _keys(keys)
+    # the trained model is read three times below (tag list, small matrices,
+    # emission table): materialize it once in the shared checkpoint folder
+    model_df = cut_lineage(model_df)
     tags = model_tags(model_df)
     trans, start, end = _small_matrices(model_df, tags)
     unk = model_df.where(F.col("kind") == "emit_unk").select(F.col("a").alias("tag"), F.col("logp").alias("u"))

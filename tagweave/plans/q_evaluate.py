@@ -8,6 +8,7 @@ from tagweave import constants as C
 from tagweave.operators import evaluate as EV
 from tagweave.operators.sampling import sequential_batches
 from tagweave.plans.catalog import register
+from tagweave.session import cut_lineage
 from tagweave.plans.fixtures import doc_tokens, table
 from tagweave.plans.q_tokens import TAGGED_SQL, chunks_sql
 
@@ -95,9 +96,10 @@ from bt
 """)
 def q_flatten_metrics(spark, sf_dir):
     toks = doc_tokens(spark, sf_dir)
-    by_type = _round_metrics(EV.entity_metrics_by_type(toks))
-    overall = _round_metrics(EV.entity_metrics_overall(toks)).drop("accuracy")
-    return EV.flatten_metrics(by_type, overall)
+    # the per-type table has one row per entity type: materialize it once
+    by_type = cut_lineage(EV.entity_metrics_by_type(toks))
+    overall = _round_metrics(EV.overall_from_type_counts(by_type))
+    return EV.flatten_metrics(_round_metrics(by_type), overall)
 
 
 @register("entity_type_counts", f"""with {TAGGED_SQL}

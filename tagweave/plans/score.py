@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.operators.evaluate import _overall, chunk_matches
+from tagweave.operators.evaluate import _overall_from_scored, scored_tokens
 from tagweave.operators.sentences import check_token_alignment
 from tagweave.sources.conll import read_conll_strict
 
@@ -23,4 +23,4 @@ def evaluate_files(spark: SparkSession, gold_path: str, pred_path: str, sep: str
     n_bad = bad.count()
     if n_bad:
         raise ValueError(f"token mismatch between gold and prediction on {n_bad} lines")
-    return _overall(chunk_matches(joined, "gold", "pred", "sent_id", ["pos"]), joined, "gold", "pred")
+    return _overall_from_scored(scored_tokens(joined, "gold", "pred", "sent_id", ["pos"]))

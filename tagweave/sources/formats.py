@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from tagweave.functions.text import py_strip, split_words
 from tagweave.operators.sampling import dense_ids
-from tagweave.session import cut_lineage
 
 
 # ---------------------------------------------------------------------------
@@ -125,7 +124,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
            .select("value", F.col("_metadata.file_path").alias("__file"),
                    F.col("_metadata.file_block_start").alias("__blk"),
                    F.monotonically_increasing_id().alias("__mono")))
-    raw = cut_lineage(raw)
     return dense_ids(raw, ["__file", "__blk", "__mono"], "line_id").select("line_id", "value")
 
 
