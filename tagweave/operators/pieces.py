@@ -19,17 +19,46 @@ CLS, SEP = "[CLS]", "[SEP]"
 CONT = "##"
 
 
-def fixed_width_splitter(width: int) -> Callable[[Column], Column]:
+class FixedWidthSplitter:
     """Word -> pieces of at most ``width`` characters; continuation pieces
-    carry the ``##`` prefix.  Plain substrings (no regex per word)."""
-    w = int(width)
+    carry the ``##`` prefix; an empty word gives one empty piece.
 
-    def split(word: Column) -> Column:
+    Besides the per-word form (``__call__``) it has a whole-sentence form:
+    the words are joined with a sentinel that marks word starts and one JVM
+    regex pass cuts every piece of the sentence, so no per-word lambda runs."""
+
+    MARK = "\u0001"
+
+    def __init__(self, width: int):
+        self.width = int(width)
+
+    def __call__(self, word: Column) -> Column:
+        w = self.width
         n = F.greatest(F.ceil(F.length(word) / F.lit(w)).cast("int") - 1, F.lit(0))
         return F.transform(F.sequence(F.lit(0), n),
                            lambda i: F.when(i == 0, F.substring(word, 1, w))
                            .otherwise(F.concat(F.lit(CONT), F.substring(word, i * w + 1, w))))
-    return split
+
+    def counts(self, tokens: Column) -> Column:
+        """Pieces per word."""
+        return F.transform(tokens, lambda t: F.greatest(F.ceil(F.length(t) / F.lit(self.width)).cast("int"),
+                                                        F.lit(1)))
+
+    def flat(self, tokens: Column) -> tuple[Column, Column]:
+        """(pieces, word-start flags) of a whole sentence."""
+        m, w = self.MARK, self.width
+        joined = F.concat(F.lit(m), F.array_join(tokens, m))
+        pat = F.lit(f"{m}[^{m}]{{0,{w}}}|[^{m}]{{1,{w}}}")
+        raw = F.when(F.size(tokens) == 0, F.array().cast("array<string>")) \
+               .otherwise(F.regexp_extract_all(joined, pat, 0))
+        pieces = F.transform(raw, lambda p: F.when(p.startswith(m), F.substring(p, 2, w))
+                             .otherwise(F.concat(F.lit(CONT), p)))
+        starts = F.transform(raw, lambda p: F.when(p.startswith(m), F.lit(1)).otherwise(F.lit(0)))
+        return pieces, starts
+
+
+def fixed_width_splitter(width: int) -> FixedWidthSplitter:
+    return FixedWidthSplitter(width)
 
 
 def _label_map(labels: Sequence[str]) -> Column:
@@ -43,17 +72,26 @@ def expand_pieces(sent_df: DataFrame, splitter: Callable[[Column], Column], toke
                   tags_col: str = "tags", labels: Sequence[str] = tuple(C.LABELS), cls: str = CLS,
                   sep: str = SEP) -> DataFrame:
     """Per sentence: ``pieces`` (CLS + word pieces + SEP), ``token_starts``
-    (1 on a word's first piece, 0 elsewhere, 0 on CLS/SEP), ``word_pieces``
-    (pieces grouped per word) and word-axis ``labels`` (tag ids)."""
-    per_word = F.transform(F.col(tokens_col), lambda w: splitter(w))
-    starts = F.flatten(F.transform(per_word, lambda ps: F.transform(ps, lambda p, i: F.when(i == 0, F.lit(1))
-                                                                          .otherwise(F.lit(0)))))
+    (1 on a word's first piece, 0 elsewhere, 0 on CLS/SEP),
+    ``word_piece_counts`` (pieces per word) and word-axis ``labels`` (tag
+    ids).  A splitter with a whole-sentence form is used without per-word
+    lambdas; any other ``Column -> array<string>`` splitter runs per word."""
+    toks = F.col(tokens_col)
+    if hasattr(splitter, "flat"):
+        flat, starts = splitter.flat(toks)
+        counts = splitter.counts(toks)
+    else:
+        per_word = F.transform(toks, lambda w: splitter(w))
+        flat = F.flatten(per_word)
+        starts = F.flatten(F.transform(per_word, lambda ps: F.transform(ps, lambda p, i: F.when(i == 0, F.lit(1))
+                                                                              .otherwise(F.lit(0)))))
+        counts = F.transform(per_word, lambda ps: F.size(ps))
     lab = _label_map(labels)
-    out = sent_df.withColumn("word_pieces", per_word)
-    return out.select(
+    return sent_df.select(
         "*",
-        F.concat(F.array(F.lit(cls)), F.flatten(F.col("word_pieces")), F.array(F.lit(sep))).alias("pieces"),
+        F.concat(F.array(F.lit(cls)), flat, F.array(F.lit(sep))).alias("pieces"),
         F.concat(F.array(F.lit(0)), starts, F.array(F.lit(0))).alias("token_starts"),
+        counts.alias("word_piece_counts"),
         F.transform(F.col(tags_col), lambda t: F.element_at(lab, t)).alias("labels"),
     )
 
@@ -65,10 +103,15 @@ def piece_ids(pieces: Column, cls: str = CLS, sep: str = SEP) -> Column:
                        .otherwise(F.lit(1000) + F.length(p)))
 
 
+def repeat_per_word(values: Column, counts: Column) -> Column:
+    """Word-axis values repeated over each word's pieces (piece axis)."""
+    return F.flatten(F.zip_with(values, counts, lambda v, c: F.array_repeat(v, c)))
+
+
 def align_piece_labels(sent_df: DataFrame, label_all_tokens: bool = False, max_len: int = 512,
-                       word_pieces_col: str = "word_pieces", labels_col: str = "labels",
-                       b_to_i: dict[int, int] | None = None, ignore_index: int = C.IGNORE_INDEX_ALIGNED,
-                       out_col: str = "aligned_labels") -> DataFrame:
+                       counts_col: str = "word_piece_counts", labels_col: str = "labels",
+                       starts_col: str = "token_starts", b_to_i: dict[int, int] | None = None,
+                       ignore_index: int = C.IGNORE_INDEX_ALIGNED, out_col: str = "aligned_labels") -> DataFrame:
     """Piece-axis labels: special pieces get ``ignore_index``; a word's first
     piece gets its label; later pieces get ``ignore_index``, or the label
     mapped B-to-I when ``label_all_tokens``.  Pieces are truncated to
@@ -87,10 +130,10 @@ def align_piece_labels(sent_df: DataFrame, label_all_tokens: bool = False, max_l
     def rest(lab: Column) -> Column:
         return F.coalesce(F.element_at(bmap, lab), lab) if label_all_tokens else ign
 
-    per_piece = F.flatten(F.zip_with(
-        F.col(word_pieces_col), F.col(labels_col),
-        lambda ps, lab: F.transform(ps, lambda p, i: F.when(i == 0, lab).otherwise(rest(lab)))))
-    body = F.slice(per_piece, 1, max(int(max_len) - 2, 0))
+    per_piece = repeat_per_word(F.col(labels_col), F.col(counts_col))
+    starts = F.slice(F.col(starts_col), 2, F.greatest(F.size(starts_col) - 2, F.lit(0)))
+    aligned = F.zip_with(per_piece, starts, lambda lab, st: F.when(st == 1, lab).otherwise(rest(lab)))
+    body = F.slice(aligned, 1, max(int(max_len) - 2, 0))
     return sent_df.withColumn(out_col, F.concat(F.array(ign), body, F.array(ign)))
 
 
@@ -146,8 +189,10 @@ def pieces_to_words(pieces_df: DataFrame, words_df: DataFrame, sent_col: str = "
     sp = list(specials)
     z = F.filter(F.arrays_zip(F.col(pieces_col).alias("p"), F.col(tags_col).alias("t")),
                  lambda x: ~x["p"].isin(sp) if sp else F.lit(True))
-    clean = F.transform(z, lambda x: F.struct(F.regexp_replace(x["p"], "^" + cont_prefix.replace("#", "\\#"), "")
-                                              .alias("p"), x["t"].alias("t")))
+    plen = len(cont_prefix)
+    clean = F.transform(z, lambda x: F.struct(
+        F.when(x["p"].startswith(cont_prefix), F.substring(x["p"], plen + 1, 1 << 30)).otherwise(x["p"]).alias("p"),
+        x["t"].alias("t")))
     # empty pieces are dropped so every offset has at most one starting piece
     clean = F.filter(clean, lambda x: x["p"] != "")
     pd_ = pieces_df.select(sent_col, clean.alias("__z"))

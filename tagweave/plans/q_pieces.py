@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tagweave.operators import pieces as P
 from tagweave.operators.sampling import sequential_batches
 from tagweave.plans.catalog import register
-from tagweave.plans.fixtures import doc_sentences, doc_tokens
+from tagweave.plans.fixtures import doc_sentences, doc_tokens, table
 from tagweave.plans.q_labels import LABELS_SQL_LIST
 from tagweave.plans.q_tokens import TAGGED_SQL
 
@@ -74,7 +74,10 @@ from p
 """)
 def q_pad_batches(spark, sf_dir):
     e = _expanded(spark, sf_dir).withColumn("input_ids", P.piece_ids(F.col("pieces")))
-    b = sequential_batches(e.select("sent_id", "input_ids", "token_starts", "labels"), "sent_id", 8)
+    # batch ids are numbered on the sentence keys only, then joined back
+    keys = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sent_id"))
+    b = e.select("sent_id", "input_ids", "token_starts", "labels").join(
+        sequential_batches(keys, "sent_id", 8), "sent_id")
     p = P.pad_batches(b, "batch_id", "input_ids", "token_starts", "labels", pad_id=0, max_len=MAX_LEN,
                       multiple_of=8)
     return p.select("sent_id", "batch_id", F.col("width").cast("int").alias("width"),
@@ -97,10 +100,11 @@ def q_pieces_to_words(spark, sf_dir):
     e = _expanded(spark, sf_dir)
     # predicted piece tags: a word's first piece carries the word's tag, the
     # continuation pieces carry O, special pieces O
+    per_piece = P.repeat_per_word(F.col("tags"), F.col("word_piece_counts"))
+    starts = F.slice("token_starts", 2, F.greatest(F.size("token_starts") - 2, F.lit(0)))
     piece_tags = F.concat(
         F.array(F.lit("O")),
-        F.flatten(F.zip_with("word_pieces", "tags",
-                             lambda ps, t: F.transform(ps, lambda p, i: F.when(i == 0, t).otherwise(F.lit("O"))))),
+        F.zip_with(per_piece, starts, lambda t, st: F.when(st == 1, t).otherwise(F.lit("O"))),
         F.array(F.lit("O")))
     preds = e.select("sent_id", "pieces", piece_tags.alias("piece_tags"))
     words = e.select("sent_id", F.col("tokens").alias("words"))

@@ -14,6 +14,13 @@ def test_expand_pieces(spark):
     assert list(r.pieces) == ["[CLS]", "abcd", "##efgh", "##ij", "x", "hell", "##o", "[SEP]"]
     assert list(r.token_starts) == [0, 1, 0, 0, 1, 1, 0, 0]
     assert list(r.labels) == [1, 2, 0]
+    assert list(r.word_piece_counts) == [3, 1, 2]
+    g = P.expand_pieces(_sent(spark), lambda w: P.FixedWidthSplitter(4)(w)).collect()[0]   # per-word form
+    assert list(g.pieces) == list(r.pieces) and list(g.token_starts) == list(r.token_starts)
+    e = spark.createDataFrame([(0, ["ab", "", "c"], ["O", "O", "O"]), (1, [], [])],
+                              "sent_id long, tokens array<string>, tags array<string>")
+    got = {x.sent_id: list(x.pieces) for x in P.expand_pieces(e, P.fixed_width_splitter(4)).collect()}
+    assert got == {0: ["[CLS]", "ab", "", "c", "[SEP]"], 1: ["[CLS]", "[SEP]"]}
 
 
 def test_align_piece_labels_both_settings(spark):
