@@ -175,26 +175,58 @@ def gather_first_pieces(df: DataFrame, values_col: str, starts_col: str = "token
     return df.withColumn(out_col, F.transform(F.filter(z, lambda x: x["s"] == 1), lambda x: x["v"]))
 
 
-def pieces_to_words(pieces_df: DataFrame, words_df: DataFrame, sent_col: str = "sent_id",
-                    pieces_col: str = "pieces", tags_col: str = "piece_tags", words_col: str = "words",
-                    cont_prefix: str = CONT, specials: Sequence[str] = (CLS, SEP)) -> DataFrame:
-    """Map predicted pieces back to the given words.  Pieces (continuation
-    prefix removed, special pieces dropped) and words are laid end to end;
-    a word takes the tag of the piece that starts at the word's first
-    character (its first piece); a word no piece starts on gets ``O``.
-
-    Running character offsets are in-row prefix sums; the match is an
-    equi-join on (sentence, offset) -- no interval join, no per-sentence
-    grouping."""
+def _clean_pieces(pieces: Column, tags: Column, cont_prefix: str, specials: Sequence[str]) -> Column:
     sp = list(specials)
-    z = F.filter(F.arrays_zip(F.col(pieces_col).alias("p"), F.col(tags_col).alias("t")),
+    z = F.filter(F.arrays_zip(pieces.alias("p"), tags.alias("t")),
                  lambda x: ~x["p"].isin(sp) if sp else F.lit(True))
     plen = len(cont_prefix)
     clean = F.transform(z, lambda x: F.struct(
         F.when(x["p"].startswith(cont_prefix), F.substring(x["p"], plen + 1, 1 << 30)).otherwise(x["p"]).alias("p"),
         x["t"].alias("t")))
     # empty pieces are dropped so every offset has at most one starting piece
-    clean = F.filter(clean, lambda x: x["p"] != "")
+    return F.filter(clean, lambda x: x["p"] != "")
+
+
+def pieces_to_words(pieces_df: DataFrame, words_df: DataFrame | None = None, sent_col: str = "sent_id",
+                    pieces_col: str = "pieces", tags_col: str = "piece_tags", words_col: str = "words",
+                    cont_prefix: str = CONT, specials: Sequence[str] = (CLS, SEP)) -> DataFrame:
+    """Map predicted pieces back to the given words.  Pieces (continuation
+    prefix removed, special pieces dropped) and words are laid end to end;
+    a word takes the tag of the piece that starts at the word's first
+    character (its first piece); an empty word, or a word no piece starts
+    on, gets ``O``.  Output ``(sent, pos, word, tag)``.
+
+    With ``words_df=None`` the words array sits in the same row as the
+    pieces and the match is done in-row: both sides become (offset, kind)
+    items, one native ``array_sort`` puts every word right after the piece
+    that starts at its offset, and a zip with the shifted array reads it --
+    no shuffle, but per-element work runs in interpreted higher-order
+    functions.  With a separate ``words_df`` the sides are exploded and
+    equi-joined on (sentence, offset); on local tests this was the faster
+    form."""
+    clean = _clean_pieces(F.col(pieces_col), F.col(tags_col), cont_prefix, specials)
+    if words_df is None:
+        d = pieces_df.select(sent_col, clean.alias("__z"), F.col(words_col).alias("__w"))
+        d = d.select(sent_col, "__z", "__w",
+                     exclusive_running_sum(F.transform("__z", lambda x: F.length(x["p"]))).alias("__ps"),
+                     exclusive_running_sum(F.transform("__w", lambda w: F.length(w))).alias("__ws"))
+        p_items = F.zip_with("__z", "__ps", lambda x, st: F.struct(
+            st.alias("start"), F.lit(0).alias("kind"), F.lit(0).alias("neglen"), F.lit(-1).alias("pos"),
+            F.lit("").alias("word"), x["t"].alias("tag")))
+        w_items = F.transform(F.arrays_zip(F.col("__w").alias("w"), F.col("__ws").alias("st")), lambda x, i: F.struct(
+            x["st"].alias("start"), F.lit(1).alias("kind"), (-F.length(x["w"])).alias("neglen"), i.alias("pos"),
+            x["w"].alias("word"), F.lit(None).cast("string").alias("tag")))
+        d = d.select(sent_col, F.array_sort(F.concat(p_items, w_items)).alias("__s"))
+        prev = F.concat(F.array(F.lit(None).cast(
+            "struct<start:bigint,kind:int,neglen:int,pos:int,word:string,tag:string>")),
+            F.slice("__s", 1, F.greatest(F.size("__s") - 1, F.lit(0))))
+        words = F.filter(F.zip_with("__s", prev, lambda c, p: F.struct(
+            c["kind"].alias("kind"), c["pos"].alias("pos"), c["word"].alias("word"),
+            F.when((c["word"] != "") & (p["kind"] == 0) & (p["start"] == c["start"]), p["tag"])
+            .otherwise(F.lit("O")).alias("tag"))), lambda x: x["kind"] == 1)
+        return (d.select(sent_col, F.explode(words).alias("x"))
+                .select(sent_col, F.col("x.pos").cast("int").alias("pos"), F.col("x.word").alias("word"),
+                        F.coalesce(F.col("x.tag"), F.lit("O")).alias("tag")))
     pd_ = pieces_df.select(sent_col, clean.alias("__z"))
     pd_ = pd_.select(sent_col, "__z", exclusive_running_sum(F.transform("__z", lambda x: F.length(x["p"])))
                      .alias("__st"))
@@ -207,7 +239,9 @@ def pieces_to_words(pieces_df: DataFrame, words_df: DataFrame, sent_col: str = "
                      .alias("pos", "e")).select(sent_col, F.col("pos").cast("int").alias("pos"),
                                                 F.col("e.w").alias("word"), F.col("e.st").alias("__start"))
     return (wrow.join(prow, [sent_col, "__start"], "left")
-            .select(sent_col, "pos", "word", F.coalesce(F.col("tag"), F.lit("O")).alias("tag")))
+            .select(sent_col, "pos", "word",
+                    F.when(F.col("word") == "", F.lit("O")).otherwise(F.coalesce(F.col("tag"), F.lit("O")))
+                    .alias("tag")))
 
 
 def fill_truncated(words_df: DataFrame, preds_df: DataFrame, keys: Sequence[str] = ("sent_id", "pos"),

@@ -59,6 +59,9 @@ def test_pieces_to_words_first_piece_tag(spark):
     words = spark.createDataFrame([(0, ["abcdef", "x"])], "sent_id long, words array<string>")
     got = [(r.pos, r.word, r.tag) for r in P.pieces_to_words(pieces, words).orderBy("pos").collect()]
     assert got == [(0, "abcdef", "B-X"), (1, "x", "B-Y")]
+    both = pieces.join(words, "sent_id")
+    got = [(r.pos, r.word, r.tag) for r in P.pieces_to_words(both).orderBy("pos").collect()]
+    assert got == [(0, "abcdef", "B-X"), (1, "x", "B-Y")]
 
 
 def test_fill_truncated(spark):
