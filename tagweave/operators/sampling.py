@@ -63,6 +63,24 @@ def prefix_offsets(df: DataFrame, order: str | Sequence[str | Column], weight_co
             .drop("__mid", "__pid", "__poff"))
 
 
+def file_order_ids(df: DataFrame, id_col: str = "id", file_col: str = "__file", block_col: str = "__blk",
+                   row_col: str = "__mono", sub_cols: Sequence[str] = ()) -> DataFrame:
+    """0-based ordinal in file order for rows read from files, where
+    ``(file, block start)`` identifies a file split and ``row`` increases
+    inside it (a scan-time ``monotonically_increasing_id``; deterministic
+    because split planning is).  Rows are numbered inside their split by a
+    window partitioned on the split (a task never holds more than one split),
+    and offsets come from a prefix sum over the per-split counts (one row per
+    split, broadcast).  No global sort, no sampling, no checkpoint."""
+    split = [file_col, block_col]
+    w = Window.partitionBy(*split).orderBy(row_col, *sub_cols)
+    counts = df.groupBy(*split).agg(F.count(F.lit(1)).alias("__n"))
+    offs = counts.select(*split, (F.sum("__n").over(Window.orderBy(*split)) - F.col("__n")).alias("__off"))
+    d = df.withColumn("__local", F.row_number().over(w) - 1)
+    return (d.join(F.broadcast(offs), split)
+            .withColumn(id_col, F.col("__off") + F.col("__local")).drop("__off", "__local"))
+
+
 def sequential_batches(df: DataFrame, order: str | Sequence[str | Column], size: int,
                        batch_col: str = "batch_id") -> DataFrame:
     """Batch id in input order; the last partial batch is kept."""

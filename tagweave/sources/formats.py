@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.text import py_strip, split_words
-from tagweave.operators.sampling import dense_ids
+from tagweave.operators.sampling import dense_ids, file_order_ids
 
 
 # ---------------------------------------------------------------------------
@@ -118,13 +118,12 @@ def write_metrics(metrics_df: DataFrame, path: str, split_col: str = "split", mo
 # line text and lexicons
 # ---------------------------------------------------------------------------
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines in file order as ``(line_id, value)``: distributed dense
-    ordinals over (file, block, row)."""
+    """Lines in file order as ``(line_id, value)`` (file-order ordinals)."""
     raw = (spark.read.text(path)
            .select("value", F.col("_metadata.file_path").alias("__file"),
                    F.col("_metadata.file_block_start").alias("__blk"),
                    F.monotonically_increasing_id().alias("__mono")))
-    return dense_ids(raw, ["__file", "__blk", "__mono"], "line_id").select("line_id", "value")
+    return file_order_ids(raw, "line_id").select("line_id", "value")
 
 
 def read_paragraph_lines(spark: SparkSession, path: str) -> DataFrame:
