@@ -5,15 +5,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.operators.sampling import group_dense_ids, group_running_max_before
+
 
 def with_steps(log_df: DataFrame, run_col: str = "run_id", order_cols: Sequence[str] = ("ts", "event_id"),
                step_col: str = "step") -> DataFrame:
-    """1-based step in ``order_cols`` order inside each run."""
-    w = Window.partitionBy(run_col).orderBy(*order_cols)
-    return log_df.withColumn(step_col, F.row_number().over(w))
+    """1-based step in ``order_cols`` order inside each run.  Distributed
+    per-run numbering (``group_dense_ids``): a run holding a large share of
+    all rows is spread over many range partitions instead of one window
+    task."""
+    return (group_dense_ids(log_df, [run_col], list(order_cols), "__s")
+            .withColumn(step_col, (F.col("__s") + 1).cast("int")).drop("__s"))
 
 
 def best_checkpoint(log_df: DataFrame, mode: str = "f1", run_col: str = "run_id", step_col: str = "step",
@@ -24,19 +29,21 @@ def best_checkpoint(log_df: DataFrame, mode: str = "f1", run_col: str = "run_id"
 
     A kept row is always a strict new running best (an earlier value u has
     best >= u - eps afterwards), so only running-record rows are candidates.
-    Records come from one running window per run; the exact tolerance rule
-    is then folded over the (few) records of each run.  With eps = 0 the
+    Records come from a skew-safe running max; the exact tolerance rule is
+    then folded over the records of each run (few for noisy metrics; a
+    strictly improving run keeps every row as a record).  With eps = 0 the
     fold is skipped: the answer is the first row holding the run's best."""
     sign = 1.0 if mode == "f1" else -1.0
     v = F.col(value_col) * F.lit(sign)
-    w = Window.partitionBy(run_col).orderBy(step_col).rowsBetween(Window.unboundedPreceding, -1)
     d = log_df.select(run_col, step_col, value_col, v.alias("__v"))
     if eps == 0:
         best = d.groupBy(run_col).agg(F.min_by(F.struct(step_col, value_col),
                                                 F.struct((-F.col("__v")).alias("nv"), F.col(step_col).alias("s")))
                                       .alias("b"))
         return best.select(run_col, F.col(f"b.{step_col}").alias(step_col), F.col(f"b.{value_col}").alias(value_col))
-    rec = (d.withColumn("__prev_max", F.max("__v").over(w))
+    # running-record rows; the running max is skew-safe (range partitions
+    # split a hot run; per-partition maxima are prefix-maxed)
+    rec = (group_running_max_before(d, [run_col], [step_col], "__v", "__prev_max")
            .where(F.col("__prev_max").isNull() | (F.col("__v") > F.col("__prev_max"))))
     grouped = rec.groupBy(run_col).agg(
         F.array_sort(F.collect_list(F.struct(F.col(step_col).alias("s"), F.col("__v").alias("v"),

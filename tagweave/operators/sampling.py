@@ -63,6 +63,50 @@ def prefix_offsets(df: DataFrame, order: str | Sequence[str | Column], weight_co
             .drop("__mid", "__pid", "__poff"))
 
 
+def _ranged_checkpoint(df: DataFrame, cols: list, num_partitions: int | None) -> DataFrame:
+    n = int(num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+              .withColumn("__mid", F.monotonically_increasing_id()))
+    return ranged.checkpoint(eager=True).withColumn("__pid", F.shiftright(F.col("__mid"), 33))
+
+
+def group_dense_ids(df: DataFrame, group_cols: Sequence[str], order: Sequence[str | Column], id_col: str = "id",
+                    num_partitions: int | None = None) -> DataFrame:
+    """0-based ordinal inside each group, in ``order`` (a total order within
+    the group), without a window per group: a range repartition on
+    (group, order) splits a hot group over many partitions; inside a sorted
+    partition a group's rows are contiguous, so the position is the row id
+    minus the group's first row id there; offsets from earlier partitions
+    come from per-(partition, group) counts (a small table, prefix-summed per
+    group over partition order)."""
+    gs = list(group_cols)
+    ck = _ranged_checkpoint(df, [*gs, *_order_cols(order)], num_partitions)
+    part = ck.groupBy("__pid", *gs).agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__m0"))
+    part = part.withColumn("__off", F.sum("__n").over(Window.partitionBy(*gs).orderBy("__pid")) - F.col("__n"))
+    out = ck.join(part.select("__pid", *gs, "__off", "__m0"), ["__pid", *gs])
+    return (out.withColumn(id_col, F.col("__off") + F.col("__mid") - F.col("__m0"))
+            .drop("__mid", "__pid", "__off", "__m0"))
+
+
+def group_running_max_before(df: DataFrame, group_cols: Sequence[str], order: Sequence[str], value_col: str,
+                             out_col: str, num_partitions: int | None = None) -> DataFrame:
+    """Max of ``value_col`` over the earlier rows of the same group (null for
+    the first row), skew-safe: per (range partition, group) maxima are
+    prefix-maxed across partitions, and the in-partition part is a window
+    over one partition's slice of the group."""
+    gs = list(group_cols)
+    ck = _ranged_checkpoint(df, [*gs, *order], num_partitions)
+    part = ck.groupBy("__pid", *gs).agg(F.max(value_col).alias("__pm"))
+    wprev = Window.partitionBy(*gs).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("__before", F.max("__pm").over(wprev)).select("__pid", *gs, "__before")
+    win = Window.partitionBy("__pid", *gs).orderBy("__mid").rowsBetween(Window.unboundedPreceding, -1)
+    out = ck.join(part, ["__pid", *gs]).withColumn("__in", F.max(value_col).over(win))
+    best = F.when(F.col("__before").isNull(), F.col("__in")).when(F.col("__in").isNull(), F.col("__before")) \
+        .otherwise(F.greatest("__before", "__in"))
+    return out.withColumn(out_col, best).drop("__mid", "__pid", "__before", "__in")
+
+
 def file_order_ids(df: DataFrame, id_col: str = "id", file_col: str = "__file", block_col: str = "__blk",
                    row_col: str = "__mono", sub_cols: Sequence[str] = ()) -> DataFrame:
     """0-based ordinal in file order for rows read from files, where
