@@ -46,15 +46,29 @@ def doc_tokens(spark: SparkSession, sf_dir: str, with_tags: bool = True) -> Data
     return t
 
 
+def _gold_tag_py(doc_mod10: int, pos: int) -> str:
+    k = (doc_mod10 * 7 + (pos // 3) * 5) % 10
+    if k >= 7:
+        return "O"
+    return ("B-" if pos % 3 == 0 else "I-") + C.ENTITY_TYPES[k]
+
+
+# the gold rule depends on doc_id only through doc_id mod 10 and repeats
+# every 6 positions, so a sentence's tag array is a repeated 6-tag pattern
+_GOLD_PATTERNS = [[_gold_tag_py(r, p) for p in range(6)] for r in range(10)]
+
+
 def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide form ``(sent_id, tokens, tags)`` with gold tags."""
+    """Wide form ``(sent_id, tokens, tags)`` with gold tags, built natively
+    (pattern repeat + slice) rather than with a per-token lambda."""
     d = normalized_documents(spark, sf_dir)
     toks = F.split("text", " ", -1)
-    return d.select(
-        F.col("doc_id").alias("sent_id"),
-        toks.alias("tokens"),
-        F.transform(toks, lambda _, i: gold_tag(F.col("doc_id"), i)).alias("tags"),
-    )
+    pats = F.array(*[F.array(*[F.lit(t) for t in pat]) for pat in _GOLD_PATTERNS])
+    d = d.select("doc_id", toks.alias("tokens"))
+    n = F.size("tokens")
+    pat = F.element_at(pats, (F.pmod(F.col("doc_id"), F.lit(10)) + 1).cast("int"))
+    tags = F.slice(F.flatten(F.array_repeat(pat, F.ceil(n / 6).cast("int"))), 1, n)
+    return d.select(F.col("doc_id").alias("sent_id"), "tokens", tags.alias("tags"))
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
