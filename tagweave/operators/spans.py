@@ -124,29 +124,33 @@ def merge_annotations(metric_df: DataFrame, hyper_df: DataFrame,
     label to the *first* (lowest ``ord``) metric span with that text; the
     others are appended after all metric spans, in their own order.
     Output: ``(keys..., ord, start, end, text, labels array<string>)``.
-    Joins are keyed by (keys, text) on span rows only (never document text)."""
+
+    Each input is evaluated once: the two span tables are unioned with a
+    side flag, one window per (keys, text) finds the first metric span and
+    the number of equal hyperparameter spans, one window per keys numbers
+    the appended spans.  Only span rows move (never document text)."""
     ks = _keys(keys)
-    m = metric_df.select(*ks, "ord", "start", "end", "text")
-    h = hyper_df.select(*ks, "ord", "start", "end", "text")
-    m_first = m.groupBy(*ks, "text").agg(F.min("ord").alias("ord"))
-    hit = (h.join(m_first.select(*ks, "text"), [*ks, "text"], "left_semi")
-           .groupBy(*ks, "text").agg(F.count(F.lit(1)).alias("n_extra")))
-    extra = m_first.join(hit, [*ks, "text"], "inner").select(*ks, "ord", "n_extra")
-    metric_out = (m.join(extra, [*ks, "ord"], "left")
-                  .select(*ks, "ord", "start", "end", "text",
-                          F.concat(F.array(F.lit(C.METRIC_LABEL)),
-                                   F.array_repeat(F.lit(C.HYPERPARAMETER_LABEL),
-                                                  F.coalesce(F.col("n_extra"), F.lit(0)).cast("int")))
-                          .alias("labels")))
-    n_metric = m.groupBy(*ks).agg(F.count(F.lit(1)).alias("n_metric"))
-    rest = h.join(m_first.select(*ks, "text"), [*ks, "text"], "left_anti")
-    w = Window.partitionBy(*ks).orderBy("ord")
-    hyper_out = (rest.withColumn("rk", F.row_number().over(w) - 1)
-                 .join(n_metric, ks, "left")
-                 .select(*ks, (F.coalesce(F.col("n_metric"), F.lit(0)) + F.col("rk")).cast("int").alias("ord"),
-                         "start", "end", "text",
-                         F.array(F.lit(C.HYPERPARAMETER_LABEL)).alias("labels")))
-    return metric_out.unionByName(hyper_out)
+    m = metric_df.select(*ks, "ord", "start", "end", "text", F.lit(0).alias("__side"))
+    h = hyper_df.select(*ks, "ord", "start", "end", "text", F.lit(1).alias("__side"))
+    u = m.unionByName(h)
+    is_m, is_h = F.col("__side") == 0, F.col("__side") == 1
+    wt = Window.partitionBy(*ks, "text")
+    u = (u.withColumn("__first_m", F.min(F.when(is_m, F.col("ord"))).over(wt))
+          .withColumn("__n_h", F.sum(is_h.cast("int")).over(wt)))
+    wd = Window.partitionBy(*ks)
+    wr = Window.partitionBy(*ks).orderBy("__side", "__matched", "ord")
+    u = (u.withColumn("__matched", is_h & F.col("__first_m").isNotNull())
+          .withColumn("__n_metric", F.sum(is_m.cast("int")).over(wd))
+          .withColumn("__rk", F.row_number().over(wr)))
+    extra = F.when(is_m & (F.col("ord") == F.col("__first_m")), F.col("__n_h")).otherwise(F.lit(0))
+    labels = F.when(is_m, F.concat(F.array(F.lit(C.METRIC_LABEL)),
+                                   F.array_repeat(F.lit(C.HYPERPARAMETER_LABEL), extra.cast("int")))) \
+              .otherwise(F.array(F.lit(C.HYPERPARAMETER_LABEL)))
+    # unmatched hyperparameter spans sort right after the metric spans, so
+    # their running rank - 1 is n_metric + their own position
+    new_ord = F.when(is_m, F.col("ord")).otherwise(F.col("__rk") - 1)
+    return (u.where(~F.col("__matched"))
+            .select(*ks, new_ord.cast("int").alias("ord"), "start", "end", "text", labels.alias("labels")))
 
 
 def annotation_struct(start: Column, end: Column, text: Column, labels: Column) -> Column:
