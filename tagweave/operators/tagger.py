@@ -48,7 +48,9 @@ def normalize_counts(counts: DataFrame, alpha: float = 1.0) -> DataFrame:
     start/end over all sentences (K outcomes), trans per previous tag (K
     outcomes), emit per tag (V outcomes).  K and V are global scalars from
     a one-row aggregate (cross-joined, not collected)."""
-    c = counts.where(F.col("kind").isin(*KINDS))
+    # the count table (model-sized: events x outcomes, not tokens) is read
+    # three times below; materialize it once so the token pass runs once
+    c = cut_lineage(counts.where(F.col("kind").isin(*KINDS)))
     sizes = c.agg(
         F.count_distinct(F.when(F.col("kind") == "emit", F.col("a"))).alias("__K"),
         F.count_distinct(F.when(F.col("kind") == "emit", F.col("b"))).alias("__V"))
