@@ -93,3 +93,14 @@ def test_headings_and_aliases(spark):
     got = sorted(tuple(r) for r in H.extract_alias_names(names).collect())
     assert got == [(1, 0, "SQuAD", "abbreviation"), (1, 1, "Stanford Question Answering Dataset", "full"),
                    (2, 0, "CoNLL", "name")]
+
+
+def test_evaluate_files(spark, tmp_path):
+    from tagweave.plans.score import evaluate_files
+    g = write_text(tmp_path / "g.conll", "a\tB-X\nb\tI-X\nc\tO\n\nd\tB-Y\n\n")
+    p = write_text(tmp_path / "p.conll", "a\tB-X\nb\tO\nc\tO\n\nd\tB-Y\n\n")
+    r = evaluate_files(spark, g, p).collect()[0]
+    assert (r.n_correct, r.n_pred, r.n_gold, r.n_tokens) == (1, 2, 2, 4)
+    bad = write_text(tmp_path / "q.conll", "a\tB-X\nz\tO\nc\tO\n\nd\tB-Y\n\n")
+    with pytest.raises(Exception):
+        evaluate_files(spark, g, bad).collect()
