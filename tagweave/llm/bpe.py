@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 
 MAX_RANK_FILE_BYTES = 64 << 20       # a vocabulary, not data: larger files are refused
 UNIT_TABLE_ENTRIES = 400_000         # remembered units per task
+PENDING_WORDS = 100_000              # words that wait for one call of the library
+SLICE_CHARS = 4 << 20                # texts encoded between two output batches
 BLOCK_CHARS = 1 << 20                # a huge text is walked in blocks of about this length
 LONG_UNIT_CHARS = 2_048              # longer stretches without white space are cut by class
 
@@ -118,6 +120,7 @@ class Units:
         out: list[bytes | None] = [None] * len(texts)
         pending: list[tuple[int, list[str]]] = []
         words: set[str] = set()
+        held = 0
 
         def flush() -> None:
             self.learn(words)
@@ -133,8 +136,10 @@ class Units:
             ws = text.split(" ")
             pending.append((at, ws))
             words.update(ws[1:])
-            if len(words) > UNIT_TABLE_ENTRIES // 4:
+            held += len(ws)
+            if held > PENDING_WORDS:
                 flush()
+                held = 0
         flush()
         return out
 
@@ -146,16 +151,37 @@ def _list_array(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode(text: Column, spark: SparkSession, rank_file: str, pattern: str) -> Column:
-    """Token ids (``array<int>``) of each whole text; null counts as empty."""
+def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about SLICE_CHARS bytes of text each."""
+    import pyarrow.compute as pc
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + SLICE_CHARS, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str = "text",
+                     ids: str = "token_ids", keep_text: bool = True) -> DataFrame:
+    """Adds ``ids`` (``array<int>``, replacing a column of that name): the
+    token ids of each whole text; null counts as empty."""
+    spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_rank_file(rank_file))
+    kept = [f for f in docs.schema.fields if f.name != ids and (keep_text or f.name != text)]
+    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    names = [f.name for f in kept]
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(parse_ranks(ranks.value), pattern)
-        for batch in batches:
-            yield _list_array(units.encode_batch([t or "" for t in batch.to_pylist()]))
+        for whole in batches:
+            for batch in _slices(whole, text):
+                out = _list_array(units.encode_batch([t or "" for t in batch.column(text).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), out], names=[*names, ids])
 
-    return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(text)
+    wanted = [c for c in docs.columns if c != ids]
+    return docs.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, schema)
 
 
 def decode(ids: Column, spark: SparkSession, rank_file: str) -> Column:
@@ -176,12 +202,6 @@ def decode(ids: Column, spark: SparkSession, rank_file: str) -> Column:
     return F.arrow_udf(run, T.BinaryType())(ids)
 
 
-def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str = "text",
-                     ids: str = "token_ids") -> DataFrame:
-    """Adds ``ids`` (``array<int>``, replacing a column of that name)."""
-    return docs.withColumn(ids, encode(docs[text], docs.sparkSession, rank_file, pattern))
-
-
 def decode_documents(docs: DataFrame, rank_file: str, ids: str = "token_ids",
                      out: str = "decoded") -> DataFrame:
     """Adds ``out`` (``binary``): the bytes the ids stand for."""

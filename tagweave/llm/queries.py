@@ -23,11 +23,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagweave.llm import bpe
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    out = bpe.decode_documents(ids, ranks)
-    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
-                      bpe.id_list_digest(F.col("token_ids")).alias("ids_sha256"),
-                      F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, keep_text=False)
+    ids = F.col("token_ids")
+    # decoding and the id digest read the ids in the same pass
+    return out.select("doc_id", F.size(ids).cast("long").alias("n_tokens"),
+                      bpe.id_list_digest(ids).alias("ids_sha256"),
+                      F.sha2(bpe.decode(ids, spark, ranks), 256).alias("decoded_sha256"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +41,26 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def crc_remainder(doc_id: str, m: int):
+    """crc32 of the id as text, modulo m (null for a null id)."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(m))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; the held-out fifth is never learned from."""
+    from tagweave.llm import toxicity
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"), ~held_out)
+    out = model.score(docs)
+    return out.select("doc_id", held_out.alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}

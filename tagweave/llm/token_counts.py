@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_MODEL_BYTES = 64 << 20
-UNIT_TABLE_ENTRIES = 600_000
+UNIT_TABLE_ENTRIES = 500_000
+PENDING_WORDS = 100_000        # words that wait for one call of the library
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 256
 WIDEN = 8
@@ -86,6 +87,7 @@ class Counter:
         out = [0] * len(texts)
         pending: list[tuple[int, list[str]]] = []
         words: set[str] = set()
+        held = 0
 
         def flush() -> None:
             new = list(words.difference(self.units))
@@ -108,8 +110,10 @@ class Counter:
             ws = text.split(" ")
             pending.append((at, ws))
             words.update(ws)
-            if len(words) > UNIT_TABLE_ENTRIES // 4:
+            held += len(ws)
+            if held > PENDING_WORDS:
                 flush()
+                held = 0
         flush()
         return out
 
