@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_RANK_FILE_BYTES = 64 << 20       # a vocabulary, not data: larger files are refused
-UNIT_TABLE_ENTRIES = 400_000         # remembered units per task
+UNIT_TABLE_ENTRIES = 200_000         # remembered units per task
 PENDING_WORDS = 100_000              # words that wait for one call of the library
-SLICE_CHARS = 4 << 20                # texts encoded between two output batches
+SLICE_CHARS = 2 << 20                # texts encoded between two output batches
 BLOCK_CHARS = 1 << 20                # a huge text is walked in blocks of about this length
 LONG_UNIT_CHARS = 2_048              # longer stretches without white space are cut by class
 
@@ -151,6 +151,13 @@ def _list_array(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+def _id_lists(batch: pa.Array) -> Iterator[list[int]]:
+    """One row's ids at a time; a null row has none."""
+    for row in range(len(batch)):
+        v = batch[row].values
+        yield [] if v is None else v.to_numpy(zero_copy_only=False).tolist()
+
+
 def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_CHARS bytes of text each."""
     import pyarrow.compute as pc
@@ -189,15 +196,12 @@ def decode(ids: Column, spark: SparkSession, rank_file: str) -> Column:
     UTF-8 when the ids are a slice.  An id outside the ranks raises."""
     ranks = spark.sparkContext.broadcast(read_rank_file(rank_file))
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = {i: b for b, i in parse_ranks(ranks.value).items()}
-        for batch in batches:
-            out = []
-            for row in range(len(batch)):
-                v = batch[row].values
-                out.append(b"".join(map(token.__getitem__, v.to_numpy(zero_copy_only=False).tolist()))
-                           if v is not None else b"")
-            yield pa.array(out, pa.binary())
+    token: dict[int, bytes] = {}            # filled once per task
+
+    def run(batch: pa.Array) -> pa.Array:
+        if not token:
+            token.update((i, b) for b, i in parse_ranks(ranks.value).items())
+        return pa.array((b"".join(map(token.__getitem__, ids)) for ids in _id_lists(batch)), pa.binary())
 
     return F.arrow_udf(run, T.BinaryType())(ids)
 
@@ -208,25 +212,19 @@ def decode_documents(docs: DataFrame, rank_file: str, ids: str = "token_ids",
     return docs.withColumn(out, decode(docs[ids], docs.sparkSession, rank_file))
 
 
+class _Decimal(dict):
+    def __missing__(self, i: int) -> str:
+        self[i] = text = str(i)
+        return text
+
+
 def id_list_digest(ids: Column) -> Column:
     """Lowercase hex SHA-256 of the decimal ids joined by commas."""
+    decimal = _Decimal()
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batch: pa.Array) -> pa.Array:
         import hashlib
-        decimal: dict[int, str] = {}
-
-        class _Decimal(dict):
-            def __missing__(self, i):
-                self[i] = s = str(i)
-                return s
-        decimal = _Decimal()
-        for batch in batches:
-            out = []
-            for row in range(len(batch)):
-                v = batch[row].values
-                joined = "" if v is None else ",".join(
-                    map(decimal.__getitem__, v.to_numpy(zero_copy_only=False).tolist()))
-                out.append(hashlib.sha256(joined.encode()).hexdigest())
-            yield pa.array(out, pa.string())
+        return pa.array((hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest()
+                         for ids in _id_lists(batch)), pa.string())
 
     return F.arrow_udf(run, T.StringType())(ids)
