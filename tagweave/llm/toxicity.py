@@ -40,7 +40,8 @@ MIN_LOG_ODDS = 2.5
 STEM_CHARS = (4, 5, 6)
 STRONG = 4.5                  # log-odds from which an entry counts as strong
 NEAR_WORDS = 4
-WORD_TABLE_ENTRIES = 300_000
+WORD_TABLE_ENTRIES = 200_000
+SLICE_ROWS = 64               # texts whose words are summed together
 
 # fixed values: second-person words of the four languages of the corpus
 SECOND_PERSON = ("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine "
@@ -77,74 +78,97 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
+        self.heads = {e[:STEM_CHARS[0]] for e in weights if len(e) > STEM_CHARS[0]}
+        self.short = {e for e in weights if len(e) <= STEM_CHARS[0]}
         self.second = frozenset(SECOND_PERSON)
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.rows: list[tuple] = []
-        self.array = np.zeros((0, 11))
+        self.array = np.zeros((0, 11), dtype=np.float32)
 
     def weight(self, word: str) -> float:
+        if word[:STEM_CHARS[0]] not in self.heads and word not in self.short:
+            return 0.0
         get = self.weights.get
-        return max((get(e, 0.0) for e in entries(word)), default=0.0) if word else 0.0
+        return max((get(e, 0.0) for e in entries(word)), default=0.0)
 
     def analyse(self, word: str) -> tuple:
+        core = word.rstrip(".,")
+        if core.isalpha():                          # nearly all words
+            low = core.lower()
+            w = self.weight(low)
+            caps = 0 if low == core else sum(map(str.isupper, core))
+            return (w, w >= STRONG, low in self.second, len(core), caps, caps > 1 and caps == len(core),
+                    len(word) - len(core), 0, False, False, len(core) == 1)
         p = plain(word)
         w = self.weight(p)
-        masked = 0.0
-        inner = any(not c.isalpha() for c in p)
+        masked = False
+        inner = not p.isalpha()
         if inner and w < STRONG and len(p) <= 64:
             for form in {_INNER.sub("", p.translate(LEET)), _INNER.sub("", p)}:
                 v = self.weight(form)
                 if v > w and v >= STRONG:
-                    w, masked = v, 1.0
-        letters = sum(c.isalpha() for c in word)
-        caps = sum(c.isupper() for c in word)
-        punct = sum(not c.isalnum() for c in word)
-        return (w, float(w >= STRONG), float(p in self.second), letters, caps,
-                float(caps > 1 and caps == letters), punct, word.count("!") + word.count("?"),
-                float(inner and any(c.isalpha() for c in p)), masked, float(len(p) == 1 and p.isalpha()))
-
-    def features(self, text: str) -> list[float]:
-        words = text.split()
-        n = len(words)
-        if not n:
-            return [0.0] * len(FEATURES)
-        index = self.index
-        if len(index) + n > WORD_TABLE_ENTRIES and len(index) > WORD_TABLE_ENTRIES // 2:
+                    w, masked = v, True
+        letters = sum(map(str.isalpha, word))
+        caps = sum(map(str.isupper, word))
+        return (w, w >= STRONG, p in self.second, letters, caps, caps > 1 and caps == letters,
+                len(word) - sum(map(str.isalnum, word)), word.count("!") + word.count("?"),
+                inner and letters > 0, masked, len(p) == 1 and not inner)
+
+    def features(self, texts: list[str]) -> list[list[float]]:
+        """Feature rows of some texts, summed over all their words at once."""
+        words = [t.split() for t in texts]
+        counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        if len(self.index) > WORD_TABLE_ENTRIES:
             self.clear()
-            index = self.index
-        for w in words:
-            if w not in index:
-                index[w] = len(self.rows)
-                self.rows.append(self.analyse(w))
+        index = self.index
+        for ws in words:
+            for w in ws:
+                if w not in index:
+                    index[w] = len(self.rows)
+                    self.rows.append(self.analyse(w))
         if len(self.array) < len(self.rows):
-            self.array = np.concatenate([self.array, np.array(self.rows[len(self.array):], dtype=float).reshape(-1, 11)])
-        ids = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=n)
-        a = self.array[ids]
-        s = a.sum(axis=0)
-        weight = a[:, self.WEIGHT]
-        hits = np.flatnonzero(weight > 0)
-        top = np.sort(weight[hits])[-2:] if len(hits) else np.zeros(0)
-        strong = np.flatnonzero(a[:, self.STRONG] > 0)
-        second = np.flatnonzero(a[:, self.SECOND] > 0)
-        near = 0
-        if len(strong) and len(second):
-            lo = np.searchsorted(second, strong - NEAR_WORDS)
-            hi = np.searchsorted(second, strong + NEAR_WORDS, side="right")
-            near = int((hi > lo).sum())
-        return [math.log1p(n), len(hits) / n, len(strong) / n, math.log1p(len(hits)), math.log1p(len(strong)),
-                s[self.WEIGHT] / n, float(top[-1]) if len(top) else 0.0, float(top[0]) if len(top) > 1 else 0.0,
-                math.log1p(len(np.unique(ids[strong]))), near / n, s[self.SECOND] / n,
+            self.array = np.concatenate([self.array, np.array(self.rows[len(self.array):], dtype=np.float32)])
+        ids = np.fromiter((index[w] for ws in words for w in ws), dtype=np.int64, count=int(counts.sum()))
+        ends = np.cumsum(counts)
+        starts = ends - counts
+        some = counts > 0
+        sums = np.zeros((len(texts), 11))
+        if some.any():
+            sums[some] = np.add.reduceat(self.array[ids], starts[some], axis=0, dtype=np.float64)
+        return [self._row(ws, ids[a:b], s) if b > a else [0.0] * len(FEATURES)
+                for ws, a, b, s in zip(words, starts.tolist(), ends.tolist(), sums)]
+
+    def _row(self, words: list[str], ids: np.ndarray, s: np.ndarray) -> list[float]:
+        n = len(words)
+        s = s.tolist()
+        hits = strong = distinct = near = spelled = 0
+        first = second_best = 0.0
+        if s[self.WEIGHT] > 0:
+            a = self.array[ids]
+            weight = a[:, self.WEIGHT]
+            at = np.flatnonzero(weight > 0)
+            hits = len(at)
+            top = np.sort(weight[at])[-2:].tolist()
+            first, second_best = top[-1], top[0] if hits > 1 else 0.0
+            where = np.flatnonzero(a[:, self.STRONG] > 0)
+            strong, distinct = len(where), len(np.unique(ids[where]))
+            person = np.flatnonzero(a[:, self.SECOND] > 0)
+            if strong and len(person):
+                near = int((np.searchsorted(person, where + NEAR_WORDS, side="right")
+                            > np.searchsorted(person, where - NEAR_WORDS)).sum())
+        if s[self.SINGLE] >= 4:
+            spelled = self.spelled(words, self.array[ids, self.SINGLE])
+        return [math.log1p(n), hits / n, strong / n, math.log1p(hits), math.log1p(strong),
+                s[self.WEIGHT] / n, first, second_best, math.log1p(distinct), near / n, s[self.SECOND] / n,
                 s[self.CAPS] / max(1.0, s[self.LETTERS]), s[self.SHOUT] / n,
                 s[self.PUNCT] / max(1.0, s[self.PUNCT] + s[self.LETTERS]), s[self.EXCLAM] / n,
-                s[self.OBFUSCATED] / n, math.log1p(s[self.MASKED]), math.log1p(self.spelled(words, a[:, self.SINGLE]))]
+                s[self.OBFUSCATED] / n, math.log1p(s[self.MASKED]), math.log1p(spelled)]
 
     def spelled(self, words: list[str], single: np.ndarray) -> int:
         """Lexicon words written letter by letter ("i d i o t")."""
-        if single.sum() < 4:
-            return 0
         edge = np.diff(np.concatenate([[0], (single > 0).astype(np.int8), [0]]))
         found = 0
         for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
@@ -159,7 +183,10 @@ def text_features(text: Column, weights: dict[str, float]) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lexicon = Lexicon(weights)
         for batch in batches:
-            yield pa.array([lexicon.features(t or "") for t in batch.to_pylist()], pa.list_(pa.float64()))
+            rows: list[list[float]] = []
+            for start in range(0, len(batch), SLICE_ROWS):
+                rows += lexicon.features([t or "" for t in batch.slice(start, SLICE_ROWS).to_pylist()])
+            yield pa.array(rows, pa.list_(pa.float64()))
 
     return F.arrow_udf(run, T.ArrayType(T.DoubleType()))(text)
 
