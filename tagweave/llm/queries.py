@@ -41,6 +41,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers in documents: base kinds, and what their contexts discover."""
+    from tagweave.llm import pii
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.find_identifiers(docs)
+
+    def of_kind(i: int):
+        return F.size(F.filter("pii_base", lambda x: x["kind"] == i)).cast("long")
+
+    count = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return out.select("doc_id", *count, F.sha2(pii.span_list(F.col("pii_base")), 256).alias("base_sha256"),
+                      pii.span_list(F.col("pii")).alias("spans"))
+
+
 def crc_remainder(doc_id: str, m: int):
     """crc32 of the id as text, modulo m (null for a null id)."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(m))
@@ -60,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
+    "op3_pii": op3_pii,
     "op10_toxicity": op10_toxicity,
 }
 
