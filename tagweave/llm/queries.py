@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.llm import oracles as oracles_sql
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -55,6 +57,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       pii.span_list(F.col("pii")).alias("spans"))
 
 
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, one row per (document, item)."""
+    from tagweave.llm import leaks
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = leaks.find_leaks(docs, _read(spark, sf_dir, "benchmark"))
+    return leaks.leaked_documents(docs, found).drop("text").distinct()
+
+
 def crc_remainder(doc_id: str, m: int):
     """crc32 of the id as text, modulo m (null for a null id)."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(m))
@@ -75,10 +85,11 @@ QUERIES: dict[str, QueryFn] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
     "op3_pii": op3_pii,
+    "op8_leaks": op8_leaks,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_leaks": oracles_sql.OP8_LEAKS}
 
 
 def queries() -> dict[str, QueryFn]:
