@@ -228,7 +228,10 @@ def find_identifiers(docs: DataFrame, text: str = "text", out: str = "pii", roun
     (kind is an index into KINDS), sorted by start, then kind."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     spans = _with_candidates(_with_base(docs, text), text)
-    keyed = spans.withColumn("__key", F.when(F.size("__cand") > 0, F.sha2(t, 256)))
+    # texts without candidates get a key of their own that matches nothing, so
+    # they spread over the join's partitions instead of meeting in one
+    keyed = spans.withColumn("__key", F.when(F.size("__cand") > 0, F.sha2(t, 256)).otherwise(
+        F.concat(F.lit("none "), F.xxhash64(t).cast("string"))))
     # no filter on the span columns: the optimizer would move it below them and
     # evaluate the whole span expression again inside every lambda
     occ = _occurrences(keyed.select("__key", "__base", "__cand")).checkpoint()

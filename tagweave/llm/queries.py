@@ -57,6 +57,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       pii.span_list(F.col("pii")).alias("spans"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from tagweave.llm.html_text import extract_pages
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, one row per (document, item)."""
     from tagweave.llm import leaks
@@ -65,6 +72,13 @@ def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_documents(docs, found).drop("text").distinct()
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and component of every document."""
+    from tagweave.llm import jaccard
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.link_documents(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def crc_remainder(doc_id: str, m: int):
     """crc32 of the id as text, modulo m (null for a null id)."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(m))
@@ -85,7 +99,9 @@ QUERIES: dict[str, QueryFn] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
     "op3_pii": op3_pii,
+    "op6_html": op6_html,
     "op8_leaks": op8_leaks,
+    "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
 }
 
