@@ -57,6 +57,23 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       pii.span_list(F.col("pii")).alias("spans"))
 
 
+def op4_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of repeated 200-byte strings."""
+    from tagweave.llm.suffix_index import remove_repeats
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; one seventh is held out."""
+    import public_tokenizers
+    from tagweave.llm.lattice_lm import score_documents
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
+    out = score_documents(docs, ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     from tagweave.llm.html_text import extract_pages
@@ -64,6 +81,13 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op7_crosspoly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth embedding."""
+    from tagweave.llm.crosspoly import nearest
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, one row per (document, item)."""
     from tagweave.llm import leaks
@@ -99,7 +123,10 @@ QUERIES: dict[str, QueryFn] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
     "op3_pii": op3_pii,
+    "op4_suffix_index": op4_suffix_index,
+    "op5_lattice": op5_lattice,
     "op6_html": op6_html,
+    "op7_crosspoly": op7_crosspoly,
     "op8_leaks": op8_leaks,
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
