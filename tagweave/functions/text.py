@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# what Python's str.strip() removes: Unicode white space and the four
+# separators U+001C to U+001F
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def py_strip(c: Column) -> Column:
     """Python ``str.strip()``: remove leading/trailing whitespace of any kind
     (Spark ``trim`` only removes spaces)."""
     # the regex only runs when an end character is whitespace (rare); its
     # "\s+$" branch would otherwise be tried at every position of every text
-    edge = F.substring(c, 1, 1).rlike(r"^\s$") | F.substring(c, -1, 1).rlike(r"^\s$")
-    return F.when(edge, F.regexp_replace(c, r"^\s+|\s+$", "")).otherwise(c)
+    edge = F.substring(c, 1, 1).rlike(_SPACE) | F.substring(c, -1, 1).rlike(_SPACE)
+    return F.when(edge, F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+$", "")).otherwise(c)
 
 
 def normalize_ws(c: Column) -> Column:

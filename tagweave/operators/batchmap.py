@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
+
+from tagweave.session import cut_lineage
 
 ERROR_COL = "__error"
 
@@ -26,12 +27,15 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
 def try_map(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType | str
             ) -> tuple[DataFrame, DataFrame]:
     """Per-record enrichment where a failing record is skipped: returns
-    ``(ok_df, errors_df)``.  ``fn`` maps a record dict to an output dict.
-    Prefer built-in ``try_*`` functions when one expresses the work; this is
-    the Python fallback, batched through Arrow."""
+    ``(ok_df, errors_df)``.  ``fn`` maps a record dict to an output dict;
+    ``errors_df`` holds the input columns of every failed record and the whole
+    error text (``__error``).  The function runs once per record: both results
+    read one checkpoint.  Prefer built-in ``try_*`` functions
+    when one expresses the work (``try_columns``); this is the Python
+    fallback, batched through Arrow."""
     out_schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    full = T.StructType(list(out_schema.fields) + [T.StructField(ERROR_COL, T.StringType(), True)])
     names = [f.name for f in out_schema.fields]
+    columns = df.columns
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
@@ -39,25 +43,29 @@ def try_map(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType | st
             for rec in b.to_dict("records"):
                 try:
                     r = fn(rec)
-                    rows.append({**{k: r.get(k) for k in names}, ERROR_COL: None})
-                except Exception as e:  # noqa: BLE001 -- the record is skipped, the error kept
-                    rows.append({**{k: None for k in names}, ERROR_COL: f"{type(e).__name__}: {e}"[:500]})
-            yield pd.DataFrame(rows, columns=names + [ERROR_COL])
-
-    mapped = df.mapInPandas(run, full)
-    ok = mapped.where(F.col(ERROR_COL).isNull()).drop(ERROR_COL)
-    errors = mapped.where(F.col(ERROR_COL).isNotNull()).select(ERROR_COL)
+                    rows.append({f"__out.{k}": r.get(k) for k in names})
+                except Exception as e:  # noqa: BLE001 -- the record is skipped, it and its error are kept
+                    rows.append({f"__in.{k}": rec[k] for k in columns} | {ERROR_COL: f"{type(e).__name__}: {e}"})
+            out = pd.DataFrame(rows, columns=flat_schema.fieldNames(), dtype=object)
+            yield out.where(out.notna(), None)
+
+    flat_schema = T.StructType([T.StructField(f"__out.{f.name}", f.dataType, True) for f in out_schema.fields]
+                               + [T.StructField(f"__in.{f.name}", f.dataType, True) for f in df.schema.fields]
+                               + [T.StructField(ERROR_COL, T.StringType(), True)])
+    mapped = cut_lineage(df.mapInPandas(run, flat_schema))
+    ok = mapped.where(F.col(ERROR_COL).isNull()).select(*[F.col(f"`__out.{k}`").alias(k) for k in names])
+    errors = mapped.where(F.col(ERROR_COL).isNotNull()).select(*[F.col(f"`__in.{k}`").alias(k) for k in columns], ERROR_COL)
     return ok, errors
 
 
 def materialize(df: DataFrame, path: str, overwrite: bool = False, fmt: str = "parquet") -> DataFrame:
     """Re-use the stored result at ``path`` unless ``overwrite``; otherwise
-    compute, store and read it back (a reliable cut of the lineage)."""
+    compute, store and read it back (a reliable cut of the lineage).  Only a
+    finished write counts (its ``_SUCCESS`` mark): what a broken job left is
+    computed anew."""
     spark = df.sparkSession
-    if not overwrite:
-        try:
-            return spark.read.format(fmt).load(path)
-        except AnalysisException:
-            pass
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if not overwrite and mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        return spark.read.format(fmt).load(path)
     df.write.mode("overwrite").format(fmt).save(path)
     return spark.read.format(fmt).load(path)

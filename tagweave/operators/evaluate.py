@@ -98,21 +98,6 @@ def _overall_from_scored(scored: DataFrame) -> DataFrame:
                     f.alias("f1"), _safe_div(F.col("n_equal"), F.col("n_tokens")).alias("accuracy"))
 
 
-def _overall(matches: DataFrame, tokens_df: DataFrame, gold_col: str, pred_col: str) -> DataFrame:
-    """Micro scores from chunk matches plus accuracy from the token table
-    (two inputs; prefer ``_overall_from_scored`` when tokens are scored)."""
-    m = matches.agg(
-        F.coalesce(F.sum(F.col("correct").cast("long")), F.lit(0)).alias("n_correct"),
-        F.count(F.col("pred_type")).alias("n_pred"),
-        F.count(F.col("gold_type")).alias("n_gold"))
-    acc = tokens_df.agg(F.count(F.lit(1)).alias("n_tokens"),
-                        F.sum((F.col(gold_col) == F.col(pred_col)).cast("long")).alias("n_equal"))
-    j = m.crossJoin(acc)  # 1 row x 1 row
-    p, r, f = _prf(F.col("n_correct"), F.col("n_pred"), F.col("n_gold"))
-    return j.select("n_correct", "n_pred", "n_gold", "n_tokens", p.alias("precision"), r.alias("recall"),
-                    f.alias("f1"), _safe_div(F.col("n_equal"), F.col("n_tokens")).alias("accuracy"))
-
-
 def entity_metrics_overall(tokens_df: DataFrame, gold_col: str = "gold", pred_col: str = "pred",
                            sent_col: str | Sequence[str] = "sent_id", pos_col: str = "pos") -> DataFrame:
     """Micro precision/recall/f1 over all chunks, and token accuracy (one
@@ -157,7 +142,7 @@ def flatten_metrics(by_type_df: DataFrame, overall_df: DataFrame | None = None,
 def entity_type_counts(tokens_df: DataFrame, tag_col: str = "tag") -> DataFrame:
     """Number of entities per type (count of ``B-`` tags)."""
     return (tokens_df.where(F.col(tag_col).startswith("B-"))
-            .groupBy(F.substring(F.col(tag_col), 3, 1 << 20).alias("type"))
+            .groupBy(F.regexp_replace(tag_col, "^B-", "").alias("type"))
             .agg(F.count(F.lit(1)).alias("n_entities")))
 
 

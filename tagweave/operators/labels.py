@@ -9,37 +9,17 @@ from pyspark.sql import functions as F
 
 from tagweave import constants as C
 
-# lookup tables at or below this many rows are broadcast; the check runs on
-# the table itself, so a vocabulary that grows with the data falls back to a
-# shuffle join
-BROADCAST_MAX_ROWS = 100_000
-
 
 def labels_table(spark: SparkSession, labels: Sequence[str] = C.LABELS) -> DataFrame:
     """``(id int, tag string)`` with id = list position."""
     return spark.createDataFrame([(i, t) for i, t in enumerate(labels)], "id int, tag string")
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only behind a size check.
-
-    A driver-local relation (built from a Python list) is counted on the
-    spot and hinted when within ``max_rows``.  A computed table is not
-    counted eagerly (that would run its whole plan twice); adaptive
-    execution measures its shuffle output at run time and switches to a
-    broadcast join only under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
-    -- the same check, done with real sizes."""
-    if df.isLocal():
-        n = df.limit(max_rows + 1).count()
-        return F.broadcast(df) if n <= max_rows else df
-    return df
-
-
 def label_list(sent_df: DataFrame, tags_col: str = "tags") -> DataFrame:
     """Distinct labels over all sentences, sorted, id = position from 0.
     The distinct runs distributed (partial aggregation); only the final,
     vocabulary-sized result is ranked in one partition."""
-    d = sent_df.select(F.explode(tags_col).alias("tag")).distinct()
+    d = sent_df.select(F.explode(F.array_distinct(tags_col)).alias("tag")).distinct()
     return d.select((F.row_number().over(Window.orderBy("tag")) - 1).cast("int").alias("id"), "tag")
 
 
@@ -53,10 +33,10 @@ def _map_literal(labels: Sequence[str], inverse: bool = False) -> Column:
 def encode_labels(tokens_df: DataFrame, labels: Sequence[str] | DataFrame = C.LABELS,
                   tag_col: str = "tag", id_col: str = "label_id") -> DataFrame:
     """Tag -> id; an unknown tag raises.  A Python list becomes an in-plan map
-    literal (no join); a DataFrame vocabulary is joined (size-checked
-    broadcast)."""
+    literal (no join); a DataFrame vocabulary is joined (the optimizer picks the
+    join by measured size)."""
     if isinstance(labels, DataFrame):
-        lab = checked_broadcast(labels.select(F.col("tag").alias("__t"), F.col("id").alias("__id")))
+        lab = labels.select(F.col("tag").alias("__t"), F.col("id").alias("__id"))
         out = tokens_df.join(lab, tokens_df[tag_col] == lab["__t"], "left").drop("__t")
         idc = F.col("__id")
     else:
@@ -69,13 +49,22 @@ def encode_labels(tokens_df: DataFrame, labels: Sequence[str] | DataFrame = C.LA
 
 
 def decode_labels(df: DataFrame, labels: Sequence[str] | DataFrame = C.LABELS,
-                  id_col: str = "label_id", tag_col: str = "tag") -> DataFrame:
-    """Id -> tag (unknown id gives null)."""
+                  id_col: str = "label_id", tag_col: str = "tag", unknown: str = "raise") -> DataFrame:
+    """Id -> tag; an unknown id raises, or gives null with ``unknown="null"``."""
+    if unknown not in ("raise", "null"):
+        raise ValueError("unknown must be 'raise' or 'null'")
+
+    def checked(tag: Column) -> Column:
+        if unknown == "null":
+            return tag
+        return F.when(tag.isNull(), F.raise_error(F.concat(F.lit("unknown label id: "), F.coalesce(
+            F.col(id_col).cast("string"), F.lit("null")))).cast("string")).otherwise(tag)
+
     if isinstance(labels, DataFrame):
-        lab = checked_broadcast(labels.select(F.col("id").alias("__id"), F.col("tag").alias("__t")))
+        lab = labels.select(F.col("id").alias("__id"), F.col("tag").alias("__t"))
         return (df.join(lab, df[id_col] == lab["__id"], "left").drop("__id")
-                .withColumnRenamed("__t", tag_col))
-    return df.withColumn(tag_col, F.try_element_at(_map_literal(labels, inverse=True), F.col(id_col).cast("int")))
+                .withColumn(tag_col, checked(F.col("__t"))).drop("__t"))
+    return df.withColumn(tag_col, checked(F.try_element_at(_map_literal(labels, inverse=True), F.col(id_col).cast("int"))))
 
 
 def begin_to_inside(labels_df: DataFrame) -> DataFrame:
@@ -84,7 +73,7 @@ def begin_to_inside(labels_df: DataFrame) -> DataFrame:
     inside = labels_df.select(F.col("tag").alias("i_tag"), F.col("id").alias("i_id"))
     cand = labels_df.withColumn("want", F.when(F.col("tag").startswith("B-"),
                                                F.replace(F.col("tag"), F.lit("B-"), F.lit("I-"))))
-    return (cand.join(checked_broadcast(inside), F.col("want") == F.col("i_tag"), "left")
+    return (cand.join(inside), F.col("want") == F.col("i_tag"), "left"
             .select("id", "tag", F.coalesce(F.col("i_id"), F.col("id")).cast("int").alias("inside_id")))
 
 

@@ -92,7 +92,8 @@ def expand_pieces(sent_df: DataFrame, splitter: Callable[[Column], Column], toke
         F.concat(F.array(F.lit(cls)), flat, F.array(F.lit(sep))).alias("pieces"),
         F.concat(F.array(F.lit(0)), starts, F.array(F.lit(0))).alias("token_starts"),
         counts.alias("word_piece_counts"),
-        F.transform(F.col(tags_col), lambda t: F.element_at(lab, t)).alias("labels"),
+        F.transform(F.col(tags_col), lambda t: F.coalesce(F.try_element_at(lab, t), F.raise_error(
+            F.concat(F.lit("unknown tag: "), F.coalesce(t, F.lit("null")))).cast("int"))).alias("labels"),
     )
 
 
@@ -143,15 +144,20 @@ def pad_batches(enc_df: DataFrame, batch_col: str = "batch_id", ids_col: str = "
                 ) -> DataFrame:
     """Right-pad each row to the longest row of its batch (ids with
     ``pad_id``, starts with 0, word-axis labels with ``label_pad``), mask =
-    id != pad, then truncate every array to ``max_len``.  ``multiple_of``
-    rounds the piece width up.  A batch is a handful of rows, so the window
+    id != pad; every array is cut to ``max_len`` first, and labels to the words
+    whose first piece is kept, so starts and labels stay in step.
+    ``multiple_of`` rounds the piece width up (not beyond ``max_len``).  A batch is a handful of rows, so the window
     per batch is small."""
     w = Window.partitionBy(batch_col)
+    n_kept = F.aggregate(F.col(starts_col), F.lit(0), lambda a, x: a + x)
+    enc_df = (enc_df.withColumn(ids_col, F.slice(ids_col, 1, max_len)).withColumn(starts_col, F.slice(starts_col, 1, max_len)))
+    enc_df = enc_df.withColumn("__kept", n_kept)
+    enc_df = enc_df.withColumn(labels_col, F.slice(F.col(labels_col), F.lit(1), F.col("__kept"))).drop("__kept")
     width = F.max(F.size(ids_col)).over(w)
     lwidth = F.max(F.size(labels_col)).over(w)
     if multiple_of:
         m = int(multiple_of)
-        width = F.ceil(width / m) * m
+        width = F.least(F.ceil(width / m) * m, F.lit(max_len))
     d = enc_df.withColumn("__w", width.cast("int")).withColumn("__lw", lwidth.cast("int"))
 
     def pad(c: str, val: int, wcol: str) -> Column:
@@ -159,12 +165,11 @@ def pad_batches(enc_df: DataFrame, batch_col: str = "batch_id", ids_col: str = "
 
     ids = pad(ids_col, pad_id, "__w")
     d = d.withColumn("__ids", ids)
-    return (d.withColumn(ids_col, F.slice("__ids", 1, max_len))
-            .withColumn("attention_mask", F.slice(F.transform("__ids", lambda x: F.when(x != F.lit(pad_id), 1)
-                                                               .otherwise(0)), 1, max_len))
-            .withColumn(starts_col, F.slice(pad(starts_col, 0, "__w"), 1, max_len))
-            .withColumn(labels_col, F.slice(pad(labels_col, label_pad, "__lw"), 1, max_len))
-            .withColumn("width", F.least(F.col("__w"), F.lit(max_len)))
+    return (d.withColumn(ids_col, F.col("__ids"))
+            .withColumn("attention_mask", F.transform("__ids", lambda x: F.when(x != F.lit(pad_id), 1).otherwise(0)))
+            .withColumn(starts_col, pad(starts_col, 0, "__w"))
+            .withColumn(labels_col, pad(labels_col, label_pad, "__lw"))
+            .withColumn("width", F.col("__w"))
             .drop("__ids", "__w", "__lw"))
 
 
@@ -181,7 +186,7 @@ def _clean_pieces(pieces: Column, tags: Column, cont_prefix: str, specials: Sequ
                  lambda x: ~x["p"].isin(sp) if sp else F.lit(True))
     plen = len(cont_prefix)
     clean = F.transform(z, lambda x: F.struct(
-        F.when(x["p"].startswith(cont_prefix), F.substring(x["p"], plen + 1, 1 << 30)).otherwise(x["p"]).alias("p"),
+        F.when(x["p"].startswith(cont_prefix), F.substring(x["p"], F.lit(plen + 1), F.length(x["p"]))).otherwise(x["p"]).alias("p"),
         x["t"].alias("t")))
     # empty pieces are dropped so every offset has at most one starting piece
     return F.filter(clean, lambda x: x["p"] != "")

@@ -8,12 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave import constants as C
-from tagweave.operators.labels import checked_broadcast
-
-# IN-lists up to this size stay literal (an in-plan hash set); bigger venue
-# tables are joined with a size-checked broadcast semi join
-INLIST_MAX = 1000
-
 
 def project_papers(papers_df: DataFrame) -> DataFrame:
     """Keep url and title; wrap the abstract in an array; content = text of
@@ -25,16 +19,13 @@ def project_papers(papers_df: DataFrame) -> DataFrame:
 
 def filter_venues(bib_df: DataFrame, venues: Sequence[str] | DataFrame = tuple(C.TARGET_VENUES),
                   venue_col: str = "venue") -> DataFrame:
-    """Keep records whose venue is in the list; a null venue is dropped."""
-    if isinstance(venues, DataFrame):
-        v = checked_broadcast(venues.select(F.col(venues.columns[0]).alias("__v")).distinct())
-        return bib_df.join(v, bib_df[venue_col] == v["__v"], "left_semi")
-    vs = list(venues)
-    if len(vs) > INLIST_MAX:
-        spark = bib_df.sparkSession
-        v = spark.createDataFrame([(x,) for x in vs], "__v string")
-        return bib_df.join(F.broadcast(v), bib_df[venue_col] == v["__v"], "left_semi")
-    return bib_df.where(F.col(venue_col).isin(vs))
+    """Keep records whose venue is in the list or table; a null venue is
+    dropped.  One semi join for both forms; the optimizer picks its kind by
+    measured size."""
+    if not isinstance(venues, DataFrame):
+        venues = bib_df.sparkSession.createDataFrame([(x,) for x in venues], "__v string")
+    v = venues.select(F.col(venues.columns[0]).alias("__v")).distinct()
+    return bib_df.join(v, bib_df[venue_col] == v["__v"], "left_semi")
 
 
 def mask_ignored(df: DataFrame, pred_col: str = "preds", label_col: str = "labels",

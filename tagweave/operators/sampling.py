@@ -107,22 +107,20 @@ def group_running_max_before(df: DataFrame, group_cols: Sequence[str], order: Se
     return out.withColumn(out_col, best).drop("__mid", "__pid", "__before", "__in")
 
 
-def file_order_ids(df: DataFrame, id_col: str = "id", file_col: str = "__file", block_col: str = "__blk",
-                   row_col: str = "__mono", sub_cols: Sequence[str] = ()) -> DataFrame:
-    """0-based ordinal in file order for rows read from files, where
-    ``(file, block start)`` identifies a file split and ``row`` increases
-    inside it (a scan-time ``monotonically_increasing_id``; deterministic
-    because split planning is).  Rows are numbered inside their split by a
-    window partitioned on the split (a task never holds more than one split),
-    and offsets come from a prefix sum over the per-split counts (one row per
-    split, broadcast).  No global sort, no sampling, no checkpoint."""
+def file_order_ids(df: DataFrame, id_col: str = "id", file_col: str = "__file", block_col: str = "__blk") -> DataFrame:
+    """0-based ordinal in file order for rows that come from a file scan by
+    narrow steps only, where ``(file, block start)`` names a file split.  A
+    split's rows stand together in one partition, so their scan-time ids
+    (``monotonically_increasing_id``; deterministic because split planning is)
+    are consecutive: id = rows of earlier splits + row id - first row id.  Only
+    the table of splits (one row each) is aggregated, ordered and joined; the
+    payload is not sorted, sampled or written."""
     split = [file_col, block_col]
-    w = Window.partitionBy(*split).orderBy(row_col, *sub_cols)
-    counts = df.groupBy(*split).agg(F.count(F.lit(1)).alias("__n"))
-    offs = counts.select(*split, (F.sum("__n").over(Window.orderBy(*split)) - F.col("__n")).alias("__off"))
-    d = df.withColumn("__local", F.row_number().over(w) - 1)
-    return (d.join(F.broadcast(offs), split)
-            .withColumn(id_col, F.col("__off") + F.col("__local")).drop("__off", "__local"))
+    d = df.withColumn("__mid", F.monotonically_increasing_id())
+    per = d.groupBy(*split).agg(F.min("__mid").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    offs = per.select(*split, "__first", (F.sum("__n").over(Window.orderBy(*split)) - F.col("__n")).alias("__off"))
+    return (d.join(offs, split).withColumn(id_col, F.col("__off") + F.col("__mid") - F.col("__first"))
+            .drop("__off", "__mid", "__first"))
 
 
 def sequential_batches(df: DataFrame, order: str | Sequence[str | Column], size: int,
@@ -158,9 +156,5 @@ def pick_nth(df: DataFrame, arr_col: str, n: int, out_col: str = "picked") -> Da
     return df.withColumn(out_col, F.get(F.col(arr_col), int(n)))
 
 
-def batch_sizes(df: DataFrame, batch_col: str = "batch_id") -> DataFrame:
-    return df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("n"))
-
-
 __all__ = ["dense_ids", "sequential_batches", "shuffled_batches", "sample_n", "take_first_n", "pick_nth",
-           "batch_sizes", "_keys"]
+           "file_order_ids", "_keys"]

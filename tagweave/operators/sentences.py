@@ -70,7 +70,9 @@ def apply_merge_overrides(sentences_df: DataFrame, indices: Sequence[int],
     earlier merges, so the k-th index points at original ordinal i_k + k.
     Output ``(line_id, order..., sentence)`` with ``line_id`` the 0-based
     position after all merges."""
-    idx = sorted(int(i) for i in indices)
+    idx = [int(i) for i in indices]
+    if idx != sorted(idx):
+        raise ValueError("indices must be given in non-decreasing order (each counts positions after earlier merges)")
     orig = [i + k for k, i in enumerate(idx)]
     d = dense_ids(sentences_df.select(*order, text_col), list(order), "__g")
     lit_targets = F.array(*[F.lit(o + 1) for o in orig]) if orig else F.array().cast("array<long>")

@@ -7,6 +7,7 @@ column they were computed on.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,8 +82,12 @@ def regex_spans(df: DataFrame, text_col: str, pattern: str, keys: str | Sequence
 
     ``prefilter`` is a cheap regex a text must contain before the costly scan
     runs (e.g. ``\\d`` for number patterns).  No shuffle: one row in, its spans
-    out."""
+    out.  The definition restarts on the rest of the text after each match, so
+    what stands before a match must not matter: a pattern with a lookbehind,
+    an anchor or a word boundary raises unless it carries ``\\G`` itself."""
     ks = _keys(keys)
+    if "\\G" not in pattern and re.search(r"\(\?<[=!]|(?<!\\)\\[bBA]|(?<![\\\[])\^", pattern):
+        raise ValueError("the pattern looks at the text before a match; write it so that it can restart after each match")
     src = df.select(*ks, F.col(text_col).alias("__text"))
     if prefilter is not None:
         src = src.where(F.col("__text").rlike(prefilter))
@@ -291,14 +296,14 @@ def bio_to_spans(tokens_df: DataFrame, sent_col: str | Sequence[str] = "sent_id"
 # lexicon match (n-gram equality, longest match wins, left to right)
 # --------------------------------------------------------------------------
 def lexicon_match(tokens_df: DataFrame, lexicon_df: DataFrame, label: str,
-                  keys: str | Sequence[str] = "doc_id", name_col: str = "name", max_words: int = 8,
-                  broadcast_max_rows: int = 1_000_000) -> DataFrame:
+                  keys: str | Sequence[str] = "doc_id", name_col: str = "name", max_words: int | None = None) -> DataFrame:
     """Pre-annotate lexicon names as token spans ``(keys, start, end, label)``
     (token positions, ``end`` exclusive).
 
     Candidates are n-grams (1..max_words tokens) joined by a space and
-    lower-cased, equi-joined to the lower-cased lexicon.  A lexicon fits in a
-    broadcast only behind a row-count check; larger ones use a shuffle join.
+    lower-cased, equi-joined to the lower-cased lexicon (no hint: the optimizer
+    picks the join by measured size).  ``max_words`` is the longest name's
+    length unless given; a lexicon with a longer name than given raises.
     Overlaps are resolved left to right, longest first: a match is kept when
     it starts after the end of the last kept match, decided by a running max
     over matches ordered by (start, -length) whose start is not covered by an
@@ -307,22 +312,21 @@ def lexicon_match(tokens_df: DataFrame, lexicon_df: DataFrame, label: str,
     lex = (lexicon_df.select(F.lower(F.col(name_col)).alias("gram"))
            .where(F.col("gram") != "").distinct()
            .withColumn("n_words", F.size(F.split("gram", " ", -1))))
-    lex = lex.where(F.col("n_words") <= max_words)
+    longest = lex.agg(F.max("n_words")).first()[0] or 1
+    if max_words is not None and longest > max_words:
+        raise ValueError(f"the lexicon has a name of {longest} words; max_words is {max_words}")
+    max_words = longest
     w = Window.partitionBy(*ks).orderBy("pos")
     grams = tokens_df.select(*ks, "pos", F.lower(F.col("token")).alias("tok"))
     cols = [F.col("tok")] + [F.lead("tok", k).over(w) for k in range(1, max_words)]
     grams = grams.select(*ks, "pos", F.array(*cols).alias("ahead"))
     # only positions whose word can start a lexicon name expand to n-grams
     firsts = lex.select(F.element_at(F.split("gram", " ", -1), 1).alias("tok")).distinct()
-    n_lex = lex.count()
-    small = n_lex <= broadcast_max_rows
-    lex_side = F.broadcast(lex) if small else lex
-    firsts_side = F.broadcast(firsts) if small else firsts
-    grams = grams.withColumn("tok", F.col("ahead")[0]).join(firsts_side, "tok", "left_semi")
+    grams = grams.withColumn("tok", F.col("ahead")[0]).join(firsts, "tok", "left_semi")
     cand = grams.select(*ks, "pos", F.explode(F.sequence(F.lit(1), F.lit(max_words))).alias("n"), "ahead")
     cand = (cand.where(F.get(F.col("ahead"), F.col("n") - 1).isNotNull())
             .select(*ks, "pos", "n", F.array_join(F.slice("ahead", 1, F.col("n")), " ").alias("gram")))
-    hits = cand.join(lex_side.select("gram", "n_words"), "gram", "inner").where(F.col("n") == F.col("n_words"))
+    hits = cand.join(lex.select("gram", "n_words"), "gram", "inner").where(F.col("n") == F.col("n_words"))
     # longest match per start position, then greedy left to right
     best = (hits.groupBy(*ks, "pos").agg(F.max("n").alias("n"))
             .withColumn("end", F.col("pos") + F.col("n")))

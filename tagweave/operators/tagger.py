@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.operators.decode import viterbi_decode
-from tagweave.operators.labels import checked_broadcast
 from tagweave.operators.spans import _keys, tokenize_whitespace
 from tagweave.session import cut_lineage
 
 KINDS = ("start", "end", "trans", "emit")
+MAX_TAGS = 1_000
 
 
 def tag_counts(tokens_df: DataFrame, sent_col: str = "sent_id", pos_col: str = "pos", token_col: str = "token",
@@ -88,9 +88,16 @@ def merge_tag_models(base_df: DataFrame, new_df: DataFrame, exclude: Sequence[st
 
 
 def model_tags(model_df: DataFrame) -> list[str]:
-    """The tag vocabulary (sorted).  Collected: its size is the number of
-    tags, which does not grow with the data."""
-    return [r[0] for r in model_df.where(F.col("kind") == "emit_unk").select("a").distinct().orderBy("a").collect()]
+    """The tag vocabulary (sorted), from every kind of row, so a tag that only
+    an earlier model saw stays known.  Collected within ``MAX_TAGS``."""
+    named = F.when(F.col("kind").isin("emit_unk", "emit", "end", "trans", "trans_unk"), F.array("a")).otherwise(F.array().cast("array<string>"))
+    opened = F.when(F.col("kind").isin("start", "trans"), F.array("b")).otherwise(F.array().cast("array<string>"))
+    tags = model_df.select(F.explode(F.concat(named, opened)).alias("a")).where(F.col("a") != "").distinct()
+    # more than this many tags is not a tag set: its squared transition table would not fit
+    found = [r[0] for r in tags.orderBy("a").limit(MAX_TAGS + 1).collect()]
+    if len(found) > MAX_TAGS:
+        raise ValueError(f"the model has more than {MAX_TAGS} tags")
+    return found
 
 
 def _small_matrices(model_df: DataFrame, tags: list[str]):
@@ -109,10 +116,9 @@ def _small_matrices(model_df: DataFrame, tags: list[str]):
 
 
 def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text",
-                 keys: str | Sequence[str] = "sent_id", broadcast_max_rows: int = 2_000_000) -> DataFrame:
+                 keys: str | Sequence[str] = "sent_id") -> DataFrame:
     """Tag raw lines: one tag per given word.  Words are looked up in the
-    emission table (one row per word with K scores; broadcast only when its
-    row count is within ``broadcast_max_rows``), emissions are gathered per
+    emission table (one row per word with K scores; no join hint), emissions are gathered per
     sentence (bounded by the sentence length) and decoded with Viterbi."""
     ks = _keys(keys)
     # the trained model is read three times below (tag list, small matrices,
@@ -131,8 +137,7 @@ def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text
     unk_row = unk_map.select(F.transform(tag_arr, lambda t: F.element_at(F.col("__u"), t)).alias("unk_em"))
     toks = tokenize_whitespace(lines_df, text_col, ks)
     toks = toks.withColumn("w", F.lower("token"))
-    side = checked_broadcast(wide, broadcast_max_rows)
-    j = toks.join(side, "w", "left").crossJoin(F.broadcast(unk_row))
+    j = toks.join(wide, "w", "left").crossJoin(F.broadcast(unk_row))
     j = j.withColumn("em", F.coalesce(F.col("em"), F.col("unk_em")))
     sent = (j.groupBy(*ks).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "em"))).alias("xs"))
             .select(*ks, F.transform("xs", lambda x: x["em"]).alias("emissions"),

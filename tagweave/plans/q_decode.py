@@ -1,5 +1,6 @@
 """Queries: linear-chain decoding and sequence log-likelihood over per-token
-scores taken from ``embeddings`` (K = 4 tags, sentences of 8 vectors)."""
+scores taken from ``embeddings`` (10 tags, as many as there are labels;
+sentences of 8 vectors)."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from tagweave.operators import decode as D
 from tagweave.plans.catalog import register
 from tagweave.plans.fixtures import table
 
-K = 4
+K = 10
 SENT = 8
 # transition / start / end scores from a rule (not data)
 TRANS = [[((i * 3 + j * 5) % 7 - 3) / 4.0 for j in range(K)] for i in range(K)]

@@ -64,6 +64,6 @@ def q_annotate_stream(spark, sf_dir):
     in_dir = scratch_path(spark, "stream_in")
     nd = normalized_documents(spark, sf_dir)
     nd.select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.col("text")).alias("value")) \
-      .repartition(4).write.text(in_dir)
+      .write.text(in_dir)
     return annotate_stream(spark, in_dir, scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt"),
                            max_files_per_trigger=2)

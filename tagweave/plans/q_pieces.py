@@ -12,7 +12,7 @@ from tagweave.plans.q_labels import LABELS_SQL_LIST
 from tagweave.plans.q_tokens import TAGGED_SQL
 
 WIDTH = 4
-MAX_LEN = 64
+MAX_LEN = 512
 
 # per piece: (sent_id, pos, j, piece, label, is_first)
 PIECES_SQL = f"""{TAGGED_SQL},
@@ -61,12 +61,14 @@ enc as (select sent_id, [101] || list(1000 + length(piece) order by k) || [102]
                list(lab order by k) filter (where j = 1) as labs
         from pn group by sent_id),
 b as (select *, (row_number() over (order by sent_id) - 1) // 8 as batch_id from enc),
-w as (select *, (ceil(max(len(ids)) over (partition by batch_id) / 8) * 8)::INTEGER as wd,
-             max(len(labs)) over (partition by batch_id) as lw from b),
-p as (select sent_id, batch_id, least(wd, {MAX_LEN})::INTEGER as width,
-             (ids || list_transform(range(wd - len(ids)), lambda x: 0))[1:{MAX_LEN}] as pids,
-             (st || list_transform(range(wd - len(st)), lambda x: 0))[1:{MAX_LEN}] as pst,
-             (labs || list_transform(range(lw - len(labs)), lambda x: -1))[1:{MAX_LEN}] as plab from w)
+cut as (select sent_id, batch_id, ids[1:{MAX_LEN}] as ids, st[1:{MAX_LEN}] as st,
+               labs[1:list_sum(st[1:{MAX_LEN}])::INTEGER] as labs from b),
+w as (select *, least(ceil(max(len(ids)) over (partition by batch_id) / 8) * 8, {MAX_LEN})::INTEGER as wd,
+             max(len(labs)) over (partition by batch_id) as lw from cut),
+p as (select sent_id, batch_id, wd as width,
+             (ids || list_transform(range(wd - len(ids)), lambda x: 0)) as pids,
+             (st || list_transform(range(wd - len(st)), lambda x: 0)) as pst,
+             (labs || list_transform(range(lw - len(labs)), lambda x: -1)) as plab from w)
 select sent_id, batch_id, width, array_to_string(pids, ',') as input_ids,
        array_to_string(list_transform(pids, lambda x: case when x <> 0 then 1 else 0 end), ',') as attention_mask,
        array_to_string(pst, ',') as token_starts, array_to_string(plab, ',') as labels

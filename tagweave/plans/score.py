@@ -10,13 +10,14 @@ from tagweave.sources.conll import read_conll_strict
 
 
 def evaluate_files(spark: SparkSession, gold_path: str, pred_path: str, sep: str = "\t") -> DataFrame:
-    """Read both files (strict dialect), require the same token on every
+    """Read both files (strict dialect, but with the last block kept even if no
+    blank line closes it, so every token is scored), require the same token on every
     line, and return the micro scores plus token accuracy.  Lines are
     matched on (sentence id, position) -- both files are numbered by the same
     file-order rule -- with one full outer join; a missing or different token
     raises inside that same pass (no separate checking job)."""
-    gold = read_conll_strict(spark, gold_path, sep).where(F.col("pos").isNotNull())
-    pred = read_conll_strict(spark, pred_path, sep).where(F.col("pos").isNotNull())
+    gold = read_conll_strict(spark, gold_path, sep, keep_last=True).where(F.col("pos").isNotNull())
+    pred = read_conll_strict(spark, pred_path, sep, keep_last=True).where(F.col("pos").isNotNull())
     j = (gold.select("sent_id", "pos", F.col("token").alias("__tg"), F.col("tag").alias("gold"))
          .join(pred.select("sent_id", "pos", F.col("token").alias("__tp"), F.col("tag").alias("pred")),
                ["sent_id", "pos"], "full_outer"))

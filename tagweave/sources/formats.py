@@ -10,24 +10,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.text import py_strip, split_words
-from tagweave.operators.sampling import dense_ids
+from tagweave.operators.sampling import dense_ids, file_order_ids
 
 
 # ---------------------------------------------------------------------------
 # BibTeX
 # ---------------------------------------------------------------------------
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """Multi-line records ending at a line ``}`` -> ``(venue, year, url,
-    src_pos)``.  A field line is ``key = value``; the value is the last
+    """Multi-line records ending at a line that strips to ``}`` -> ``(venue,
+    year, url, src_pos)``.  Files are cut where a line begins with ``@`` (the
+    start of an entry), then at closing lines inside the row, so neither an
+    indented brace nor a line that goes on after one loses a record; what
+    stands after the last closing line and holds a field is a record too.  A field line is ``key = value``; the value is the last
     `` = `` part with ``"`` and ``,`` stripped from both ends; the last
     occurrence of a key wins.  ``year`` is an int (null when missing or not a
     number), ``url`` gets ``.pdf`` appended.  ``src_pos`` orders records in
     file order.  Each record is parsed in-row: no shuffle."""
-    recs = (spark.read.option("lineSep", "\n}").text(path)
-            .select("value", F.struct(F.col("_metadata.file_path").alias("file"),
+    recs = (spark.read.option("lineSep", "\n@").text(path)
+            .select(F.explode(F.split("value", r"(?mU)^\s*\}\s*$", -1)).alias("value"), F.struct(F.col("_metadata.file_path").alias("file"),
                                       F.col("_metadata.file_block_start").alias("blk"),
                                       F.monotonically_increasing_id().alias("row")).alias("src_pos")))
-    recs = recs.where(py_strip(F.col("value")) != "")
+    recs = recs.where(F.col("value").contains(" = "))
     lines = F.transform(F.split("value", "\r?\n", -1),
                         lambda l: F.split(py_strip(l), " = ", -1))
 
@@ -121,9 +124,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines in file order as ``(line_id, value)`` (file-order ordinals)."""
     raw = (spark.read.text(path)
            .select("value", F.col("_metadata.file_path").alias("__file"),
-                   F.col("_metadata.file_block_start").alias("__blk"),
-                   F.monotonically_increasing_id().alias("__mono")))
-    return dense_ids(raw, ["__file", "__blk", "__mono"], "line_id").select("line_id", "value")
+                   F.col("_metadata.file_block_start").alias("__blk")))
+    return file_order_ids(raw, "line_id").select("line_id", "value")
 
 
 def read_paragraph_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -12,10 +12,32 @@ from tagweave.functions.text import py_strip
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
+def _numeric_entities(t: Column) -> Column:
+    """``&#233;`` and ``&#xe9;`` decoded; numbers outside Unicode stay.
+    ``&#38;`` becomes ``&amp;``, which is decoded last."""
+    number = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+    def one(m: Column) -> Column:
+        digits = F.regexp_replace(m, r"&#[xX]?|;", "")
+        code = F.when(m.rlike("[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        # UTF-16 code units, two above the basic plane
+        high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)
+        unit = lambda u: F.lpad(F.hex(u.cast("long")), 4, "0")
+        chars = F.when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+        return (F.when(code == 38, F.lit("&amp;"))
+                .when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(chars), "UTF-16BE"))
+                .otherwise(m))
+
+    parts = F.split(t, number, -1)
+    found = F.concat(F.transform(F.regexp_extract_all(t, F.lit(number), 0), one), F.array(F.lit("")))
+    return F.when(t.rlike(number), F.array_join(F.zip_with(parts, found, lambda p, m: F.concat(p, m)), "")).otherwise(t)
+
+
 def html_text(c: Column) -> Column:
     """Text content of an HTML fragment: inner tags removed, common entities
     decoded, stripped."""
     t = F.regexp_replace(c, r"<[^>]*>", "")
+    t = _numeric_entities(t)
     for ent, ch in ENTITIES:
         t = F.replace(t, F.lit(ent), F.lit(ch))
     return py_strip(t)

@@ -1,4 +1,5 @@
 import os
+import re
 import sys
 
 import duckdb
@@ -19,8 +20,10 @@ def test_entry_smoke(spark):
 def test_registry_consistent():
     qs, os_ = E.queries(), E.oracle_sql()
     assert set(os_) <= set(qs)
-    assert set(qs) - set(os_) == {"predict_tags"}
-    assert len(qs) >= 74
+    # the training-data queries are optional and have tests of their own
+    core = {n for n in qs if not re.match(r"op\d+_|pipeline$", n)}
+    assert core - set(os_) == {"predict_tags"}
+    assert len(core) >= 74
 
 
 def _norm(v):
