@@ -29,3 +29,26 @@ SELECT doc_id, item_id, arg_max(shift, n_equal * 1000000000 - shift)::INT AS doc
 FROM f WHERE best >= CASE WHEN n < 13 THEN n ELSE 11 END
 GROUP BY doc_id, item_id
 """
+
+# Distinct sets, all pairs that share a shingle, then the transitive closure.
+OP9_JACCARD = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS sh
+  FROM d
+), k AS (SELECT doc_id, len(sh) AS n, md5(array_to_string(sh, '|')) AS h, sh FROM s
+), c AS (SELECT h, min(doc_id) AS cid, any_value(n) AS n, any_value(sh) AS sh FROM k WHERE n > 0 GROUP BY h
+), e AS (SELECT cid, n, unnest(sh) AS g FROM c
+), p AS (
+  SELECT a.cid AS x, b.cid AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS o
+  FROM e a JOIN e b ON a.g = b.g AND a.cid < b.cid AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.cid, b.cid
+), l AS (SELECT x, y FROM p WHERE 100 * o >= 90 * (nx + ny - o)
+), both_ways AS (SELECT x, y FROM l UNION SELECT y, x FROM l
+), r AS (SELECT cid AS x, cid AS y FROM c UNION SELECT r.x, b.y FROM r JOIN both_ways b ON r.y = b.x
+), m AS (SELECT x AS cid, min(y) AS component_id FROM r GROUP BY x)
+SELECT k.doc_id, k.n::BIGINT AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id
+FROM k LEFT JOIN c ON c.h = k.h AND k.n > 0 LEFT JOIN m ON m.cid = c.cid
+"""

@@ -132,7 +132,7 @@ QUERIES: dict[str, QueryFn] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op8_leaks": oracles_sql.OP8_LEAKS}
+ORACLES: dict[str, str] = {"op8_leaks": oracles_sql.OP8_LEAKS, "op9_jaccard": oracles_sql.OP9_JACCARD}
 
 
 def queries() -> dict[str, QueryFn]:
