@@ -119,15 +119,17 @@ def _viterbi_batch(ems: list[np.ndarray], trans: np.ndarray, start: np.ndarray,
         score = np.take_along_axis(cand, bp[:, None, :], axis=1)[:, 0, :] + E[:m, t, :]
         ending = slen[:m] == t + 1
         final[:m][ending] = score[ending] + end
+    # trace all rows back together: a row joins at its own last step
+    state = np.argmax(final, axis=1)
+    path = np.zeros((n, T_max), dtype=np.int32)
+    for t in range(T_max - 1, -1, -1):
+        m = int(np.searchsorted(-slen, -t, side="left"))
+        path[:m, t] = state[:m]
+        if t:
+            state[:m] = back[np.arange(m), t, state[:m]]
     out: list[np.ndarray] = [None] * n  # type: ignore[list-item]
-    best = np.argmax(final, axis=1)
     for r in range(n):
-        L = int(slen[r])
-        path = np.empty(L, dtype=np.int32)
-        path[L - 1] = best[r]
-        for t in range(L - 1, 0, -1):
-            path[t - 1] = back[r, t, path[t]]
-        out[order[r]] = path
+        out[order[r]] = path[r, :int(slen[r])]
     return out
 
 
@@ -146,6 +148,8 @@ def _make_viterbi_udf(transitions, start, end, max_batch_cells: int = 4_000_000)
         flat = np.asarray(inner.values.fill_null(0.0), dtype=np.float64) if len(inner.values) else np.zeros(0)
         valid = np.asarray(em_col.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
         rows = [r for r in range(len(em_col)) if valid[r] and outer_off[r + 1] > outer_off[r]]
+        # rows of like length together, so a block is padded little
+        rows.sort(key=lambda r: int(outer_off[r + 1] - outer_off[r]))
         ems = []
         for r in rows:
             a, b = int(outer_off[r]), int(outer_off[r + 1])
@@ -182,8 +186,3 @@ def viterbi_decode(df: DataFrame, emissions_col: str, transitions, start, end, o
     T x K), a K x K transition matrix, and start/end scores."""
     udf = _make_viterbi_udf(transitions, start, end)
     return df.withColumn(out_col, udf(F.col(emissions_col)))
-
-
-def viterbi_score(emissions: Column, path: Column, transitions, start, end) -> Column:
-    """Score of a decoded path (for checks: it is >= any other path)."""
-    return path_score(emissions, path, transitions, start, end)

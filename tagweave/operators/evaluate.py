@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.operators.decode import log_sum_exp_online
 from tagweave.operators.spans import _keys, chunk_flags, entity_type
 from tagweave.session import cut_lineage
 
@@ -171,9 +172,8 @@ def argmax_decode(df: DataFrame, logits_col: str = "logits", out_col: str = "pre
 
 
 def log_sum_exp(scores: Column) -> Column:
-    """Stable log(sum(exp(x))) over an array."""
-    m = F.array_max(scores)
-    return m + F.log(F.aggregate(scores, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x - m)))
+    """Stable log(sum(exp(x))) over an array (one pass; see decode)."""
+    return log_sum_exp_online(scores)
 
 
 def token_cross_entropy(logits: Column, label: Column) -> Column:
