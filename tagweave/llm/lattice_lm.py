@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.llm.bounded import commonest
 from tagweave.llm.token_counts import read_model_file
 
 FREQUENT_WORDS = 300_000
@@ -182,9 +183,9 @@ def score_documents(docs: DataFrame, train: Column, model_file: str, doc_id: str
     n_train, v_train = seen.n + n_texts, seen.v + (n_texts > 0)
     denominator = float(n_train + v_train + 1)
     # the commonest words, a bounded list
-    cut = words.orderBy(F.desc("c"), "word").limit(FREQUENT_WORDS).collect()
-    frequent = {bytes(r.word): math.log10((r.c + 1) / denominator) for r in cut}
-    complete = len(cut) == seen.v
+    cut = commonest(words, "c", FREQUENT_WORDS).toArrow()
+    frequent = {w: math.log10((c + 1) / denominator) for w, c in zip(cut.column("word").to_pylist(), cut.column("c").to_pylist())}
+    complete = len(frequent) == seen.v
     pieces = read_pieces(read_model_file(model_file))
     logp = fit_pieces(words, n_texts, pieces)
     state = spark.sparkContext.broadcast((frequent, pieces, logp))
