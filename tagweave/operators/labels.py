@@ -73,7 +73,7 @@ def begin_to_inside(labels_df: DataFrame) -> DataFrame:
     inside = labels_df.select(F.col("tag").alias("i_tag"), F.col("id").alias("i_id"))
     cand = labels_df.withColumn("want", F.when(F.col("tag").startswith("B-"),
                                                F.replace(F.col("tag"), F.lit("B-"), F.lit("I-"))))
-    return (cand.join(inside), F.col("want") == F.col("i_tag"), "left"
+    return (cand.join(inside, F.col("want") == F.col("i_tag"), "left")
             .select("id", "tag", F.coalesce(F.col("i_id"), F.col("id")).cast("int").alias("inside_id")))
 
 

@@ -158,3 +158,24 @@ def test_sampling_and_batches(spark):
     assert {r.k: r.batch_id for r in SA.sequential_batches(df, "k", 8).collect()} == {k: k // 8 for k in range(20)}
     sizes = sorted(r["count"] for r in SA.shuffled_batches(df, "k", 8).groupBy("batch_id").count().collect())
     assert sizes == [4, 8, 8]
+
+
+def test_begin_to_inside(spark):
+    lab = spark.createDataFrame([(0, "O"), (1, "B-X"), (2, "I-X"), (3, "B-Y")], "id int, tag string")
+    assert {r.id: r.inside_id for r in L.begin_to_inside(lab).collect()} == {0: 0, 1: 2, 2: 2, 3: 3}
+
+
+def test_viterbi_traces_unequal_lengths_together():
+    import itertools
+
+    import numpy as np
+
+    from tagweave.operators.decode import _viterbi_batch
+    rng = np.random.default_rng(2)
+    trans, start, end = rng.normal(size=(3, 3)), rng.normal(size=3), rng.normal(size=3)
+    ems = [rng.normal(size=(n, 3)) for n in (1, 4, 2, 5, 1, 3)]
+    for em, got in zip(ems, _viterbi_batch(ems, trans, start, end)):
+        def score(p):
+            return (start[p[0]] + end[p[-1]] + sum(em[t][k] for t, k in enumerate(p))
+                    + sum(trans[a][b] for a, b in zip(p, p[1:])))
+        assert list(got) == list(max(itertools.product(range(3), repeat=len(em)), key=score))
