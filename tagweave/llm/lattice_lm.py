@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm.bounded import commonest
+from tagweave.llm.store import stored
 from tagweave.llm.token_counts import read_model_file
 
 FREQUENT_WORDS = 300_000
@@ -177,7 +178,7 @@ def score_documents(docs: DataFrame, train: Column, model_file: str, doc_id: str
     row; counts and weights come from the rows for which ``train`` holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), train.alias("train"))
-    words = _word_counts(rows.filter("train")).checkpoint()
+    words = stored(_word_counts(rows.filter("train")), "lm-words")
     n_texts = rows.filter("train").count()
     seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, v_train = seen.n + n_texts, seen.v + (n_texts > 0)
@@ -238,7 +239,7 @@ def score_documents(docs: DataFrame, train: Column, model_file: str, doc_id: str
               .mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, "
                                "rare array<struct<word:binary,tf:bigint>>"))
     if not complete:
-        scored = scored.checkpoint()                # fixes the row numbers for the join below
+        scored = stored(scored, "lm-scored")        # fixes the row numbers for the join below
         rest = (scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
                 .join(words, "word", "left")
                 .groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"),

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm.bytehash import Rolling, finalize, runs
+from tagweave.llm.store import stored
 from tagweave.session import scratch_path
 
 LENGTH = 200
@@ -181,7 +182,7 @@ def _pack_runs(reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["k1", "k2", "__packed"])
 
     listed = reps.groupBy("k1", "k2").agg(F.collect_list(F.struct("akey", "lo", "n", "off", "twice")).alias("items"))
-    return listed.mapInArrow(run, "k1 long, k2 long, __packed binary").checkpoint()
+    return stored(listed.mapInArrow(run, "k1 long, k2 long, __packed binary"), "suffix-packed")
 
 
 def _cut_runs(docs: DataFrame, reps: DataFrame, text: str, length: int, windows: bool) -> DataFrame:
@@ -297,7 +298,7 @@ def _merge(stretches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["k1", "k2", "__packed"])
 
     listed = stretches.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("items"))
-    return listed.mapInArrow(run, "k1 long, k2 long, __packed binary").checkpoint()
+    return stored(listed.mapInArrow(run, "k1 long, k2 long, __packed binary"), "suffix-packed")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, batches: int = BATCHES,
@@ -309,13 +310,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ba
     index = SuffixIndex(spark, length=length)
     for b in range(batches):
         index.add(_run_rows(keyed.filter(F.pmod("k1", F.lit(batches)) == b), length))
-    found = _run_rows(keyed, length).join(index.matches(), ["akey", "h"]).checkpoint()
+    found = stored(_run_rows(keyed, length).join(index.matches(), ["akey", "h"]), "suffix-found")
 
     whole = found.filter("twice").select("k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
     # one text of each run whose anchor has other runs
-    reps = (found.filter("m > 1").groupBy("akey", "h")
+    reps = stored(found.filter("m > 1").groupBy("akey", "h")
             .agg(F.min(F.struct("k1", "k2", "lo", "n", "off")).alias("r"), F.first("twice").alias("twice"), F.first("m").alias("m"))
-            .select("akey", "r.*", "twice", "m").checkpoint())
+            .select("akey", "r.*", "twice", "m"), "suffix-reps")
     cold = _compare_cold(_cut_runs(docs, reps.filter(F.col("m") <= HOT), text, length, False), length)
     hot = _cut_runs(docs, reps.filter(F.col("m") > HOT), text, length, True)
     again = hot.groupBy("akey", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
