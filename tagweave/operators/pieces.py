@@ -49,12 +49,16 @@ class FixedWidthSplitter:
         m, w = self.MARK, self.width
         joined = F.concat(F.lit(m), F.array_join(tokens, m))
         pat = F.lit(f"{m}[^{m}]{{0,{w}}}|[^{m}]{{1,{w}}}")
+        # a word that holds the sentinel itself is cut word by word
+        plain = ~F.exists(tokens, lambda t: F.contains(t, F.lit(m)))
         raw = F.when(F.size(tokens) == 0, F.array().cast("array<string>")) \
                .otherwise(F.regexp_extract_all(joined, pat, 0))
         pieces = F.transform(raw, lambda p: F.when(p.startswith(m), F.substring(p, 2, w))
                              .otherwise(F.concat(F.lit(CONT), p)))
         starts = F.transform(raw, lambda p: F.when(p.startswith(m), F.lit(1)).otherwise(F.lit(0)))
-        return pieces, starts
+        words = F.transform(tokens, lambda t: self(t))
+        firsts = F.transform(words, lambda ps: F.transform(ps, lambda p, i: (i == 0).cast("int")))
+        return F.when(plain, pieces).otherwise(F.flatten(words)), F.when(plain, starts).otherwise(F.flatten(firsts))
 
 
 def fixed_width_splitter(width: int) -> FixedWidthSplitter:

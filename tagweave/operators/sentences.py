@@ -19,8 +19,6 @@ from tagweave.functions.text import py_strip
 from tagweave.operators.sampling import dense_ids, prefix_offsets
 from tagweave.operators.spans import _keys
 
-_SENT_BREAK = "\u0001"
-
 
 def split_sentences(df: DataFrame, text_col: str = "text", keys: str | Sequence[str] = "doc_id") -> DataFrame:
     """Paragraph -> sentences: break after ``.``, ``!`` or ``?`` followed by
@@ -28,8 +26,7 @@ def split_sentences(df: DataFrame, text_col: str = "text", keys: str | Sequence[
     sentence.  Output ``(keys..., ord, sentence)``; in-row, no shuffle."""
     ks = _keys(keys)
     t = py_strip(F.col(text_col))
-    marked = F.regexp_replace(t, r"([.!?])\s+", "$1" + _SENT_BREAK)
-    parts = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(marked, _SENT_BREAK, -1))
+    parts = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"(?<=[.!?])\s+", -1))
     return (df.select(*ks, F.posexplode(parts).alias("ord", "sentence"))
             .withColumn("ord", F.col("ord").cast("int")))
 
@@ -107,18 +104,20 @@ def merge_abbreviation_breaks(sentences_df: DataFrame, order: Sequence[str] = ("
                 other = other | c.endswith(s)
         return other, (c.endswith(ie) if ie in suffixes else F.lit(False))
 
-    d = dense_ids(sentences_df.select(*ks, text_col), ks, "__g")
+    # how a sentence ends is decided before any exchange: two booleans travel, not its text
+    other_end, ie_end = ends(F.col(text_col))
+    d = dense_ids(sentences_df.select(*ks, text_col, other_end.alias("__o"), ie_end.alias("__i")), ks, "__g")
     exc = F.array(*[F.lit(int(e)) for e in exceptions]) if exceptions else F.array().cast("array<long>")
     if within_paragraph:
         w = Window.partitionBy(ks[0]).orderBy(*ks[1:] or [ks[0]])
-        prev = F.lag(text_col).over(w)
-        d = d.withColumn("__prev", prev)
+        d = d.withColumn("__po", F.lag("__o").over(w)).withColumn("__pi", F.lag("__i").over(w))
     else:
-        prevs = d.select((F.col("__g") + 1).alias("__g"), F.col(text_col).alias("__prev"))
+        # only sentences that end so can merge the next one
+        prevs = d.where(F.col("__o") | F.col("__i")).select((F.col("__g") + 1).alias("__g"), F.col("__o").alias("__po"),
+                                                            F.col("__i").alias("__pi"))
         d = d.join(prevs, "__g", "left")
-    other, ie_end = ends(F.col("__prev"))
-    flag = F.col("__prev").isNotNull() & (other | (ie_end & ~F.array_contains(exc, F.col("__g"))))
-    d = d.withColumn("__flag", F.coalesce(flag, F.lit(False))).drop("__prev")
+    flag = F.col("__po") | (F.col("__pi") & ~F.array_contains(exc, F.col("__g")))
+    d = d.withColumn("__flag", F.coalesce(flag, F.lit(False))).drop("__po", "__pi", "__o", "__i")
     merged = _merge_flagged(d, "__g", text_col, "__flag", " ", ks)
     return merged.select(F.col("__g").alias("first_index"), *ks, text_col)
 

@@ -3,6 +3,8 @@ network fetch)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +45,40 @@ def html_text(c: Column) -> Column:
     return py_strip(t)
 
 
+def _container(html: Column, container: str) -> Column:
+    """Inside of the first matching element, with nested elements of its tag
+    counted: the start and end tags are walked with a running depth."""
+    name, _, cls = container.partition(".")
+    has_class = rf"""(?=[^>]*\sclass\s*=\s*["']?(?:[^"'>]*\s)?{re.escape(cls)}(?=[\s"'>]))""" if cls else ""
+    first = F.regexp_extract(html, rf"(?is)<({re.escape(name) if name else '[a-z][a-z0-9]*'})\b{has_class}[^>]*>(.*)$", 1)
+    rest = F.regexp_extract(html, rf"(?is)<(?:{re.escape(name) if name else '[a-z][a-z0-9]*'})\b{has_class}[^>]*>(.*)$", 1)
+    # the element's own tag is only known from the row, so all tags are cut out and compared
+    pieces = F.split(rest, r"(?=</?[a-zA-Z])", -1)
+    opens = lambda p: F.lower(F.regexp_extract(p, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1))
+    ends = lambda p: F.lower(F.regexp_extract(p, r"^</([a-zA-Z][a-zA-Z0-9]*)", 1))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept"))
+
+    def walk(tag: Column) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            depth = acc["depth"] + F.when(opens(p) == tag, 1).when(ends(p) == tag, -1).otherwise(0)
+            return F.when(acc["depth"] == 0, acc).otherwise(F.struct(
+                depth.alias("depth"), F.when(depth == 0, acc["kept"]).otherwise(acc["kept"] + 1).alias("kept")))
+        return F.aggregate(pieces, start, step, lambda acc: acc["kept"])
+
+    kept = F.transform(F.array(F.lower(first)), walk)[0]
+    return F.when(first != "", F.array_join(F.slice(pieces, F.lit(1), kept), "")).otherwise(F.lit(""))
+
+
 def extract_headings(pages_df: DataFrame, tag: str = "h1", key: str = "page_id", html_col: str = "html",
                      container: str | None = None) -> DataFrame:
     """Stripped text of every ``<tag>`` element, optionally only inside the
-    first ``<container ...>...</container>`` element.  Output ``(key, ord,
-    name)``; in-row regex extraction, no shuffle."""
+    first ``container`` element: a tag name, ``tag.class`` or ``.class``.  An
+    element ends at its own end tag (elements of the same tag may be nested);
+    without one it reaches the end of the page.  Output ``(key, ord, name)``;
+    in-row regex extraction, no shuffle."""
     html = F.col(html_col)
     if container:
-        html = F.regexp_extract(html, rf"(?s)<{container}\b[^>]*>(.*?)</{container}>", 1)
+        html = _container(html, container)
     found = F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), 1)
     return (pages_df.select(key, F.posexplode(found).alias("ord", "raw"))
             .select(key, F.col("ord").cast("int").alias("ord"), html_text(F.col("raw")).alias("name")))

@@ -179,3 +179,33 @@ def test_viterbi_traces_unequal_lengths_together():
             return (start[p[0]] + end[p[-1]] + sum(em[t][k] for t, k in enumerate(p))
                     + sum(trans[a][b] for a, b in zip(p, p[1:])))
         assert list(got) == list(max(itertools.product(range(3), repeat=len(em)), key=score))
+
+
+def test_marker_characters_in_texts(spark, tmp_path):
+    m = "\u0001"
+    df = spark.createDataFrame([(1, f"One{m}two. Three! Four")], "doc_id int, text string")
+    assert [r.sentence for r in SE.split_sentences(df).orderBy("ord").collect()] == [f"One{m}two.", "Three!", "Four"]
+    toks = spark.createDataFrame([([f"ab{m}cd", "efghi"], ["O", "B-" + "Task"])], "tokens array<string>, tags array<string>")
+    from tagweave import constants as C
+    tag = next(t for t in C.LABELS if t.startswith("B-"))
+    toks = toks.withColumn("tags", F.array(F.lit("O"), F.lit(tag)))
+    r = P.expand_pieces(toks, P.fixed_width_splitter(4)).first()
+    assert r.pieces == ["[CLS]", f"ab{m}c", "##d", "efgh", "##i", "[SEP]"] and r.token_starts == [0, 1, 0, 1, 0, 0]
+    p = write(tmp_path / "m.txt", f"a{m}b X\n\n{m} Y\nc Z\n")
+    assert [r.tokens for r in CO.read_conll_lenient(spark, p).orderBy("id").collect()] == [[f"a{m}b"], [m, "c"]]
+
+
+def test_abbreviation_breaks_and_exceptions(spark):
+    rows = [(0, 0, "A et al ."), (0, 1, "B i.e."), (0, 2, "C"), (0, 3, "D i.e."), (0, 4, "E")]
+    df = spark.createDataFrame(rows, "doc_id int, ord int, sentence string")
+    got = [r.sentence for r in SE.merge_abbreviation_breaks(df, exceptions=[4]).orderBy("first_index").collect()]
+    assert got == ["A et al . B i.e. C", "D i.e.", "E"]
+
+
+def test_container_by_class_with_nested_elements(spark):
+    page = ('<div class="x"><h1>no</h1></div><div id="q" class="a main-part b"><h1>one</h1><div><h1>two</h1></div><h1>three</h1></div>'
+            "<h1>after</h1>")
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    names = lambda c: [r.name for r in H.extract_headings(df, container=c).orderBy("ord").collect()]
+    assert names("div.main-part") == names(".main-part") == ["one", "two", "three"]
+    assert names("div") == ["no"] and names("section") == [] and names(None) == ["no", "one", "two", "three", "after"]
