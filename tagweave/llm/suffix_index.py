@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm.bytehash import Rolling, finalize, runs
-from tagweave.llm.store import stored
+from tagweave.llm.store import Scratch, remove, stored
 from tagweave.session import scratch_path
 
 LENGTH = 200
@@ -121,9 +121,10 @@ class SuffixIndex:
         entries.sortWithinPartitions("akey", "h").write.parquet(path)
         return path
 
-    def _remove(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def clear(self) -> None:
+        for path in self.levels.values():
+            remove(self.spark, path)
+        self.levels.clear()
 
     def add(self, run_rows: DataFrame) -> None:
         """Adds a batch, then merges arrays of equal level."""
@@ -133,8 +134,8 @@ class SuffixIndex:
             other = self.levels.pop(level)
             both = self.spark.read.parquet(array).unionByName(self.spark.read.parquet(other))
             merged = self._write(both.groupBy("akey", "h").agg(F.sum("c").alias("c")))
-            self._remove(array)
-            self._remove(other)
+            remove(self.spark, array)
+            remove(self.spark, other)
             array, level = merged, level + 1
         self.levels[level] = array
 
@@ -310,11 +311,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ba
     index = SuffixIndex(spark, length=length)
     for b in range(batches):
         index.add(_run_rows(keyed.filter(F.pmod("k1", F.lit(batches)) == b), length))
-    found = stored(_run_rows(keyed, length).join(index.matches(), ["akey", "h"]), "suffix-found")
+    scratch = Scratch(spark)
+    found = scratch.put(_run_rows(keyed, length).join(index.matches(), ["akey", "h"]), "suffix-found")
 
     whole = found.filter("twice").select("k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
     # one text of each run whose anchor has other runs
-    reps = stored(found.filter("m > 1").groupBy("akey", "h")
+    index.clear()
+    reps = scratch.put(found.filter("m > 1").groupBy("akey", "h")
             .agg(F.min(F.struct("k1", "k2", "lo", "n", "off")).alias("r"), F.first("twice").alias("twice"), F.first("m").alias("m"))
             .select("akey", "r.*", "twice", "m"), "suffix-reps")
     cold = _compare_cold(_cut_runs(docs, reps.filter(F.col("m") <= HOT), text, length, False), length)
@@ -324,6 +327,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ba
                  .select("k1", "k2", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
     stretches = whole.unionByName(cold).unionByName(hot_found)
     merged = _merge(stretches)
+    scratch.clear()
 
     columns = [c for c in docs.columns if c not in (kept, "n_bytes", "n_removed", "n_spans")]
     t = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
