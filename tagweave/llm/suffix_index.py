@@ -46,7 +46,7 @@ from tagweave.session import scratch_path
 
 LENGTH = 200
 GRAM = 32
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 BATCHES = 4
 HOT = 256
 MAX_BROADCAST_BYTES = 48 << 20
