@@ -44,6 +44,44 @@ def test_lenient_reader(spark, tmp_path):
     assert got == [("0", ["a", "b"], ["B-X", "O"]), ("1", ["c"], ["I-X"]), ("2", ["d"], ["O"])]
 
 
+def _numbered_after_join(node):
+    """Whether a row id is evaluated above a join."""
+    text = node.toString()
+    if "monotonically_increasing_id" in node.expressions().mkString() and "Join" in text:
+        return True
+    kids = node.children()
+    return any(_numbered_after_join(kids.apply(i)) for i in range(kids.size()))
+
+
+def test_ids_do_not_depend_on_the_join(spark, tmp_path):
+    d = tmp_path / "many"
+    d.mkdir()
+    end = ["", "\n", "\n\n", "\n\n\n", "\n \n"]
+    want, lenient = [], []
+    for j in range(10):
+        names = [f"f{j}s{i}" for i in range(200)]
+        (d / f"p{j}.conll").write_text("\n\n".join(f"{n} -X- _ O\nx -X- _ O" for n in names) + end[j % 5])
+        lenient += names
+        # a block without a blank line after it is dropped; a second blank line is an empty sentence
+        want += names[:-1] if j % 5 < 2 else names + [None] if j % 5 == 3 else names
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "300"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        strict, loose = CN.read_conll_strict(spark, str(d)), CN.read_conll_lenient(spark, str(d))
+        for df in (strict, loose):
+            assert not _numbered_after_join(df._jdf.queryExecution().optimizedPlan())
+        first = {r.sent_id: r.token for r in strict.where("coalesce(pos, 0) = 0").collect()}
+        ids = {int(r.id): r.tokens[0] for r in loose.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [first[i] for i in range(len(first))] == want
+    assert [ids[i] for i in range(len(ids))] == lenient
+
+
 def test_write_conll_round_trip(spark, scratch):
     rows = [(0, 0, "x", "O"), (0, 1, "y", "B-A"), (1, 0, "z", "I-A")]
     df = spark.createDataFrame(rows, "sent_id long, pos int, token string, tag string")
