@@ -2,8 +2,15 @@
 
 Each page is parsed into a tree in one pass (implied end tags, raw-text
 elements and unclosed tags as browsers treat them).  Parts that can't be
-article text by element, role or name are left out of the tree's counts.  For
-every node, from characters C, tags T, link characters LC and link tags LT:
+article text by element or role are left out of the tree's counts, and so are
+parts whose class or id is wholly a name of surroundings ("sidebar",
+"post-comments").  Names are a hint, not a verdict: a name after "with-", "has-",
+"no-" or before "-free" names nothing; the named part with most non-link text
+stays, with its named ancestors, if it holds four times the text outside all
+named parts; a name among other words ("related-work") or on a paragraph,
+heading or table only leaves a part out where links prevail or where it has less
+than half of the article's characters a tag.  For every node, from characters C, tags T, link characters LC and link
+tags LT:
 
     density = C/T * log_B(C/LC' * T/LT'),   B = ln(C/(C-LC)' * LC + LC_body/C_body * C + e)
 
@@ -63,47 +70,71 @@ DROPPED_NAMES = frozenset((
     "disclaimer newsletter subscribe subscription signup signin login register search "
     "comment comments commentlist reply replies respond disqus discussion guestbook reactions "
     "share sharing social follow followers form hidden").split())
+# words that say nothing beside such a name, and words that turn it into a property of what holds it
+FILLERS = frozenset((
+    "a an and area article block blog body bottom box button buttons card cards col column container content entry false fixed footer group "
+    "header inner item items layer left link links list lists main mobile desktop more of outer page panel part post posts primary "
+    "row section secondary site slot story stories the thread to top true unit us wrap wrapper zone").split())
+BEFORE = frozenset("has have with without no non not hide disable disabled enable enabled show".split())
+AFTER = frozenset("free less enabled disabled open closed off on none".split())
+# elements of running text: a name on them is that of a text, not of a part of the page
+TEXTUAL = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption figure figcaption".split())
 KEPT_TAGS = frozenset("html body main article".split())
 SITE = frozenset("site page top global main".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "links", "link_tags", "density", "total", "holds_main")
-
-    def __init__(self, tag: str, parent, drop: bool):
-        self.tag, self.parent, self.children, self.drop = tag, parent, [], drop
+    __slots__ = ("tag", "parent", "children", "named", "drop", "chars", "tags", "links", "link_tags", "density", "total", "holds_main",
+                 "inside", "owner")
+
+    def __init__(self, tag: str, parent, named: int):
+        self.tag, self.parent, self.children, self.named = tag, parent, [], named
+        self.drop, self.owner = False, None
+        # within an article or main element
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.total = 0.0
         self.holds_main = False
 
 
-def _named_out(tag: str, attrs: str) -> bool:
+def _single_name(single: str) -> int:
+    """0: one word of a class or id names no surroundings, 1: it does among
+    other words, 2: it says nothing else."""
+    words = [w.lower() for w in _WORD.findall(single)]
+    names = [i for i, w in enumerate(words) if w in DROPPED_NAMES
+             and not (i and words[i - 1] in BEFORE) and not (i + 1 < len(words) and words[i + 1] in AFTER)]
+    if "header" in words and (len(words) == 1 or not SITE.isdisjoint(words)):
+        return 2
+    if not names:
+        return 0
+    return 2 if all(w in DROPPED_NAMES or w in FILLERS or w.isdigit() for w in words) else 1
+
+
+def _named_out(tag: str, attrs: str) -> int:
+    """0: not named, 1 or 2: named by class or id, 3: by role or as hidden."""
+    level = 0
     if not attrs or attrs.isspace():
-        return False
+        return level
     for m in _ATTR.finditer(attrs):
         name = m.group(1).lower()
         value = m.group(2) or m.group(3) or m.group(4) or ""
         if name in ("class", "id"):
             for single in value.split():
-                words = [w.lower() for w in _WORD.findall(single)]
-                if not DROPPED_NAMES.isdisjoint(words):
-                    return True
-                if "header" in words and (len(words) == 1 or not SITE.isdisjoint(words)):
-                    return True
+                level = max(level, _single_name(single))
         elif name == "role":
             if value.strip().lower() in DROPPED_ROLES:
-                return True
+                return 3
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 3
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 3
+    return min(level, 1) if tag in TEXTUAL else level
 
 
 def _parse(page: str) -> tuple[_Node, list[_Node]]:
     """The tree's root and all nodes in page order.  Children are nodes and
     decoded strings."""
-    root = _Node("html", None, False)
+    root = _Node("html", None, 0)
     nodes, stack = [root], [root]
     pos, n = 0, len(page)
 
@@ -163,8 +194,7 @@ def _parse(page: str) -> tuple[_Node, list[_Node]]:
         if tag == "body":                           # an unclosed head ends here
             del stack[1:]
         parent = stack[-1]
-        drop = parent.drop or tag in DROPPED or (tag not in KEPT_TAGS and _named_out(tag, groups["attrs"]))
-        node = _Node(tag, parent, drop)
+        node = _Node(tag, parent, _named_out(tag, groups["attrs"]))
         parent.children.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -177,23 +207,40 @@ def _parse(page: str) -> tuple[_Node, list[_Node]]:
     return root, nodes
 
 
-def _measure(root: _Node, nodes: list[_Node]) -> None:
+def _leave_out(root: _Node, nodes: list[_Node]) -> None:
+    """Sets ``drop`` by element, role and name."""
+    marks = False
     for node in reversed(nodes):
         if node.tag in ("main", "article"):
-            node.holds_main = True
+            node.holds_main = marks = True
         if node.holds_main and node.parent is not None:
             node.parent.holds_main = True
+    gone, linked = {None: False}, {None: False}
+    free, held = 0, {}
     for node in nodes:
         # a wrapper of the article is not left out for its name; a page header is, an article's is not
-        inside = node.parent is not None and any(a.tag in ("article", "main") for a in _path(node.parent))
-        if node.tag == "header" and not inside and not node.holds_main:
-            node.drop = True
-        elif node.drop and node.holds_main and node.tag not in DROPPED and not node.parent.drop:
-            node.drop = False
-        elif node.parent is not None and node.drop and not node.parent.drop and node.tag not in DROPPED and node.tag != "header":
-            pass
-        elif node.parent is not None and node.parent.drop:
-            node.drop = True
+        up = node.parent
+        own = node.tag in DROPPED or (not node.holds_main and node.tag not in KEPT_TAGS
+                                      and (node.named == 3 or (node.tag == "header" and not node.inside)))
+        gone[node] = gone[up] or own
+        linked[node] = linked[up] or node.tag == "a"
+        named = node.named == 2 and not node.holds_main and node.tag not in KEPT_TAGS
+        node.owner = node if named else up.owner if up is not None else None
+        if not gone[node] and not linked[node]:
+            n = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+            if node.owner is None:
+                free += n
+            else:
+                held[node.owner] = held.get(node.owner, 0) + n
+    # the text itself may stand under a name; where elements mark the article, only inside of them
+    most = max((x for x in held if x.inside or not marks), key=lambda x: held[x], default=None)
+    stays = set(_path(most)) if most is not None and held[most] > 4 * free else set()
+    for node in nodes:
+        node.drop = gone[node] or (node.owner is node and node not in stays) or (node.parent is not None and node.parent.drop)
+
+
+def _measure(root: _Node, nodes: list[_Node]) -> None:
+    _leave_out(root, nodes)
     for node in reversed(nodes):
         if node.drop:
             continue
@@ -226,6 +273,21 @@ def _density(node: _Node, body: _Node) -> float:
     return c / t * (math.log(inner) / math.log(base) if base > 1.0 and inner > 0 else math.log(inner) if inner > 0 else 0.0)
 
 
+def _reads_on(x: _Node, threshold: float) -> bool:
+    return x.density >= threshold and x.links * 2 < x.chars
+
+
+def _parts(core: _Node, body: _Node, threshold: float) -> list[_Node]:
+    # the element that marks an article holds it whole
+    marked = next((a for a in _path(core) if a.tag == "article"), None) or next((a for a in _path(core) if a.tag == "main"), None)
+    if marked is not None and marked is not body:
+        return [marked]
+    if core is body or core.parent is None:
+        return [core]
+    return [x for x in core.parent.children if not isinstance(x, str) and not x.drop
+            and (x is core or (_reads_on(x, threshold) and (x.tag == core.tag or x.tag in HEADINGS or x.tag == "p")))]
+
+
 def _selected(root: _Node, nodes: list[_Node]) -> list[_Node]:
     body = next((x for x in nodes if x.tag == "body"), root)
     live = [x for x in nodes if not x.drop]
@@ -238,14 +300,13 @@ def _selected(root: _Node, nodes: list[_Node]) -> list[_Node]:
         return []
     core = max(inside, key=lambda x: (x.total, x.chars))
     threshold = min(x.density for x in _path(core) if x is not root or x is body)
-    # the element that marks an article holds it whole
-    marked = next((a for a in _path(core) if a.tag == "article"), None) or next((a for a in _path(core) if a.tag == "main"), None)
-    if marked is not None and marked is not body:
-        return [marked]
-    if core is body or core.parent is None:
-        return [core]
-    return [x for x in core.parent.children if not isinstance(x, str) and not x.drop
-            and (x is core or (x.density >= threshold and x.links * 2 < x.chars and (x.tag == core.tag or x.tag in HEADINGS or x.tag == "p")))]
+    parts = _parts(core, body, threshold)
+    path = set(_path(core))
+    for x in live:
+        # a name among other words, or on running text, leaves out what does not read like the article
+        if x.named == 1 and x.tag not in KEPT_TAGS and x not in path and not x.holds_main:
+            x.drop = x.links * 2 >= x.chars or x.chars * (core.tags or 1) * 2 < core.chars * (x.tags or 1)
+    return [x for x in parts if not x.drop]
 
 
 def _blocks(node: _Node) -> list[str]:

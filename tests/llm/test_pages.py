@@ -34,6 +34,25 @@ def test_sections_of_one_article():
     assert main_text(page).split("\n\n") == [html.unescape(p) for p in LONG for _ in (0, 1)]
 
 
+def test_names_are_a_hint():
+    text = [html.unescape(p) for p in LONG]
+    body = "".join(f"<p>{p}</p>" for p in LONG)
+    links = "<div class='sidebar'><ul><li><a href=/>One</a><li><a href=/>Two</a></ul></div>"
+    for attrs in ("id=page class='content with-sidebar'", "class=has-comments", "class='no-widgets'", "class='post notice-free'", "class=layoutWithSidebar",
+                  "class='sidebar-layout'", "class=widget", "class='page related'"):
+        assert main_text(f"<body><div {attrs}>{body}{links}</div><div class=footer>All rights.</div></body>").split("\n\n") == text, attrs
+    # each block of the text in a box that is named among other words
+    boxes = "".join(f"<div class='el el-widget el-text'><p>{p}</p><p>{p}</p></div>" for p in LONG)
+    assert main_text(f"<body><div>{boxes}</div>{links}</body>").split("\n\n") == [p for p in text for _ in (0, 1)]
+    # inside a kept article
+    more = f"<div class='related-work'><p>{LONG[0]}</p></div><p class='form'>{LONG[2]}</p>"
+    share = "<div class='share'>Share this with friends</div><div class='my-related'><a href=/a>A link to more</a> <a href=/b>And one more</a></div>"
+    assert main_text(f"<body><article>{body}{more}{share}</article></body>").split("\n\n") == [*text, text[0], text[2]]
+    # many named comments are longer than the article, but none of them is it
+    said = "".join(f"<div class=comment><p>{p} {p}</p></div>" for p in LONG * 3)
+    assert main_text(f"<body><div>{body}</div><div id=comments>{said}</div></body>").split("\n\n") == text
+
+
 def test_broken_and_empty_pages():
     assert main_text(None) == main_text("") == main_text("<script>x") == main_text("<!-- a") == ""
     assert main_text("plain  text\nonly") == "plain text only" and main_text("<p>x") == "x"
