@@ -17,9 +17,12 @@ tags LT:
 (a dashed denominator is 1 where it would be 0).  A node's density sum adds the
 densities of its children.  The node with the largest sum is the core of the
 article; the smallest density on the path from it to the body is the
-threshold.  The core's parent contributes the siblings that reach the threshold and
-are built like the core (an article split into sections); inside the selected
-subtree nothing dense or thin is dropped, apart from the left-out parts.
+threshold.  An article element (or else main) around the core stands for it.  Its
+parent contributes the siblings that reach the threshold, have more text than links
+and are built like it (an article split into sections).  Other article elements of
+the same main are parts as well if they are in no named part, have more text than
+links and reach the threshold, or half of its like in characters a tag; inside the selected
+subtrees nothing dense or thin is dropped, apart from the left-out parts.
 
 Blocks are joined in page order by an empty line; white space inside a block
 becomes one space; character references are decoded once, in text only.
@@ -277,15 +280,38 @@ def _reads_on(x: _Node, threshold: float) -> bool:
     return x.density >= threshold and x.links * 2 < x.chars
 
 
-def _parts(core: _Node, body: _Node, threshold: float) -> list[_Node]:
-    # the element that marks an article holds it whole
-    marked = next((a for a in _path(core) if a.tag == "article"), None) or next((a for a in _path(core) if a.tag == "main"), None)
-    if marked is not None and marked is not body:
-        return [marked]
-    if core is body or core.parent is None:
-        return [core]
-    return [x for x in core.parent.children if not isinstance(x, str) and not x.drop
-            and (x is core or (_reads_on(x, threshold) and (x.tag == core.tag or x.tag in HEADINGS or x.tag == "p")))]
+def _marked(core: _Node, body: _Node) -> _Node | None:
+    """The outermost article element around the core, or else the main element."""
+    around = [x for x in _path(core) if x is not body]
+    articles = [x for x in around if x.tag == "article"]
+    return articles[-1] if articles else next((x for x in around if x.tag == "main"), None)
+
+
+def _parts(core: _Node, body: _Node, threshold: float, live: list[_Node]) -> list[_Node]:
+    """The parts of the article in page order."""
+    # an element that marks an article holds the core's part of it whole
+    top = _marked(core, body) or core
+    if top is body or top.parent is None:
+        return [top]
+    parts = {x for x in top.parent.children if not isinstance(x, str) and not x.drop
+             and (x is top or (_reads_on(x, threshold) and (x.tag == top.tag or x.tag in HEADINGS or x.tag == "p")))}
+    if top.tag == "article":
+        # other article elements are parts of it wherever they stand, but not
+        # in or under a name of surroundings, nor outside of the core's main
+        path = set(_path(top))
+        main = next((x for x in path if x.tag == "main"), body)
+        clear = {x: x is not top for x in path}
+        # characters a tag: the composite density also grows with length, and a short article is one too
+        thin = 0.5 * min(x.chars / (x.tags or 1) for x in path if x.chars and (x is not body.parent or body.tag != "body"))
+        for x in live:
+            if x not in clear:
+                clear[x] = clear.get(x.parent, True) and x.named == 0 and x not in parts
+                if (clear[x] and x.tag == "article" and x.links * 2 < x.chars and any(a is main for a in _path(x))
+                        and (x.density >= threshold or x.chars / (x.tags or 1) >= thin)):
+                    parts.add(x)
+                    clear[x] = False
+        parts = {x for x in parts if x is top or x.tag != "article" or x.named == 0}
+    return [x for x in live if x in parts]
 
 
 def _selected(root: _Node, nodes: list[_Node]) -> list[_Node]:
@@ -300,7 +326,7 @@ def _selected(root: _Node, nodes: list[_Node]) -> list[_Node]:
         return []
     core = max(inside, key=lambda x: (x.total, x.chars))
     threshold = min(x.density for x in _path(core) if x is not root or x is body)
-    parts = _parts(core, body, threshold)
+    parts = _parts(core, body, threshold, live)
     path = set(_path(core))
     for x in live:
         # a name among other words, or on running text, leaves out what does not read like the article

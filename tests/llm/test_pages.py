@@ -53,6 +53,21 @@ def test_names_are_a_hint():
     assert main_text(f"<body><div>{body}</div><div id=comments>{said}</div></body>").split("\n\n") == text
 
 
+def test_several_articles():
+    text = [html.unescape(p) for p in LONG for _ in (0, 1)]
+    parts = [f"<article><h2></h2><p>{p}</p><p>{p}</p></article>" for p in LONG]
+    teaser = "<article><a href=/x>Another story with a long title</a></article>"
+    said = f"<section id=comments><article><p>{LONG[1]} {LONG[1]}</p></article><article class=comment><p>{LONG[0]}</p></article></section>"
+    assert main_text(f"<body><main>{''.join(parts)}</main></body>").split("\n\n") == text
+    nested = f"<article><p>{LONG[0]}</p><p>{LONG[0]}</p><article><p>{LONG[1]}</p><p>{LONG[1]}</p></article><p>{LONG[2]}</p><p>{LONG[2]}</p></article>"
+    assert main_text(f"<body>{nested}<div><a href=/>Home</a></div></body>").split("\n\n") == text
+    # one of them holds the densest text, the others stand beside it or in boxes of their own
+    big = f"<article><div>{''.join(f'<p>{p} {p} {p}</p>' for p in LONG)}</div></article>"
+    long = [" ".join([html.unescape(p)] * 3) for p in LONG]
+    for page in (f"<main>{parts[0]}{big}{parts[2]}{teaser}</main>", f"<div><div>{parts[0]}</div><div>{big}</div><div>{parts[2]}</div></div>{said}"):
+        assert main_text(f"<body>{page}</body>").split("\n\n") == [*text[:2], *long, *text[4:]], page
+
+
 def test_broken_and_empty_pages():
     assert main_text(None) == main_text("") == main_text("<script>x") == main_text("<!-- a") == ""
     assert main_text("plain  text\nonly") == "plain text only" and main_text("<p>x") == "x"
