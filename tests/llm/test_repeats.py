@@ -141,6 +141,16 @@ def test_keep_first_keeps_one_of_each_group(spark):
     assert jaccard.keep_first(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_keep_first_with_an_id_of_several_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    docs = [(3, b), (5, a), (5, b + " tail"), (6, a), (7, a + " tail"),     # 5 names the group of a and is a near copy of 3
+            (8, c), (8, d), (9, d), (9, c + " tail"),                       # two groups with the same smallest id
+            (10, a + " more words"), (11, None), (11, ""), (None, a)]
+    kept = jaccard.keep_first(spark.createDataFrame(docs * 2, "doc_id long, text string"), width=5, percent=80).collect()
+    none = [(11, None), (11, ""), (None, a)]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(3, b), (5, a), (8, c), (8, d), *none * 2]))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 600)], "a long, b long")
     got = {r.node: r.comp for r in components(edges).collect()}
