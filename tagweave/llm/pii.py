@@ -8,9 +8,11 @@ bootstrapped extractor:
   groups, spelled-out addresses) is an *instance* that stands in lexical
   *patterns*: the two words before it, and the word before with the word after;
 * rounds score the pattern-instance graph: a pattern's confidence for a kind is
-  the score of its distinct known instances over all its distinct instances of
-  a shape that fits the kind, and counts from ``MIN_SUPPORT`` known ones; an
-  instance's score is 1 - product(1 - confidence) over its patterns;
+  f / (f + against + 1) with f the score of its distinct known instances (at least
+  ``MIN_SUPPORT``) and against what contradicts the kind: its distinct instances
+  that are seeds of other kinds, or of a shape that does not fit the kind.
+  Unlabelled instances that fit are no evidence either way, so a context with
+  many unseen identifiers is trusted as much as one with few; an instance's score is 1 - product(1 - confidence) over its patterns;
 * instances that reach ``ACCEPT`` become known for the next round, and their
   occurrences are added to the spans.
 
@@ -202,18 +204,19 @@ def score_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     the discovered instances."""
     edges = occurrences.groupBy("pattern", "inst").agg(F.max("seed").alias("seed")).checkpoint()
     kinds = F.explode(F.array(*[F.lit(i) for i in range(len(KINDS))])).alias("kind")
-    # only patterns that some seed stands in can ever gain confidence in round one;
-    # later rounds reach others through accepted instances
-    fitting = (edges.select("pattern", "inst", "seed", kinds)
-               .filter(F.col("seed").isNotNull() | _fits(F.col("kind"), F.col("inst"))))
+    fits = _fits(F.col("kind"), F.col("inst"))
+    fitting = edges.select("pattern", "inst", "seed", kinds).filter(F.col("seed").isNotNull() | fits)
+    # instances that contradict a kind stay so in every round
+    contrary = F.when(F.col("seed").isNull(), ~fits).otherwise(F.col("seed") != F.col("kind"))
+    against = (edges.select("pattern", "inst", "seed", kinds).filter(contrary)
+               .groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("against")))
     known = edges.filter("seed is not null").groupBy("inst", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("score"))
     found = None
     for _ in range(rounds):
-        scored = fitting.join(known, ["inst", "kind"], "left")
-        confident = (scored.groupBy("pattern", "kind")
-                     .agg(F.sum("score").alias("f"), F.count(F.lit(1)).alias("n"))
+        confident = (fitting.join(known, ["inst", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("f"))
                      .filter(F.col("f") >= MIN_SUPPORT)
-                     .select("pattern", "kind", F.least(F.col("f") / F.col("n"), F.lit(0.99)).alias("conf"))
+                     .join(against, ["pattern", "kind"], "left")
+                     .select("pattern", "kind", F.least(F.col("f") / (F.col("f") + F.coalesce("against", F.lit(0)) + 1), F.lit(0.99)).alias("conf"))
                      .filter("conf >= 0.5"))
         found = (fitting.filter("seed is null").join(confident, ["pattern", "kind"])
                  .groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))

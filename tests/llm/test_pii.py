@@ -55,6 +55,25 @@ def test_base_spans_and_discoveries(spark, table_dir):
     assert got[3000].spans == "phone:20:31"
 
 
+def test_as_many_unseen_as_seeds(spark):
+    docs = {i: f"You can phone me on +1 (017) 555-{7000 + i} tomorrow" for i in range(12)}
+    docs |= {100 + i: f"You can phone me on 555-{1234567 + i} tomorrow" for i in range(40)}
+    # as many contradicting instances as seeds: numbers of another shape, and seeds of another kind
+    docs |= {200 + i: f"the value was +1 (018) 555-{7000 + i} today" for i in range(12)}
+    docs |= {300 + i: f"the value was {10 ** 16 + i} today" for i in range(12)}
+    docs |= {400 + i: f"the value was 555-{2234567 + i} today" for i in range(3)}
+    docs |= {500 + i: f"please contact +1 (019) 555-{7000 + i} anytime" for i in range(6)}
+    docs |= {600 + i: f"please contact u{i}@mail.org anytime" for i in range(6)}
+    docs |= {700 + i: f"please contact 555-{3234567 + i} anytime" for i in range(3)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = pii.find_identifiers(df).select("doc_id", pii.span_list(F.col("pii")).alias("s")).collect()
+    got = {r.doc_id: r.s for r in found}
+    assert all(got[100 + i] == "phone:20:31" for i in range(40))
+    # no pattern of two kinds counts alike for both
+    assert all(got[400 + i] == "" for i in range(3))
+    assert all(got[i].startswith("phone:") for i in [*range(12), *range(200, 212), *range(500, 506)])
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "mail a@b.co")], "doc_id long, text string")
     plan = pii.find_identifiers(df)._jdf.queryExecution().toString()
