@@ -20,7 +20,11 @@ def scratch(spark):
     return lambda name: scratch_path(spark, name)
 
 
-def write_text(path, text: str) -> str:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
-    return str(path)
+@pytest.fixture
+def write_text():
+    """write_text(path, text) -> the path as a string."""
+    def write(path, text: str) -> str:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return str(path)
+    return write

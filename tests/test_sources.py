@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import write_text
 from tagweave.sources import conll as CN
 from tagweave.sources import formats as FM
 from tagweave.sources import html as H
@@ -16,29 +15,29 @@ def _sents(rows):
     return [[(t, g) for _, t, g in sorted(v)] for _, v in sorted(out.items())]
 
 
-def test_strict_repeated_blank_and_unclosed(spark, tmp_path):
+def test_strict_repeated_blank_and_unclosed(spark, tmp_path, write_text):
     p = write_text(tmp_path / "a.conll", "a -X- _ O\nb -X- _ B-X\n\n\nc -X- _ O\n\nd -X- _ O\n")
     got = _sents(CN.read_conll_strict(spark, p).collect())
     assert got == [[("a", "O"), ("b", "B-X")], [], [("c", "O")]]     # d is unclosed -> dropped
 
 
-def test_strict_terminated_last_block(spark, tmp_path):
+def test_strict_terminated_last_block(spark, tmp_path, write_text):
     p = write_text(tmp_path / "b.conll", "a -X- _ O\n\nc -X- _ B-Y\n\n")
     assert _sents(CN.read_conll_strict(spark, p).collect()) == [[("a", "O")], [("c", "B-Y")]]
 
 
-def test_strict_whitespace_blank_line(spark, tmp_path):
+def test_strict_whitespace_blank_line(spark, tmp_path, write_text):
     p = write_text(tmp_path / "c.conll", "a -X- _ O\n   \nb -X- _ O\n\n")
     assert _sents(CN.read_conll_strict(spark, p).collect()) == [[("a", "O")], [("b", "O")]]
 
 
-def test_strict_bad_line_raises(spark, tmp_path):
+def test_strict_bad_line_raises(spark, tmp_path, write_text):
     p = write_text(tmp_path / "d.conll", "a -X- _ O\nbroken line\n\n")
     with pytest.raises(Exception):
         CN.read_conll_strict(spark, p).collect()
 
 
-def test_lenient_reader(spark, tmp_path):
+def test_lenient_reader(spark, tmp_path, write_text):
     p = write_text(tmp_path / "e.conll", "-DOCSTART- -X- O O\n\na x y B-X\nb O\n\n\n\nc I-X\n-DOCSTART-\nd O")
     got = sorted((r.id, list(r.tokens), list(r.ner_tags)) for r in CN.read_conll_lenient(spark, p).collect())
     assert got == [("0", ["a", "b"], ["B-X", "O"]), ("1", ["c"], ["I-X"]), ("2", ["d"], ["O"])]
@@ -91,7 +90,7 @@ def test_write_conll_round_trip(spark, scratch):
     assert [tuple(r) for r in back] == rows
 
 
-def test_bibtex(spark, tmp_path):
+def test_bibtex(spark, tmp_path, write_text):
     text = ('@inproceedings{k1,\n    title = "A = B",\n    booktitle = "Proc = Venue X",\n    year = "2021",\n'
             '    url = "https://x/1",\n}\n@inproceedings{k2,\n    title = "No year",\n}\n')
     p = write_text(tmp_path / "a.bib", text)
@@ -107,7 +106,7 @@ def test_json_array_round_trip(spark, scratch):
     assert [tuple(r) for r in back] == [(i, f"t{i}") for i in range(7)]
 
 
-def test_lines_and_lexicon(spark, tmp_path):
+def test_lines_and_lexicon(spark, tmp_path, write_text):
     p = write_text(tmp_path / "lex.txt", "Machine Translation\n\n  Parsing \nParsing\n")
     assert sorted(r.name for r in FM.read_lexicon(spark, p).collect()) == ["Machine Translation", "Parsing",
                                                                           "Parsing"]
@@ -133,7 +132,7 @@ def test_headings_and_aliases(spark):
                    (2, 0, "CoNLL", "name")]
 
 
-def test_evaluate_files(spark, tmp_path):
+def test_evaluate_files(spark, tmp_path, write_text):
     from tagweave.plans.score import evaluate_files
     g = write_text(tmp_path / "g.conll", "a\tB-X\nb\tI-X\nc\tO\n\nd\tB-Y\n\n")
     p = write_text(tmp_path / "p.conll", "a\tB-X\nb\tO\nc\tO\n\nd\tB-Y\n\n")
