@@ -119,6 +119,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in budgeted windows, read back and digested; one more
+    conversation holds the template's own control strings."""
+    import public_tokenizers
+    from tagweave.llm import chat
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(turns.unionByName(extra), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
@@ -130,6 +141,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_leaks": op8_leaks,
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
+    "op12_chat": op12_chat,
 }
 
 ORACLES: dict[str, str] = {"op8_leaks": oracles_sql.OP8_LEAKS, "op9_jaccard": oracles_sql.OP9_JACCARD}
