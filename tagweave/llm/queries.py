@@ -130,6 +130,15 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(turns.unionByName(extra), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_gnat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding; every seventh row's label
+    is moved on by one."""
+    from tagweave.llm.gnat import mine
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
@@ -142,9 +151,11 @@ QUERIES: dict[str, QueryFn] = {
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
     "op12_chat": op12_chat,
+    "op13_gnat": op13_gnat,
 }
 
-ORACLES: dict[str, str] = {"op8_leaks": oracles_sql.OP8_LEAKS, "op9_jaccard": oracles_sql.OP9_JACCARD}
+ORACLES: dict[str, str] = {"op8_leaks": oracles_sql.OP8_LEAKS, "op9_jaccard": oracles_sql.OP9_JACCARD,
+                           "op13_gnat": oracles_sql.OP13_GNAT}
 
 
 def queries() -> dict[str, QueryFn]:
