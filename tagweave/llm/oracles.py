@@ -53,6 +53,33 @@ SELECT k.doc_id, k.n::BIGINT AS n_shingles, coalesce(m.component_id, k.doc_id) A
 FROM k LEFT JOIN c ON c.h = k.h AND k.n > 0 LEFT JOIN m ON m.cid = c.cid
 """
 
+# Term counts of all documents, then every document that shares a term.
+OP11_RMQ = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), dn AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0
+), st AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nw FROM dn
+), i AS (
+  SELECT row_number() OVER () AS i, item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), q AS (SELECT i, item_id, t, count(*) AS c FROM (SELECT i, item_id, unnest(w) AS t FROM i) GROUP BY ALL
+), f AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL
+), w AS (SELECT t, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, st GROUP BY t
+), s AS (
+  SELECT q.i, q.item_id, f.r, sum(q.c * w.w * ((1000000000 * f.tf) // (1000 * f.tf + 12 * (75 + (25 * dn.n * st.nd) // st.nw))))::BIGINT AS score
+  FROM q JOIN f USING (t) JOIN w USING (t) JOIN dn USING (r), st GROUP BY ALL
+), k AS (
+  SELECT i, item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+  FROM s JOIN dn USING (r) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
 # Every anchor against all rows, in integers (products of doubles that stay
 # whole), then windows of scores round each positive.
 OP13_GNAT = r"""

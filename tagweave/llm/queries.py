@@ -119,6 +119,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_rmq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    from tagweave.llm.rmq_rank import rank_documents
+    return rank_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations in budgeted windows, read back and digested; one more
     conversation holds the template's own control strings."""
@@ -150,12 +156,13 @@ QUERIES: dict[str, QueryFn] = {
     "op8_leaks": op8_leaks,
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
+    "op11_rmq": op11_rmq,
     "op12_chat": op12_chat,
     "op13_gnat": op13_gnat,
 }
 
 ORACLES: dict[str, str] = {"op8_leaks": oracles_sql.OP8_LEAKS, "op9_jaccard": oracles_sql.OP9_JACCARD,
-                           "op13_gnat": oracles_sql.OP13_GNAT}
+                           "op11_rmq": oracles_sql.OP11_RMQ, "op13_gnat": oracles_sql.OP13_GNAT}
 
 
 def queries() -> dict[str, QueryFn]:
