@@ -8,19 +8,22 @@ each segmentation the product of its pieces; a word's probability is the sum
 over *all* its segmentations, by a forward recursion in log space, and a text's
 log probability is the sum over its words and the end.
 
-The piece weights start from the vocabulary's own score order (Zipf in the
-rank) and are fitted to the training words by expectation-maximization: the
-E-step is a Spark job over the distinct words, weighted by their counts; what
-returns to the driver is one number for each piece.
-
-The add-one word base score needs each word's training count.  The
-``FREQUENT_WORDS`` commonest words are broadcast (a fixed bound); the rest go
-to their counts by a join on the word, so no table that grows is broadcast and
-no frequent word makes a hot key.
+The piece weights are the vocabulary's own, by a fixed rule: this vocabulary's
+scores are ranks, so the piece of rank r (from 0) weighs ``1 / (r + 2.7)``, a
+byte piece ``BYTE_WEIGHT`` and the end ``END_WEIGHT``, all divided by their sum.
+Nothing is fitted.
+
+A word's probability depends on the word alone, so every distinct word of the
+corpus is scored once, in a table beside its training count; the recursion runs
+over all words of one length together.  Words of a text then get both numbers
+from that table: the ``FREQUENT_WORDS`` commonest are broadcast (a fixed bound),
+the rest go to the table by a join on the word, so no table that grows is
+broadcast and no frequent word makes a hot key.
 
 Edge cases: null text counts as empty (only the end); null ids count as
 training rows; with no training rows N = V = 0 and the base is uniform;
-repeated rows keep their own results; extra columns are dropped.
+repeated rows keep their own results, equal counts need no order; an empty
+table gives an empty result; extra columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,16 +37,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm.bounded import commonest
-from tagweave.llm.store import stored
+from tagweave.llm.store import Scratch
 from tagweave.llm.token_counts import read_model_file
 
 FREQUENT_WORDS = 300_000
-EM_ROUNDS = 2
-SMOOTHING = 0.1               # added to every expected piece count
+BYTE_WEIGHT = 1e-6
+END_WEIGHT = 1e-2
+TOGETHER = 65_536             # words scored together
+LONG_WORD = 64                # longer words are scored one by one
 WORD_TABLE_ENTRIES = 300_000
 MARK = "▁"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 NEG = -1e300
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -70,6 +76,7 @@ class Lattice:
         self.bytes0 = len(pieces)
         self.end = len(pieces) + 256
         self.longest = max(map(len, pieces), default=1)
+        self.hashed: list | None = None
         self.first = {}
         for p in pieces:                            # longest piece by first character
             self.first[p[0]] = max(self.first.get(p[0], 0), len(p))
@@ -105,129 +112,155 @@ class Lattice:
         """Log probability of a word: the sum over all segmentations."""
         return self.forward(MARK + word.decode("utf-8", "replace"))[-1]
 
-    def expect(self, word: bytes, count: float, total: np.ndarray) -> None:
-        """Adds the expected piece counts of ``count`` such words."""
-        s = MARK + word.decode("utf-8", "replace")
-        into = self.arcs(s)
-        alpha = self.forward(s, into)
-        beta = [NEG] * len(s) + [0.0]
-        z = alpha[-1]
-        for j in range(len(s), 0, -1):
-            if beta[j] <= NEG / 2:
-                continue
-            for i, lp, ks in into[j]:
-                v = beta[j] + lp
-                share = count * math.exp(min(0.0, alpha[i] + v - z))
-                for k in ks:
-                    total[k] += share
-                top = max(beta[i], v)
-                beta[i] = top + math.log(math.exp(beta[i] - top) + math.exp(v - top)) if beta[i] > NEG / 2 else v
-
-
-def _word_counts(texts: DataFrame) -> DataFrame:
-    """texts(text) -> (word binary, c): counts within batches first."""
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """Log probabilities of many words, those of one length together."""
+        out = np.zeros(len(words))
+        marked = [MARK + w.decode("utf-8", "replace") for w in words]
+        size = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            if n > LONG_WORD:
+                out[at] = [self.forward(marked[i])[-1] for i in at]
+            else:
+                out[at] = self._together("".join([marked[i] for i in at]), len(at), int(n))
+        return out
+
+    def _pieces_by_hash(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(sorted hashes, log probabilities) of the pieces of each length."""
+        if self.hashed is None:
+            self.hashed = [(np.zeros(0, dtype=np.uint64), np.zeros(0))]
+            for n in range(1, self.longest + 1):
+                some = [(p, k) for p, k in self.index.items() if len(p) == n]
+                codes = np.frombuffer("".join(p for p, _ in some).encode("utf-32-le"), dtype="<u4").reshape(len(some), n)
+                h = np.zeros(len(some), dtype=np.uint64)
+                with np.errstate(over="ignore"):
+                    for i in range(n):
+                        h = h * _BASE + _spread(codes[:, i])
+                order = np.argsort(h)
+                self.hashed.append((h[order], np.array([self.logp[k] for _, k in some])[order]))
+        return self.hashed
+
+    def _together(self, text: str, rows: int, n: int) -> np.ndarray:
+        """Forward recursion over the columns of ``rows`` words of ``n`` characters."""
+        tables = self._pieces_by_hash()
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").reshape(rows, n)
+        char, inverse = np.unique(codes, return_inverse=True)
+        single = np.empty(len(char))
+        for i, c in enumerate(map(chr, char.tolist())):
+            k = self.index.get(c)
+            single[i] = self.logp[k] if k is not None else sum(self.logp[self.bytes0 + b] for b in c.encode("utf-8", "replace"))
+        single = single[inverse].reshape(rows, n)
+        spread = _spread(codes)
+        alpha = np.full((n + 1, rows), -np.inf)
+        alpha[0] = 0.0
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            for i in range(n):
+                np.logaddexp(alpha[i + 1], alpha[i] + single[:, i], out=alpha[i + 1])
+                h = spread[:, i].copy()
+                for m in range(2, min(self.longest, n - i) + 1):
+                    h = h * _BASE + spread[:, i + m - 1]
+                    hashes, logp = tables[m]
+                    if len(hashes):
+                        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                        hit = np.flatnonzero(hashes[at] == h)
+                        if len(hit):
+                            alpha[i + m][hit] = np.logaddexp(alpha[i + m][hit], alpha[i][hit] + logp[at[hit]])
+        return alpha[n]
+
+
+def _spread(codes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = codes.astype(np.uint64) + np.uint64(1)
+        x = (x ^ (x >> np.uint64(7))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
+
+
+def piece_weights(n_pieces: int) -> np.ndarray:
+    """Natural log probabilities of pieces (best first), bytes and the end."""
+    p = np.concatenate([1.0 / (np.arange(n_pieces) + 2.7), np.full(256, BYTE_WEIGHT), [END_WEIGHT]])
+    return np.log(p / p.sum())
+
+
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """rows(text, train) -> (word binary, c, a): occurrences in training rows
+    and in all, counted within tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
-        counts: Counter = Counter()
+        trained, other = Counter(), Counter()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())],
-                                               names=["word", "c"])
-            counts.clear()
-            return batch
+            words = list(trained.keys() | other.keys())
+            c = np.fromiter((trained[w] for w in words), dtype=np.int64, count=len(words))
+            a = c + np.fromiter((other[w] for w in words), dtype=np.int64, count=len(words))
+            trained.clear()
+            other.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(a)], names=["word", "c", "a"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                for t in batch.column(0).slice(start, 256).to_pylist():
-                    counts.update(words_of(t))
-                if len(counts) > WORD_TABLE_ENTRIES:
+                part = batch.slice(start, 256)
+                for t, train in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    (trained if train else other).update(words_of(t))
+                if len(trained) + len(other) > WORD_TABLE_ENTRIES:
                     yield out()
         yield out()
 
-    return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def fit_pieces(words: DataFrame, n_texts: int, pieces: list[str], rounds: int = EM_ROUNDS) -> np.ndarray:
-    """Log probabilities (natural) of pieces, bytes and the end."""
-    spark = words.sparkSession
-    size = len(pieces) + 257
-    p = np.concatenate([1.0 / (np.arange(len(pieces)) + 2.7), np.full(256, 1e-6), [1e-2]])
-    for _ in range(rounds):
-        state = spark.sparkContext.broadcast((pieces, np.log(p / p.sum())))
-
-        def run(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            lattice = Lattice(*state.value)
-            total = np.zeros(size)
-            for batch in batches:
-                for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    lattice.expect(w, float(c), total)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.float64())], names=["k", "x"])
-
-        found = words.select("word", "c").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
-        p = np.full(size, SMOOTHING)
-        for r in found:
-            p[r.k] += r.x
-        p[-1] += n_texts
-    return np.log(p / p.sum())
+    return rows.select("text", "train").mapInArrow(run, "word binary, c long, a long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
+
+
+def _scored_words(words: DataFrame, model) -> DataFrame:
+    """Adds ``x``, the natural log probability of each distinct word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(model.value, piece_weights(len(model.value)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(start, TOGETHER)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lattice.words(b.column(0).to_pylist()))], names=["word", "c", "a", "x"])
+
+    return words.mapInArrow(run, "word binary, c long, a long, x double")
 
 
 def score_documents(docs: DataFrame, train: Column, model_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every
-    row; counts and weights come from the rows for which ``train`` holds."""
+    row; counts come from the rows for which ``train`` holds."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), train.alias("train"))
-    words = stored(_word_counts(rows.filter("train")), "lm-words")
+    scratch = Scratch(spark)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    pieces = read_pieces(read_model_file(model_file))
+    words = scratch.put(_scored_words(_word_counts(rows), spark.sparkContext.broadcast(pieces)), "lm-words")
     n_texts = rows.filter("train").count()
-    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count(F.lit(1)).alias("all")).first()
     n_train, v_train = seen.n + n_texts, seen.v + (n_texts > 0)
     denominator = float(n_train + v_train + 1)
     # the commonest words, a bounded list
-    cut = commonest(words, "c", FREQUENT_WORDS).toArrow()
-    frequent = {w: math.log10((c + 1) / denominator) for w, c in zip(cut.column("word").to_pylist(), cut.column("c").to_pylist())}
-    complete = len(frequent) == seen.v
-    pieces = read_pieces(read_model_file(model_file))
-    logp = fit_pieces(words, n_texts, pieces)
-    state = spark.sparkContext.broadcast((frequent, pieces, logp))
-    unseen = math.log10(1 / denominator)
+    frequent = commonest(words, "a", FREQUENT_WORDS).select("word", "c", "x").toArrow()
+    complete = frequent.num_rows == seen.all
+    state = spark.sparkContext.broadcast(frequent)
+    end = float(piece_weights(len(pieces))[-1])
     end_base, end_known = math.log10((n_texts + 1) / denominator), int(n_texts > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
-        known, pieces_, logp_ = state.value
-        lattice = Lattice(pieces_, logp_)
-        table: dict[bytes, float] = {}
-        end = lattice.logp[lattice.end]
+        table = state.value
+        number = {w: i for i, w in enumerate(table.column("word").to_pylist())}
+        c = table.column("c").to_numpy()
+        base_of, known_of, score_of = np.log10((c + 1) / denominator), (c > 0).astype(np.int64), table.column("x").to_numpy()
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 n, n_known, base, score, rare = [], [], [], [], []
                 for t in batch.column(2).to_pylist():
                     ws = words_of(t)
-                    b, s, hits, rest = end_base, end, end_known, []
-                    for w, tf in Counter(ws).items():
-                        x = table.get(w)
-                        if x is None:
-                            if len(table) >= WORD_TABLE_ENTRIES:
-                                table.clear()
-                            x = lattice.word(w)
-                            if len(w) <= 64:
-                                table[w] = x
-                        s += tf * x
-                        c = known.get(w)
-                        if c is not None:
-                            b += tf * c
-                            hits += tf
-                        elif complete:
-                            b += tf * unseen
-                        else:
-                            rest.append({"word": w, "tf": tf})
+                    at = np.fromiter([number.get(w, -1) for w in ws], dtype=np.int64, count=len(ws))
+                    hit = at[at >= 0]
                     n.append(len(ws) + 1)
-                    n_known.append(hits)
-                    base.append(b)
-                    score.append(s / math.log(10.0))
-                    rare.append(rest)
+                    n_known.append(end_known + int(known_of[hit].sum()))
+                    base.append(end_base + float(base_of[hit].sum()))
+                    score.append(end + float(score_of[hit].sum()))
+                    rest = Counter([ws[i] for i in np.flatnonzero(at < 0)]) if len(hit) < len(ws) else {}
+                    rare.append([{"word": w, "tf": tf} for w, tf in rest.items()])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()),
                      pa.array(base, pa.float64()), pa.array(score, pa.float64()),
@@ -238,13 +271,19 @@ def score_documents(docs: DataFrame, train: Column, model_file: str, doc_id: str
     scored = (rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
               .mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, "
                                "rare array<struct<word:binary,tf:bigint>>"))
+    ln10 = math.log(10.0)
     if not complete:
-        scored = stored(scored, "lm-scored")        # fixes the row numbers for the join below
-        rest = (scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
-                .join(words, "word", "left")
+        scored = scratch.put(scored, "lm-scored")        # fixes the row numbers for the join below
+        rest = (scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(words.select("word", "c", "x"), "word")
                 .groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"),
-                                    F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(denominator))).alias("more_base")))
+                                    F.sum(F.col("tf") * F.log10((F.col("c") + 1) / F.lit(denominator))).alias("more_base"),
+                                    F.sum(F.col("tf") * F.col("x")).alias("more_score")))
         scored = (scored.drop("rare").join(rest, "row", "left")
                   .withColumn("n_known", F.col("n_known") + F.coalesce("more_known", F.lit(0)))
-                  .withColumn("base_score", F.col("base_score") + F.coalesce("more_base", F.lit(0.0))))
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
+                  .withColumn("base_score", F.col("base_score") + F.coalesce("more_base", F.lit(0.0)))
+                  .withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0))))
+    out = scored.select("doc_id", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score",
+                        (F.col("score") / F.lit(ln10)).alias("score"))
+    kept = Scratch(spark).put(out, "lm-result")
+    scratch.clear()
+    return kept

@@ -35,9 +35,32 @@ def test_forward_sums_all_segmentations():
                     p = 0.0
             total += p
         assert math.isclose(lat.word(word.encode()), math.log(total), rel_tol=1e-9)
-        counts = np.zeros(len(pieces) + 257)
-        lat.expect(word.encode(), 2.0, counts)
-        assert counts.sum() > 0 and np.isfinite(counts).all()
+
+
+def test_words_of_one_length_together(monkeypatch):
+    import random
+    rng = random.Random(3)
+    pieces = LM.read_pieces(LM.read_model_file(__import__("public_tokenizers").path("piece_bpe_32k.model")))
+    lat = LM.Lattice(pieces, LM.piece_weights(len(pieces)))
+    assert math.isclose(np.exp(LM.piece_weights(len(pieces))).sum(), 1.0)
+    words = ["".join(rng.choices("abcdeéß日本the\x00😀", k=rng.randint(1, 20))).encode() for _ in range(800)]
+    words += [b"", b"\xff\xfe", "é".encode(), b"international", b"x" * 63, b"x" * 64, b"y" * 500]
+    assert np.allclose(lat.words(words), [lat.word(w) for w in words], rtol=1e-9)
+
+
+def test_scores_equal_word_by_word(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    import public_tokenizers as PT
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(SF + "/documents.parquet").limit(40).collect()] + [(1, None), (2, ""), (3, "Zz zz " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("c", F.lit("x")).withColumn("row", F.lit(1)).withColumn("word", F.lit(2))
+    pieces = LM.read_pieces(LM.read_model_file(PT.path("piece_bpe_32k.model")))
+    lat = LM.Lattice(pieces, LM.piece_weights(len(pieces)))
+    want = sorted((i, round((sum(lat.word(w) for w in LM.words_of(t)) + lat.logp[lat.end]) / math.log(10), 6)) for i, t in rows)
+    for frequent in (300_000, 40):
+        monkeypatch.setattr(LM, "FREQUENT_WORDS", frequent)
+        out = LM.score_documents(df, F.col("doc_id") % 3 != 0, PT.path("piece_bpe_32k.model")).collect()
+        assert np.allclose([s for _, s in sorted((r.doc_id, r.score) for r in out)], [s for _, s in want], atol=1e-4)
+    assert LM.score_documents(df.limit(0), F.lit(True), PT.path("piece_bpe_32k.model")).count() == 0
 
 
 @pytest.mark.parametrize("frequent", [300_000, 50])
