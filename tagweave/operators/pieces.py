@@ -7,13 +7,17 @@ linear in its length."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave import constants as C
-from tagweave.functions.arrays import exclusive_running_sum
+from tagweave.operators.vocabulary import VocabularySplitter  # noqa: F401  (a splitter for expand_pieces)
 
 CLS, SEP = "[CLS]", "[SEP]"
 CONT = "##"
@@ -79,9 +83,16 @@ def expand_pieces(sent_df: DataFrame, splitter: Callable[[Column], Column], toke
     (1 on a word's first piece, 0 elsewhere, 0 on CLS/SEP),
     ``word_piece_counts`` (pieces per word) and word-axis ``labels`` (tag
     ids).  A splitter with a whole-sentence form is used without per-word
-    lambdas; any other ``Column -> array<string>`` splitter runs per word."""
+    lambdas; any other ``Column -> array<string>`` splitter runs per word.  A
+    ``VocabularySplitter`` also gives ``piece_ids``, the vocabulary's ids."""
     toks = F.col(tokens_col)
-    if hasattr(splitter, "flat"):
+    ids: list[Column] = []
+    if hasattr(splitter, "attach"):
+        sent_df = splitter.attach(sent_df, tokens_col, "__split")
+        flat, starts, counts = (F.col(f"__split.{c}") for c in ("pieces", "starts", "counts"))
+        ends = (F.array(F.lit(splitter.special_ids.get(p, 0))) for p in (cls, sep))
+        ids = [F.concat(next(ends), F.col("__split.ids"), next(ends)).alias("piece_ids")]
+    elif hasattr(splitter, "flat"):
         flat, starts = splitter.flat(toks)
         counts = splitter.counts(toks)
     else:
@@ -92,12 +103,13 @@ def expand_pieces(sent_df: DataFrame, splitter: Callable[[Column], Column], toke
         counts = F.transform(per_word, lambda ps: F.size(ps))
     lab = _label_map(labels)
     return sent_df.select(
-        "*",
+        *[F.col(f"`{c}`") for c in sent_df.columns if c != "__split"],
         F.concat(F.array(F.lit(cls)), flat, F.array(F.lit(sep))).alias("pieces"),
         F.concat(F.array(F.lit(0)), starts, F.array(F.lit(0))).alias("token_starts"),
         counts.alias("word_piece_counts"),
         F.transform(F.col(tags_col), lambda t: F.coalesce(F.try_element_at(lab, t), F.raise_error(
             F.concat(F.lit("unknown tag: "), F.coalesce(t, F.lit("null")))).cast("int"))).alias("labels"),
+        *ids,
     )
 
 
@@ -184,73 +196,141 @@ def gather_first_pieces(df: DataFrame, values_col: str, starts_col: str = "token
     return df.withColumn(out_col, F.transform(F.filter(z, lambda x: x["s"] == 1), lambda x: x["v"]))
 
 
-def _clean_pieces(pieces: Column, tags: Column, cont_prefix: str, specials: Sequence[str]) -> Column:
-    sp = list(specials)
-    z = F.filter(F.arrays_zip(pieces.alias("p"), tags.alias("t")),
-                 lambda x: ~x["p"].isin(sp) if sp else F.lit(True))
+def _same(piece: str, part: str) -> bool:
+    """Equal texts, or equal but for case and accents (as an uncased
+    vocabulary writes them)."""
+    if piece == part:
+        return True
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
+    return plain(piece) == plain(part)
+
+
+def align_unknown(words: list[str], pieces: list[str | None]) -> list[int]:
+    """For every word the place of its first piece, or -1.
+
+    ``pieces`` are the texts of a sentence's pieces in order, ``None`` for an
+    unknown piece.  Two pointers go through both lists: a known piece covers its
+    own text, an unknown piece covers the rest of the word it stands in.  Where
+    the following texts then disagree, the unknown piece covers less of its
+    word (several unknown pieces may stand for one word).  Words past the last
+    piece, and empty words, have none."""
+    first = [-1] * len(words)
+    choices: list[tuple[int, int, int, int, list[int]]] = []     # an unknown piece, where it stands, what it covered
+    seen: set[tuple[int, int, int]] = set()                      # a state that came up before leads nowhere
+    place = word = offset = 0
+    while True:
+        while word < len(words) and offset == len(words[word]):
+            word, offset = word + 1, 0
+        if place == len(pieces):
+            return first
+        state = place, word, offset
+        if word < len(words) and state not in seen:
+            seen.add(state)
+            if offset == 0:
+                first[word] = place
+            left, piece = len(words[word]) - offset, pieces[place]
+            if piece is None:
+                choices.append((*state, left, list(first)))
+                place, word, offset = place + 1, word + 1, 0
+                continue
+            if len(piece) <= left and _same(piece, words[word][offset:offset + len(piece)]):
+                place, offset = place + 1, offset + len(piece)
+                continue
+        while choices and choices[-1][3] == 1:
+            choices.pop()
+        if not choices:
+            return _by_length(words, pieces)
+        at, word, start, cover, kept = choices.pop()
+        choices.append((at, word, start, cover - 1, kept))
+        place, offset, first = at + 1, start + cover - 1, list(kept)
+
+
+def _by_length(words: list[str], pieces: list[str | None]) -> list[int]:
+    """Texts that disagree: the pieces are laid end to end on the words by
+    their lengths; an unknown piece covers the rest of its word."""
+    first, word, offset = [-1] * len(words), 0, 0
+    for i, piece in enumerate(pieces):
+        while word < len(words) and offset >= len(words[word]):
+            word, offset = word + 1, offset - len(words[word])
+        if word == len(words):
+            break
+        if offset == 0:
+            first[word] = i
+        offset = len(words[word]) if piece is None else offset + len(piece)
+    return first
+
+
+def _word_tags_udf(cont_prefix: str, specials: Sequence[str], unk: str, with_starts: bool):
+    """pieces, their tags, (their start flags,) words -> a tag for every word."""
     plen = len(cont_prefix)
-    clean = F.transform(z, lambda x: F.struct(
-        F.when(x["p"].startswith(cont_prefix), F.substring(x["p"], F.lit(plen + 1), F.length(x["p"]))).otherwise(x["p"]).alias("p"),
-        x["t"].alias("t")))
-    # empty pieces are dropped so every offset has at most one starting piece
-    return F.filter(clean, lambda x: x["p"] != "")
+
+    def run(pieces: pa.Array, tags: pa.Array, starts: pa.Array, words: pa.Array) -> pa.Array:
+        def parts(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
+            col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+            at = np.asarray(col.offsets, dtype=np.int64)
+            return col.values.slice(int(at[0]), int(at[-1] - at[0])), at - at[0]
+
+        (p, p_at), (t, _), (w, w_at) = parts(pieces), parts(tags), parts(words)
+        p, w = pc.fill_null(p, ""), pc.fill_null(w, "")
+        cont = pc.starts_with(p, cont_prefix).to_numpy(zero_copy_only=False).astype(bool)
+        if with_starts:
+            cont &= parts(starts)[0].to_numpy(zero_copy_only=False) == 0
+        unknown = pc.equal(p, unk).to_numpy(zero_copy_only=False).astype(bool)
+        drop = pc.is_in(p, pa.array(list(specials), pa.string())).to_numpy(zero_copy_only=False).astype(bool)
+        size = pc.utf8_length(p).to_numpy(zero_copy_only=False).astype(np.int64) - np.where(cont, plen, 0)
+        keep = np.flatnonzero(~drop & (size > 0))
+        row_of = np.repeat(np.arange(len(p_at) - 1), np.diff(p_at))[keep]
+        w_size = pc.utf8_length(w).to_numpy(zero_copy_only=False).astype(np.int64)
+        w_row = np.repeat(np.arange(len(w_at) - 1), np.diff(w_at))
+        # without unknown pieces both sides are laid end to end: a word takes the piece at its offset
+        base = np.int64(1) << 40
+        p_off = np.cumsum(size[keep]) - size[keep]
+        kept_at = np.concatenate([[0], np.cumsum(np.bincount(row_of, minlength=len(p_at) - 1))]).astype(np.int64)
+        shift = lambda off, at, rows: off - (off[np.minimum(at[:-1], max(len(off) - 1, 0))])[rows] if len(off) else off
+        p_key = row_of * base + shift(p_off, kept_at, row_of)
+        w_off = np.cumsum(w_size) - w_size
+        w_key = w_row * base + shift(w_off, w_at, w_row)
+        at = np.searchsorted(p_key, w_key)
+        hit = (at < len(p_key)) & (w_size > 0)
+        hit[hit] = p_key[at[hit]] == w_key[hit]
+        first = np.where(hit, keep[np.minimum(at, max(len(keep) - 1, 0))] if len(keep) else 0, -1)
+        for r in np.unique(row_of[unknown[keep]]).tolist():
+            mine = keep[kept_at[r]:kept_at[r + 1]]
+            texts = p.take(pa.array(mine)).to_pylist()
+            texts = [None if unknown[i] else x[plen:] if cont[i] else x for i, x in zip(mine.tolist(), texts)]
+            a, b = int(w_at[r]), int(w_at[r + 1])
+            found = np.array(align_unknown(w.slice(a, b - a).to_pylist(), texts), dtype=np.int64)
+            first[a:b] = np.where(found >= 0, mine[np.maximum(found, 0)] if len(mine) else 0, -1)
+        tag = t.take(pa.array(first, mask=first < 0)) if len(t) else pa.nulls(len(first), pa.string())
+        return pa.ListArray.from_arrays(pa.array(w_at.astype(np.int32)), pc.fill_null(tag, "O"))
+
+    return F.arrow_udf(run, "array<string>")
 
 
 def pieces_to_words(pieces_df: DataFrame, words_df: DataFrame | None = None, sent_col: str = "sent_id",
                     pieces_col: str = "pieces", tags_col: str = "piece_tags", words_col: str = "words",
-                    cont_prefix: str = CONT, specials: Sequence[str] = (CLS, SEP)) -> DataFrame:
-    """Map predicted pieces back to the given words.  Pieces (continuation
-    prefix removed, special pieces dropped) and words are laid end to end;
-    a word takes the tag of the piece that starts at the word's first
-    character (its first piece); an empty word, or a word no piece starts
-    on, gets ``O``.  Output ``(sent, pos, word, tag)``.
-
-    With ``words_df=None`` the words array sits in the same row as the
-    pieces and the match is done in-row: both sides become (offset, kind)
-    items, one native ``array_sort`` puts every word right after the piece
-    that starts at its offset, and a zip with the shifted array reads it --
-    no shuffle, but per-element work runs in interpreted higher-order
-    functions.  With a separate ``words_df`` the sides are exploded and
-    equi-joined on (sentence, offset); on local tests this was the faster
-    form."""
-    clean = _clean_pieces(F.col(pieces_col), F.col(tags_col), cont_prefix, specials)
-    if words_df is None:
-        d = pieces_df.select(sent_col, clean.alias("__z"), F.col(words_col).alias("__w"))
-        d = d.select(sent_col, "__z", "__w",
-                     exclusive_running_sum(F.transform("__z", lambda x: F.length(x["p"]))).alias("__ps"),
-                     exclusive_running_sum(F.transform("__w", lambda w: F.length(w))).alias("__ws"))
-        p_items = F.zip_with("__z", "__ps", lambda x, st: F.struct(
-            st.alias("start"), F.lit(0).alias("kind"), F.lit(0).alias("neglen"), F.lit(-1).alias("pos"),
-            F.lit("").alias("word"), x["t"].alias("tag")))
-        w_items = F.transform(F.arrays_zip(F.col("__w").alias("w"), F.col("__ws").alias("st")), lambda x, i: F.struct(
-            x["st"].alias("start"), F.lit(1).alias("kind"), (-F.length(x["w"])).alias("neglen"), i.alias("pos"),
-            x["w"].alias("word"), F.lit(None).cast("string").alias("tag")))
-        d = d.select(sent_col, F.array_sort(F.concat(p_items, w_items)).alias("__s"))
-        prev = F.concat(F.array(F.lit(None).cast(
-            "struct<start:bigint,kind:int,neglen:int,pos:int,word:string,tag:string>")),
-            F.slice("__s", 1, F.greatest(F.size("__s") - 1, F.lit(0))))
-        words = F.filter(F.zip_with("__s", prev, lambda c, p: F.struct(
-            c["kind"].alias("kind"), c["pos"].alias("pos"), c["word"].alias("word"),
-            F.when((c["word"] != "") & (p["kind"] == 0) & (p["start"] == c["start"]), p["tag"])
-            .otherwise(F.lit("O")).alias("tag"))), lambda x: x["kind"] == 1)
-        return (d.select(sent_col, F.explode(words).alias("x"))
-                .select(sent_col, F.col("x.pos").cast("int").alias("pos"), F.col("x.word").alias("word"),
-                        F.coalesce(F.col("x.tag"), F.lit("O")).alias("tag")))
-    pd_ = pieces_df.select(sent_col, clean.alias("__z"))
-    pd_ = pd_.select(sent_col, "__z", exclusive_running_sum(F.transform("__z", lambda x: F.length(x["p"])))
-                     .alias("__st"))
-    prow = (pd_.select(sent_col, F.explode(F.arrays_zip(F.col("__z").alias("z"), F.col("__st").alias("st")))
-                       .alias("e"))
-            .select(sent_col, F.col("e.st").alias("__start"), F.col("e.z.t").alias("tag")))
-    wd = words_df.select(sent_col, F.col(words_col).alias("__w"))
-    wd = wd.select(sent_col, "__w", exclusive_running_sum(F.transform("__w", lambda w: F.length(w))).alias("__st"))
-    wrow = wd.select(sent_col, F.posexplode(F.arrays_zip(F.col("__w").alias("w"), F.col("__st").alias("st")))
-                     .alias("pos", "e")).select(sent_col, F.col("pos").cast("int").alias("pos"),
-                                                F.col("e.w").alias("word"), F.col("e.st").alias("__start"))
-    return (wrow.join(prow, [sent_col, "__start"], "left")
-            .select(sent_col, "pos", "word",
-                    F.when(F.col("word") == "", F.lit("O")).otherwise(F.coalesce(F.col("tag"), F.lit("O")))
-                    .alias("tag")))
+                    cont_prefix: str = CONT, specials: Sequence[str] = (CLS, SEP), unk: str = "[UNK]",
+                    starts_col: str | None = None) -> DataFrame:
+    """Map predicted pieces back to the given words: a monotone alignment in
+    which a word takes the tag of its first piece.  Pieces (continuation prefix
+    removed, special pieces dropped) cover their own text; an unknown piece
+    covers its word (``align_unknown``).  An empty word, or a word no piece
+    starts on, gets ``O``.  Output ``(sent, pos, word, tag)``.
+
+    Both sides are arrays of one sentence row.  ``words_df=None`` reads them
+    from one table; a separate ``words_df`` joins sentence rows.  Tokens are
+    never shuffled: one Arrow function aligns a batch of sentences, all those
+    without unknown pieces together.  ``starts_col`` (1 on a first piece) tells
+    first pieces that begin with the prefix's own characters from
+    continuations."""
+    both = pieces_df if words_df is None else pieces_df.join(words_df.select(sent_col, words_col), sent_col, "right")
+    none = F.array().cast("array<string>")
+    some = lambda c: F.coalesce(F.col(c), none)
+    starts = F.coalesce(F.col(starts_col), F.array().cast("array<int>")) if starts_col else F.lit(None).cast("array<int>")
+    tags = _word_tags_udf(cont_prefix, specials, unk, bool(starts_col))(some(pieces_col), some(tags_col), starts, some(words_col))
+    rows = both.select(sent_col, some(words_col).alias("__w"), tags.alias("__t"))
+    return (rows.select(sent_col, F.posexplode(F.arrays_zip(F.col("__w").alias("w"), F.col("__t").alias("t"))).alias("pos", "x"))
+            .select(sent_col, F.col("pos").cast("int").alias("pos"), F.col("x.w").alias("word"), F.col("x.t").alias("tag")))
 
 
 def fill_truncated(words_df: DataFrame, preds_df: DataFrame, keys: Sequence[str] = ("sent_id", "pos"),
