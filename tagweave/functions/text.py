@@ -20,6 +20,11 @@ def py_strip(c: Column) -> Column:
     return F.when(edge, F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+$", "")).otherwise(c)
 
 
+def leading_space(c: Column) -> Column:
+    """How many characters ``py_strip`` removes at the start."""
+    return F.when(F.substring(c, 1, 1).rlike(_SPACE), F.length(F.regexp_extract(c, rf"^{_SPACE}+", 0))).otherwise(F.lit(0))
+
+
 def normalize_ws(c: Column) -> Column:
     """Collapse every whitespace run to one space, then strip."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))

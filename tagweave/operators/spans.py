@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from tagweave import constants as C
 from tagweave.functions.arrays import exclusive_running_sum, running_sum
-from tagweave.functions.text import py_strip, split_words
+from tagweave.functions.text import leading_space, py_strip, split_words
+from tagweave.operators.automaton import MAX_LEXICON_BYTES, match_names
+from tagweave.operators.sweep import sweep
 
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
@@ -197,7 +199,7 @@ def tokenize_whitespace(df: DataFrame, text_col: str = "text", keys: str | Seque
     if normalize:
         t = F.trim(F.regexp_replace(t, r"\s+", " "))
     stripped = py_strip(t)
-    lead = (F.length(t) - F.length(F.regexp_replace(t, r"^\s+", ""))) if not normalize else F.lit(0)
+    lead = leading_space(t) if not normalize else F.lit(0)
     words = split_words(stripped)
     # starts = running sum of [lead, len(w0)+1, len(w1)+1, ...]: the leading
     # whitespace rides in the array so no lambda touches a row expression
@@ -214,42 +216,21 @@ def tokenize_whitespace(df: DataFrame, text_col: str = "text", keys: str | Seque
 # spans -> BIO tags (interval join, bucketed)
 # --------------------------------------------------------------------------
 def spans_to_bio(tokens_df: DataFrame, spans_df: DataFrame, keys: str | Sequence[str] = "doc_id",
-                 label_col: str = "label", bucket_chars: int = 64) -> DataFrame:
+                 label_col: str = "label") -> DataFrame:
     """Char spans to token tags.
 
     The first token overlapping a span gets ``B-X``, later overlapped tokens
     ``I-X``, all others ``O``.  When spans overlap, a token takes the span
-    with the earliest start, then the longest, then the smallest label.
+    with the earliest start, then the longest, then the smallest label.  Tokens
+    of a document must not overlap one another.
 
-    Interval join without all-pairs: both sides are exploded into fixed-width
-    character buckets and joined on (keys, bucket); a pair is kept only in the
-    first bucket both share, so each pair is produced once and the work per
-    bucket is bounded by the bucket width."""
+    One sweep per document over sorted tokens and spans (``sweep.py``): both
+    sides are exchanged once, by document, and no pair of a token and a span is
+    ever a row."""
     ks = _keys(keys)
-    B = int(bucket_chars)
     lab = F.col(label_col) if label_col in spans_df.columns else F.element_at(F.col("labels"), 1)
-    sp = spans_df.select(*ks, F.col("start").alias("s_start"), F.col("end").alias("s_end"),
-                         lab.alias("s_label"))
-    sp = sp.withColumn("sid", F.xxhash64(F.col("s_start"), F.col("s_end"), F.col("s_label")))
-    sp_b = sp.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("s_start") / B),
-                                                        F.floor((F.greatest(F.col("s_end"), F.col("s_start") + 1) - 1) / B))))
-    tk = tokens_df.select(*ks, "pos", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    tk_b = tk.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("t_start") / B),
-                                                        F.floor((F.greatest(F.col("t_end"), F.col("t_start") + 1) - 1) / B))))
-    pairs = (tk_b.join(sp_b, [*ks, "bucket"], "inner")
-             .where((F.col("t_start") < F.col("s_end")) & (F.col("t_end") > F.col("s_start"))
-                    & (F.col("bucket") == F.greatest(F.floor(F.col("t_start") / B), F.floor(F.col("s_start") / B))))
-             .select(*ks, "pos", "sid", "s_start", "s_end", "s_label"))
-    first_tok = pairs.groupBy(*ks, "sid").agg(F.min("pos").alias("first_pos"))
-    chosen = (pairs.groupBy(*ks, "pos")
-              .agg(F.min(F.struct(F.col("s_start"), (-(F.col("s_end") - F.col("s_start"))).alias("neg_len"),
-                                  F.col("s_label"), F.col("sid"))).alias("c"))
-              .select(*ks, "pos", F.col("c.sid").alias("sid"), F.col("c.s_label").alias("s_label")))
-    tagged = (chosen.join(first_tok, [*ks, "sid"], "inner")
-              .select(*ks, "pos", F.concat(F.when(F.col("pos") == F.col("first_pos"), F.lit("B-"))
-                                           .otherwise(F.lit("I-")), F.col("s_label")).alias("tag")))
-    return (tokens_df.join(tagged, [*ks, "pos"], "left")
-            .withColumn("tag", F.coalesce(F.col("tag"), F.lit("O"))))
+    sp = spans_df.select(*ks, F.col("start").alias("s_start"), F.col("end").alias("s_end"), lab.alias("s_label"))
+    return sweep(tokens_df, sp.dropna(subset=[*ks, "s_start", "s_end"]), ks)
 
 
 # --------------------------------------------------------------------------
@@ -293,65 +274,25 @@ def bio_to_spans(tokens_df: DataFrame, sent_col: str | Sequence[str] = "sent_id"
 
 
 # --------------------------------------------------------------------------
-# lexicon match (n-gram equality, longest match wins, left to right)
+# lexicon match (automaton, longest match wins, left to right)
 # --------------------------------------------------------------------------
 def lexicon_match(tokens_df: DataFrame, lexicon_df: DataFrame, label: str,
-                  keys: str | Sequence[str] = "doc_id", name_col: str = "name", max_words: int | None = None) -> DataFrame:
+                  keys: str | Sequence[str] = "doc_id", name_col: str = "name", max_words: int | None = None,
+                  max_bytes: int = MAX_LEXICON_BYTES) -> DataFrame:
     """Pre-annotate lexicon names as token spans ``(keys, start, end, label)``
-    (token positions, ``end`` exclusive).
-
-    Candidates are n-grams (1..max_words tokens) joined by a space and
-    lower-cased, equi-joined to the lower-cased lexicon (no hint: the optimizer
-    picks the join by measured size).  ``max_words`` is the longest name's
-    length unless given; a lexicon with a longer name than given raises.
-    Overlaps are resolved left to right, longest first: a match is kept when
-    it starts after the end of the last kept match, decided by a running max
-    over matches ordered by (start, -length) whose start is not covered by an
-    earlier, longer-or-equal kept candidate."""
+    (token positions, ``end`` exclusive), ignoring case: left to right, the
+    longest name at a start, no overlaps.
+
+    A token-level automaton of all names (``automaton.py``) reads each
+    document's words once, in order, whatever the length of the names.  It is
+    shipped after a check of its size; a lexicon beyond ``max_bytes`` is read
+    in blocks.  ``max_words``, if given, is the longest name allowed: a longer
+    one raises."""
     ks = _keys(keys)
-    lex = (lexicon_df.select(F.lower(F.col(name_col)).alias("gram"))
-           .where(F.col("gram") != "").distinct()
-           .withColumn("n_words", F.size(F.split("gram", " ", -1))))
-    longest = lex.agg(F.max("n_words")).first()[0] or 1
-    if max_words is not None and longest > max_words:
-        raise ValueError(f"the lexicon has a name of {longest} words; max_words is {max_words}")
-    max_words = longest
-    w = Window.partitionBy(*ks).orderBy("pos")
-    grams = tokens_df.select(*ks, "pos", F.lower(F.col("token")).alias("tok"))
-    cols = [F.col("tok")] + [F.lead("tok", k).over(w) for k in range(1, max_words)]
-    grams = grams.select(*ks, "pos", F.array(*cols).alias("ahead"))
-    # only positions whose word can start a lexicon name expand to n-grams
-    firsts = lex.select(F.element_at(F.split("gram", " ", -1), 1).alias("tok")).distinct()
-    grams = grams.withColumn("tok", F.col("ahead")[0]).join(firsts, "tok", "left_semi")
-    cand = grams.select(*ks, "pos", F.explode(F.sequence(F.lit(1), F.lit(max_words))).alias("n"), "ahead")
-    cand = (cand.where(F.get(F.col("ahead"), F.col("n") - 1).isNotNull())
-            .select(*ks, "pos", "n", F.array_join(F.slice("ahead", 1, F.col("n")), " ").alias("gram")))
-    hits = cand.join(lex.select("gram", "n_words"), "gram", "inner").where(F.col("n") == F.col("n_words"))
-    # longest match per start position, then greedy left to right
-    best = (hits.groupBy(*ks, "pos").agg(F.max("n").alias("n"))
-            .withColumn("end", F.col("pos") + F.col("n")))
-    kept = _greedy_select(best, ks)
-    return kept.select(*ks, F.col("pos").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
-                       F.lit(label).alias("label"))
-
-
-def _greedy_select(best: DataFrame, ks: list[str]) -> DataFrame:
-    """Exact greedy left-to-right selection over candidate intervals sorted by
-    start (one per start, longest).  A candidate is kept iff its start is not
-    inside the last kept interval.  Done per key with an ordered fold over the
-    key's candidates: the candidate list of one document is bounded by its
-    token count times one."""
-    grouped = best.groupBy(*ks).agg(F.array_sort(F.collect_list(F.struct("pos", "end"))).alias("c"))
-    folded = grouped.select(*ks, F.aggregate(
-        "c",
-        F.struct(F.lit(-1).cast("long").alias("frontier"),
-                 F.array().cast("array<struct<pos:long,end:long>>").alias("kept")),
-        lambda acc, x: F.when(x["pos"] >= acc["frontier"],
-                              F.struct(x["end"].cast("long").alias("frontier"),
-                                       F.concat(acc["kept"], F.array(F.struct(x["pos"].cast("long").alias("pos"),
-                                                                              x["end"].cast("long").alias("end"))))
-                                       .alias("kept")))
-        .otherwise(acc),
-    )["kept"].alias("kept"))
-    return folded.select(*ks, F.explode("kept").alias("k")).select(*ks, F.col("k.pos").alias("pos"),
-                                                                   F.col("k.end").alias("end"))
+    lex = lexicon_df.select(F.lower(F.col(name_col)).alias("name")).where(F.col("name") != "").distinct()
+    if max_words is not None:
+        longest = lex.agg(F.max(F.size(F.split("name", " ", -1)))).first()[0] or 0
+        if longest > max_words:
+            raise ValueError(f"the lexicon has a name of {longest} words; max_words is {max_words}")
+    words = tokens_df.select(*ks, "pos", F.lower(F.col("token")).alias("w"))
+    return match_names(words, lex, ks, max_bytes).select(*ks, "start", "end", F.lit(label).alias("label"))

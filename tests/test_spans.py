@@ -104,7 +104,7 @@ def test_spans_to_bio_round_trip(spark):
     toks = S.tokenize_whitespace(docs, "text", "doc_id")
     # spans: "beta gamma" (6..16) and "zeta" (31..35), non-overlapping
     sp = spark.createDataFrame([(1, 6, 16, "X"), (1, 31, 35, "Y")], "doc_id long, start int, end int, label string")
-    tagged = S.spans_to_bio(toks, sp, bucket_chars=4).orderBy("pos").collect()
+    tagged = S.spans_to_bio(toks, sp).orderBy("pos").collect()
     assert [r.tag for r in tagged] == ["O", "B-X", "I-X", "O", "O", "B-Y"]
     back = S.bio_to_spans(S.spans_to_bio(toks, sp).withColumnRenamed("doc_id", "sent_id")).collect()
     assert sorted(tuple(r) for r in back) == [(1, "X", 1, 3), (1, "Y", 5, 6)]
@@ -132,3 +132,80 @@ def test_lexicon_match_longest_left_to_right(spark):
     lex = spark.createDataFrame([("machine translation",), ("translation of text",), ("text",)], "name string")
     got = sorted(tuple(r) for r in S.lexicon_match(toks, lex, "TaskName").collect())
     assert got == [(1, 1, 3, "TaskName"), (1, 4, 5, "TaskName")]
+
+
+def _plain_bio(tokens, spans):
+    """Every token against every span."""
+    tags = {}
+    over = lambda t, s: t[2] < s[1] and t[3] > s[0]
+    for t in tokens:
+        hits = sorted({s for s in spans if over(t, s)}, key=lambda s: (s[0], s[0] - s[1], s[2]))
+        if hits:
+            first = min(u[0] for u in tokens if over(u, hits[0]))
+            tags[t[0]] = ("B-" if t[0] == first else "I-") + hits[0][2]
+    return tags
+
+
+def test_spans_to_bio_equals_all_pairs(spark):
+    import random
+    rng = random.Random(7)
+    docs, toks, spans, want = [], [], [], {}
+    for d in range(40):
+        at, mine = rng.randint(0, 3), []
+        for pos in range(rng.randint(0, 60)):
+            n = rng.choice([0, 1, 3, 8])
+            mine.append((pos, "w", at, at + n))
+            at += n + 1
+        s = [(a, a + rng.randint(0, 25), rng.choice("XYZ")) for a in (rng.randint(0, at + 5) for _ in range(rng.choice([0, 0, 2, 9])))]
+        s += s[:1]
+        toks += [(d, f"k{d}", *t, "keep") for t in mine]
+        spans += [(d, f"k{d}", *x) for x in s]
+        want |= {(d, pos): tag for pos, tag in _plain_bio(mine, s).items()}
+    spans += [(99, "k99", 0, 5, "X"), (None, "k0", 0, 5, "X")]
+    t = spark.createDataFrame(toks, "doc_id long, part string, pos int, token string, start int, end int, own string").repartition(5)
+    s = spark.createDataFrame(spans, "doc_id long, part string, start int, end int, label string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = S.spans_to_bio(t, s, ["doc_id", "part"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(toks) and {r.own for r in got} == {"keep"}
+    assert {(r.doc_id, r.pos): r.tag for r in got if r.tag != "O"} == want
+    assert S.spans_to_bio(t.limit(0), s, ["doc_id", "part"]).count() == 0
+
+
+def test_offsets_after_unicode_space(spark):
+    texts = ["\u3000\u3000x y", "\x1f a", "\xa0\t b  c", "plain", " \u2028"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in S.tokenize_whitespace(df).collect():
+        assert texts[r.doc_id][r.start:r.end] == r.token
+    assert [(r.start, r.end) for r in S.tokenize_whitespace(df.where("doc_id = 0")).orderBy("pos").collect()] == [(2, 3), (4, 5)]
+
+
+def _plain_lexicon(words, names):
+    out, at = [], 0
+    while at < len(words):
+        n = max((len(x) for x in names if words[at:at + len(x)] == x), default=0)
+        if n:
+            out.append((at, at + n))
+        at += n or 1
+    return out
+
+
+def test_lexicon_match_equals_a_plain_scan(spark):
+    import random
+    rng = random.Random(11)
+    names = [[rng.choice("abc") for _ in range(rng.choice([1, 2, 3, 4, 12]))] for _ in range(12)] + [list("abcabcabc"), list("bcab"), ["c"] * 30]
+    docs = [[rng.choice("aabbccx") for _ in range(rng.randint(0, 150))] for _ in range(30)] + [["c"] * 100]
+    toks = spark.createDataFrame([(d, i, w.upper() if rng.random() < 0.3 else w) for d, ws in enumerate(docs) for i, w in enumerate(ws)],
+                                 "doc_id long, pos int, token string").repartition(4)
+    lex = spark.createDataFrame([(" ".join(n),) for n in names] + [("",)], "name string")
+    want = sorted((d, s, e) for d, ws in enumerate(docs) for s, e in _plain_lexicon(ws, names))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    try:
+        for max_bytes in (1 << 20, 300):                       # one automaton, and blocks of the lexicon
+            got = S.lexicon_match(toks, lex, "M", max_bytes=max_bytes).collect()
+            assert sorted((r.doc_id, r.start, r.end) for r in got) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert S.lexicon_match(toks, lex.limit(0), "M").count() == 0 and S.lexicon_match(toks.limit(0), lex, "M").count() == 0
