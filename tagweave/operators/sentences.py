@@ -9,15 +9,20 @@ set of flagged rows, also with distributed ordinals)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right, insort
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave import constants as C
 from tagweave.functions.text import py_strip
 from tagweave.operators.sampling import dense_ids, prefix_offsets
 from tagweave.operators.spans import _keys
+from tagweave.session import cut_lineage
+from tagweave.sources.formats import read_lines
 
 
 def split_sentences(df: DataFrame, text_col: str = "text", keys: str | Sequence[str] = "doc_id") -> DataFrame:
@@ -60,24 +65,93 @@ def _merge_flagged(d: DataFrame, gid: str, text_col: str, flag_col: str, sep: st
     return untouched.unionByName(grouped)
 
 
-def apply_merge_overrides(sentences_df: DataFrame, indices: Sequence[int],
-                          order: Sequence[str] = ("doc_id", "ord"), text_col: str = "sentence") -> DataFrame:
+MAX_SHIPPED_MERGES = 1_000_000
+
+
+class Islands:
+    """Order statistics of a sequence whose elements merge: ``select(j)`` is the
+    original ordinal that the j-th current element begins with.  Ordinals that
+    were merged into the one before them are kept sorted in blocks, so a step
+    costs the number of blocks and one bisection."""
+
+    BLOCK = 1024
+
+    def __init__(self):
+        self.blocks: list[list[int]] = [[]]
+
+    def select(self, j: int) -> int:
+        before = 0                                    # merged ordinals in earlier blocks
+        for block in self.blocks:
+            # the t-th merged ordinal m has m - t current elements before it
+            if block and block[-1] - (before + len(block) - 1) <= j:
+                before += len(block)
+                continue
+            return j + before + bisect_right(range(len(block)), j, key=lambda t: block[t] - (before + t))
+        return j + before
+
+    def merge(self, ordinal: int) -> None:
+        for i, block in enumerate(self.blocks):
+            if i == len(self.blocks) - 1 or (block and block[-1] >= ordinal):
+                insort(block, ordinal)
+                if len(block) > self.BLOCK:
+                    half = len(block) // 2
+                    self.blocks[i:i + 1] = [block[:half], block[half:]]
+                return
+
+
+def merged_ordinals(overrides: DataFrame, n_sentences: int) -> DataFrame:
+    """overrides(seq, index) -> (__g): the original ordinals that the merges
+    join to the sentence before them.  The steps depend on each other, so one
+    task applies them in ``seq`` order, holding one number per merge; only
+    indices are read here, never sentences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        islands, left = Islands(), n_sentences
+        for b in batches:
+            out = []
+            for i in b.column(0).to_pylist():
+                if 0 <= i < left - 1:                 # joins i and i + 1; at or past the last sentence there is nothing to join
+                    out.append(islands.select(i + 1))
+                    islands.merge(out[-1])
+                    left -= 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["__g"])
+
+    return (overrides.where("index is not null").repartition(1).sortWithinPartitions("seq", "index")
+            .select(F.col("index").cast("long").alias("index")).mapInArrow(run, "__g long"))
+
+
+def apply_merge_overrides(sentences_df: DataFrame, overrides: Sequence[int] | DataFrame,
+                          order: Sequence[str] = ("doc_id", "ord"), text_col: str = "sentence",
+                          index_col: str = "index", seq_col: str = "seq") -> DataFrame:
     """At each listed index, join sentence i and i+1 without a space.  Indices
-    are applied in the given (non-decreasing) order and count positions after
-    earlier merges, so the k-th index points at original ordinal i_k + k.
-    Output ``(line_id, order..., sentence)`` with ``line_id`` the 0-based
-    position after all merges."""
-    idx = [int(i) for i in indices]
-    if idx != sorted(idx):
-        raise ValueError("indices must be given in non-decreasing order (each counts positions after earlier merges)")
-    orig = [i + k for k, i in enumerate(idx)]
+    are applied one after another and count positions after the merges before
+    them, in any order; an index at or past the last sentence joins nothing.
+    ``overrides`` is a list, or a table of ``index_col`` applied in the order of
+    ``seq_col``.  Output ``(line_id, order..., sentence)`` with ``line_id`` the
+    0-based position after all merges."""
+    spark = sentences_df.sparkSession
+    if isinstance(overrides, DataFrame):
+        table = overrides.select(F.col(seq_col).alias("seq"), F.col(index_col).alias("index"))
+    else:
+        table = spark.createDataFrame([(k, int(i)) for k, i in enumerate(overrides)], "seq long, index long")
     d = dense_ids(sentences_df.select(*order, text_col), list(order), "__g")
-    lit_targets = F.array(*[F.lit(o + 1) for o in orig]) if orig else F.array().cast("array<long>")
-    d = d.withColumn("__flag", F.array_contains(lit_targets, F.col("__g")))
-    merged = _merge_flagged(d, "__g", text_col, "__flag", "", list(order))
-    lit_orig = F.array(*[F.lit(o + 1) for o in orig]) if orig else F.array().cast("array<long>")
-    shift = F.size(F.filter(lit_orig, lambda x: x <= F.col("__g")))
-    return merged.select((F.col("__g") - shift).alias("line_id"), *order, text_col)
+    merged = cut_lineage(merged_ordinals(table, d.count()))
+    if merged.count() <= MAX_SHIPPED_MERGES:
+        shipped = spark.sparkContext.broadcast(np.sort(merged.toArrow().column(0).to_numpy()))
+
+        def rank(g: pa.Array) -> pa.Array:
+            """Merged ordinals up to each ordinal, twice plus one if it is one of them."""
+            m = shipped.value
+            at = np.searchsorted(m, g.to_numpy(), side="right")
+            return pa.array(2 * at + (np.append(m, -1)[at - 1] == g.to_numpy()) * (at > 0))
+
+        d = d.withColumn("__r", F.arrow_udf(rank, "long")("__g")).withColumn("__flag", F.pmod("__r", F.lit(2)) == 1)
+        d = d.withColumn("__line", F.col("__g") - F.floor(F.col("__r") / 2)).drop("__r")
+        out = _merge_flagged(d, "__g", text_col, "__flag", "", ["__line", *order])
+        return out.select(F.col("__line").cast("long").alias("line_id"), *order, text_col)
+    flagged = d.join(merged.withColumn("__flag", F.lit(True)), "__g", "left").withColumn("__flag", F.coalesce("__flag", F.lit(False)))
+    out = _merge_flagged(flagged, "__g", text_col, "__flag", "", list(order))
+    return dense_ids(out, "__g", "line_id").select("line_id", *order, text_col)
 
 
 def merge_abbreviation_breaks(sentences_df: DataFrame, order: Sequence[str] = ("doc_id", "ord"),
@@ -151,23 +225,59 @@ def restore_paragraphs(pred_tokens_df: DataFrame, template_tokens_df: DataFrame,
             .select(*template_order, F.col("__pt").alias(token_col), *extra))
 
 
+BLOCK_LINES = 4_096
+
+
+def differing_lines(a: DataFrame, b: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """a(line, token), b(line, token) -> (line, token_a, token_b) of lines that
+    differ or that one side lacks.  Blocks of lines are compared by digests
+    first (a count and two sums of hashes of line and token, pre-aggregated in
+    every task); tokens meet only for blocks that differ."""
+    block = F.floor(F.col("line") / block_lines)
+
+    def digests(d: DataFrame, side: str) -> DataFrame:
+        h, k = F.xxhash64("line", "token"), F.crc32(F.concat_ws("\u0001", F.col("line").cast("string"), F.coalesce("token", F.lit("\u0002"))))
+        return d.groupBy(block.alias("block")).agg(F.struct(F.count(F.lit(1)), F.bit_xor(h), F.sum(k)).alias(side))
+
+    both = digests(a, "x").join(digests(b, "y"), "block", "full_outer")
+    unlike = cut_lineage(both.where(~F.col("x").eqNullSafe(F.col("y"))).select("block"))
+    if unlike.isEmpty():
+        return a.limit(0).select("line", F.col("token").alias("token_a"), F.col("token").alias("token_b"))
+    left, right = (d.withColumn("block", block).join(unlike, "block", "left_semi").select("line", F.col("token").alias(n))
+                   for d, n in ((a, "token_a"), (b, "token_b")))
+    return left.join(right, "line", "full_outer").where(~F.col("token_a").eqNullSafe(F.col("token_b")))
+
+
 def check_token_alignment(a_df: DataFrame, b_df: DataFrame, keys: Sequence[str] | None = None,
                           a_order: Sequence[str] = ("sent_id", "pos"), b_order: Sequence[str] = ("sent_id", "pos"),
                           token_col: str = "token") -> DataFrame:
-    """Mismatching lines between two token files: ``(line, token_a,
+    """Mismatching lines between two token tables: ``(line, token_a,
     token_b)`` where a line is missing on one side or the tokens differ.
     With ``keys`` the sides are matched on those columns; otherwise on global
-    line ordinals (distributed).  An empty result means aligned."""
+    line ordinals (sentence counts, prefix-summed; tokens are not sorted) and
+    by ``differing_lines``.  An empty result means aligned."""
     if keys:
         a = a_df.select(*keys, F.col(token_col).alias("token_a"))
         b = b_df.select(*keys, F.col(token_col).alias("token_b"))
         j = a.join(b, list(keys), "full_outer")
         return j.where(~F.col("token_a").eqNullSafe(F.col("token_b")))
-    a = dense_ids(a_df.select(*a_order, token_col), list(a_order), "line").select(
-        "line", F.col(token_col).alias("token_a"))
-    b = dense_ids(b_df.select(*b_order, token_col), list(b_order), "line").select(
-        "line", F.col(token_col).alias("token_b"))
-    return a.join(b, "line", "full_outer").where(~F.col("token_a").eqNullSafe(F.col("token_b")))
+    sides = (_token_ordinals(d.select(*order, F.col(token_col).alias("token")), order, "line").select("line", "token")
+             for d, order in ((a_df, a_order), (b_df, b_order)))
+    return differing_lines(*sides)
+
+
+def check_file_alignment(spark: SparkSession, path_a: str, path_b: str, sep: str = "\t", block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Line-by-line comparison of two token files of any size: the first field
+    of every line (blank lines included) must be the same.  Lines are numbered
+    in file order from a table of file splits; no line is sorted or stored."""
+    def tokens(path: str) -> DataFrame:
+        return read_lines(spark, path).select(F.col("line_id").alias("line"), F.split("value", _quoted(sep), 2)[0].alias("token"))
+
+    return differing_lines(tokens(path_a), tokens(path_b), block_lines)
+
+
+def _quoted(sep: str) -> str:
+    return "\\Q" + sep + "\\E"
 
 
 def first_section_sentences(papers_df: DataFrame, key: str = "url", sections_col: str = "sections") -> DataFrame:

@@ -28,16 +28,35 @@ def q_map_batches(spark, sf_dir):
     return BM.map_batches(d, _word_counts, "doc_id long, n_words long")
 
 
+# every 50th record is cut short, so that it does not parse
+_EVENT_PROPS_SQL = """ev as (select event_id, case when event_id % 50 = 0 then substr(props, 1, length(props) - 1) else props end as props from events)"""
+
+
+def _event_props(spark, sf_dir):
+    cut = F.when(F.pmod("event_id", F.lit(50)) == 0, F.substring("props", F.lit(1), F.length("props") - 1)).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", cut.alias("props"))
+
+
 def _parse_props(rec: dict) -> dict:
     return {"event_id": rec["event_id"], "k": int(json.loads(rec["props"])["k"])}
 
 
-@register("try_map", """select event_id, json_extract(props, '$.k')::BIGINT as k from events
-where try_cast(json_extract(props, '$.k') as BIGINT) is not null""")
+@register("try_map", f"""with {_EVENT_PROPS_SQL}
+select event_id, case when json_valid(props) then try_cast(json_extract(props, '$.k') as BIGINT) end as k,
+       case when json_valid(props) and try_cast(json_extract(props, '$.k') as BIGINT) is not null then null else props end as failed_props
+from ev""")
 def q_try_map(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "props")
-    ok, _errors = BM.try_map(e, _parse_props, "event_id long, k long")
-    return ok
+    ok, errors = BM.try_map(_event_props(spark, sf_dir), _parse_props, "event_id long, k long")
+    return (ok.withColumn("failed_props", F.lit(None).cast("string"))
+            .unionByName(errors.select("event_id", F.lit(None).cast("long").alias("k"), F.col("props").alias("failed_props"))))
+
+
+@register("try_columns", f"""with {_EVENT_PROPS_SQL},
+t as (select event_id, case when json_valid(props) then try_cast(json_extract(props, '$.k') as BIGINT) end as k from ev)
+select event_id, k, case when k is null then 'failed: k' else 'ok' end as status from t""")
+def q_try_columns(spark, sf_dir):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return BM.try_columns(_event_props(spark, sf_dir), {"k": k}).select("event_id", "k", "status")
 
 
 @register("materialize", f"""with {DOC_TOKENS_SQL}

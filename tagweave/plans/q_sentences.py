@@ -14,6 +14,8 @@ from tagweave.operators.spans import tokenize_whitespace
 from tagweave.plans.catalog import register
 from tagweave.plans.fixtures import doc_sentences, doc_tokens, normalized_documents, papers, table
 from tagweave.plans.q_evaluate import LOGITS_SQL, logits_table
+from tagweave.session import scratch_path
+from tagweave.sources.conll import write_conll
 from tagweave.plans.q_tokens import DOC_TOKENS_SQL, NDOCS_SQL, TAGGED_SQL
 
 SPLIT_SQL_TMPL = r"""{name} as (
@@ -49,6 +51,26 @@ def q_apply_merge_overrides(spark, sf_dir):
     return SE.apply_merge_overrides(_sentences(spark, sf_dir), OVERRIDES)
 
 
+# indices from the benchmark's ids, applied from the last item to the first: in no order
+@register("apply_merge_overrides_table", "with recursive " + SPLIT_SQL_TMPL.format(name="ss", src="documents") + """,
+ov as (select row_number() over (order by item_id desc) as k, (item_id * 7919) % 400 as i from benchmark),
+st(k, m) as (
+  select 0::BIGINT, []::BIGINT[]
+  union all
+  select ov.k, list_sort(list_append(st.m, ov.i + 1 + len(list_filter(st.m, lambda x, n: x - (n - 1) <= ov.i + 1))))
+  from st join ov on ov.k = st.k + 1),
+mg as (select unnest(m) as g from st where k = (select max(k) from ov)),
+g as (select *, row_number() over (order by doc_id, ord) - 1 as g from ss),
+f as (select *, sum(case when g in (select g from mg) then 0 else 1 end) over (order by g) as grp from g)
+select (grp - 1)::BIGINT as line_id, arg_min(doc_id, g) as doc_id, arg_min(ord, g) as ord, string_agg(sentence, '' order by g) as sentence
+from f group by grp
+""")
+def q_apply_merge_overrides_table(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    overrides = b.select((-F.col("item_id")).alias("seq"), F.pmod(F.col("item_id") * 7919, F.lit(400)).alias("index"))
+    return SE.apply_merge_overrides(_sentences(spark, sf_dir), overrides)
+
+
 ABBREV_SUFFIXES = ("et al .", "e.g.", "i.e.", "the.")
 ABBREV_EXCEPTIONS = [3, 50]
 
@@ -104,6 +126,24 @@ def q_check_token_alignment(spark, sf_dir):
     return SE.check_token_alignment(raw.select("doc_id", "pos", "token"), norm, keys=["doc_id", "pos"])
 
 
+CHANGED = 1000      # every so many tokens differ between the two files
+
+
+@register("check_file_alignment", f"""with {DOC_TOKENS_SQL},
+ln as (select sent_id, pos, token as token_a, case when (sent_id * 31 + pos) % {CHANGED} = 0 then token || '~' else token end as token_b from dtok
+       union all select sent_id, max(pos) + 1, '', '' from dtok group by sent_id),
+nl as (select *, (row_number() over (order by sent_id, pos) - 1)::BIGINT as line from ln)
+select line, token_a, token_b from nl where token_a <> token_b
+""")
+def q_check_file_alignment(spark, sf_dir):
+    t = doc_tokens(spark, sf_dir).select("sent_id", "pos", "token", F.col("gold").alias("tag"))
+    changed = F.pmod(F.col("sent_id") * 31 + F.col("pos"), F.lit(CHANGED)) == 0
+    a, b = scratch_path(spark, "lines_a"), scratch_path(spark, "lines_b")
+    write_conll(t, a)
+    write_conll(t.withColumn("token", F.when(changed, F.concat("token", F.lit("~"))).otherwise(F.col("token"))), b)
+    return SE.check_file_alignment(spark, a, b)
+
+
 PAPERS_SQL = """pp as (select 'conv://' || conv_id::VARCHAR as url, conv_id, 'conversation ' || conv_id::VARCHAR as title,
        arg_min(text, turn) as abstract, string_agg(text, chr(10) || '---' || chr(10) order by turn) as content,
        count(*) as n_sections, arg_min(text, turn) as first_text from conversations group by conv_id)"""

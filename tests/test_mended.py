@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tagweave.functions.text import py_strip
 from tagweave.operators import batchmap as BM
 from tagweave.operators import labels as L
+from tagweave.operators import runlog as RU
 from tagweave.operators import pieces as P
 from tagweave.operators import relational as RL
 from tagweave.operators import sampling as SA
@@ -126,10 +127,39 @@ def test_regex_spans_refuses_what_it_cannot_restart(spark):
     assert SP.regex_spans(df, "text", "ab").count() == 3
 
 
-def test_overrides_must_be_in_order(spark):
-    df = spark.createDataFrame([(0, i, f"s{i}") for i in range(4)], "doc_id int, ord int, sentence string")
-    with pytest.raises(ValueError):
-        SE.apply_merge_overrides(df, [3, 1])
+def _plain_overrides(texts, idx):
+    out = list(texts)
+    for i in idx:
+        if i < len(out):
+            out[i:i + 2] = ["".join(out[i:i + 2])]
+    return out
+
+
+def test_overrides_in_any_order(spark, monkeypatch):
+    import random
+    rng = random.Random(8)
+    df = lambda n: spark.createDataFrame([(0, i, f"s{i},") for i in range(n)], "doc_id int, ord int, sentence string")
+    monkeypatch.setattr(SE.Islands, "BLOCK", 4)
+    for n, idx in ((5, [3, 1]), (5, [1, 3]), (6, [4, 4, 0, 0]), (4, [3, 2, 1, 0]), (3, [2, 7, 1, 1, 1]), (4, []),
+                   (60, [rng.randrange(60) for _ in range(50)])):
+        want = _plain_overrides([f"s{i}," for i in range(n)], idx)
+        got = SE.apply_merge_overrides(df(n), idx).orderBy("line_id").collect()
+        assert [(r.line_id, r.sentence) for r in got] == list(enumerate(want))
+    table = spark.createDataFrame([(9, 1), (2, 3)], "step int, at int")
+    for limit in (SE.MAX_SHIPPED_MERGES, 0):                         # shipped, and by a join
+        monkeypatch.setattr(SE, "MAX_SHIPPED_MERGES", limit)
+        got = SE.apply_merge_overrides(df(5), table, index_col="at", seq_col="step").orderBy("line_id").collect()
+        assert [(r.line_id, r.sentence) for r in got] == [(0, "s0,"), (1, "s1,s2,"), (2, "s3,s4,")]
+
+
+def test_files_are_compared_by_line(spark, tmp_path):
+    a = [f"w{i}\tO" if i % 7 else "" for i in range(1000)]
+    b = list(a)
+    b[500], b[14], b[15] = "other\tO", "x", "w15\tB-X"
+    pa_, pb = write(tmp_path / "a.txt", "\n".join(a) + "\n"), write(tmp_path / "b.txt", "\n".join(b + ["more"]) + "\n")
+    got = sorted((r.line, r.token_a, r.token_b) for r in SE.check_file_alignment(spark, pa_, pb, block_lines=16).collect())
+    assert got == [(14, "", "x"), (500, "w500", "other"), (1000, None, "more")]
+    assert SE.check_file_alignment(spark, pa_, pa_).count() == 0
 
 
 def test_strip_removes_what_python_removes(spark):
@@ -209,3 +239,67 @@ def test_container_by_class_with_nested_elements(spark):
     names = lambda c: [r.name for r in H.extract_headings(df, container=c).orderBy("ord").collect()]
     assert names("div.main-part") == names(".main-part") == ["one", "two", "three"]
     assert names("div") == ["no"] and names("section") == [] and names(None) == ["no", "one", "two", "three", "after"]
+
+
+def test_try_map_keeps_values(spark):
+    rows = [(9007199254740993, float("nan"), None, [1, None]), (2, 1.5, "b", None), (3, None, "bad", [9])]
+    df = spark.createDataFrame(rows, "x long, y double, s string, a array<long>")
+
+    def fn(r):
+        if r["s"] == "bad":
+            raise KeyError("s")
+        return {"x": r["x"], "y": r["y"], "n": r["s"], "a": r["a"]}
+
+    ok, bad = BM.try_map(df, fn, "x long, y double, n string, a array<long>")
+    got = {r.x: r for r in ok.collect()}
+    assert got[9007199254740993].y != got[9007199254740993].y and got[9007199254740993].n is None and got[9007199254740993].a == [1, None]
+    assert got[2].y == 1.5 and got[2].a is None
+    assert [(r.x, r.y, r.s, r.a) for r in bad.collect()] == [(3, None, "bad", [9])]
+    ok, bad = BM.try_map(df, lambda r: {"x": "not a number"} if r["x"] == 2 else {"x": r["x"]}, "x long")
+    assert sorted(r.x for r in ok.collect()) == [3, 9007199254740993]
+    assert [(r.x, r.s) for r in bad.collect()] == [(2, "b")]
+    exact = BM.try_map(df, lambda r: 1 // 0, "x long")[1].collect()
+    assert sorted(r.x for r in exact) == [2, 3, 9007199254740993] and {r["__error"].split(":")[0] for r in exact} == {"ZeroDivisionError"}
+    assert BM.try_map(df.limit(0), fn, "x long")[0].count() == 0
+
+
+def test_try_columns_names_what_failed(spark):
+    df = spark.createDataFrame([(1, '{"k": 9007199254740993}', "5"), (2, '{"k": ', "x"), (3, None, "7")], "i int, p string, n string")
+    out = BM.try_columns(df, {"k": F.try_variant_get(F.try_parse_json("p"), "$.k", "bigint"), "m": F.expr("try_cast(n as int)")}).orderBy("i").collect()
+    assert [(r.k, r.m, r.status) for r in out] == [(9007199254740993, 5, "ok"), (None, None, "failed: k,m"), (None, 7, "failed: k")]
+
+
+def _plain_best(values, eps):
+    best, at = float("-inf"), None
+    for i, v in enumerate(values):
+        if v is not None and v == v and v > best + eps:
+            best, at = v, i
+    return at
+
+
+def test_best_checkpoint_equals_a_plain_fold(spark):
+    import random
+    rng = random.Random(3)
+    runs = {}
+    for run in range(25):
+        x, vs = 0.5, []
+        for _ in range(rng.choice([1, 2, 40, 200])):
+            x += rng.choice([-1e-3, 2e-6, 4e-6, 9e-6, 1e-5, 1.1e-5, 3e-5])
+            vs.append(rng.choice([x, x, None, float("nan")]) if run % 5 == 0 else x)
+        runs[run] = vs
+    df = spark.createDataFrame([(r, i, v) for r, vs in runs.items() for i, v in enumerate(vs)], "run_id long, step long, value double").repartition(6)
+    got = {r.run_id: r.step for r in RU.best_checkpoint(df).collect()}
+    assert got == {r: _plain_best(vs, 1e-5) for r, vs in runs.items() if _plain_best(vs, 1e-5) is not None}
+    down = {r.run_id: r.step for r in RU.best_checkpoint(df.withColumn("value", -F.col("value")), mode="loss").collect()}
+    assert down == got
+
+
+def test_best_checkpoint_of_a_long_improving_run(spark):
+    n = 1_000_000
+    slow = spark.range(0, n, 1, 8).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("step"), (F.col("id") * 3e-7).alias("value"))
+    r = RU.best_checkpoint(slow).collect()
+    best, at = float("-inf"), None
+    for i in range(n):
+        if i * 3e-7 > best + 1e-5:
+            best, at = i * 3e-7, i
+    assert [(x.run_id, x.step, x.value) for x in r] == [(1, at, best)]
