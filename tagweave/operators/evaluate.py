@@ -86,16 +86,18 @@ def entity_metrics_by_type(tokens_df: DataFrame, gold_col: str = "gold", pred_co
                     f.alias("f1"), F.col("n_gold").alias("number"))
 
 
-def _overall_from_scored(scored: DataFrame) -> DataFrame:
-    """Micro scores and token accuracy in one aggregation over scored tokens."""
-    j = scored.agg(
+def overall_scores(scored: DataFrame, by: Sequence[str | Column] = ()) -> DataFrame:
+    """Micro scores and token accuracy in one aggregation over scored tokens,
+    for each group of ``by`` if given."""
+    j = scored.groupBy(*by).agg(
         F.coalesce(F.sum(F.col("correct").cast("long")), F.lit(0)).alias("n_correct"),
         F.count(F.col("pred_type")).alias("n_pred"),
         F.count(F.col("gold_type")).alias("n_gold"),
         F.count(F.lit(1)).alias("n_tokens"),
         F.coalesce(F.sum(F.col("equal").cast("long")), F.lit(0)).alias("n_equal"))
     p, r, f = _prf(F.col("n_correct"), F.col("n_pred"), F.col("n_gold"))
-    return j.select("n_correct", "n_pred", "n_gold", "n_tokens", p.alias("precision"), r.alias("recall"),
+    names = [c for c in j.columns if c not in ("n_correct", "n_pred", "n_gold", "n_tokens", "n_equal")]
+    return j.select(*names, "n_correct", "n_pred", "n_gold", "n_tokens", p.alias("precision"), r.alias("recall"),
                     f.alias("f1"), _safe_div(F.col("n_equal"), F.col("n_tokens")).alias("accuracy"))
 
 
@@ -103,14 +105,14 @@ def entity_metrics_overall(tokens_df: DataFrame, gold_col: str = "gold", pred_co
                            sent_col: str | Sequence[str] = "sent_id", pos_col: str = "pos") -> DataFrame:
     """Micro precision/recall/f1 over all chunks, and token accuracy (one
     window pass, one aggregation)."""
-    return _overall_from_scored(scored_tokens(tokens_df, gold_col, pred_col, sent_col, [pos_col]))
+    return overall_scores(scored_tokens(tokens_df, gold_col, pred_col, sent_col, [pos_col]))
 
 
 def entity_metrics_batched(tokens_df: DataFrame, batch_col: str = "batch_id", gold_col: str = "gold",
                            pred_col: str = "pred", sent_col: str = "sent_id", pos_col: str = "pos") -> DataFrame:
     """Same micro score, but each batch is one sequence (sentences in batch
     order), so chunks may run across sentence ends."""
-    return _overall_from_scored(scored_tokens(tokens_df, gold_col, pred_col, batch_col, [sent_col, pos_col]))
+    return overall_scores(scored_tokens(tokens_df, gold_col, pred_col, batch_col, [sent_col, pos_col]))
 
 
 def overall_from_type_counts(by_type_df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import mix_hash
 from tagweave.operators.spans import _keys
-from tagweave.session import ensure_checkpoint_dir
+from tagweave.session import cut_lineage, ensure_checkpoint_dir
 
 
 def _order_cols(order: str | Sequence[str | Column]) -> list:
@@ -107,20 +107,42 @@ def group_running_max_before(df: DataFrame, group_cols: Sequence[str], order: Se
     return out.withColumn(out_col, best).drop("__mid", "__pid", "__before", "__in")
 
 
+MAX_BROADCAST_SPLITS = 250_000
+
+
+def number_by_split(d: DataFrame, per_split: DataFrame, row_col: str = "__row", file_col: str = "__file", block_col: str = "__blk") -> DataFrame:
+    """Adds the place of each row in file order, ``__at`` (in its split) and
+    ``__off`` (kept rows of earlier splits).
+
+    ``row_col`` is a ``monotonically_increasing_id`` that was taken at the scan,
+    before any join.  ``per_split`` has a row per file split: its first row id
+    (``__first``), its rows (``__n``) and those kept (``__kept``), counted by a
+    pass over the same scan.  Only that small table is stored, ordered and
+    joined (broadcast while it has at most ``MAX_BROADCAST_SPLITS`` rows); the
+    rows themselves are neither sorted nor written.  Both passes must cut the
+    files alike: if the settings for splits change in between, rows don't fit
+    the table and the job raises."""
+    split = [file_col, block_col]
+    offs = per_split.select(*split, "__first", "__n", "__kept",
+                            (F.sum("__kept").over(Window.orderBy(*split)) - F.col("__kept")).alias("__off"))
+    offs = cut_lineage(offs)
+    offs = F.broadcast(offs) if offs.count() <= MAX_BROADCAST_SPLITS else offs
+    at = F.col(row_col) - F.col("__first")
+    checked = F.when(F.coalesce((at >= 0) & (at < F.col("__n")), F.lit(False)), at).otherwise(
+        F.raise_error(F.lit("the files were cut into other splits than when they were counted")).cast("long"))
+    return d.join(offs, split, "left").withColumn("__at", checked).drop("__first", "__n", row_col)
+
+
 def file_order_ids(df: DataFrame, id_col: str = "id", file_col: str = "__file", block_col: str = "__blk") -> DataFrame:
     """0-based ordinal in file order for rows that come from a file scan by
     narrow steps only, where ``(file, block start)`` names a file split.  A
     split's rows stand together in one partition, so their scan-time ids
     (``monotonically_increasing_id``; deterministic because split planning is)
-    are consecutive: id = rows of earlier splits + row id - first row id.  Only
-    the table of splits (one row each) is aggregated, ordered and joined; the
-    payload is not sorted, sampled or written."""
-    split = [file_col, block_col]
-    d = df.withColumn("__mid", F.monotonically_increasing_id())
-    per = d.groupBy(*split).agg(F.min("__mid").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    offs = per.select(*split, "__first", (F.sum("__n").over(Window.orderBy(*split)) - F.col("__n")).alias("__off"))
-    return (d.join(offs, split).withColumn(id_col, F.col("__off") + F.col("__mid") - F.col("__first"))
-            .drop("__off", "__mid", "__first"))
+    are consecutive: id = rows of earlier splits + row id - first row id."""
+    d = df.withColumn("__row", F.monotonically_increasing_id())
+    per = d.groupBy(file_col, block_col).agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    out = number_by_split(d, per.withColumn("__kept", F.col("__n")), "__row", file_col, block_col)
+    return out.withColumn(id_col, F.col("__off") + F.col("__at")).drop("__off", "__at", "__kept")
 
 
 def sequential_batches(df: DataFrame, order: str | Sequence[str | Column], size: int,

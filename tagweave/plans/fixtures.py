@@ -71,6 +71,15 @@ def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("sent_id"), "tokens", tags.alias("tags"))
 
 
+def pred_tags(sent_id: Column, tags: Column) -> Column:
+    """``pred_tag`` of a whole sentence: the gold tags, O where (id + pos) mod
+    11 = 0 (a pattern that repeats every 11 positions)."""
+    shift = F.pmod(sent_id, F.lit(11))
+    hit = F.flatten(F.array_repeat(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.pmod(i + shift, F.lit(11)) == 0),
+                                   F.ceil(F.size(tags) / 11).cast("int")))
+    return F.zip_with(tags, F.slice(hit, 1, F.size(tags)), lambda t, h: F.when(h, F.lit("O")).otherwise(t))
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a run log: run = user_id, metric value = value; step is the
     1-based order of (ts, event_id) inside the run (computed by the operators

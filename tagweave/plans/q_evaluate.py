@@ -9,7 +9,7 @@ from tagweave.operators import evaluate as EV
 from tagweave.operators.sampling import sequential_batches
 from tagweave.plans.catalog import register
 from tagweave.session import cut_lineage
-from tagweave.plans.fixtures import doc_tokens, table
+from tagweave.plans.fixtures import doc_sentences, doc_tokens, pred_tags, table
 from tagweave.plans.q_tokens import TAGGED_SQL, chunks_sql
 
 
@@ -177,8 +177,8 @@ def q_evaluate_files(spark, sf_dir):
     from tagweave.plans.score import evaluate_files
     from tagweave.session import scratch_path
     from tagweave.sources.conll import write_conll
-    toks = doc_tokens(spark, sf_dir)
     gp, pp = scratch_path(spark, "gold"), scratch_path(spark, "pred")
-    write_conll(toks.select("sent_id", "pos", "token", F.col("gold").alias("tag")), gp, sep="\t")
-    write_conll(toks.select("sent_id", "pos", "token", F.col("pred").alias("tag")), pp, sep="\t")
+    sents = doc_sentences(spark, sf_dir)
+    write_conll(sents, gp, token_col="tokens", tag_col="tags")
+    write_conll(sents.withColumn("tags", pred_tags(F.col("sent_id"), F.col("tags"))), pp, token_col="tokens", tag_col="tags")
     return _round_metrics(evaluate_files(spark, gp, pp, "\t"))

@@ -11,7 +11,7 @@ from tagweave.operators.relational import filter_venues
 from tagweave.operators.sampling import dense_ids
 from tagweave.operators.sentences import split_sentences
 from tagweave.plans.catalog import register
-from tagweave.plans.fixtures import doc_tokens, normalized_documents, papers, table
+from tagweave.plans.fixtures import doc_sentences, doc_tokens, normalized_documents, papers, table
 from tagweave.plans.q_evaluate import PRF_SQL
 from tagweave.plans.q_sentences import PAPERS_SQL, SPLIT_SQL_TMPL, VENUES
 from tagweave.plans.q_tokens import DOC_TOKENS_SQL, TAGGED_SQL, chunks_sql
@@ -21,8 +21,8 @@ from tagweave.sources import formats as FM
 from tagweave.sources import html as H
 
 
-def _gold_tokens(spark, sf_dir):
-    return doc_tokens(spark, sf_dir).select("sent_id", "pos", "token", F.col("gold").alias("tag"))
+def _gold_sentences(spark, sf_dir):
+    return doc_sentences(spark, sf_dir).select("sent_id", F.col("tokens").alias("token"), F.col("tags").alias("tag"))
 
 
 @register("write_conll", f"""with {TAGGED_SQL},
@@ -32,7 +32,7 @@ select (row_number() over (order by sent_id, pos) - 1)::BIGINT as line_id, value
 """)
 def q_write_conll(spark, sf_dir):
     p = scratch_path(spark, "write_conll")
-    CN.write_conll(_gold_tokens(spark, sf_dir), p, sep="\t")
+    CN.write_conll(_gold_sentences(spark, sf_dir), p, sep="\t")
     return FM.read_lines(spark, p)
 
 
@@ -41,7 +41,7 @@ select (dense_rank() over (order by sent_id) - 1)::BIGINT as sent_id, pos, token
 """)
 def q_read_conll_strict(spark, sf_dir):
     p = scratch_path(spark, "strict")
-    CN.write_conll(_gold_tokens(spark, sf_dir), p, sep=" -X- _ ")
+    CN.write_conll(_gold_sentences(spark, sf_dir), p, sep=" -X- _ ")
     return CN.read_conll_strict(spark, p, sep=" -X- _ ")
 
 
@@ -52,7 +52,7 @@ from tagged group by sent_id
 """)
 def q_read_conll_lenient(spark, sf_dir):
     p = scratch_path(spark, "lenient")
-    CN.write_conll(_gold_tokens(spark, sf_dir), p, sep=" ")
+    CN.write_conll(_gold_sentences(spark, sf_dir), p, sep=" ")
     r = CN.read_conll_lenient(spark, p)
     return r.select("id", F.size("tokens").cast("int").alias("n_tokens"),
                     F.array_join("tokens", " ").alias("tokens"), F.array_join("ner_tags", " ").alias("ner_tags"))
@@ -215,7 +215,7 @@ union all
 select 'test', count(distinct sent_id), count(*) from s where split = 'validation'
 """)
 def q_load_splits(spark, sf_dir):
-    toks = _gold_tokens(spark, sf_dir)
+    toks = _gold_sentences(spark, sf_dir)
     tr, va = scratch_path(spark, "train"), scratch_path(spark, "validation")
     is_val = F.pmod(F.col("sent_id"), F.lit(5)) == 0
     CN.write_conll(toks.where(~is_val), tr, sep=" -X- _ ")
@@ -254,11 +254,9 @@ union all select 'eval', * from {_overall_sql_for('sent_id % 5 = 0')}
 def q_write_metrics(spark, sf_dir):
     toks = doc_tokens(spark, sf_dir)
     is_val = F.pmod(F.col("sent_id"), F.lit(5)) == 0
-    parts = []
-    for name, cond in (("train", ~is_val), ("eval", is_val)):
-        m = EV.entity_metrics_overall(toks.where(cond)).drop("n_tokens", "accuracy")
-        parts.append(m.withColumn("split", F.lit(name)))
-    metrics = parts[0].unionByName(parts[1])
+    # one pass over the tokens for both splits
+    scored = EV.scored_tokens(toks)
+    metrics = EV.overall_scores(scored, [F.when(is_val, "eval").otherwise("train").alias("split")]).drop("n_tokens", "accuracy")
     for c in ("precision", "recall", "f1"):
         metrics = metrics.withColumn(c, F.round(c, 6))
     p = scratch_path(spark, "metrics")

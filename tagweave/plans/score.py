@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.operators.evaluate import _overall_from_scored, scored_tokens
-from tagweave.sources.conll import read_conll_strict
+from tagweave.operators.evaluate import overall_scores, scored_tokens
+from tagweave.sources.conll import block_lines, line_fields, strict_sentences
 
 
 def evaluate_files(spark: SparkSession, gold_path: str, pred_path: str, sep: str = "\t") -> DataFrame:
     """Read both files (strict dialect, but with the last block kept even if no
     blank line closes it, so every token is scored), require the same token on every
-    line, and return the micro scores plus token accuracy.  Lines are
-    matched on (sentence id, position) -- both files are numbered by the same
-    file-order rule -- with one full outer join; a missing or different token
-    raises inside that same pass (no separate checking job)."""
-    gold = read_conll_strict(spark, gold_path, sep, keep_last=True).where(F.col("pos").isNotNull())
-    pred = read_conll_strict(spark, pred_path, sep, keep_last=True).where(F.col("pos").isNotNull())
-    j = (gold.select("sent_id", "pos", F.col("token").alias("__tg"), F.col("tag").alias("gold"))
-         .join(pred.select("sent_id", "pos", F.col("token").alias("__tp"), F.col("tag").alias("pred")),
-               ["sent_id", "pos"], "full_outer"))
-    ok = F.col("__tg").eqNullSafe(F.col("__tp"))
-    checked = j.withColumn("gold", F.when(ok, F.col("gold")).otherwise(F.raise_error(
+    line, and return the micro scores plus token accuracy.  Both files are
+    numbered by the same file-order rule; their sentences meet as whole rows, by
+    one exchange on the sentence id, and are compared line by line in the row.
+    The scoring windows reuse that partitioning.  A missing sentence or a
+    different token raises inside that same pass (no separate checking job)."""
+    none = F.lit(None).cast("string")
+    gold = strict_sentences(spark, gold_path, keep_last=True).select("sent_id", F.col("block").alias("__g"), none.alias("__p"))
+    pred = strict_sentences(spark, pred_path, keep_last=True).select("sent_id", none.alias("__g"), F.col("block").alias("__p"))
+    both = gold.unionByName(pred).groupBy("sent_id").agg(F.max("__g").alias("__g"), F.max("__p").alias("__p"))
+    lines = lambda c: block_lines(F.coalesce(F.col(c), F.lit("")))
+    pairs = both.select("sent_id", F.posexplode(F.arrays_zip(lines("__g").alias("g"), lines("__p").alias("p"))).alias("pos", "x"))
+    pairs = pairs.select("sent_id", "pos", line_fields(F.col("x.g"), sep).alias("g"), line_fields(F.col("x.p"), sep).alias("p"))
+    ok = F.get("g", 0).eqNullSafe(F.get("p", 0))
+    checked = pairs.select("sent_id", "pos", F.get("p", 1).alias("pred"), F.when(ok, F.get("g", 1)).otherwise(F.raise_error(
         F.concat(F.lit("token mismatch at sentence "), F.col("sent_id").cast("string"), F.lit(" position "),
-                 F.col("pos").cast("string"))).cast("string")))
-    return _overall_from_scored(scored_tokens(checked.drop("__tg", "__tp"), "gold", "pred", "sent_id", ["pos"]))
+                 F.col("pos").cast("string"))).cast("string")).alias("gold"))
+    return overall_scores(scored_tokens(checked, "gold", "pred", "sent_id", ["pos"]))

@@ -3,9 +3,10 @@ lexicons, CSV/JSON by extension, split maps, metric records."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,34 +17,84 @@ from tagweave.operators.sampling import dense_ids, file_order_ids
 # ---------------------------------------------------------------------------
 # BibTeX
 # ---------------------------------------------------------------------------
+BIB_FIELDS = ("booktitle", "year", "url")
+_SEGMENT = ("__file string, __blk long, __first long, __head boolean, __closed boolean, __fields boolean, "
+            "booktitle string, year string, url string")
+
+
+def _bib_segments(lines: DataFrame) -> DataFrame:
+    """Field and closing lines of every file split, in order -> one row per
+    segment.  A closing line ends a segment; a split's first one (``__head``) may
+    go on with a record of earlier splits, and one without a closing line goes
+    on in the next split.  Only the last value of each field is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("__file", pa.string()), ("__blk", pa.int64()), ("__first", pa.int64()), ("__head", pa.bool_()),
+                            ("__closed", pa.bool_()), ("__fields", pa.bool_()), *((f, pa.string()) for f in BIB_FIELDS)])
+        split = segment = None
+        for b in batches:
+            out: list[dict] = []
+            for file, blk, row, kind, value in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if (file, blk) != split:
+                    if segment is not None:
+                        out.append(segment)
+                    split, segment, head = (file, blk), None, True
+                if segment is None:
+                    segment = {"__file": file, "__blk": blk, "__first": row, "__head": head, "__closed": False, "__fields": False}
+                    head = False
+                if kind < 0:
+                    out.append(segment | {"__closed": True})
+                    segment = None
+                else:
+                    segment["__fields"] = True
+                    if kind:
+                        segment[BIB_FIELDS[kind - 1]] = value
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if segment is not None:
+            yield pa.RecordBatch.from_pylist([segment], schema=schema)
+
+    return lines.mapInArrow(run, _SEGMENT)
+
+
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
     """Multi-line records ending at a line that strips to ``}`` -> ``(venue,
-    year, url, src_pos)``.  Files are cut where a line begins with ``@`` (the
-    start of an entry), then at closing lines inside the row, so neither an
-    indented brace nor a line that goes on after one loses a record; what
-    stands after the last closing line and holds a field is a record too.  A field line is ``key = value``; the value is the last
-    `` = `` part with ``"`` and ``,`` stripped from both ends; the last
-    occurrence of a key wins.  ``year`` is an int (null when missing or not a
-    number), ``url`` gets ``.pdf`` appended.  ``src_pos`` orders records in
-    file order.  Each record is parsed in-row: no shuffle."""
-    recs = (spark.read.option("lineSep", "\n@").text(path)
-            .select(F.explode(F.split("value", r"(?mU)^\s*\}\s*$", -1)).alias("value"), F.struct(F.col("_metadata.file_path").alias("file"),
-                                      F.col("_metadata.file_block_start").alias("blk"),
-                                      F.monotonically_increasing_id().alias("row")).alias("src_pos")))
-    recs = recs.where(F.col("value").contains(" = "))
-    lines = F.transform(F.split("value", "\r?\n", -1),
-                        lambda l: F.split(py_strip(l), " = ", -1))
-
-    def field(name: str):
-        hits = F.filter(lines, lambda p: F.get(p, 0) == F.lit(name))
-        last = F.element_at(F.element_at(hits, -1), -1)
-        return F.when(F.size(hits) > 0, F.regexp_replace(last, r'^[",]+|[",]+$', ""))
-
-    return recs.select(
-        field("booktitle").alias("venue"),
-        field("year").try_cast("int").alias("year"),
-        F.concat(field("url"), F.lit(".pdf")).alias("url"),
-        "src_pos")
+    year, url, src_pos)``; nothing else ends one, whatever a line begins with.  A
+    field line is ``key = value``; the value is the last `` = `` part with ``"``
+    and ``,`` stripped from both ends; the last occurrence of a key wins.  What
+    stands after the last closing line and holds a field is a record too; lines
+    without any field are none.  ``year`` is an int (null when missing or not a
+    number), ``url`` gets ``.pdf`` appended.  ``src_pos`` orders records in file
+    order.
+
+    A line-state scan: every file split is read on its own and reduced to
+    records and at most two open ends, which are composed over the splits of a
+    file.  Only the open ends (two rows a split) are exchanged."""
+    text = py_strip(F.col("value"))
+    raw = (spark.read.text(path)
+           .select(text.alias("line"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__blk"),
+                   F.monotonically_increasing_id().alias("__row"))
+           .where((F.col("line") == "}") | F.col("line").contains(" = ")))
+    key = F.substring_index("line", " = ", 1)
+    kind = F.when(F.col("line") == "}", -1)
+    for i, f in enumerate(BIB_FIELDS):
+        kind = kind.when(key == f, i + 1)
+    raw = raw.select("__file", "__blk", "__row", kind.otherwise(0).alias("kind"), "line")
+    segments = _bib_segments(raw.withColumn("line", F.when(F.col("kind") > 0, F.regexp_replace(F.substring_index("line", " = ", -1), r'^[",]+|[",]+$', ""))))
+    ends = F.col("__head") | ~F.col("__closed")
+    order = F.struct("__blk", "__first")
+    # an open end starts a group, which the heads of later splits join; a head that is not closed goes on
+    borders = segments.where(ends)
+    w = Window.partitionBy("__file").orderBy("__blk", "__first")
+    starts = F.when(~F.col("__head"), 1).otherwise(0) + F.when(F.lag("__closed").over(w), 1).otherwise(0)
+    grouped = borders.withColumn("__s", starts).withColumn("__g", F.sum("__s").over(w))
+    stitched = (grouped.groupBy("__file", "__g")
+                .agg(F.min("__blk").alias("__blk"), F.min("__first").alias("__first"), F.max("__fields").alias("__fields"),
+                     *[F.max_by(F.when(F.col(f).isNotNull(), F.col(f)), F.when(F.col(f).isNotNull(), order)).alias(f) for f in BIB_FIELDS]))
+    columns = ["__file", "__blk", "__first", "__fields", *BIB_FIELDS]
+    records = segments.where(~ends).select(*columns).unionByName(stitched.select(*columns)).where("__fields")
+    return records.select(
+        F.col("booktitle").alias("venue"), F.col("year").try_cast("int").alias("year"), F.concat("url", F.lit(".pdf")).alias("url"),
+        F.struct(F.col("__file").alias("file"), F.col("__blk").alias("blk"), F.col("__first").alias("row")).alias("src_pos"))
 
 
 def write_bibtex(df: DataFrame, path: str, key_col: str, fields: Mapping[str, str], order_col: str | None = None,

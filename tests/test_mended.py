@@ -57,6 +57,103 @@ def test_bibtex_keeps_every_record(spark, tmp_path):
     assert got == {"V1": (2001, "u1.pdf"), "V2": (2002, "u2.pdf"), "V3": (None, "u3.pdf")}
 
 
+def _plain_bibtex(text):
+    """Records between closing lines, one line after another."""
+    out, item, any_field = [], {}, False
+    for line in text.split("\n"):
+        parts = line.strip().split(" = ")
+        if line.strip() == "}":
+            out += [item] if any_field else []
+            item, any_field = {}, False
+        elif len(parts) > 1:
+            any_field = True
+            item[parts[0]] = parts[-1].strip('",')
+    out += [item] if any_field else []
+    return sorted(((i.get("booktitle"), int(i["year"]) if i.get("year", "x").isdigit() else None,
+                    i["url"] + ".pdf" if "url" in i else None) for i in out), key=repr)
+
+
+def test_bibtex_of_splits_of_any_size(spark, tmp_path):
+    import random
+    rng = random.Random(5)
+    lines = []
+    for i in range(120):
+        lines += [f"@inproceedings{{k{i},", f'    title = "T{i}",']
+        lines += rng.sample([f'  booktitle = "@V{i}",', '@odd = "line",', f'@V{i} goes on', f'  year = "{1900 + i}",', f'url = "u{i}" = "w{i}"',
+                             "year = \"soon\"", "", "  note = {", "plain"], k=rng.randint(0, 8))
+        lines += ["  }  " if i % 3 else "}"] * rng.choice([1, 1, 1, 2])
+    for tail in ("\n", "", '\n@x{\n booktitle = "last"'):
+        text = "\n".join(lines) + tail
+        p = write(tmp_path / f"b{len(tail)}.bib", text)
+        write(tmp_path / f"b{len(tail)}.second", "nothing")
+        want = _plain_bibtex(text)
+        for size in ("128m", "900", "64"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            try:
+                got = FM.read_bibtex(spark, p).collect()
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            assert sorted(((r.venue, r.year, r.url) for r in got), key=repr) == want
+            assert len({r.src_pos for r in got}) == len(want)
+
+
+def test_bibtex_value_line_that_begins_with_at(spark, tmp_path):
+    p = write(tmp_path / "at.bib", '@a{k1,\n  booktitle = "V1",\n@note = "x",\n  url = "u1",\n}\n')
+    assert [(r.venue, r.year, r.url) for r in FM.read_bibtex(spark, p).collect()] == [("V1", None, "u1.pdf")]
+
+
+def test_strict_reader_equals_a_plain_loop(spark, tmp_path):
+    import random
+    rng = random.Random(6)
+
+    def plain(text, keep_last):
+        out, sent = [], []
+        lines = text.split("\n")
+        for line in lines[:-1] if lines[-1] == "" else lines:
+            if line.strip() == "":
+                out.append(sent)
+                sent = []
+            else:
+                sent.append(line.strip())
+        return out + ([sent] if sent and keep_last else [])
+
+    for n in range(30):
+        d = tmp_path / f"d{n}"
+        d.mkdir()
+        texts = ["".join(rng.choice(["w X\n", "w X\n", "v Y\n", "\n", "\n\n", " \n", "\t\n\n"]) for _ in range(rng.randint(0, 25)))
+                 + rng.choice(["", "u Z", "u Z\n", "u Z\n\n", "u Z\n \n\n", " ", "\n"]) for _ in range(rng.randint(1, 3))]
+        for i, t in enumerate(texts):
+            write(d / f"f{i}.txt", t)
+        keep = n % 2 == 0
+        want = [s for t in texts for s in plain(t, keep)]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", rng.choice(["128m", "37"]))
+        try:
+            got = {}
+            for r in CO.read_conll_strict(spark, str(d), " ", keep_last=keep).collect():
+                got.setdefault(r.sent_id, []).append((r.pos, f"{r.token} {r.tag}"))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        have = [[x for p, x in sorted(got[k]) if p is not None] if got[k] != [(None, "None None")] else [] for k in sorted(got)]
+        assert sorted(got) == list(range(len(want))) and have == want, (texts, keep)
+
+
+def test_strict_reader_of_compressed_files(spark, tmp_path):
+    import gzip
+    for name, text in (("a", "x X\n\ny Y\n\n" * 50), ("b", "x X\n\ny Y\n")):
+        with gzip.open(tmp_path / f"{name}.txt.gz", "wt") as f:
+            f.write(text)
+    assert CO.read_conll_strict(spark, str(tmp_path), " ").count() == 101
+
+
+def test_write_conll_of_sentence_rows(spark, scratch):
+    rows = [(i, [f"t{i}", "u"], ["O", "B-X"]) for i in range(50)]
+    df = spark.createDataFrame(rows, "sent_id long, token array<string>, tag array<string>").repartition(5)
+    a, b = scratch("wide"), scratch("long")
+    CO.write_conll(df, a)
+    CO.write_conll(df.select("sent_id", F.posexplode(F.arrays_zip("token", "tag")).alias("pos", "x")).select("sent_id", "pos", "x.token", "x.tag"), b)
+    assert [r.value for r in FM.read_lines(spark, a).orderBy("line_id").collect()] == [r.value for r in FM.read_lines(spark, b).orderBy("line_id").collect()]
+
+
 def test_try_map_keeps_the_record_and_the_whole_error(spark):
     def fn(r):
         if r["x"] == 2:
