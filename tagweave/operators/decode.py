@@ -133,6 +133,65 @@ def _viterbi_batch(ems: list[np.ndarray], trans: np.ndarray, start: np.ndarray,
     return out
 
 
+def viterbi_paths(lengths: Sequence[int], emissions, trans: np.ndarray, start: np.ndarray, end: np.ndarray,
+                  max_cells: int = 4_000_000) -> list[np.ndarray]:
+    """Best paths of many sequences; ``emissions(i)`` makes the T x K scores of
+    the i-th.  Sequences are taken in chunks, so that a padded block and its
+    back-pointers stay within ``max_cells``; put like lengths together."""
+    out: list[np.ndarray] = []
+    i = 0
+    while i < len(lengths):
+        j, longest = i, 0
+        while j < len(lengths) and (j == i or max(longest, lengths[j]) * (j - i + 1) * len(start) <= max_cells):
+            longest = max(longest, lengths[j])
+            j += 1
+        out += _viterbi_batch([emissions(k) for k in range(i, j)], trans, start, end)
+        i = j
+    return out
+
+
+# --------------------------------------------------------------------------
+# one long sequence in blocks: max-plus products
+# --------------------------------------------------------------------------
+def block_product(em: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """K x K: the best score through a block from its first token's tag (rows)
+    to its last token's tag (columns), its own emissions included.  Products of
+    neighbouring blocks combine by max-plus, in any grouping."""
+    k = em.shape[1]
+    score = np.where(np.eye(k, dtype=bool), em[0][None, :], -np.inf)
+    for e in em[1:]:
+        score = (score[:, :, None] + trans[None]).max(axis=1) + e
+    return score
+
+
+def block_forward(em: np.ndarray, trans: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores at a block's last token and the back-pointers inside it, from the
+    scores ``entry`` that its first token's tags have without its emission."""
+    score = entry + em[0]
+    back = np.zeros(em.shape, dtype=np.int32)
+    for t in range(1, len(em)):
+        cand = score[:, None] + trans
+        back[t] = cand.argmax(axis=0)
+        score = cand.max(axis=0) + em[t]
+    return score, back
+
+
+def block_firsts(back: np.ndarray) -> np.ndarray:
+    """For every tag of the last token, the first token's tag on its path."""
+    at = np.arange(back.shape[1])
+    for t in range(len(back) - 1, 0, -1):
+        at = back[t, at]
+    return at
+
+
+def block_trace(back: np.ndarray, last: int) -> np.ndarray:
+    path = np.empty(len(back), dtype=np.int32)
+    for t in range(len(back) - 1, -1, -1):
+        path[t] = last
+        last = back[t, last]
+    return path
+
+
 def _make_viterbi_udf(transitions, start, end, max_batch_cells: int = 4_000_000):
     trans = np.asarray(transitions, dtype=np.float64)
     st = np.asarray(start, dtype=np.float64)
@@ -154,20 +213,7 @@ def _make_viterbi_udf(transitions, start, end, max_batch_cells: int = 4_000_000)
         for r in rows:
             a, b = int(outer_off[r]), int(outer_off[r + 1])
             ems.append(flat[int(inner_off[a]):int(inner_off[b])].reshape(b - a, K))
-        paths: dict[int, np.ndarray] = {}
-        # chunks keep the padded T_max x rows block bounded in memory
-        i = 0
-        while i < len(rows):
-            j, cells, tmax = i, 0, 0
-            while j < len(rows):
-                tmax2 = max(tmax, ems[j].shape[0])
-                if j > i and tmax2 * (j - i + 1) * K > max_batch_cells:
-                    break
-                tmax = tmax2
-                j += 1
-            for r, p in zip(rows[i:j], _viterbi_batch(ems[i:j], trans, st, en)):
-                paths[r] = p
-            i = j
+        paths = dict(zip(rows, viterbi_paths([e.shape[0] for e in ems], lambda i: ems[i], trans, st, en, max_batch_cells)))
         offs, vals = [0], []
         for r in range(len(em_col)):
             p = paths.get(r)

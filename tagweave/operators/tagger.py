@@ -14,11 +14,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagweave.operators.decode import viterbi_decode
-from tagweave.operators.spans import _keys, tokenize_whitespace
+from tagweave.functions.text import py_strip, split_words
+from tagweave.operators.decode import block_firsts, block_forward, block_product, block_trace, viterbi_paths
+from tagweave.operators.spans import _keys
 from tagweave.session import cut_lineage
 
 KINDS = ("start", "end", "trans", "emit")
@@ -115,35 +120,178 @@ def _small_matrices(model_df: DataFrame, tags: list[str]):
     return trans, start, end
 
 
+SCORE_UNIT = 1e-6
+MAX_SHIPPED_SCORES = 64 << 20
+BLOCK_TOKENS = 32_768
+
+
+class Scores:
+    """Whole-number scores of words, tags and transitions; a word's row holds
+    one score per tag."""
+
+    def __init__(self, words: pa.Array, rows: np.ndarray, unknown: np.ndarray, trans: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.words, self.rows = words, np.concatenate([rows, unknown[None, :]])
+        self.trans, self.start, self.end = trans, start, end
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        at = pc.fill_null(pc.index_in(words, self.words), len(self.rows) - 1).to_numpy(zero_copy_only=False)
+        return self.rows[at].astype(np.float64)
+
+
+def _whole(x: Column) -> Column:
+    """Log scores as whole multiples of ``SCORE_UNIT``: sums are then exact in
+    any order, and equal scores are equal everywhere."""
+    return F.round(x / F.lit(SCORE_UNIT), 0)
+
+
+def _emission_table(model_df: DataFrame, tags: list[str]) -> tuple[DataFrame, list[float]]:
+    """(w, em): a score per tag for every word the model knows; and those of an
+    unknown word."""
+    unk = {r.a: r.u for r in model_df.where(F.col("kind") == "emit_unk").select("a", _whole(F.col("logp")).alias("u")).collect()}
+    floor = min(unk.values(), default=0.0)
+    unknown = [unk.get(t, floor) for t in tags]
+    seen = model_df.where(F.col("kind") == "emit").select(F.col("a").alias("tag"), F.col("b").alias("w"), _whole(F.col("logp")).alias("s"))
+    wide = seen.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("tag", "s"))).alias("m"))
+    return wide.select("w", F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(u)) for t, u in zip(tags, unknown)])
+                       .cast("array<int>").alias("em")), unknown
+
+
 def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text",
-                 keys: str | Sequence[str] = "sent_id") -> DataFrame:
-    """Tag raw lines: one tag per given word.  Words are looked up in the
-    emission table (one row per word with K scores; no join hint), emissions are gathered per
-    sentence (bounded by the sentence length) and decoded with Viterbi."""
+                 keys: str | Sequence[str] = "sent_id", block_tokens: int = BLOCK_TOKENS,
+                 max_shipped: int = MAX_SHIPPED_SCORES) -> DataFrame:
+    """Tag raw lines: one tag per given word, by the best path of the model.
+    Scores are whole multiples of ``SCORE_UNIT``; of equally good tags the first
+    in sorted order is taken, from the last word back.
+
+    Lines stay in their row.  The scores of the model's distinct words are
+    shipped after a check of their size; a larger table is joined with the
+    distinct words of each line, never with its tokens.  Lines of more than
+    ``block_tokens`` words are cut into blocks that are decoded apart: max-plus
+    products of the blocks give the scores at every border, the back-pointers of
+    each block its entry, and the chain of entries the path - the same path as
+    in one piece."""
     ks = _keys(keys)
-    # the trained model is read three times below (tag list, small matrices,
-    # emission table): materialize it once in the shared checkpoint folder
-    model_df = cut_lineage(model_df)
+    model_df = cut_lineage(model_df)                # read several times below
     tags = model_tags(model_df)
-    trans, start, end = _small_matrices(model_df, tags)
-    unk = model_df.where(F.col("kind") == "emit_unk").select(F.col("a").alias("tag"), F.col("logp").alias("u"))
-    emit = model_df.where(F.col("kind") == "emit").select(F.col("a").alias("tag"), F.col("b").alias("w"), "logp")
-    wide = emit.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("tag", "logp"))).alias("__m"))
-    unk_map = unk.agg(F.map_from_entries(F.collect_list(F.struct("tag", "u"))).alias("__u"))
-    tag_arr = F.array(*[F.lit(t) for t in tags])
-    wide = wide.crossJoin(unk_map).select(
-        "w", F.transform(tag_arr, lambda t: F.coalesce(F.element_at(F.col("__m"), t),
-                                                      F.element_at(F.col("__u"), t))).alias("em"))
-    unk_row = unk_map.select(F.transform(tag_arr, lambda t: F.element_at(F.col("__u"), t)).alias("unk_em"))
-    toks = tokenize_whitespace(lines_df, text_col, ks)
-    toks = toks.withColumn("w", F.lower("token"))
-    j = toks.join(wide, "w", "left").crossJoin(F.broadcast(unk_row))
-    j = j.withColumn("em", F.coalesce(F.col("em"), F.col("unk_em")))
-    sent = (j.groupBy(*ks).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "em"))).alias("xs"))
-            .select(*ks, F.transform("xs", lambda x: x["em"]).alias("emissions"),
-                    F.transform("xs", lambda x: x["token"]).alias("words")))
-    dec = viterbi_decode(sent, "emissions", trans, start, end, "path")
-    out = dec.select(*ks, F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("path").alias("p")))
-                     .alias("pos", "x"))
-    return out.select(*ks, F.col("pos").cast("int").alias("pos"), F.col("x.word").alias("word"),
-                      F.get(tag_arr, F.col("x.p")).alias("tag"))
+    schema = T.StructType([*(lines_df.schema[k] for k in ks), T.StructField("pos", T.IntegerType()), T.StructField("word", T.StringType()),
+                           T.StructField("tag", T.StringType())])
+    if not tags:
+        return lines_df.sparkSession.createDataFrame([], schema)
+    whole = lambda m: np.round(np.array(m, dtype=np.float64) / SCORE_UNIT)
+    trans, start, end = (whole(m) for m in _small_matrices(model_df, tags))
+    table, unknown = _emission_table(model_df, tags)
+    table = cut_lineage(table)
+    size = table.agg(F.sum(F.octet_length("w") + 4 * len(tags) + 64)).first()[0] or 0
+    spark = lines_df.sparkSession
+    words = split_words(py_strip(F.col(text_col)))
+    rows = lines_df.select(*ks, words.alias("words")).where("words is not null")
+    lower = F.transform("words", lambda w: F.lower(w))
+    n = len(tags)
+    if size <= max_shipped:
+        got = table.toArrow()
+        matrix = np.asarray(got.column("em").combine_chunks().flatten()).reshape(-1, n) if got.num_rows else np.zeros((0, n), dtype=np.int32)
+        shipped = spark.sparkContext.broadcast((got.column("w").combine_chunks(), matrix))
+    else:
+        shipped = None
+    fixed = spark.sparkContext.broadcast((np.array(unknown), trans, start, end))
+
+    def scores() -> Scores:
+        unk, t, s, e = fixed.value
+        known = shipped.value if shipped is not None else (pa.array([], pa.string()), np.zeros((0, n), dtype=np.int32))
+        return Scores(*known, unk, t, s, e)
+
+    def with_table(d: DataFrame, row: list[str]) -> DataFrame:
+        """Adds ``w`` (lower-cased words) and ``known`` (the scores of a row's
+        distinct words, null where the whole table is shipped)."""
+        d = d.withColumn("w", lower)
+        none = F.lit(None).cast("array<struct<w:string,em:array<int>>>")
+        if shipped is not None:
+            return d.withColumn("known", none)
+        one = d.select(*row, F.explode(F.array_distinct("w")).alias("w")).join(table, "w")
+        return d.join(one.groupBy(*row).agg(F.collect_list(F.struct("w", "em")).alias("known")), row, "left")
+
+    def emissions(base: Scores, words: pa.Array, known) -> np.ndarray:
+        if known is None:
+            return base.of(words)
+        at = pa.array([x["w"] for x in known], pa.string())
+        mine = np.array([x["em"] for x in known], dtype=np.int32).reshape(-1, n)
+        return Scores(at, mine, base.rows[-1], base.trans, base.start, base.end).of(words)
+
+    def paths(w: pa.Array, known: pa.Array) -> pa.Array:
+        base = scores()
+        size = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False)
+        order = np.flatnonzero(size)[np.argsort(size[np.flatnonzero(size)], kind="stable")]
+        found = viterbi_paths(size[order].tolist(), lambda i: emissions(base, w[int(order[i])].values, known[int(order[i])].as_py()),
+                              base.trans, base.start, base.end)
+        out: list = [np.zeros(0, dtype=np.int32)] * len(w)
+        for i, p in zip(order.tolist(), found):
+            out[i] = p
+        at = np.concatenate([[0], np.cumsum([len(p) for p in out])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int32)))
+
+    names = F.array(*[F.lit(t) for t in tags])
+
+    def tagged(d: DataFrame, offset: Column) -> DataFrame:
+        pairs = F.arrays_zip(F.col("words").alias("word"), F.col("path").alias("p"))
+        return (d.select(*ks, offset.alias("__off"), F.posexplode(pairs).alias("pos", "x"))
+                .select(*ks, (F.col("__off") + F.col("pos")).cast("int").alias("pos"), F.col("x.word").alias("word"), F.get(names, F.col("x.p")).alias("tag")))
+
+    row_id = "__row"
+    is_long = F.size("words") > block_tokens
+    short = rows.where(~is_long)
+    if shipped is None:
+        short = cut_lineage(short.withColumn(row_id, F.monotonically_increasing_id()))
+    out = tagged(with_table(short, [row_id]).withColumn("path", F.arrow_udf(paths, "array<int>")("w", "known")), F.lit(0))
+    if rows.where(is_long).isEmpty():
+        return out
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / block_tokens).cast("int")),
+                      lambda b: F.struct(b.alias("b"), F.slice(F.col("words"), b * block_tokens + 1, F.lit(block_tokens)).alias("words")))
+    long = cut_lineage(rows.where(is_long).withColumn(row_id, F.monotonically_increasing_id())
+                       .select(*ks, row_id, F.explode(cut).alias("x")).select(*ks, row_id, "x.b", "x.words").repartition(row_id, "b"))
+    blocks = with_table(long, [row_id, "b"])
+
+    def each(fn, kind: str):
+        """A function of (emissions, entry, last tag) over block rows."""
+        def run(w: pa.Array, known: pa.Array, entry: pa.Array, last: pa.Array) -> pa.Array:
+            base = scores()
+            made = [fn(base, emissions(base, w[i].values, known[i].as_py()), np.array(entry[i].as_py() or [], dtype=np.float64), last[i].as_py())
+                    for i in range(len(w))]
+            return pa.array([m.tolist() for m in made], pa.list_(pa.float64() if kind == "double" else pa.int32()))
+        return F.arrow_udf(run, f"array<{kind}>")
+
+    no_entry, no_last = F.lit(None).cast("array<double>"), F.lit(None).cast("int")
+    product = each(lambda base, em, entry, last: block_product(em, base.trans).ravel(), "double")("w", "known", no_entry, no_last)
+
+    def borders(group: pa.Table) -> pa.Table:
+        """Scores before the first word of every block, and at its last word."""
+        group = group.sort_by("b")
+        _, t, entry, _ = fixed.value
+        before, after = [], []
+        for p in group.column("product").to_pylist():
+            before.append(entry.tolist())
+            score = (entry[:, None] + np.array(p).reshape(n, n)).max(axis=0)
+            after.append(score.tolist())
+            entry = (score[:, None] + t).max(axis=0)
+        kind = pa.list_(pa.float64())
+        return pa.table({row_id: group.column(row_id), "b": group.column("b"), "before": pa.array(before, kind), "after": pa.array(after, kind)})
+
+    bounds = cut_lineage(blocks.select(row_id, "b", product.alias("product")).groupBy(row_id)
+                         .applyInArrow(borders, f"{row_id} long, b int, before array<double>, after array<double>"))
+    entered = blocks.join(bounds, [row_id, "b"])
+    first = each(lambda base, em, entry, last: block_firsts(block_forward(em, base.trans, entry)[1]), "int")("w", "known", "before", no_last)
+
+    def chain(group: pa.Table) -> pa.Table:
+        """The last tag of every block, from the last block back."""
+        group = group.sort_by("b")
+        _, t, _, e = fixed.value
+        after, firsts = group.column("after").to_pylist(), group.column("first").to_pylist()
+        last = [int((np.array(after[-1]) + e).argmax())]
+        for b in range(len(after) - 1, 0, -1):
+            last.append(int((np.array(after[b - 1]) + t[:, firsts[b][last[-1]]]).argmax()))
+        return pa.table({row_id: group.column(row_id), "b": group.column("b"), "last": pa.array(last[::-1], pa.int32())})
+
+    lasts = cut_lineage(entered.select(row_id, "b", "after", first.alias("first")).groupBy(row_id)
+                        .applyInArrow(chain, f"{row_id} long, b int, last int"))
+    path = each(lambda base, em, entry, last: block_trace(block_forward(em, base.trans, entry)[1], last), "int")("w", "known", "before", "last")
+    decoded = entered.join(lasts, [row_id, "b"]).withColumn("path", path)
+    return out.unionByName(tagged(decoded, F.col("b") * block_tokens))

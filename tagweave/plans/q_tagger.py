@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagweave.operators import tagger as TG
+from tagweave.operators.sentences import split_sentences
 from tagweave.plans.catalog import register
 from tagweave.plans.fixtures import doc_tokens, normalized_documents
+from tagweave.plans.q_sentences import SPLIT_SQL_TMPL
 from tagweave.plans.q_tokens import TAGGED_SQL
 
 
@@ -29,7 +31,11 @@ sz as (select count(distinct a) filter (where kind = 'emit') as kk,
 tot as (select kind, cond, sum(n) as tt from c group by 1, 2)
 select c.kind, c.a, c.b, c.n::BIGINT as n,
        round(ln((c.n + 1.0) / (tot.tt + (case when c.kind = 'emit' then sz.vv else sz.kk end))), 6) as logp
-from c join tot using (kind, cond), sz"""
+from c join tot using (kind, cond), sz
+union all
+select tot.kind || '_unk', tot.cond, '', 0::BIGINT,
+       round(ln(1.0 / (tot.tt + (case when tot.kind = 'emit' then sz.vv else sz.kk end))), 6)
+from tot, sz"""
 
 
 @register("train_tag_model", f"""with {TAGGED_SQL},
@@ -38,7 +44,7 @@ cnt as (select kind, a, b, count(*) as n from {_events_sql('tagged')} group by 1
 """)
 def q_train_tag_model(spark, sf_dir):
     m = TG.train_tag_model(_gold(spark, sf_dir))
-    return m.where(F.col("kind").isin(*TG.KINDS)).select("kind", "a", "b", "n", F.round("logp", 6).alias("logp"))
+    return m.select("kind", "a", "b", "n", F.round("logp", 6).alias("logp"))
 
 
 @register("merge_tag_models", f"""with {TAGGED_SQL},
@@ -55,11 +61,52 @@ def q_merge_tag_models(spark, sf_dir):
     base = TG.train_tag_model(g.where(F.pmod("sent_id", F.lit(2)) == 0))
     new = TG.train_tag_model(g.where(F.pmod("sent_id", F.lit(2)) == 1))
     m = TG.merge_tag_models(base, new, exclude=("emit",))
-    return m.where(F.col("kind").isin(*TG.KINDS)).select("kind", "a", "b", "n", F.round("logp", 6).alias("logp"))
+    return m.select("kind", "a", "b", "n", F.round("logp", 6).alias("logp"))
 
 
-@register("predict_tags")  # rows-only: decoding correctness is checked by brute force in tests
+# Whole-number scores, then the best path of every sentence: a step for each
+# position, over all sentences together; of equal scores the first tag wins.
+_PREDICT_SQL = f"""with recursive {TAGGED_SQL.lstrip()},
+cnt as (select kind, a, b, count(*) as n from {_events_sql('tagged')} group by 1, 2, 3),
+c as (select kind, a, b, n, case when kind in ('start', 'end') then '' else a end as cond from cnt),
+sz as (select count(distinct a) filter (where kind = 'emit') as kk, count(distinct b) filter (where kind = 'emit') as vv from c),
+tot as (select kind, cond, sum(n) as tt from c group by 1, 2),
+lp as (select c.kind, c.a, c.b, round(ln((c.n + 1.0) / (tot.tt + (case when c.kind = 'emit' then sz.vv else sz.kk end))) / 1e-6)::BIGINT as s
+       from c join tot using (kind, cond), sz),
+un as (select kind, cond, round(ln(1.0 / (tt + (case when kind = 'emit' then vv else kk end))) / 1e-6)::BIGINT as s from tot, sz),
+tg as (select row_number() over (order by a) - 1 as y, a as tag from (select distinct a from lp where kind = 'emit')),
+start_ as (select y, coalesce((select s from lp where kind = 'start' and b = tag), (select s from un where kind = 'start')) as s from tg),
+end_ as (select y, coalesce((select s from lp where kind = 'end' and a = tag), (select s from un where kind = 'end')) as s from tg),
+tr as (select p.y as p, q.y as q, coalesce(lp.s, un.s, (select min(s) from start_)) as s
+       from tg p cross join tg q left join lp on lp.kind = 'trans' and lp.a = p.tag and lp.b = q.tag
+       left join un on un.kind = 'trans' and un.cond = p.tag),
+{SPLIT_SQL_TMPL.format(name="ss", src="ndocs")},
+wd as (select doc_id, ord, (i - 1)::INTEGER as pos, w[i] as word
+       from (select doc_id, ord, w, unnest(generate_series(1, len(w))) as i from (select doc_id, ord, string_split(sentence, ' ') as w from ss))),
+em as (select wd.doc_id, wd.ord, wd.pos, tg.y, coalesce(lp.s, un.s) as s
+       from wd cross join tg left join lp on lp.kind = 'emit' and lp.a = tg.tag and lp.b = lower(wd.word)
+       join un on un.kind = 'emit' and un.cond = tg.tag),
+fw(doc_id, ord, pos, y, s, bp) as (
+  select em.doc_id, em.ord, em.pos, em.y, em.s + start_.s, null::BIGINT from em join start_ using (y) where pos = 0
+  union all
+  select doc_id, ord, pos, q, max(v) // 64 + any_value(es), 63 - ((max(v) % 64) + 64) % 64 from (
+    select fw.doc_id, fw.ord, fw.pos + 1 as pos, tr.q, (fw.s + tr.s) * 64 + (63 - fw.y) as v, em.s as es
+    from fw join tr on tr.p = fw.y join em on em.doc_id = fw.doc_id and em.ord = fw.ord and em.pos = fw.pos + 1 and em.y = tr.q)
+  group by doc_id, ord, pos, q),
+ln as (select doc_id, ord, max(pos) as n from wd group by 1, 2),
+bk(doc_id, ord, pos, y) as (
+  select doc_id, ord, pos, 63 - arg_max(63 - fw.y, (fw.s + end_.s) * 64 + (63 - fw.y)) from fw join ln using (doc_id, ord) join end_ using (y)
+  where fw.pos = ln.n group by 1, 2, 3
+  union all
+  select bk.doc_id, bk.ord, bk.pos - 1, fw.bp from bk join fw on fw.doc_id = bk.doc_id and fw.ord = bk.ord and fw.pos = bk.pos and fw.y = bk.y
+  where bk.pos > 0)
+select bk.doc_id, bk.ord, bk.pos, wd.word, tg.tag from bk join wd using (doc_id, ord, pos) join tg using (y)
+"""
+
+
+@register("predict_tags", _PREDICT_SQL)
 def q_predict_tags(spark, sf_dir):
+    # sentences of all documents, as lines
     model = TG.train_tag_model(_gold(spark, sf_dir))
-    lines = normalized_documents(spark, sf_dir).withColumnRenamed("doc_id", "sent_id")
-    return TG.predict_tags(lines, model, "text", "sent_id")
+    lines = split_sentences(normalized_documents(spark, sf_dir), "text", "doc_id")
+    return TG.predict_tags(lines, model, "sentence", ["doc_id", "ord"])

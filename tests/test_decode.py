@@ -54,3 +54,68 @@ def test_argmax_and_cross_entropy(spark):
     x = [1.0, 3.0, 3.0]
     exp = math.log(sum(math.exp(v) for v in x)) - x[2]
     assert r.n_tokens == 1 and math.isclose(r.loss, exp)
+
+
+def _model(spark, seed=1):
+    import random
+
+    from tagweave.operators import tagger as TG
+    rng = random.Random(seed)
+    words, tags = [f"w{i}" for i in range(12)], ["O", "B-X", "I-X", "B-Y"]
+    rows = [(s, i, rng.choice(words), rng.choice(tags)) for s in range(20) for i in range(rng.randint(1, 9))]
+    return TG.train_tag_model(spark.createDataFrame(rows, "sent_id long, pos int, token string, tag string"))
+
+
+def test_blocks_decode_as_one_piece():
+    rng = np.random.default_rng(4)
+    for n, k in ((1, 3), (7, 3), (40, 4)):
+        for high in (3, 1000):                                     # small whole numbers: many ties
+            em, trans = rng.integers(-high, 0, (n, k)).astype(float), rng.integers(-high, 0, (k, k)).astype(float)
+            start, end = rng.integers(-high, 0, k).astype(float), rng.integers(-high, 0, k).astype(float)
+            want = D._viterbi_one(em, trans, start, end)
+            cuts = [em[i:i + 5] for i in range(0, n, 5)]
+            entry, before, after = start, [], []
+            for c in cuts:
+                before.append(entry)
+                score = (entry[:, None] + D.block_product(c, trans)).max(axis=0)
+                assert (score == D.block_forward(c, trans, entry)[0]).all()
+                after.append(score)
+                entry = (score[:, None] + trans).max(axis=0)
+            last, path = int((after[-1] + end).argmax()), []
+            for b in range(len(cuts) - 1, -1, -1):
+                back = D.block_forward(cuts[b], trans, before[b])[1]
+                path = D.block_trace(back, last).tolist() + path
+                if b:
+                    last = int((after[b - 1] + trans[:, D.block_firsts(back)[last]]).argmax())
+            assert path == want.tolist()
+
+
+def test_predict_tags_in_blocks_and_by_joins(spark):
+    import random
+
+    from tagweave.operators import tagger as TG
+    rng = random.Random(2)
+    model = _model(spark).checkpoint()
+    lines = [(i, " ".join(rng.choices(["w1", "W2", "w3", "w11", "new", ""], k=rng.choice([1, 2, 5, 60])))) for i in range(25)]
+    lines += [(100, ""), (101, "  "), (102, None), (103, "w1\u3000w2 w3 ")]
+    df = spark.createDataFrame(lines, "sent_id long, text string").repartition(3)
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    whole = rows(TG.predict_tags(df, model))
+    assert sorted({r[0] for r in whole}) == [*range(25), 100, 101, 103] and len(whole) == sum(len(t.strip().split(" ")) for _, t in lines if t is not None)
+    assert rows(TG.predict_tags(df, model, block_tokens=7)) == whole
+    assert rows(TG.predict_tags(df, model, max_shipped=0)) == whole
+    assert rows(TG.predict_tags(df, model, block_tokens=7, max_shipped=0)) == whole
+    # no path scores better: brute force over short lines
+    tags = TG.model_tags(model)
+    trans, start, end = (np.round(np.array(m) / TG.SCORE_UNIT) for m in TG._small_matrices(model, tags))
+    em = {r.w: r.em for r in TG._emission_table(model, tags)[0].collect()}
+    unknown = TG._emission_table(model, tags)[1]
+    for i, text in lines:
+        words = (text or "").strip().split(" ")
+        if text is None or len(words) > 5:
+            continue
+        e = np.array([em.get(w.lower(), unknown) for w in words])
+        score = lambda p: start[p[0]] + end[p[-1]] + sum(e[t][x] for t, x in enumerate(p)) + sum(trans[a][b] for a, b in zip(p, p[1:]))
+        best = max(score(p) for p in itertools.product(range(len(tags)), repeat=len(words)))
+        assert score([tags.index(r[3]) for r in whole if r[0] == i]) == best
+    assert TG.predict_tags(df.limit(0), model).count() == 0 and TG.predict_tags(df, model.limit(0)).count() == 0
