@@ -133,9 +133,12 @@ class Scores:
         self.words, self.rows = words, np.concatenate([rows, unknown[None, :]])
         self.trans, self.start, self.end = trans, start, end
 
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Row of every word; one look-up table is built for all of them."""
+        return pc.fill_null(pc.index_in(words, self.words), len(self.rows) - 1).to_numpy(zero_copy_only=False)
+
     def of(self, words: pa.Array) -> np.ndarray:
-        at = pc.fill_null(pc.index_in(words, self.words), len(self.rows) - 1).to_numpy(zero_copy_only=False)
-        return self.rows[at].astype(np.float64)
+        return self.rows[self.places(words)].astype(np.float64)
 
 
 def _whole(x: Column) -> Column:
@@ -221,8 +224,13 @@ def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text
         base = scores()
         size = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False)
         order = np.flatnonzero(size)[np.argsort(size[np.flatnonzero(size)], kind="stable")]
-        found = viterbi_paths(size[order].tolist(), lambda i: emissions(base, w[int(order[i])].values, known[int(order[i])].as_py()),
-                              base.trans, base.start, base.end)
+        if shipped is not None:
+            at = base.places(w.flatten())                       # null rows hold no words
+            first = np.cumsum(size) - size
+            em = lambda i: base.rows[at[first[i]:first[i] + size[i]]].astype(np.float64)
+        else:
+            em = lambda i: emissions(base, w[i].values, known[i].as_py())
+        found = viterbi_paths(size[order].tolist(), lambda k: em(int(order[k])), base.trans, base.start, base.end)
         out: list = [np.zeros(0, dtype=np.int32)] * len(w)
         for i, p in zip(order.tolist(), found):
             out[i] = p

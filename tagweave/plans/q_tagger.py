@@ -65,7 +65,8 @@ def q_merge_tag_models(spark, sf_dir):
 
 
 # Whole-number scores, then the best path of every sentence: a step for each
-# position, over all sentences together; of equal scores the first tag wins.
+# position, over all sentences together.  A score is kept times 64 with the tag
+# before it in the last digits, so that of equal scores the first tag wins.
 _PREDICT_SQL = f"""with recursive {TAGGED_SQL.lstrip()},
 cnt as (select kind, a, b, count(*) as n from {_events_sql('tagged')} group by 1, 2, 3),
 c as (select kind, a, b, n, case when kind in ('start', 'end') then '' else a end as cond from cnt),
@@ -83,24 +84,27 @@ tr as (select p.y as p, q.y as q, coalesce(lp.s, un.s, (select min(s) from start
 {SPLIT_SQL_TMPL.format(name="ss", src="ndocs")},
 wd as (select doc_id, ord, (i - 1)::INTEGER as pos, w[i] as word
        from (select doc_id, ord, w, unnest(generate_series(1, len(w))) as i from (select doc_id, ord, string_split(sentence, ' ') as w from ss))),
-em as (select wd.doc_id, wd.ord, wd.pos, tg.y, coalesce(lp.s, un.s) as s
-       from wd cross join tg left join lp on lp.kind = 'emit' and lp.a = tg.tag and lp.b = lower(wd.word)
-       join un on un.kind = 'emit' and un.cond = tg.tag),
-fw(doc_id, ord, pos, y, s, bp) as (
-  select em.doc_id, em.ord, em.pos, em.y, em.s + start_.s, null::BIGINT from em join start_ using (y) where pos = 0
+el as (select w, list(s order by y) as e from (
+         select dw.w, tg.y, coalesce(lp.s, un.s) as s from (select distinct lower(word) as w from wd) dw cross join tg
+         left join lp on lp.kind = 'emit' and lp.a = tg.tag and lp.b = dw.w join un on un.kind = 'emit' and un.cond = tg.tag) group by w),
+tm as (select list(col order by q) as m from (select q, list(s order by p) as col from tr group by q)),
+sv as (select list(s order by y) as v from start_), ev as (select list(s order by y) as v from end_), names as (select list(tag order by y) as t from tg),
+sn as (select row_number() over () as sid, doc_id, ord, n from (select doc_id, ord, max(pos) as n from wd group by 1, 2)),
+tok as (select sid, pos, e from wd join sn using (doc_id, ord) join el on el.w = lower(wd.word)),
+fw(sid, pos, v) as (
+  select sid, pos, list_transform(e, lambda x, i: (x + sv.v[i]) * 64) from tok, sv where pos = 0
   union all
-  select doc_id, ord, pos, q, max(v) // 64 + any_value(es), 63 - ((max(v) % 64) + 64) % 64 from (
-    select fw.doc_id, fw.ord, fw.pos + 1 as pos, tr.q, (fw.s + tr.s) * 64 + (63 - fw.y) as v, em.s as es
-    from fw join tr on tr.p = fw.y join em on em.doc_id = fw.doc_id and em.ord = fw.ord and em.pos = fw.pos + 1 and em.y = tr.q)
-  group by doc_id, ord, pos, q),
-ln as (select doc_id, ord, max(pos) as n from wd group by 1, 2),
-bk(doc_id, ord, pos, y) as (
-  select doc_id, ord, pos, 63 - arg_max(63 - fw.y, (fw.s + end_.s) * 64 + (63 - fw.y)) from fw join ln using (doc_id, ord) join end_ using (y)
-  where fw.pos = ln.n group by 1, 2, 3
+  select fw.sid, fw.pos + 1, list_transform(tm.m, lambda col, q:
+           list_max(list_transform(col, lambda s, p: (fw.v[p] - fw.v[p] % 64) + s * 64 + (64 - p))) + tok.e[q] * 64)
+  from fw join tok on tok.sid = fw.sid and tok.pos = fw.pos + 1, tm),
+fin as (select sid, pos, list_transform(fw.v, lambda x, i: (x - x % 64) + ev.v[i] * 64 + (64 - i)) as f
+        from fw join sn using (sid), ev where fw.pos = sn.n),
+bk(sid, pos, y) as (
+  select sid, pos, 64 - ((list_max(f) % 64) + 64) % 64 from fin
   union all
-  select bk.doc_id, bk.ord, bk.pos - 1, fw.bp from bk join fw on fw.doc_id = bk.doc_id and fw.ord = bk.ord and fw.pos = bk.pos and fw.y = bk.y
-  where bk.pos > 0)
-select bk.doc_id, bk.ord, bk.pos, wd.word, tg.tag from bk join wd using (doc_id, ord, pos) join tg using (y)
+  select bk.sid, bk.pos - 1, 64 - ((fw.v[bk.y] % 64) + 64) % 64 from bk join fw on fw.sid = bk.sid and fw.pos = bk.pos where bk.pos > 0)
+select sn.doc_id, sn.ord, bk.pos, wd.word, names.t[bk.y] as tag
+from bk join sn using (sid) join wd on wd.doc_id = sn.doc_id and wd.ord = sn.ord and wd.pos = bk.pos, names
 """
 
 
