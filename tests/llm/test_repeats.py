@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tagweave.llm import jaccard, oracles
+from tagweave.llm import jaccard, oracles, shingles
 from tagweave.llm import queries as Q
 from tagweave.llm import suffix_index as SI
 from tagweave.llm.graph import components
@@ -69,7 +70,7 @@ def test_suffix_empty_table_and_extra_columns(spark):
 def brute_components(docs, width=3, percent=90):
     sets = {}
     for i, t in docs:
-        w = (t or "").encode().translate(jaccard._LOWER).split()
+        w = (t or "").encode().translate(shingles._LOWER).split()
         sets[i] = set() if not w else ({tuple(w)} if len(w) < width else {tuple(w[k:k + width]) for k in range(len(w) - width + 1)})
     parent = {i: i for i in sets}
 
@@ -123,6 +124,32 @@ def test_jaccard_equals_brute_force(spark, table_dir, monkeypatch):
     assert got == brute_components(docs)
 
 
+def test_shingles_of_buffers_of_any_size(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["A", "bé", "ccc", "日本", "\x0b", ""]) for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, "", " ", "x" * 500, "y z" * 300]
+    whole = shingles.Shingler(3).sets(texts)
+    monkeypatch.setattr(shingles, "BUFFER", 700)
+    assert all((a == b).all() for a, b in zip(whole, shingles.Shingler(3).sets(texts)))
+    monkeypatch.undo()
+    for t, s in zip(texts, whole):
+        w = (t or "").encode().translate(shingles._LOWER).split()
+        assert len(s) == (0 if not w else 1 if len(w) < 3 else len({tuple(w[i:i + 3]) for i in range(len(w) - 2)}))
+        assert (np.diff(s.astype(object)) > 0).all()
+    a = np.unique(np.random.default_rng(0).integers(0, 1 << 60, 300).astype(np.uint64))
+    bits = np.zeros(128, dtype=bool)
+    bits[(a & np.uint64(127)).astype(int)] = True
+    assert (shingles.folded([shingles.signature(a)], 16)[0] == np.packbits(bits)).all()
+
+
+def test_text_ids_and_clashing_columns(spark):
+    docs = near_copies()
+    name = lambda i: f"d{i:05d}"
+    df = (spark.createDataFrame([(name(i), t) for i, t in docs], "doc_id string, text string")
+          .withColumn("id", F.lit(1)).withColumn("token", F.lit(2)).withColumn("component_id", F.lit("z")).withColumn("__id", F.lit(0)))
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(df).collect()}
+    assert got == {name(i): (n, name(c)) for i, (n, c) in brute_components(docs).items()}
+
+
 def test_jaccard_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
