@@ -40,7 +40,7 @@ MIN_LOG_ODDS = 2.5
 STEM_CHARS = (4, 5, 6)
 STRONG = 4.5                  # log-odds from which an entry counts as strong
 NEAR_WORDS = 4
-WORD_TABLE_ENTRIES = 200_000
+WORD_TABLE_ENTRIES = 150_000
 SLICE_ROWS = 64               # texts whose words are summed together
 
 # fixed values: second-person words of the four languages of the corpus
@@ -85,8 +85,7 @@ class Lexicon:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.rows: list[tuple] = []
-        self.array = np.zeros((0, 11), dtype=np.float32)
+        self.array = np.zeros((4_096, 11), dtype=np.float32)      # grows by doubling; a row for each word of the index
 
     def weight(self, word: str) -> float:
         if word[:STEM_CHARS[0]] not in self.heads and word not in self.short:
@@ -124,13 +123,17 @@ class Lexicon:
         if len(self.index) > WORD_TABLE_ENTRIES:
             self.clear()
         index = self.index
+        known = len(index)
+        fresh: list[tuple] = []
         for ws in words:
             for w in ws:
                 if w not in index:
-                    index[w] = len(self.rows)
-                    self.rows.append(self.analyse(w))
-        if len(self.array) < len(self.rows):
-            self.array = np.concatenate([self.array, np.array(self.rows[len(self.array):], dtype=np.float32)])
+                    index[w] = known + len(fresh)
+                    fresh.append(self.analyse(w))
+        if fresh:
+            while len(self.array) < known + len(fresh):
+                self.array = np.concatenate([self.array, np.zeros_like(self.array)])
+            self.array[known:known + len(fresh)] = fresh
         ids = np.fromiter((index[w] for ws in words for w in ws), dtype=np.int64, count=int(counts.sum()))
         ends = np.cumsum(counts)
         starts = ends - counts
