@@ -15,11 +15,15 @@ Test seeds are joined with training seeds by broadcast up to
 ``MAX_BROADCAST_SEEDS`` of them; a larger benchmark is joined in blocks of
 hashes of that size, one after another, so what is broadcast stays bounded.
 Hits are reduced to distinct (text, item, alignment) before any exchange; then
-each hit text is compared token by token on its alignments.
+each hit text is compared token by token on its alignments.  A hit carries only
+the tokens that its item covers, never the whole text.  Small sides are
+broadcast by their measured bytes; beyond the bound the joins are salted, so
+copies of one text or one common item don't meet in one task.
 
 Edge cases: null or empty texts and items without tokens match nothing;
 repeated rows are all found; ties between alignments go to the smaller one; an
-empty benchmark leaks nothing; extra columns are kept by ``drop_leaked``.
+empty benchmark leaks nothing; extra columns are kept whatever their names, but
+``leaked_documents`` puts its own columns in place of those of the same name.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.llm.joins import MAX_BROADCAST_BYTES, join_measured, numbered, renamed
+
 # fixed values: token offsets each mask looks at
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW = 13
@@ -58,8 +64,8 @@ def _seed_hashes(words: Column, masks: list[tuple[int, ...]]) -> Column:
 
 
 def _benchmark_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
-    """(hash, item, at): every seed of every item; a short item only has the
-    seed of its whole length."""
+    """(hash, item, n, at): every seed of every item of n tokens; a short item
+    only has the seed of its whole length."""
     k = len(masks)
     long_items = F.size("words") >= WINDOW
     seeds = items.select("item", F.size("words").alias("n"), long_items.alias("long"),
@@ -68,11 +74,12 @@ def _benchmark_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFram
     whole = F.element_at(F.array(*[F.lit(m[-1] + 1) for m in masks]), mask_no + 1) == F.col("n")
     return (seeds.filter("hash is not null")
             .filter(F.when(F.col("long"), mask_no < len(MASKS)).otherwise((mask_no >= len(MASKS)) & whole))
-            .select("hash", "item", (F.col("j") / k).cast("int").alias("at")))
+            .select("hash", "item", "n", (F.col("j") / k).cast("int").alias("at")))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-               item_text: str = "text", max_broadcast: int = MAX_BROADCAST_SEEDS) -> DataFrame:
+               item_text: str = "text", max_broadcast: int = MAX_BROADCAST_SEEDS,
+               max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Leaked (text, item) pairs, one row each: ``text_key`` (SHA-256 of the
     text), ``item_id``, ``doc_start`` (token of the document where the item's
     first token would stand), ``n_equal`` (agreeing places on the alignment),
@@ -95,20 +102,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     def hits_in(block: int) -> DataFrame:
         part = seeds.filter(F.pmod("hash", F.lit(blocks)) == block) if blocks > 1 else seeds
         return (places.join(F.broadcast(part), "hash")
-                .select("key", "item", ((F.col("j") / k).cast("int") - F.col("at")).alias("shift")))
+                .select("key", "item", "n", ((F.col("j") / k).cast("int") - F.col("at")).alias("shift")))
 
     hits = reduce(DataFrame.unionByName, [hits_in(b) for b in range(blocks)])
-    aligned = (hits.distinct().groupBy("key").agg(F.collect_list(F.struct("item", "shift")).alias("hits")).checkpoint())
+    aligned = (hits.distinct().groupBy("key").agg(F.collect_list(F.struct("item", "n", "shift")).alias("hits")).checkpoint())
 
-    hit_docs = (docs.select(body.alias("t"), F.xxhash64(body).alias("key")).join(aligned, "key")
+    bodies = docs.select(body.alias("t"), F.xxhash64(body).alias("key"))
+    # copies of a text are one row before they are exchanged
+    hit_docs = (join_measured(bodies, aligned, ["key"], F.size("hits") * 40 + 40, max_bytes=max_bytes)
                 .groupBy("key", F.sha2("t", 256).alias("text_key")).agg(F.first("t").alias("t"), F.first("hits").alias("hits")))
-    compared = (hit_docs.select("text_key", "hits", tokens(F.col("t")).alias("dw"))
-                .select("text_key", "dw", F.explode("hits").alias("h"))
-                .select("text_key", F.col("h.item").alias("item"), F.col("h.shift").alias("shift"), "dw")
-                .join(items, "item")
-                .select("text_key", "item", "shift", F.size("words").alias("n_item"),
+    shift = F.col("h.shift")
+    covered = (hit_docs.select("text_key", "hits", tokens(F.col("t")).alias("dw"))
+               .select("text_key", "dw", F.explode("hits").alias("h"))
+               .select("text_key", F.col("h.item").alias("item"), F.col("h.n").alias("n_item"), shift.alias("shift"),
+                       F.slice("dw", F.greatest(shift, F.lit(0)) + 1, F.col("h.n") + F.least(shift, F.lit(0))).alias("part")))
+    known = items.select("item", F.size("words").alias("n_item"), "words")
+    before = F.least(F.col("shift"), F.lit(0))
+    compared = (join_measured(covered, known, ["item", "n_item"], F.aggregate(
+                    "words", F.lit(40), lambda a, w: a + 8 + F.octet_length(w)).cast("long"), max_bytes=max_bytes)
+                .select("text_key", "item", "shift", "n_item",
                         F.transform(F.col("words"), lambda w, q: F.coalesce(
-                            (F.when(q + F.col("shift") >= 0, F.get("dw", q + F.col("shift"))) == w).cast("int"), F.lit(0))).alias("eq"))
+                            (F.when(q + before >= 0, F.get("part", q + before)) == w).cast("int"), F.lit(0))).alias("eq"))
                 .checkpoint())      # else the filter below would inline the comparison into its lambdas
     width = F.least(F.lit(WINDOW), F.col("n_item"))
     need = F.when(F.col("n_item") < WINDOW, F.col("n_item")).otherwise(F.lit(MIN_EQUAL))
@@ -123,12 +137,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
 def leaked_documents(docs: DataFrame, leaks: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` joined with the pairs of their text."""
-    return docs.withColumn("text_key", F.sha2(F.col(f"`{text}`"), 256)).join(leaks, "text_key").drop("text_key")
+    plain, names = numbered(docs)
+    keyed = plain.withColumn("text_key", F.sha2(F.col(f"c{names.index(text)}"), 256))
+    found = [c for c in leaks.columns if c != "text_key"]
+    return (join_measured(keyed, leaks.checkpoint(), ["text_key"], F.lit(120).cast("long"))
+            .select(*renamed(names, tuple(found)), *found))
 
 
 def drop_leaked(docs: DataFrame, leaks: DataFrame, text: str = "text") -> DataFrame:
     """Documents that hold no item; all their columns."""
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
-                        F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256).alias("__key"))
-    gone = leaks.select(F.col("text_key").alias("__key")).distinct()
-    return keyed.join(gone, "__key", "left_anti").select("__row.*")
+    plain, names = numbered(docs)
+    keyed = plain.withColumn("text_key", F.sha2(F.coalesce(F.col(f"c{names.index(text)}"), F.lit("")), 256))
+    gone = leaks.select("text_key").distinct().checkpoint()
+    return join_measured(keyed, gone, ["text_key"], F.lit(100).cast("long"), "left_anti").select(*renamed(names))

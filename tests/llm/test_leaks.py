@@ -53,3 +53,28 @@ def test_equals_sql(spark):
     df = Q.op8_leaks(spark, SF)
     got = sorted((r.doc_id, r.item_id, r.doc_start, r.n_equal, r.n_item) for r in df.collect())
     assert got == want and got
+
+
+def test_clashing_columns_and_salted_joins(spark):
+    item = words("q", 30)
+    text = " ".join(words("a", 5) + item)
+    names = ["doc_id", "text", "text_key", "item_id", "c0", "c1", "key", "salt__", "__row", "__key", "words"]
+    rows = [(i, text if i < 40 else f"clean {i}", *[f"{n}{i}" for n in names[2:]]) for i in range(50)]
+    d = spark.createDataFrame(rows, names)
+    b = spark.createDataFrame([(10, " ".join(item)), (11, " ".join(words("b", 4)))], "item_id long, text string")
+    plain = d.select("doc_id", "text")
+    for max_bytes in (leaks.MAX_BROADCAST_BYTES, 0):
+        found = leaks.find_leaks(d, b, max_bytes=max_bytes)
+        assert {tuple(r) for r in found.collect()} == {tuple(r) for r in leaks.find_leaks(plain, b).collect()}
+    hit = leaks.leaked_documents(d, found)
+    assert {(r.doc_id, r.item_id, r.doc_start, r.text_key, r.words) for r in hit.collect()} == {(i, 10, 5, f"text_key{i}", f"words{i}") for i in range(40)}
+    clean = leaks.drop_leaked(d, found)
+    assert clean.columns == names and sorted(map(tuple, clean.collect())) == rows[40:]
+
+
+def test_an_item_that_reaches_over_the_ends_of_a_text(spark):
+    item = words("q", 40)
+    d = spark.createDataFrame([(1, " ".join(item[10:30])), (2, " ".join(item[:20])), (3, " ".join(item[25:] + ["x"]))], "doc_id long, text string")
+    b = spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    found = leaks.leaked_documents(d, leaks.find_leaks(d, b))
+    assert {(r.doc_id, r.doc_start, r.n_equal) for r in found.collect()} == {(1, -10, 20), (2, 0, 20), (3, -25, 15)}
