@@ -24,7 +24,7 @@ a common pattern are pre-aggregated.
 
 Edge cases: null text counts as empty (no spans); repeated rows each get the
 spans of their text; an empty table gives an empty result; extra columns are
-kept, whatever their names (helper columns begin with two underscores).
+kept, whatever their names; those named like an output give way to it.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.llm.joins import MAX_BROADCAST_BYTES, join_measured, numbered, renamed
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The matches of the plain patterns, written so that the regex engine neither
@@ -226,11 +228,14 @@ def score_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return found
 
 
-def find_identifiers(docs: DataFrame, text: str = "text", out: str = "pii", rounds: int = ROUNDS) -> DataFrame:
+def find_identifiers(docs: DataFrame, text: str = "text", out: str = "pii", rounds: int = ROUNDS,
+                     max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Adds ``<out>_base`` and ``<out>`` : arrays of struct<start,kind,end>
     (kind is an index into KINDS), sorted by start, then kind."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    spans = _with_candidates(_with_base(docs, text), text)
+    plain_docs, names = numbered(docs)
+    body = f"c{names.index(text)}"
+    t = F.coalesce(F.col(body), F.lit(""))
+    spans = _with_candidates(_with_base(plain_docs, body), body)
     # texts without candidates get a key of their own that matches nothing, so
     # they spread over the join's partitions instead of meeting in one
     keyed = spans.withColumn("__key", F.when(F.size("__cand") > 0, F.sha2(t, 256)).otherwise(
@@ -242,13 +247,14 @@ def find_identifiers(docs: DataFrame, text: str = "text", out: str = "pii", roun
     best = found.groupBy("inst").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
     added = (occ.filter("seed is null").groupBy("__key", "start", "end").agg(F.first("inst").alias("inst"))
              .join(best, "inst").groupBy("__key")
-             .agg(F.collect_list(F.struct("start", "kind", "end")).alias("__added")))
+             .agg(F.collect_list(F.struct("start", "kind", "end")).alias("__added")).checkpoint())
     plain = F.transform("__base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (out, f"{out}_base")]
-    slim = keyed.select(*kept, "__key", plain.alias(f"{out}_base"))
-    joined = slim.join(added, "__key", "left")
-    return joined.select(*kept, f"{out}_base",
-                         F.array_sort(F.concat(F.col(f"{out}_base"), F.coalesce("__added", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))).alias(out))
+    slim = keyed.select(*plain_docs.columns, "__key", plain.alias("__plain"))
+    # what was added is measured: copies of one text don't meet in one task
+    joined = join_measured(slim, added, ["__key"], F.size("__added") * 40 + 120, "left", max_bytes)
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    return joined.select(*renamed(names, (out, f"{out}_base")), F.col("__plain").alias(f"{out}_base"),
+                         F.array_sort(F.concat(F.col("__plain"), F.coalesce("__added", none))).alias(out))
 
 
 def span_list(spans: Column) -> Column:

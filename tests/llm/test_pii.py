@@ -90,3 +90,17 @@ def test_mask_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert pii.find_identifiers(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_columns_and_salted_joins(spark):
+    names = ["id", "text", "__base", "__cand", "__key", "__p_ip", "__plain", "__added", "pii", "c0", "c1", "salt__"]
+    texts = [f"You can phone me on +1 (017) 555-{7000 + i} tomorrow" for i in range(12)] + ["You can phone me on 555-1234567 tomorrow"] * 20
+    rows = [(i, t, *[f"{n}{i}" for n in names[2:]]) for i, t in enumerate(texts + [None, ""])]
+    df = spark.createDataFrame(rows, names)
+    for max_bytes in (pii.MAX_BROADCAST_BYTES, 0):
+        out = pii.find_identifiers(df, max_bytes=max_bytes)
+        assert out.columns == [n for n in names if n != "pii"] + ["pii_base", "pii"]
+        got = {r.id: r for r in out.select("*", pii.span_list(F.col("pii")).alias("s")).collect()}
+        assert len(got) == len(rows)
+        assert all(got[i].s == "phone:20:31" and got[i]["__key"] == f"__key{i}" and got[i]["__base"] == f"__base{i}" for i in range(12, 32))
+        assert got[32].s == got[33].s == ""
