@@ -13,7 +13,8 @@ chunks with offsets, spread over the cluster; every chunk is encoded with
 offsets by the library.  Neighbouring chunks are spliced at the first place
 inside their overlap that is a token boundary in both encodings and proven.
 Where the overlap holds no such place, that document's chunks are cut again
-with an overlap 8 times as wide, until the chunk is the whole text.
+with an overlap 8 times as wide, until the chunk is the whole text.  A text is
+cut in one pass from its start to its end.
 
 The total is a plain sum, so it needs no ordered window:
 tokens = sum of chunk totals - sum over seams of (left tokens after the splice
@@ -21,7 +22,8 @@ tokens = sum of chunk totals - sum over seams of (left tokens after the splice
 
 Requires an identity normalizer with white space kept (checked on the model).
 Edge cases: null counts as empty (0 tokens); repeated rows keep their own
-result rows; extra columns are kept.
+result rows; extra columns are kept whatever their names, but one named like
+the output gives way to it.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagweave.llm.joins import join_measured, numbered, renamed
+
 MAX_MODEL_BYTES = 64 << 20
 UNIT_TABLE_ENTRIES = 500_000
 PENDING_WORDS = 100_000        # words that wait for one call of the library
@@ -167,12 +171,17 @@ def _chunk_udf(model):
 def _spliced(texts: DataFrame, model, chunk_chars: int, overlap: int) -> DataFrame:
     """texts(key, text) -> (key, n_tokens), null where a seam has no common
     proven boundary.  Chunk i covers [i*step, i*step + step + overlap)."""
-    step = chunk_chars
-    n_chars = F.length("text")
-    last = F.greatest(F.lit(0), F.ceil((n_chars - F.lit(overlap)) / F.lit(step)) - 1)
-    chunks = (texts.select("key", "text", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("no"), last.alias("last"))
-              .select("key", "no", "last", (F.col("no") * step).cast("long").alias("start"),
-                      F.substring("text", F.col("no") * step + 1, F.lit(step + overlap)).alias("chunk"))
+    step = max(chunk_chars, overlap)
+    # pieces of ``step`` characters in one pass; the overlap is never wider, so
+    # a chunk is a piece and the start of the next one
+    pieces = texts.select("key", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}+"), F.lit(0)).alias("pieces"))
+    n = F.size("pieces")
+    covered = (n > 1) & (F.length(F.element_at("pieces", -1)) <= overlap)      # by the chunk before
+    last = F.when(covered, n - 2).otherwise(n - 1)
+    pairs = F.arrays_zip(F.col("pieces").alias("own"), F.slice("pieces", F.lit(2), n).alias("following"))
+    chunks = (pieces.select("key", last.alias("last"), F.posexplode(pairs).alias("no", "p")).filter("no <= last")
+              .select("key", "no", "last", (F.col("no").cast("long") * step).alias("start"),
+                      F.concat("p.own", F.coalesce(F.left("p.following", F.lit(overlap)), F.lit(""))).alias("chunk"))
               .repartition(F.col("key"), F.col("no")))
     done = chunks.select("key", "no", "last",
                          _chunk_udf(model)(F.col("chunk"), F.col("start"), F.lit(overlap).cast("int")).alias("c"))
@@ -209,13 +218,15 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", out: str
         for batch in batches:
             yield pa.array(counter.count_batch([t or "" for t in batch.to_pylist()]), pa.int64())
 
-    huge = F.coalesce(F.length(text) > chunk_chars + overlap_chars, F.lit(False))
+    plain, names = numbered(docs)
+    body = F.col(f"c{names.index(text)}")
+    huge = F.coalesce(F.length(body) > chunk_chars + overlap_chars, F.lit(False))
     count_short = F.arrow_udf(short, T.LongType())
-    small = docs.filter(~huge).withColumn(out, count_short(F.col(text)))
+    small = plain.filter(~huge).withColumn("tokens", count_short(body))
 
     # huge texts are counted once per distinct text, keyed by digest
-    rest = docs.filter(huge)
-    texts = (rest.select(F.sha2(F.col(text), 256).alias("key"), F.col(text).alias("text"))
+    rest = plain.filter(huge)
+    texts = (rest.select(F.sha2(body, 256).alias("key"), body.alias("text"))
              .groupBy("key").agg(F.first("text").alias("text")))
     counted, overlap = None, overlap_chars
     texts = texts.checkpoint()
@@ -228,8 +239,7 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", out: str
             break
         texts = texts.join(failed, "key", "left_semi")
         overlap *= WIDEN
-    key = "__text_digest"
-    counted = counted.select(F.col("key").alias(key), F.col("n_tokens").alias("__n"))
-    big = (rest.withColumn(key, F.sha2(F.col(text), 256)).join(counted, key, "left")
-           .withColumn(out, F.col("__n")).drop(key, "__n"))
-    return small.unionByName(big)
+    big = join_measured(rest.withColumn("key", F.sha2(body, 256)), counted.withColumnRenamed("n_tokens", "tokens"), ["key"],
+                        F.lit(120).cast("long"), "left")
+    both = small.unionByName(big.select(*plain.columns, "tokens"))
+    return both.select(*renamed(names, (out,)), F.col("tokens").alias(out))

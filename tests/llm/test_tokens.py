@@ -77,3 +77,15 @@ def test_count_query_columns(spark, table_dir):
     got = {r.doc_id: (r.n_bytes, r.over_limit) for r in Q.op2_token_counts(spark, d).collect()}
     assert got == {1: (4, False), 2: (0, False), 3: (30000, True)}
     assert Q.op2_token_counts(spark, table_dir(spark, "documents", [], "doc_id long, text string")).select(F.col("n_tokens")).count() == 0
+
+
+def test_count_with_clashing_columns_and_wide_characters(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    names = ["id", "text", "key", "tokens", "n_tokens", "__n", "__text_digest", "c0", "c1", "salt__"]
+    texts_ = ["😀a日 " * 300, "é" * 999, "a b", None, "x y\n" * 250]
+    rows = [(i, t, *[f"{n}{i}" for n in names[2:]]) for i, t in enumerate(texts_ * 3)]
+    df = spark.createDataFrame(rows, names)
+    out = count_tokens(df, MODEL, chunk_chars=100, overlap_chars=10)
+    assert out.columns == [n for n in names if n != "n_tokens"] + ["n_tokens"]
+    for r in out.collect():
+        assert r.n_tokens == len(sp.encode(rows[r.id][1] or "")) and (r.key, r["__n"], r.c1) == (f"key{r.id}", f"__n{r.id}", f"c1{r.id}")
