@@ -1,19 +1,21 @@
-"""Long repeats by a logarithmic family of sparse suffix arrays (operator 4).
+"""Long repeats by a logarithmic family of sorted anchor tables (operator 4).
 
 A byte of a text is removed when a ``length``-byte string that covers it starts
 anywhere else, in the same or another text.
 
-Sparse suffix array.  Every ``length``-byte window names one anchor (see
-``bytehash``); neighbouring windows with one anchor form a run.  A suffix array
-of a batch holds its runs, sorted by the hash of the suffix's first ``GRAM``
-bytes, then by the hash of the whole run: equal windows always lie in entries
-with the same first hash.
+This is not a suffix-array index: levels hold hashes and counts, no suffixes or
+positions, and a new batch is not scanned against the levels.
 
-Logarithmic family.  A new batch becomes an array of level 0.  While two arrays
-have one level, they are merge-scanned into one of the next level (counts of
-equal entries add up), so every entry is rewritten O(log batches) times.  The
-scan over all levels tells for each entry whether its run occurs again, and
-whether other runs share its anchor.
+Anchors.  Every ``length``-byte window names one anchor (see ``bytehash``);
+neighbouring windows with one anchor form a run.  A batch's table holds (anchor
+hash, run hash, count), sorted: equal windows always lie in entries with the
+same anchor hash.
+
+Logarithmic family.  A new batch becomes a table of level 0.  While two tables
+have one level, they become one of the next level (counts of equal entries add
+up), so every entry is rewritten O(log batches) times.  One grouping over all
+levels tells for each entry whether its run occurs again, and whether other
+runs share its anchor; the result does not depend on the batches.
 
 Decision.  Runs that occur twice are repeats as a whole.  Where *different*
 runs share an anchor (at the edges of repeats), one text of each is cut out and
@@ -109,7 +111,8 @@ def _run_rows(keyed: DataFrame, length: int) -> DataFrame:
 
 
 class SuffixIndex:
-    """A family of sorted arrays, at most one of each level, in a shared folder."""
+    """A family of sorted tables of (akey, h, c), at most one of each level, in a
+    shared folder."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, length: int = LENGTH):
         self.spark, self.length = spark, length
