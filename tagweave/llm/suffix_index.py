@@ -1,21 +1,22 @@
-"""Long repeats by a logarithmic family of sorted anchor tables (operator 4).
+"""Long repeats by a logarithmic family of suffix arrays (operator 4).
 
 A byte of a text is removed when a ``length``-byte string that covers it starts
 anywhere else, in the same or another text.
 
-This is not a suffix-array index: levels hold hashes and counts, no suffixes or
-positions, and a new batch is not scanned against the levels.
-
-Anchors.  Every ``length``-byte window names one anchor (see ``bytehash``);
-neighbouring windows with one anchor form a run.  A batch's table holds (anchor
-hash, run hash, count), sorted: equal windows always lie in entries with the
-same anchor hash.
-
-Logarithmic family.  A new batch becomes a table of level 0.  While two tables
-have one level, they become one of the next level (counts of equal entries add
-up), so every entry is rewritten O(log batches) times.  One grouping over all
-levels tells for each entry whether its run occurs again, and whether other
-runs share its anchor; the result does not depend on the batches.
+Suffixes.  Every ``length``-byte window names one anchor (see ``bytehash``), and
+equal windows name equal anchors at equal distances, so the suffixes that begin
+at anchors are enough: the arrays are sparse.  Neighbouring windows with one
+anchor form a run.  A batch's array holds the position of every such suffix
+(text, run, distance of the anchor in it), sorted by a hash of the suffix's
+first ``GRAM`` bytes, then by a hash of its run; a level holds one position of
+each different suffix and its count, in the same order.
+
+Logarithmic family.  ``SuffixIndex.add`` scans a new batch against every level:
+a merge on the suffixes' order leaves those that the batch meets again.  The
+suffixes found twice, in the batch or between it and a level, are the batch's
+matches; an earlier suffix that had no copy until then is reported with them.
+The batch then becomes a level, and two levels of one size become one of the
+next, so every suffix is rewritten O(log batches) times.
 
 Decision.  Runs that occur twice are repeats as a whole.  Where *different*
 runs share an anchor (at the edges of repeats), one text of each is cut out and
@@ -23,13 +24,15 @@ its windows are compared by their hashes: anchors with up to ``HOT`` runs meet
 in sorted batches, commoner ones are compared window by window after a
 pre-aggregation, so no task gathers a large group.
 
-Texts are known by 96 bits of hashes (xxhash64 and crc32), entries by 128 bits;
+Texts are known by 96 bits of hashes (xxhash64 and crc32), suffixes by 128 bits;
 texts themselves are never exchanged unless the intervals to apply exceed
-``MAX_BROADCAST_BYTES`` - then both sides are exchanged on the text's key.
+``MAX_BROADCAST_BYTES`` - then both sides are exchanged on the text's key and a
+salt.
 
 Edge cases: null text counts as empty; texts shorter than ``length`` keep every
 byte; an empty table gives an empty result; repeated rows are repeats of one
-another and are removed whole when long enough; extra columns are kept.
+another and are removed whole when long enough; extra columns are kept whatever
+their names, but for those named like an output, which give way to it.
 """
 
 from __future__ import annotations
@@ -43,6 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm.bytehash import Rolling, finalize, runs
+from tagweave.llm.joins import join_measured, numbered, renamed
 from tagweave.llm.store import Scratch, remove, stored
 from tagweave.session import scratch_path
 
@@ -52,6 +56,7 @@ BUFFER = 1 << 18
 BATCHES = 4
 HOT = 256
 MAX_BROADCAST_BYTES = 48 << 20
+SLICE = 4 << 20
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -110,9 +115,12 @@ def _run_rows(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.mapInArrow(run, "akey long, h long, k1 long, k2 long, lo int, n short, off short")
 
 
+_SUFFIX = ("k1", "k2", "lo", "n", "off")
+
+
 class SuffixIndex:
-    """A family of sorted tables of (akey, h, c), at most one of each level, in a
-    shared folder."""
+    """A family of levels, at most one of each size, in a shared folder: sorted
+    tables of (akey, h, c, r) with one position ``r`` of each suffix."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, length: int = LENGTH):
         self.spark, self.length = spark, length
@@ -129,67 +137,85 @@ class SuffixIndex:
             remove(self.spark, path)
         self.levels.clear()
 
-    def add(self, run_rows: DataFrame) -> None:
-        """Adds a batch, then merges arrays of equal level."""
+    def entries(self) -> DataFrame:
+        """(akey, h, c, r) of every level."""
+        return self._union([self.spark.read.parquet(p) for p in self.levels.values()])
+
+    @staticmethod
+    def _union(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    def add(self, suffixes: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+        """Adds a batch of suffixes (akey, h, k1, k2, lo, n, off) and returns what
+        it matches, as tables in ``scratch``: (k1, k2, lo, n) of the runs that
+        occur again, and (akey, h, r, twice) of the suffixes that share an anchor
+        with a different one."""
+        scratch = scratch or Scratch(self.spark)
+        array = self._write(suffixes)
+        batch = self.spark.read.parquet(array)
+        level_path = self._write(batch.groupBy("akey", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*_SUFFIX)).alias("r")))
+        new = self.spark.read.parquet(level_path)
+        # the scan: suffixes of each level whose anchor the batch holds too
+        met = [self.spark.read.parquet(p).join(new.select("akey"), "akey", "left_semi") for p in self.levels.values()]
+        seen = self._union([new.withColumn("fresh", F.lit(True)), *[m.withColumn("fresh", F.lit(False)) for m in met]])
+        anchors = (seen.groupBy("akey").agg(F.sum("c").alias("t"), (F.min("h") < F.max("h")).alias("shared"))
+                   .filter("t > 1").select("akey", "shared"))
+        hits = scratch.put(
+            seen.join(anchors, "akey").groupBy("akey", "h")
+            .agg((F.sum("c") > 1).alias("twice"), F.min("r").alias("r"), F.first("shared").alias("shared"), F.max("fresh").alias("fresh"),
+                 F.min(F.when(~F.col("fresh") & (F.col("c") == 1), F.col("r"))).alias("lone")), "suffix-hits")
+        again = hits.filter("twice and fresh")
+        here = batch.join(again.select("akey", "h"), ["akey", "h"], "left_semi").select("k1", "k2", "lo", "n")
+        before = again.filter("lone is not null").select("lone.k1", "lone.k2", "lone.lo", "lone.n")
+        whole = scratch.put(here.unionByName(before), "suffix-whole")
+        remove(self.spark, array)
+        self._settle(level_path)
+        return whole, hits.filter("shared").select("akey", "h", "r", "twice")
+
+    def _settle(self, array: str) -> None:
+        """Files a level, merging while there is another of its size."""
         level = 0
-        array = self._write(run_rows.groupBy("akey", "h").agg(F.count(F.lit(1)).alias("c")))
         while level in self.levels:
             other = self.levels.pop(level)
             both = self.spark.read.parquet(array).unionByName(self.spark.read.parquet(other))
-            merged = self._write(both.groupBy("akey", "h").agg(F.sum("c").alias("c")))
+            merged = self._write(both.groupBy("akey", "h").agg(F.sum("c").alias("c"), F.min("r").alias("r")))
             remove(self.spark, array)
             remove(self.spark, other)
             array, level = merged, level + 1
         self.levels[level] = array
 
-    def entries(self) -> DataFrame:
-        """(akey, h, c) over all levels."""
-        arrays = [self.spark.read.parquet(p) for p in self.levels.values()]
-        if len(arrays) == 1:
-            return arrays[0]
-        both = arrays[0]
-        for a in arrays[1:]:
-            both = both.unionByName(a)
-        return both.groupBy("akey", "h").agg(F.sum("c").alias("c"))
-
-    def matches(self) -> DataFrame:
-        """(akey, h, twice, m): entries whose run occurs again or whose anchor
-        has ``m`` > 1 different runs."""
-        e = self.entries()
-        shared = e.groupBy("akey").agg(F.count(F.lit(1)).alias("m"), F.max("c").alias("most")).filter("m > 1 or most > 1")
-        return (e.join(shared, "akey").filter("c > 1 or m > 1")
-                .select("akey", "h", (F.col("c") > 1).alias("twice"), F.col("m").cast("int").alias("m")))
-
-
-def _apply(docs: DataFrame, side: DataFrame, text: str, how: str) -> DataFrame:
-    """docs joined with a table keyed by text (k1, k2), which is broadcast only
-    while its size in bytes stays within the bound."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    keyed = docs.withColumn("__k1", F.xxhash64(t)).withColumn("__k2", F.crc32(t))
-    side = side.withColumnRenamed("k1", "__k1").withColumnRenamed("k2", "__k2")
-    size = side.agg(F.sum(F.octet_length("__packed") + 40).alias("b")).first().b or 0
-    return keyed.join(F.broadcast(side) if size <= MAX_BROADCAST_BYTES else side, ["__k1", "__k2"], how)
-
 
+_PACKED_BYTES = "octet_length(packed) + 40"
 _REP = np.dtype([("akey", "<i8"), ("lo", "<i4"), ("n", "<i4"), ("off", "<i4"), ("twice", "<i4")])
 
 
-def _pack_runs(reps: DataFrame) -> DataFrame:
-    """(k1, k2, __packed): the runs to cut out of each text, as records."""
+def _lists(items: pa.ListArray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The fields of a column of lists of structs, and where its lists begin."""
+    values = items.flatten()
+    ends = np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy())])
+    return [f.to_numpy(zero_copy_only=False) for f in values.flatten()], ends
+
+
+def _pack_runs(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k1, k2, packed): the runs to cut out of each text, as records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for items in b.column(2).to_pylist():
-                a = np.array([(x["akey"], x["lo"], x["n"], x["off"], int(x["twice"])) for x in items], dtype=_REP)
-                out.append(a.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["k1", "k2", "__packed"])
+            fields, ends = _lists(b.column(2))
+            a = np.zeros(int(ends[-1]), dtype=_REP)
+            for name, f in zip(_REP.names, fields):
+                a[name] = f
+            out = [a[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["k1", "k2", "packed"])
 
     listed = reps.groupBy("k1", "k2").agg(F.collect_list(F.struct("akey", "lo", "n", "off", "twice")).alias("items"))
-    return stored(listed.mapInArrow(run, "k1 long, k2 long, __packed binary"), "suffix-packed")
+    return scratch.put(listed.mapInArrow(run, "k1 long, k2 long, packed binary"), "suffix-packed")
 
 
-def _cut_runs(docs: DataFrame, reps: DataFrame, text: str, length: int, windows: bool) -> DataFrame:
+def _cut_runs(keyed: DataFrame, packed: DataFrame, length: int, windows: bool) -> DataFrame:
     """The bytes of the runs, or one row for each of their windows."""
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +230,7 @@ def _cut_runs(docs: DataFrame, reps: DataFrame, text: str, length: int, windows:
                      pa.array([t[lo:lo + n + length - 1] for lo, n in zip(a["lo"].tolist(), a["n"].tolist())], pa.binary())],
                     names=["akey", "k1", "k2", "lo", "off", "twice", "part"])
 
-    t = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    joined = _apply(docs.select(F.col(f"`{text}`")), _pack_runs(reps), text, "inner").select("__k1", "__k2", t.alias("t"), "__packed")
+    joined = join_measured(keyed, packed, ["k1", "k2"], F.expr(_PACKED_BYTES), max_bytes=MAX_BROADCAST_BYTES).select("k1", "k2", "t", "packed")
     cut = joined.mapInArrow(bytes_of, "akey long, k1 long, k2 long, lo int, off int, twice boolean, part binary")
     if not windows:
         return cut
@@ -286,23 +311,55 @@ def _compare_cold(cut: DataFrame, length: int) -> DataFrame:
 
 
 def _merge(stretches: DataFrame) -> DataFrame:
-    """(k1, k2, __packed): the union of each text's stretches, as int32 pairs."""
+    """(k1, k2, packed): the union of each text's stretches, as int32 pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            (start, end), bounds = _lists(b.column(2))
             out = []
-            for i in range(b.num_rows):
-                v = b.column(2)[i].values
-                a = np.stack([v.field(0).to_numpy(), v.field(1).to_numpy()], axis=1).astype(np.int32)
-                a = a[np.argsort(a[:, 0], kind="stable")]
-                reach = np.maximum.accumulate(a[:, 1])
-                new = np.concatenate([[True], a[1:, 0] > reach[:-1]])
+            for i, j in zip(bounds[:-1], bounds[1:]):
+                order = np.argsort(start[i:j], kind="stable")
+                s, reach = start[i:j][order], np.maximum.accumulate(end[i:j][order])
+                new = np.concatenate([[True], s[1:] > reach[:-1]])
                 last = np.concatenate([new[1:], [True]])
-                out.append(np.stack([a[new, 0], reach[last]], axis=1).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["k1", "k2", "__packed"])
+                out.append(np.stack([s[new], reach[last]], axis=1).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["k1", "k2", "packed"])
 
     listed = stretches.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("items"))
-    return stored(listed.mapInArrow(run, "k1 long, k2 long, __packed binary"), "suffix-packed")
+    return stored(listed.mapInArrow(run, "k1 long, k2 long, packed binary"), "suffix-removed")
+
+
+_CUT = pa.struct([("kept", pa.binary()), ("removed", pa.int64()), ("spans", pa.int64())])
+
+
+def _cut_texts(data: pa.Array, packed: pa.Array) -> pa.Array:
+    """The texts without their stretches.  A batch is cut in slices of at most
+    ``SLICE`` bytes (a longer text alone), on the column's own buffer."""
+    if not len(data):
+        return pa.array([], _CUT)
+    offsets = np.frombuffer(data.buffers()[1], dtype="<i8" if pa.types.is_large_binary(data.type) else "<i4")
+    offsets = offsets[data.offset:data.offset + len(data) + 1].astype(np.int64)
+    raw = np.frombuffer(data.buffers()[2] or b"", dtype=np.uint8)
+    out, first = [], 0
+    while first < len(data):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, side="right")) - 1)
+        base = offsets[first]
+        stay = np.ones(int(offsets[last] - base), dtype=bool)
+        spans = np.zeros(last - first, dtype=np.int64)
+        for i in range(first, last):
+            if packed[i].is_valid:
+                a = np.frombuffer(packed[i].as_buffer(), dtype="<i4").reshape(-1, 2)
+                spans[i - first] = len(a)
+                for start, end in (a + (offsets[i] - base)).tolist():
+                    stay[start:end] = False
+        before = np.concatenate([[0], np.cumsum(stay, dtype=np.int64)])
+        at = before[offsets[first:last + 1] - base]
+        rest = raw[base:offsets[last]][stay]
+        kept = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(rest)])
+        removed = np.diff(offsets[first:last + 1]) - np.diff(at)
+        out.append(pa.StructArray.from_arrays([kept, pa.array(removed), pa.array(spans)], fields=list(_CUT)))
+        first = last
+    return pa.concat_arrays(out)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, batches: int = BATCHES,
@@ -311,48 +368,29 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ba
     and ``n_spans`` (long) to every row."""
     spark = docs.sparkSession
     keyed = _keyed(docs, text)
-    index = SuffixIndex(spark, length=length)
-    for b in range(batches):
-        index.add(_run_rows(keyed.filter(F.pmod("k1", F.lit(batches)) == b), length))
-    scratch = Scratch(spark)
-    found = scratch.put(_run_rows(keyed, length).join(index.matches(), ["akey", "h"]), "suffix-found")
-
-    whole = found.filter("twice").select("k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
-    # one text of each run whose anchor has other runs
+    index, scratch = SuffixIndex(spark, length=length), Scratch(spark)
+    found = [index.add(_run_rows(keyed.filter(F.pmod("k1", F.lit(batches)) == b), length), scratch) for b in range(batches)]
     index.clear()
-    reps = scratch.put(found.filter("m > 1").groupBy("akey", "h")
-            .agg(F.min(F.struct("k1", "k2", "lo", "n", "off")).alias("r"), F.first("twice").alias("twice"), F.first("m").alias("m"))
-            .select("akey", "r.*", "twice", "m"), "suffix-reps")
-    cold = _compare_cold(_cut_runs(docs, reps.filter(F.col("m") <= HOT), text, length, False), length)
-    hot = _cut_runs(docs, reps.filter(F.col("m") > HOT), text, length, True)
+    whole = (index._union([w for w, _ in found])
+             .select("k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end")))
+    # one text of each run whose anchor has other runs
+    sharing = (index._union([s for _, s in found]).groupBy("akey", "h").agg(F.min("r").alias("r"), F.max("twice").alias("twice")))
+    many = sharing.groupBy("akey").agg(F.count(F.lit(1)).alias("m"))
+    reps = scratch.put(sharing.join(many, "akey").select("akey", "h", "r.*", "twice", "m"), "suffix-reps")
+    cold = _compare_cold(_cut_runs(keyed, _pack_runs(reps.filter(F.col("m") <= HOT), scratch), length, False), length)
+    hot = _cut_runs(keyed, _pack_runs(reps.filter(F.col("m") > HOT), scratch), length, True)
     again = hot.groupBy("akey", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     hot_found = (hot.filter("not twice").join(again, ["akey", "w"])
                  .select("k1", "k2", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
-    stretches = whole.unionByName(cold).unionByName(hot_found)
-    merged = _merge(stretches)
+    merged = _merge(whole.unionByName(cold).unionByName(hot_found))
     scratch.clear()
 
-    columns = [c for c in docs.columns if c not in (kept, "n_bytes", "n_removed", "n_spans")]
-    t = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    joined = _apply(docs, merged, text, "left").select(*[F.col(f"`{c}`") for c in columns], t.alias("__t"), "__packed")
-
-    def cut_text(data: pa.Array, packed: pa.Array) -> pa.Array:
-        out = []
-        for d, p in zip(data.to_pylist(), packed.to_pylist()):
-            if p is None:
-                out.append({"kept": d, "removed": 0, "spans": 0})
-                continue
-            a = np.frombuffer(p, dtype="<i4").reshape(-1, 2).tolist()
-            parts, at = [], 0
-            for start, end in a:
-                parts.append(d[at:start])
-                at = end
-            parts.append(d[at:])
-            rest = b"".join(parts)
-            out.append({"kept": rest, "removed": len(d) - len(rest), "spans": len(a)})
-        return pa.array(out, pa.struct([("kept", pa.binary()), ("removed", pa.int64()), ("spans", pa.int64())]))
-
-    cut = F.arrow_udf(cut_text, "struct<kept:binary,removed:bigint,spans:bigint>")
-    made = joined.withColumn("__c", cut("__t", "__packed"))
-    return made.select(*[F.col(f"`{c}`") for c in columns], F.col("__c.kept").alias(kept), F.octet_length("__t").cast("long").alias("n_bytes"),
-                       F.col("__c.removed").alias("n_removed"), F.col("__c.spans").alias("n_spans"))
+    rows, names = numbered(docs)
+    t = F.coalesce(F.col(f"c{names.index(text)}"), F.lit("")).cast("binary")
+    rows = rows.withColumn("k1", F.xxhash64(t)).withColumn("k2", F.crc32(t))
+    joined = join_measured(rows, merged, ["k1", "k2"], F.expr(_PACKED_BYTES), "left", MAX_BROADCAST_BYTES)
+    cut = F.arrow_udf(_cut_texts, "struct<kept:binary,removed:bigint,spans:bigint>")
+    made = joined.withColumn("cut", cut(t, "packed"))
+    return made.select(*renamed(names, (kept, "n_bytes", "n_removed", "n_spans")), F.col("cut.kept").alias(kept),
+                       F.octet_length(t).cast("long").alias("n_bytes"), F.col("cut.removed").alias("n_removed"),
+                       F.col("cut.spans").alias("n_spans"))

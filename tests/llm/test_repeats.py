@@ -67,6 +67,38 @@ def test_suffix_empty_table_and_extra_columns(spark):
     assert bytes(r.kept) == b"abc" and r.x == "own" and r.n_bytes == 3
 
 
+def test_suffix_batches_are_scanned_against_the_levels(spark):
+    """Each batch reports its own repeats and, once, the earlier suffix it repeats."""
+    index = SI.SuffixIndex(spark)
+    schema = "akey long, h long, k1 long, k2 long, lo int, n short, off short"
+    batch = lambda *rows: index.add(spark.createDataFrame([(a, h, t, t, 0, 5, 1) for a, h, t in rows], schema))
+    texts = lambda found: sorted(r.k1 for r in found[0].collect())
+    sharing = lambda found: sorted((r.h, r.r.k1, r.twice) for r in found[1].collect())
+    first = batch((1, 10, 100), (2, 20, 101), (3, 30, 102), (3, 30, 103))
+    assert texts(first) == [102, 103] and sharing(first) == []
+    second = batch((1, 10, 200), (2, 21, 201), (3, 30, 202))          # 10 again: with its lone copy; 30: copies known
+    assert texts(second) == [100, 200, 202] and sharing(second) == [(20, 101, False), (21, 201, False)]
+    third = batch((9, 90, 300))
+    assert texts(third) == [] and sharing(third) == []
+    fourth = batch((2, 20, 400), (9, 91, 401))                        # found two levels down
+    assert texts(fourth) == [101, 400]
+    assert sharing(fourth) == [(20, 101, True), (21, 201, False), (90, 300, False), (91, 401, False)]
+    assert sorted(index.levels) == [2] and sum(r.c for r in index.entries().collect()) == 10
+
+
+def test_suffix_clashing_columns_and_long_repeats(spark, monkeypatch):
+    monkeypatch.setattr(SI, "SLICE", 700)
+    monkeypatch.setattr(SI, "MAX_BROADCAST_BYTES", 1)
+    a, b = "".join(f"{i:04d}" for i in range(200)), "".join(f"{i * 7:05d}" for i in range(100))
+    rows = [(i, t, i, i, "p", "q") for i, t in enumerate([a, b, a + b, None, "", "x" + a[:300], b * 3])]
+    df = spark.createDataFrame(rows, "id long, text string, k1 int, t int, packed string, cut string")
+    out = SI.remove_repeats(df)
+    assert out.columns == [*df.columns, "kept", "n_bytes", "n_removed", "n_spans"]
+    got = sorted((r.id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out.collect())
+    assert got == brute_repeats([(i, t) for i, t, *_ in rows])
+    assert sorted(map(tuple, out.select(*df.columns).collect()), key=lambda r: r[0]) == rows
+
+
 def brute_components(docs, width=3, percent=90):
     sets = {}
     for i, t in docs:
