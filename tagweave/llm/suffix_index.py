@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm.bytehash import Rolling, finalize, runs
@@ -115,12 +115,27 @@ def _run_rows(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.mapInArrow(run, "akey long, h long, k1 long, k2 long, lo int, n short, off short")
 
 
-_SUFFIX = ("k1", "k2", "lo", "n", "off")
+# a suffix's place in one long: lo, then n and off (both below length)
+_Q = "shiftleft(cast(lo as bigint), 32) | shiftleft(cast(n as bigint), 16) | cast(off as bigint)"
+_PLACE = ("k1", "k2", "q")
+
+
+def _one(when: str | None = None, names: tuple[str, ...] = _PLACE) -> list[Column]:
+    """One place of a group, by the least hash of the place: columns of fixed
+    width, which Spark aggregates by hashing (a struct would be sorted)."""
+    order = F.xxhash64(*_PLACE) if when is None else F.when(F.expr(when), F.xxhash64(*_PLACE))
+    return [F.min_by(c, order).alias(name) for c, name in zip(_PLACE, names)]
+
+
+def _unpacked(q: str = "q") -> list[Column]:
+    """lo, n and off of a packed place."""
+    return [F.expr(e).cast("int").alias(name) for name, e in
+            (("lo", f"shiftright({q}, 32)"), ("n", f"shiftright({q}, 16) & 65535"), ("off", f"{q} & 65535"))]
 
 
 class SuffixIndex:
     """A family of levels, at most one of each size, in a shared folder: sorted
-    tables of (akey, h, c, r) with one position ``r`` of each suffix."""
+    tables of (akey, h, c, k1, k2, q) with one place of each suffix."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, length: int = LENGTH):
         self.spark, self.length = spark, length
@@ -138,7 +153,7 @@ class SuffixIndex:
         self.levels.clear()
 
     def entries(self) -> DataFrame:
-        """(akey, h, c, r) of every level."""
+        """(akey, h, c, k1, k2, q) of every level."""
         return self._union([self.spark.read.parquet(p) for p in self.levels.values()])
 
     @staticmethod
@@ -151,12 +166,12 @@ class SuffixIndex:
     def add(self, suffixes: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
         """Adds a batch of suffixes (akey, h, k1, k2, lo, n, off) and returns what
         it matches, as tables in ``scratch``: (k1, k2, lo, n) of the runs that
-        occur again, and (akey, h, r, twice) of the suffixes that share an anchor
-        with a different one."""
+        occur again, and (akey, h, k1, k2, q, twice) of the suffixes that share an
+        anchor with a different one."""
         scratch = scratch or Scratch(self.spark)
-        array = self._write(suffixes)
+        array = self._write(suffixes.select("akey", "h", "k1", "k2", F.expr(_Q).alias("q")))
         batch = self.spark.read.parquet(array)
-        level_path = self._write(batch.groupBy("akey", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*_SUFFIX)).alias("r")))
+        level_path = self._write(batch.groupBy("akey", "h").agg(F.count(F.lit(1)).alias("c"), *_one()))
         new = self.spark.read.parquet(level_path)
         # the scan: suffixes of each level whose anchor the batch holds too
         met = [self.spark.read.parquet(p).join(new.select("akey"), "akey", "left_semi") for p in self.levels.values()]
@@ -165,15 +180,15 @@ class SuffixIndex:
                    .filter("t > 1").select("akey", "shared"))
         hits = scratch.put(
             seen.join(anchors, "akey").groupBy("akey", "h")
-            .agg((F.sum("c") > 1).alias("twice"), F.min("r").alias("r"), F.first("shared").alias("shared"), F.max("fresh").alias("fresh"),
-                 F.min(F.when(~F.col("fresh") & (F.col("c") == 1), F.col("r"))).alias("lone")), "suffix-hits")
+            .agg((F.sum("c") > 1).alias("twice"), F.max("shared").alias("shared"), F.max("fresh").alias("fresh"), *_one(),
+                 *_one("not fresh and c = 1", ("lone1", "lone2", "lone"))), "suffix-hits")
         again = hits.filter("twice and fresh")
-        here = batch.join(again.select("akey", "h"), ["akey", "h"], "left_semi").select("k1", "k2", "lo", "n")
-        before = again.filter("lone is not null").select("lone.k1", "lone.k2", "lone.lo", "lone.n")
+        here = batch.join(again.select("akey", "h"), ["akey", "h"], "left_semi").select("k1", "k2", *_unpacked()[:2])
+        before = again.filter("lone is not null").select(F.col("lone1").alias("k1"), F.col("lone2").alias("k2"), *_unpacked("lone")[:2])
         whole = scratch.put(here.unionByName(before), "suffix-whole")
         remove(self.spark, array)
         self._settle(level_path)
-        return whole, hits.filter("shared").select("akey", "h", "r", "twice")
+        return whole, hits.filter("shared").select("akey", "h", *_PLACE, "twice")
 
     def _settle(self, array: str) -> None:
         """Files a level, merging while there is another of its size."""
@@ -181,7 +196,7 @@ class SuffixIndex:
         while level in self.levels:
             other = self.levels.pop(level)
             both = self.spark.read.parquet(array).unionByName(self.spark.read.parquet(other))
-            merged = self._write(both.groupBy("akey", "h").agg(F.sum("c").alias("c"), F.min("r").alias("r")))
+            merged = self._write(both.groupBy("akey", "h").agg(F.sum("c").alias("c"), *_one()))
             remove(self.spark, array)
             remove(self.spark, other)
             array, level = merged, level + 1
@@ -374,9 +389,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ba
     whole = (index._union([w for w, _ in found])
              .select("k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end")))
     # one text of each run whose anchor has other runs
-    sharing = (index._union([s for _, s in found]).groupBy("akey", "h").agg(F.min("r").alias("r"), F.max("twice").alias("twice")))
+    sharing = (index._union([s for _, s in found]).groupBy("akey", "h").agg(F.max("twice").alias("twice"), *_one()))
     many = sharing.groupBy("akey").agg(F.count(F.lit(1)).alias("m"))
-    reps = scratch.put(sharing.join(many, "akey").select("akey", "h", "r.*", "twice", "m"), "suffix-reps")
+    reps = scratch.put(sharing.join(many, "akey").select("akey", "h", "k1", "k2", *_unpacked(), "twice", "m"), "suffix-reps")
     cold = _compare_cold(_cut_runs(keyed, _pack_runs(reps.filter(F.col("m") <= HOT), scratch), length, False), length)
     hot = _cut_runs(keyed, _pack_runs(reps.filter(F.col("m") > HOT), scratch), length, True)
     again = hot.groupBy("akey", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")

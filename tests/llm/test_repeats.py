@@ -73,7 +73,7 @@ def test_suffix_batches_are_scanned_against_the_levels(spark):
     schema = "akey long, h long, k1 long, k2 long, lo int, n short, off short"
     batch = lambda *rows: index.add(spark.createDataFrame([(a, h, t, t, 0, 5, 1) for a, h, t in rows], schema))
     texts = lambda found: sorted(r.k1 for r in found[0].collect())
-    sharing = lambda found: sorted((r.h, r.r.k1, r.twice) for r in found[1].collect())
+    sharing = lambda found: sorted((r.h, r.k1, r.twice) for r in found[1].collect())
     first = batch((1, 10, 100), (2, 20, 101), (3, 30, 102), (3, 30, 103))
     assert texts(first) == [102, 103] and sharing(first) == []
     second = batch((1, 10, 200), (2, 21, 201), (3, 30, 202))          # 10 again: with its lone copy; 30: copies known
