@@ -11,7 +11,18 @@ log probability is the sum over its words and the end.
 The piece weights are the vocabulary's own, by a fixed rule: this vocabulary's
 scores are ranks, so the piece of rank r (from 0) weighs ``1 / (r + 2.7)``, a
 byte piece ``BYTE_WEIGHT`` and the end ``END_WEIGHT``, all divided by their sum.
-Nothing is fitted.
+
+With ``learned`` the training rows are learned from as well.  A word that occurs
+in them gets one more arc from its start to its end, of probability (c - d) / N
+(absolute discounting; c: its training count, N: all training tokens), and the
+pieces share what the discount leaves, d * V / N.  d is n1 / (n1 + 2 * n2), of the
+words that occur once and twice.  The end is a token as well.  The sum over all
+segmentations is then (c - d) / N + d * V / N * (the sum over pieces), a
+distribution over words.  The pieces have to spell words that training lacks, so
+their weights become the expected counts (one forward-backward round from the
+weights above, which stay as ``PRIOR`` counts) in every training word that occurs
+once: without its one occurrence only the pieces would spell it.  Rows outside
+training only read the model.
 
 A word's probability depends on the word alone, so every distinct word of the
 corpus is scored once, in a table beside its training count; the recursion runs
@@ -43,6 +54,7 @@ from tagweave.llm.token_counts import read_model_file
 FREQUENT_WORDS = 300_000
 BYTE_WEIGHT = 1e-6
 END_WEIGHT = 1e-2
+PRIOR = 1_000.0
 TOGETHER = 65_536             # words scored together
 LONG_WORD = 64                # longer words are scored one by one
 WORD_TABLE_ENTRIES = 300_000
@@ -125,10 +137,34 @@ class Lattice:
                 out[at] = self._together("".join([marked[i] for i in at]), len(at), int(n))
         return out
 
-    def _pieces_by_hash(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(sorted hashes, log probabilities) of the pieces of each length."""
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """Expected counts of pieces and bytes over all segmentations of many words."""
+        counts = np.zeros(len(self.logp))
+        marked = [MARK + w.decode("utf-8", "replace") for w in words]
+        size = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            if n > LONG_WORD:
+                for i in at:
+                    self._expected_alone(marked[i], counts)
+            else:
+                self._together("".join([marked[i] for i in at]), len(at), int(n), counts)
+        return counts
+
+    def _expected_alone(self, s: str, counts: np.ndarray) -> None:
+        into = self.arcs(s)
+        alpha, beta = self.forward(s, into), [NEG] * len(s) + [0.0]
+        for j in range(len(s), 0, -1):
+            for i, lp, ks in into[j]:
+                beta[i] = float(np.logaddexp(beta[i], beta[j] + lp))
+                share = math.exp(alpha[i] + lp + beta[j] - alpha[-1])
+                for k in ks:
+                    counts[k] += share
+
+    def _pieces_by_hash(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(sorted hashes, log probabilities, indices) of the pieces of each length."""
         if self.hashed is None:
-            self.hashed = [(np.zeros(0, dtype=np.uint64), np.zeros(0))]
+            self.hashed = [(np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0, dtype=np.int64))]
             for n in range(1, self.longest + 1):
                 some = [(p, k) for p, k in self.index.items() if len(p) == n]
                 codes = np.frombuffer("".join(p for p, _ in some).encode("utf-32-le"), dtype="<u4").reshape(len(some), n)
@@ -137,34 +173,53 @@ class Lattice:
                     for i in range(n):
                         h = h * _BASE + _spread(codes[:, i])
                 order = np.argsort(h)
-                self.hashed.append((h[order], np.array([self.logp[k] for _, k in some])[order]))
+                self.hashed.append((h[order], np.array([self.logp[k] for _, k in some])[order],
+                                    np.array([k for _, k in some], dtype=np.int64)[order]))
         return self.hashed
 
-    def _together(self, text: str, rows: int, n: int) -> np.ndarray:
-        """Forward recursion over the columns of ``rows`` words of ``n`` characters."""
+    def _together(self, text: str, rows: int, n: int, counts: np.ndarray | None = None) -> np.ndarray:
+        """Forward recursion over the columns of ``rows`` words of ``n`` characters;
+        the expected counts of their pieces are added to ``counts``."""
         tables = self._pieces_by_hash()
         codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").reshape(rows, n)
         char, inverse = np.unique(codes, return_inverse=True)
-        single = np.empty(len(char))
-        for i, c in enumerate(map(chr, char.tolist())):
-            k = self.index.get(c)
-            single[i] = self.logp[k] if k is not None else sum(self.logp[self.bytes0 + b] for b in c.encode("utf-8", "replace"))
-        single = single[inverse].reshape(rows, n)
+        spelled = [[self.index[c]] if c in self.index else [self.bytes0 + b for b in c.encode("utf-8", "replace")]
+                   for c in map(chr, char.tolist())]
+        inverse = inverse.reshape(rows, n)
+        single = np.array([sum(self.logp[k] for k in ks) for ks in spelled])[inverse]
         spread = _spread(codes)
         alpha = np.full((n + 1, rows), -np.inf)
         alpha[0] = 0.0
+        arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             for i in range(n):
                 np.logaddexp(alpha[i + 1], alpha[i] + single[:, i], out=alpha[i + 1])
                 h = spread[:, i].copy()
                 for m in range(2, min(self.longest, n - i) + 1):
                     h = h * _BASE + spread[:, i + m - 1]
-                    hashes, logp = tables[m]
+                    hashes, logp, _ = tables[m]
                     if len(hashes):
                         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                         hit = np.flatnonzero(hashes[at] == h)
                         if len(hit):
                             alpha[i + m][hit] = np.logaddexp(alpha[i + m][hit], alpha[i][hit] + logp[at[hit]])
+                            if counts is not None:
+                                arcs[i].append((m, hit, at[hit]))
+        if counts is not None:
+            beta = np.full((n + 1, rows), -np.inf)
+            beta[n] = 0.0
+            of_char = np.zeros(len(char))
+            for i in range(n - 1, -1, -1):
+                beta[i] = beta[i + 1] + single[:, i]
+                of_char += np.bincount(inverse[:, i], np.exp(alpha[i] + beta[i] - alpha[n]), len(char))
+                for m, hit, at in arcs[i]:
+                    _, logp, index = tables[m]
+                    rest = beta[i + m][hit] + logp[at]
+                    beta[i][hit] = np.logaddexp(beta[i][hit], rest)
+                    counts += np.bincount(index[at], np.exp(alpha[i][hit] + rest - alpha[n][hit]), len(counts))
+            for x, ks in zip(of_char.tolist(), spelled):
+                for k in ks:
+                    counts[k] += x
         return alpha[n]
 
 
@@ -209,11 +264,34 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "train").mapInArrow(run, "word binary, c long, a long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
-def _scored_words(words: DataFrame, model) -> DataFrame:
-    """Adds ``x``, the natural log probability of each distinct word."""
+def fitted_weights(words: DataFrame, model) -> np.ndarray:
+    """Natural log probabilities of pieces, bytes and the end: expected counts in
+    the words with one training occurrence.  One number a piece reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model.value, piece_weights(len(model.value)))
+        counts = np.zeros(len(lattice.logp))
+        for whole in batches:
+            for start in range(0, whole.num_rows, TOGETHER):
+                counts += lattice.expected(whole.slice(start, TOGETHER).column(0).to_pylist())
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["piece", "n"])
+
+    got = words.where("c = 1").select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+    prior = np.exp(piece_weights(len(model.value)))
+    p = PRIOR * prior
+    p[got.column("piece").to_numpy()] += got.column("n").to_numpy()
+    p[-1] = 0.0
+    p *= (1.0 - prior[-1]) / p.sum()
+    p[-1] = prior[-1]
+    return np.log(p)
+
+
+def _scored_words(words: DataFrame, model, weights: np.ndarray) -> DataFrame:
+    """Adds ``x``, the natural log probability of each distinct word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(model.value, weights)
         for whole in batches:
             for start in range(0, whole.num_rows, TOGETHER):
                 b = whole.slice(start, TOGETHER)
@@ -222,23 +300,44 @@ def _scored_words(words: DataFrame, model) -> DataFrame:
     return words.mapInArrow(run, "word binary, c long, a long, x double")
 
 
-def score_documents(docs: DataFrame, train: Column, model_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _with_word_arcs(x: Column, c: Column, n_train: int, discount: float, left: float) -> Column:
+    """Log probability of a token from that of its pieces and its training count."""
+    pieces = F.lit(math.log(left)) + x
+    return F.when(c > 0, F.log((c - F.lit(discount)) / F.lit(float(n_train)) + F.exp(pieces))).otherwise(pieces)
+
+
+def score_documents(docs: DataFrame, train: Column, model_file: str, doc_id: str = "doc_id", text: str = "text",
+                    learned: bool = False) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every
-    row; counts come from the rows for which ``train`` holds."""
+    row; counts come from the rows for which ``train`` holds.  ``learned`` adds the
+    training words as arcs and fits the pieces' weights; without it the score is
+    that of the pieces alone, by the vocabulary's own weights."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     pieces = read_pieces(read_model_file(model_file))
-    words = scratch.put(_scored_words(_word_counts(rows), spark.sparkContext.broadcast(pieces)), "lm-words")
+    model, weights = spark.sparkContext.broadcast(pieces), piece_weights(len(pieces))
+    words = _word_counts(rows)
+    if learned:
+        words = scratch.put(words, "lm-counts")
+        weights = fitted_weights(words, model)
+    words = scratch.put(_scored_words(words, model, weights), "lm-words")
     n_texts = rows.filter("train").count()
-    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count(F.lit(1)).alias("all")).first()
+    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count(F.lit(1)).alias("all"),
+                     F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     n_train, v_train = seen.n + n_texts, seen.v + (n_texts > 0)
     denominator = float(n_train + v_train + 1)
+    end = float(weights[-1])
+    if learned and n_train:
+        once, twice = seen.once + (n_texts == 1), seen.twice + (n_texts == 2)
+        discount = once / (once + 2 * twice) if 0 < once and 0 < twice else 0.5
+        left = discount * v_train / n_train
+        words = words.withColumn("x", _with_word_arcs(F.col("x"), F.col("c"), n_train, discount, left))
+        end = math.log((n_texts - discount) / n_train + left * math.exp(end)) if n_texts else math.log(left) + end
     # the commonest words, a bounded list
     frequent = commonest(words, "a", FREQUENT_WORDS).select("word", "c", "x").toArrow()
     complete = frequent.num_rows == seen.all
     state = spark.sparkContext.broadcast(frequent)
-    end = float(piece_weights(len(pieces))[-1])
     end_base, end_known = math.log10((n_texts + 1) / denominator), int(n_texts > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,6 +89,58 @@ def test_no_training_rows(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == 0.0 and r.score < 0
 
 
+@pytest.mark.parametrize("frequent", [300_000, 500])
+def test_learned_scores_follow_the_base_on_held_out_rows(spark, monkeypatch, frequent):
+    import public_tokenizers as PT
+    monkeypatch.setattr(LM, "FREQUENT_WORDS", frequent)
+    got = Q.op5_lattice(spark, SF).collect()
+    texts = spark.read.parquet(SF + "/documents.parquet").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train = [LM.words_of(r.text) for r in texts if not held(r.doc_id)]
+    c = Counter(w for ws in train for w in ws)
+    n, v = sum(c.values()) + len(train), len(c) + 1
+    once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = once / (once + 2 * twice)
+    pieces = LM.read_pieces(LM.read_model_file(PT.path("piece_bpe_32k.model")))
+    lat = LM.Lattice(pieces, LM.piece_weights(len(pieces)))
+    prior = np.exp(lat.logp)
+    p = 1000 * prior + lat.expected([w for w in c if c[w] == 1])
+    p[-1] = 0
+    p = p / p.sum() * (1 - prior[-1])
+    p[-1] = prior[-1]
+    lat = LM.Lattice(pieces, np.log(p))
+    all_words = list({w for r in texts for w in LM.words_of(r.text)})
+    x = dict(zip(all_words, lat.words(all_words)))
+    log10 = lambda count, lp: (math.log10((count - d) / n + d * v / n * math.exp(lp)) if count
+                               else (math.log(d * v / n) + lp) / math.log(10))
+    want = {r.doc_id: sum(log10(c[w], x[w]) for w in LM.words_of(r.text)) + log10(len(train), lat.logp[lat.end]) for r in texts}
+    assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9) for r in got) and len(got) == len(texts)
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > 1.4 * sum(r.base_score for r in out)
+
+
+def test_expected_counts_over_all_segmentations(monkeypatch):
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab"]
+    logp = np.log(np.random.default_rng(1).dirichlet(np.ones(len(pieces) + 257)))
+    lat = LM.Lattice(pieces, logp)
+    words = ["ab", "aab", "abab", "xé", "a" * 9, "ab"]
+    want = np.zeros(len(logp))
+    for word in words:
+        s, found = LM.MARK + word, []
+        for cuts in itertools.product([0, 1], repeat=len(s) - 1):
+            at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(s)]
+            parts = [s[a:b] for a, b in zip(at, at[1:])]
+            if all(p in lat.index or len(p) == 1 for p in parts):
+                ks = [k for p in parts for k in ([lat.index[p]] if p in lat.index else [lat.bytes0 + x for x in p.encode()])]
+                found.append((math.exp(sum(lat.logp[k] for k in ks)), ks))
+        total = sum(p for p, _ in found)
+        for p, ks in found:
+            np.add.at(want, ks, p / total)
+    assert np.allclose(lat.expected([w.encode() for w in words]), want)
+    monkeypatch.setattr(LM, "LONG_WORD", 0)
+    assert np.allclose(lat.expected([w.encode() for w in words]), want)
+
+
 def brute_nearest(rows, k=20):
     ids = np.array([i for i, _ in rows])
     x = np.array([v for _, v in rows], dtype=float)
