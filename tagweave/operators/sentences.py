@@ -225,14 +225,17 @@ def restore_paragraphs(pred_tokens_df: DataFrame, template_tokens_df: DataFrame,
             .select(*template_order, F.col("__pt").alias(token_col), *extra))
 
 
-BLOCK_LINES = 4_096
+BLOCK_LINES = 64
+MAX_SHIPPED_BLOCKS = 2_000_000
 
 
 def differing_lines(a: DataFrame, b: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """a(line, token), b(line, token) -> (line, token_a, token_b) of lines that
     differ or that one side lacks.  Blocks of lines are compared by digests
     first (a count and two sums of hashes of line and token, pre-aggregated in
-    every task); tokens meet only for blocks that differ."""
+    every task); tokens meet only for blocks that differ.  Blocks are short, so a
+    single different line moves few others; up to ``MAX_SHIPPED_BLOCKS`` block
+    numbers are broadcast, so that the lines of equal blocks stay where they are."""
     block = F.floor(F.col("line") / block_lines)
 
     def digests(d: DataFrame, side: str) -> DataFrame:
@@ -241,8 +244,10 @@ def differing_lines(a: DataFrame, b: DataFrame, block_lines: int = BLOCK_LINES)
 
     both = digests(a, "x").join(digests(b, "y"), "block", "full_outer")
     unlike = cut_lineage(both.where(~F.col("x").eqNullSafe(F.col("y"))).select("block"))
-    if unlike.isEmpty():
+    n_unlike = unlike.count()
+    if not n_unlike:
         return a.limit(0).select("line", F.col("token").alias("token_a"), F.col("token").alias("token_b"))
+    unlike = F.broadcast(unlike) if n_unlike <= MAX_SHIPPED_BLOCKS else unlike
     left, right = (d.withColumn("block", block).join(unlike, "block", "left_semi").select("line", F.col("token").alias(n))
                    for d, n in ((a, "token_a"), (b, "token_b")))
     return left.join(right, "line", "full_outer").where(~F.col("token_a").eqNullSafe(F.col("token_b")))
@@ -271,15 +276,11 @@ def check_file_alignment(spark: SparkSession, path_a: str, path_b: str, sep: str
     of every line (blank lines included) must be the same.  Lines are numbered
     in file order from a table of file splits; no line is sorted or stored."""
     def tokens(path: str) -> DataFrame:
-        return read_lines(spark, path).select(F.col("line_id").alias("line"), F.split("value", _quoted(sep), 2)[0].alias("token"))
+        return read_lines(spark, path).select(F.col("line_id").alias("line"), F.substring_index("value", sep, 1).alias("token"))
 
     return differing_lines(tokens(path_a), tokens(path_b), block_lines)
 
 
-def _quoted(sep: str) -> str:
-    return "\\Q" + sep + "\\E"
-
-
 def first_section_sentences(papers_df: DataFrame, key: str = "url", sections_col: str = "sections") -> DataFrame:
     """Text of section 0, ``et al.`` replaced by ``et al``, split on the
     literal ``. `` (consumed).  Output ``(key, ord, sentence)``."""

@@ -136,11 +136,12 @@ nl as (select *, (row_number() over (order by sent_id, pos) - 1)::BIGINT as line
 select line, token_a, token_b from nl where token_a <> token_b
 """)
 def q_check_file_alignment(spark, sf_dir):
-    t = doc_tokens(spark, sf_dir).select("sent_id", "pos", "token", F.col("gold").alias("tag"))
-    changed = F.pmod(F.col("sent_id") * 31 + F.col("pos"), F.lit(CHANGED)) == 0
+    t = doc_sentences(spark, sf_dir)
+    first = F.pmod(F.col("sent_id") * 31, F.lit(CHANGED)).alias("first")
+    changed = F.transform("tokens", lambda w, i: F.when(F.pmod(F.col("first") + i, F.lit(CHANGED)) == 0, F.concat(w, F.lit("~"))).otherwise(w))
     a, b = scratch_path(spark, "lines_a"), scratch_path(spark, "lines_b")
-    write_conll(t, a)
-    write_conll(t.withColumn("token", F.when(changed, F.concat("token", F.lit("~"))).otherwise(F.col("token"))), b)
+    write_conll(t, a, token_col="tokens", tag_col="tags")
+    write_conll(t.select("*", first).withColumn("tokens", changed), b, token_col="tokens", tag_col="tags")
     return SE.check_file_alignment(spark, a, b)
 
 
