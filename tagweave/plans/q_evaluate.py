@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagweave import constants as C
+from tagweave.functions.text import normalize_ws
 from tagweave.operators import evaluate as EV
 from tagweave.operators.sampling import sequential_batches
 from tagweave.plans.catalog import register
@@ -118,8 +119,9 @@ v as (select split, count(distinct token) as vocab_size from sp group by 1)
 select * from l join v using (split)
 """)
 def q_corpus_statistics(spark, sf_dir):
-    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sent_id"), F.col("lang").alias("split"))
-    toks = doc_tokens(spark, sf_dir, with_tags=False).join(langs, "sent_id")
+    # the language rides with its document: joining it to the tokens would sort all of them
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sent_id"), F.col("lang").alias("split"), normalize_ws(F.col("text")).alias("text"))
+    toks = docs.where("sent_id is not null").select("sent_id", "split", F.explode(F.split("text", " ", -1)).alias("token"))
     st = EV.corpus_statistics(toks, "split")
     return st.withColumn("mean_len", _r6(F.col("mean_len")))
 

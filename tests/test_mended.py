@@ -400,3 +400,16 @@ def test_best_checkpoint_of_a_long_improving_run(spark):
         if i * 3e-7 > best + 1e-5:
             best, at = i * 3e-7, i
     assert [(x.run_id, x.step, x.value) for x in r] == [(1, at, best)]
+
+
+def test_few_lines_meet_where_one_in_a_thousand_differs():
+    from tagweave.operators import sentences as SE
+    lines = range(0, 1_000_000, 1_000)
+    meeting = len({n // SE.BLOCK_LINES for n in lines}) * SE.BLOCK_LINES
+    assert meeting < 100_000
+
+
+def test_corpus_statistics_joins_no_tokens(spark):
+    from tagweave.plans.q_evaluate import q_corpus_statistics
+    plan = q_corpus_statistics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1                       # of the two results, a row per split each
