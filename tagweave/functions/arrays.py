@@ -9,6 +9,8 @@ values of a whole batch, with no per-row Python loop.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -16,9 +18,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _running_sum_arrow(arr: pa.Array) -> pa.Array:
+SLICE_VALUES = 1 << 20
+
+
+def in_slices(fn: Callable[[pa.Array], pa.Array], arr: pa.Array, values: int = SLICE_VALUES) -> pa.Array:
+    """``fn`` of a list array, applied to stretches of rows of about ``values``
+    elements: what it holds besides its result doesn't grow with the batch."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
+    if len(arr.values) <= values:
+        return fn(arr)
+    offsets = np.asarray(arr.offsets, dtype=np.int64)
+    cuts, at = [0], 0
+    while at < len(arr):
+        at = max(at + 1, int(np.searchsorted(offsets, offsets[at] + values, side="right")) - 1)
+        cuts.append(min(at, len(arr)))
+    return pa.concat_arrays([fn(arr.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+
+
+def _running_sum_arrow(arr: pa.Array) -> pa.Array:
+    return in_slices(_running_sum_rows, arr)
+
+
+def _running_sum_rows(arr: pa.Array) -> pa.Array:
     offsets = np.asarray(arr.offsets, dtype=np.int64)
     lo, hi = int(offsets[0]), int(offsets[-1])
     vals = arr.values.slice(lo, hi - lo)

@@ -413,3 +413,18 @@ def test_corpus_statistics_joins_no_tokens(spark):
     from tagweave.plans.q_evaluate import q_corpus_statistics
     plan = q_corpus_statistics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1                       # of the two results, a row per split each
+
+
+def test_list_functions_work_in_slices():
+    import pyarrow as pa
+    from tagweave.functions.arrays import _running_sum_rows, in_slices
+    rows = [[1, 2, 3], None, [], list(range(50)), [5], [None, 4]] * 4
+    arr = pa.array(rows, pa.list_(pa.int64())).slice(1)
+    longest = []
+
+    def fn(a):
+        longest.append(sum(len(x) for x in a.to_pylist() if x))
+        return _running_sum_rows(a)
+
+    assert in_slices(fn, arr, 8).to_pylist() == _running_sum_rows(arr).to_pylist()
+    assert max(longest) == 50 and len(longest) > 4
