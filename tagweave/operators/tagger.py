@@ -32,9 +32,10 @@ MAX_TAGS = 1_000
 
 def tag_counts(tokens_df: DataFrame, sent_col: str = "sent_id", pos_col: str = "pos", token_col: str = "token",
                tag_col: str = "tag") -> DataFrame:
-    """Event counts ``(kind, a, b, n)`` from one window pass per sentence."""
+    """Event counts ``(kind, a, b, n)``.  Words are counted in their tasks first;
+    only sentence, position and tag travel to the window pass that finds neighbours."""
     w = Window.partitionBy(sent_col).orderBy(pos_col)
-    t = tokens_df.select(sent_col, pos_col, F.lower(F.col(token_col)).alias("__w"), F.col(tag_col).alias("__t"),
+    t = tokens_df.select(sent_col, pos_col, F.col(tag_col).alias("__t"),
                          F.lag(tag_col).over(w).alias("__prev"), F.lead(tag_col).over(w).alias("__next"))
     ev = t.select(F.explode(F.array(
         F.when(F.col("__prev").isNull(), F.struct(F.lit("start").alias("kind"), F.lit("").alias("a"),
@@ -43,9 +44,9 @@ def tag_counts(tokens_df: DataFrame, sent_col: str = "sent_id", pos_col: str = "
                                                    F.lit("").alias("b"))),
         F.when(F.col("__prev").isNotNull(), F.struct(F.lit("trans").alias("kind"), F.col("__prev").alias("a"),
                                                       F.col("__t").alias("b"))),
-        F.struct(F.lit("emit").alias("kind"), F.col("__t").alias("a"), F.col("__w").alias("b")),
     )).alias("e")).where(F.col("e").isNotNull())
-    return ev.groupBy("e.kind", "e.a", "e.b").agg(F.count(F.lit(1)).alias("n"))
+    emit = tokens_df.groupBy(F.lit("emit").alias("kind"), F.col(tag_col).alias("a"), F.lower(F.col(token_col)).alias("b"))
+    return ev.groupBy("e.kind", "e.a", "e.b").agg(F.count(F.lit(1)).alias("n")).unionByName(emit.agg(F.count(F.lit(1)).alias("n")))
 
 
 def normalize_counts(counts: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -148,14 +149,14 @@ def _whole(x: Column) -> Column:
 
 
 def _emission_table(model_df: DataFrame, tags: list[str]) -> tuple[DataFrame, list[float]]:
-    """(w, em): a score per tag for every word the model knows; and those of an
-    unknown word."""
+    """(w, n, em): occurrences and a score per tag for every word the model
+    knows; and the scores of an unknown word."""
     unk = {r.a: r.u for r in model_df.where(F.col("kind") == "emit_unk").select("a", _whole(F.col("logp")).alias("u")).collect()}
     floor = min(unk.values(), default=0.0)
     unknown = [unk.get(t, floor) for t in tags]
-    seen = model_df.where(F.col("kind") == "emit").select(F.col("a").alias("tag"), F.col("b").alias("w"), _whole(F.col("logp")).alias("s"))
-    wide = seen.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("tag", "s"))).alias("m"))
-    return wide.select("w", F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(u)) for t, u in zip(tags, unknown)])
+    seen = model_df.where(F.col("kind") == "emit").select(F.col("a").alias("tag"), F.col("b").alias("w"), "n", _whole(F.col("logp")).alias("s"))
+    wide = seen.groupBy("w").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("tag", "s"))).alias("m"))
+    return wide.select("w", "n", F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(u)) for t, u in zip(tags, unknown)])
                        .cast("array<int>").alias("em")), unknown
 
 
@@ -167,8 +168,9 @@ def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text
     in sorted order is taken, from the last word back.
 
     Lines stay in their row.  The scores of the model's distinct words are
-    shipped after a check of their size; a larger table is joined with the
-    distinct words of each line, never with its tokens.  Lines of more than
+    shipped after a check of their size; of a larger table, the commonest words
+    that fit.  Then only lines that hold a rarer word travel: those words are
+    joined with the table, never a line's other words.  Lines of more than
     ``block_tokens`` words are cut into blocks that are decoded apart: max-plus
     products of the blocks give the scores at every border, the back-pointers of
     each block its entry, and the chain of entries the path - the same path as
@@ -184,33 +186,49 @@ def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text
     trans, start, end = (whole(m) for m in _small_matrices(model_df, tags))
     table, unknown = _emission_table(model_df, tags)
     table = cut_lineage(table)
-    size = table.agg(F.sum(F.octet_length("w") + 4 * len(tags) + 64)).first()[0] or 0
+    n_bytes = F.octet_length("w") + 4 * len(tags) + 64
+    size = table.agg(F.sum(n_bytes)).first()[0] or 0
     spark = lines_df.sparkSession
     words = split_words(py_strip(F.col(text_col)))
     rows = lines_df.select(*ks, words.alias("words")).where("words is not null")
     lower = F.transform("words", lambda w: F.lower(w))
     n = len(tags)
-    if size <= max_shipped:
-        got = table.toArrow()
-        matrix = np.asarray(got.column("em").combine_chunks().flatten()).reshape(-1, n) if got.num_rows else np.zeros((0, n), dtype=np.int32)
-        shipped = spark.sparkContext.broadcast((got.column("w").combine_chunks(), matrix))
-    else:
-        shipped = None
+    all_shipped = size <= max_shipped
+    common = table
+    if not all_shipped:
+        # the smallest count whose words, with all commoner ones, fit; one row per different count is ordered
+        by_count = table.groupBy("n").agg(F.sum(n_bytes).alias("s"))
+        fits = by_count.select("n", F.sum("s").over(Window.orderBy(F.desc("n"))).alias("upto")).where(F.col("upto") <= max_shipped)
+        least = fits.agg(F.min("n")).first()[0]
+        common = table.where(F.col("n") >= least) if least is not None else table.limit(0)
+    got = common.select("w", "em").toArrow()
+    matrix = np.asarray(got.column("em").combine_chunks().flatten()).reshape(-1, n) if got.num_rows else np.zeros((0, n), dtype=np.int32)
+    shipped = spark.sparkContext.broadcast((got.column("w").combine_chunks(), matrix))
     fixed = spark.sparkContext.broadcast((np.array(unknown), trans, start, end))
 
     def scores() -> Scores:
         unk, t, s, e = fixed.value
-        known = shipped.value if shipped is not None else (pa.array([], pa.string()), np.zeros((0, n), dtype=np.int32))
-        return Scores(*known, unk, t, s, e)
+        return Scores(*shipped.value, unk, t, s, e)
+
+    def rare_words(w: pa.Array) -> pa.Array:
+        """The distinct words of each line that were not shipped."""
+        size = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False)
+        flat = w.flatten()
+        away = pc.invert(pc.is_in(flat, shipped.value[0]))
+        line = np.repeat(np.arange(len(w)), size)[away.to_numpy(zero_copy_only=False).astype(bool)]
+        at = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(w)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), flat.filter(away))
+
+    rare = F.array_distinct(F.arrow_udf(rare_words, "array<string>")("w"))
 
     def with_table(d: DataFrame, row: list[str]) -> DataFrame:
         """Adds ``w`` (lower-cased words) and ``known`` (the scores of a row's
-        distinct words, null where the whole table is shipped)."""
+        words that are not shipped, null where there are none)."""
         d = d.withColumn("w", lower)
         none = F.lit(None).cast("array<struct<w:string,em:array<int>>>")
-        if shipped is not None:
+        if all_shipped:
             return d.withColumn("known", none)
-        one = d.select(*row, F.explode(F.array_distinct("w")).alias("w")).join(table, "w")
+        one = d.select(*row, F.explode(rare).alias("w")).join(table.select("w", "em"), "w")
         return d.join(one.groupBy(*row).agg(F.collect_list(F.struct("w", "em")).alias("known")), row, "left")
 
     def emissions(base: Scores, words: pa.Array, known) -> np.ndarray:
@@ -218,18 +236,31 @@ def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text
             return base.of(words)
         at = pa.array([x["w"] for x in known], pa.string())
         mine = np.array([x["em"] for x in known], dtype=np.int32).reshape(-1, n)
-        return Scores(at, mine, base.rows[-1], base.trans, base.start, base.end).of(words)
+        place = pc.fill_null(pc.index_in(words, at), -1).to_numpy(zero_copy_only=False)
+        out = base.of(words)
+        out[place >= 0] = mine[place[place >= 0]]
+        return out
 
     def paths(w: pa.Array, known: pa.Array) -> pa.Array:
         base = scores()
         size = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False)
         order = np.flatnonzero(size)[np.argsort(size[np.flatnonzero(size)], kind="stable")]
-        if shipped is not None:
-            at = base.places(w.flatten())                       # null rows hold no words
-            first = np.cumsum(size) - size
-            em = lambda i: base.rows[at[first[i]:first[i] + size[i]]].astype(np.float64)
-        else:
-            em = lambda i: emissions(base, w[i].values, known[i].as_py())
+        at = base.places(w.flatten())                           # null rows hold no words
+        first = np.cumsum(size) - size
+        # the rare words of all rows, as (row, word) numbers
+        words_of = known.flatten()
+        n_known = pc.fill_null(pc.list_value_length(known), 0).to_numpy(zero_copy_only=False)
+        begin = np.cumsum(n_known) - n_known
+        rare_w = words_of.field("w") if len(words_of) else None
+        rare_em = words_of.field("em").flatten().to_numpy(zero_copy_only=False).reshape(-1, n) if len(words_of) else None
+
+        def em(i: int) -> np.ndarray:
+            out = base.rows[at[first[i]:first[i] + size[i]]].astype(np.float64)
+            if n_known[i]:
+                place = pc.fill_null(pc.index_in(w[i].values, rare_w.slice(begin[i], n_known[i])), -1).to_numpy(zero_copy_only=False)
+                out[place >= 0] = rare_em[begin[i]:begin[i] + n_known[i]][place[place >= 0]]
+            return out
+
         found = viterbi_paths(size[order].tolist(), lambda k: em(int(order[k])), base.trans, base.start, base.end)
         out: list = [np.zeros(0, dtype=np.int32)] * len(w)
         for i, p in zip(order.tolist(), found):
@@ -246,10 +277,15 @@ def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text
 
     row_id = "__row"
     is_long = F.size("words") > block_tokens
-    short = rows.where(~is_long)
-    if shipped is None:
-        short = cut_lineage(short.withColumn(row_id, F.monotonically_increasing_id()))
-    out = tagged(with_table(short, [row_id]).withColumn("path", F.arrow_udf(paths, "array<int>")("w", "known")), F.lit(0))
+    short, path_of = rows.where(~is_long), F.arrow_udf(paths, "array<int>")("w", "known")
+    if all_shipped:
+        out = tagged(with_table(short, [row_id]).withColumn("path", path_of), F.lit(0))
+    else:
+        none = F.lit(None).cast("array<struct<w:string,em:array<int>>>")
+        away = short.withColumn("w", lower).withColumn("away", F.size(rare) > 0)
+        out = tagged(away.where(~F.col("away")).withColumn("known", none).withColumn("path", path_of), F.lit(0))
+        held = cut_lineage(away.where("away").drop("w", "away").withColumn(row_id, F.monotonically_increasing_id()))
+        out = out.unionByName(tagged(with_table(held, [row_id]).withColumn("path", path_of), F.lit(0)))
     if rows.where(is_long).isEmpty():
         return out
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / block_tokens).cast("int")),

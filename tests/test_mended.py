@@ -428,3 +428,25 @@ def test_list_functions_work_in_slices():
 
     assert in_slices(fn, arr, 8).to_pylist() == _running_sum_rows(arr).to_pylist()
     assert max(longest) == 50 and len(longest) > 4
+
+
+def test_only_lines_with_rare_words_travel(spark, monkeypatch):
+    from tagweave.operators import tagger as TG
+    lines = [(i, "a b c a" if i % 10 else f"a rare{i} b") for i in range(60)]
+    tokens = [(i, p, w, ("X", "Y", "O")[(i + p) % 3]) for i, t in lines for p, w in enumerate(t.split())]
+    model = TG.train_tag_model(spark.createDataFrame(tokens, "sent_id long, pos int, token string, tag string"))
+    asked = spark.createDataFrame([*lines, (90, "a new rare10 b"), (91, ""), (92, None)], "sent_id long, text string")
+    want = sorted(map(tuple, TG.predict_tags(asked, model).collect()), key=str)
+    stored, cut = [], TG.cut_lineage
+
+    def seen(df):
+        out = cut(df)
+        if "words" in df.columns:
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(TG, "cut_lineage", seen)
+    assert sorted(map(tuple, TG.predict_tags(asked, model, max_shipped=400).collect()), key=str) == want
+    assert stored == [7 + 1]                             # six rare words of lines, one new line, and the empty word
+    assert sorted(map(tuple, TG.predict_tags(asked, model, max_shipped=0).collect()), key=str) == want
+    assert sorted(map(tuple, TG.predict_tags(asked, model, max_shipped=400, block_tokens=2).collect()), key=str) == want
