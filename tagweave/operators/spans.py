@@ -238,7 +238,8 @@ def spans_to_bio(tokens_df: DataFrame, spans_df: DataFrame, keys: str | Sequence
 # --------------------------------------------------------------------------
 def entity_type(tag: Column) -> Column:
     """``B-X``/``I-X`` -> ``X``; ``O`` -> empty."""
-    return F.when(tag.isNull() | (tag == "O"), F.lit("")).otherwise(F.regexp_extract(tag, r"^[^-]*-(.*)$", 1))
+    dash = F.instr(tag, "-")
+    return F.when(tag.isNull() | (tag == "O") | (dash == 0), F.lit("")).otherwise(F.substr(tag, dash + 1))
 
 
 def chunk_flags(tag: Column, prev: Column, nxt: Column) -> tuple[Column, Column]:
