@@ -210,19 +210,83 @@ def _token_ordinals(df: DataFrame, order: Sequence[str], out_col: str) -> DataFr
     return df.join(offs, grp).withColumn(out_col, F.col("__off") + F.col(pos)).drop("__off")
 
 
+SEGMENT_BLOCK = 1 << 16      # ordinals in which the starts of groups are ordered together
+POSITION_BLOCK = 64          # positions of a group that meet the segments they may lie in
+
+
+def _group_offsets(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(group..., __n, __off, __dense): each group's rows, the rows of earlier
+    groups, and whether its positions are as many as 0..n-1 and between them."""
+    *grp, pos = order
+    p = F.col(pos).cast("long")
+    counts = df.groupBy(*grp).agg(F.count(F.lit(1)).alias("__n"), F.min(p).alias("__lo"), F.max(p).alias("__hi"), F.sum(p).alias("__sum"))
+    n = F.col("__n")
+    dense = (F.col("__lo") == 0) & (F.col("__hi") == n - 1) & (F.col("__sum") == F.floor(n * (n - 1) / 2))
+    counts = counts.select(*grp, "__n", F.coalesce(dense, F.lit(False)).alias("__dense"))
+    return prefix_offsets(counts, grp, "__n", "__off").select(*grp, "__n", "__off", "__dense")
+
+
+def _segments(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a(x, __off, __n), b(y, __off, __n) -> (x, y, start, end, a_off, b_off): the
+    stretches of ordinals that lie in one interval of either table.  Intervals
+    of a table don't overlap; they are cut at blocks, so every window is bounded."""
+    size = F.lit(SEGMENT_BLOCK)
+
+    def starts(d: DataFrame, name: str, other: str, other_type) -> DataFrame:
+        first, last = F.floor(F.col("__off") / size), F.floor((F.col("__off") + F.col("__n") - 1) / size)
+        return (d.withColumn("block", F.explode(F.sequence(first, last)))
+                .select("block", F.greatest("__off", F.col("block") * size).alias("start"),
+                        F.struct(F.col(name).alias("key"), F.col("__off").alias("off"), (F.col("__off") + F.col("__n")).alias("end")).alias(name),
+                        F.lit(None).cast(other_type).alias(other)))
+
+    def held(d: DataFrame, key: str):
+        return f"struct<key:{d.schema[key].dataType.simpleString()},off:bigint,end:bigint>"
+
+    both = starts(a, "x", "y", held(b, "y")).unionByName(starts(b, "y", "x", held(a, "x")))
+    w = Window.partitionBy("block").orderBy("start")
+    both = both.select("start", F.last("x", ignorenulls=True).over(w).alias("x"), F.last("y", ignorenulls=True).over(w).alias("y"),
+                       F.coalesce(F.lead("start").over(w), (F.col("block") + 1) * size).alias("next"))
+    end = F.least("next", "x.end", "y.end")
+    return (both.where(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("end", end).where("start < end")
+            .select(F.col("x.key").alias("x"), F.col("y.key").alias("y"), "start", "end", F.col("x.off").alias("a_off"), F.col("y.off").alias("b_off")))
+
+
 def restore_paragraphs(pred_tokens_df: DataFrame, template_tokens_df: DataFrame,
                        pred_order: Sequence[str] = ("sent_id", "pos"),
                        template_order: Sequence[str] = ("para_id", "pos"),
                        token_col: str = "token") -> DataFrame:
     """Give predicted tokens (sentence-segmented) the template's paragraph
-    ids: both sides get a global token ordinal and are equi-joined on it.
-    Output: template keys + token + every other predicted column."""
-    p = _token_ordinals(pred_tokens_df, list(pred_order), "__n")
-    t = _token_ordinals(template_tokens_df.select(*template_order, F.col(token_col).alias("__tt")),
-                        list(template_order), "__n")
-    extra = [c for c in pred_tokens_df.columns if c not in pred_order and c != token_col]
+    ids: the n-th predicted token takes the place of the template's n-th.
+    Output: template keys + token + every other predicted column.
+
+    A group is every order column but the last, positions run 0..n-1.  Only the
+    groups' sizes are sorted and summed; sentences and paragraphs that share
+    ordinals give segments, and each predicted token is exchanged once to meet
+    its own (a build by hashing, so tokens aren't sorted).  The template's tokens
+    are counted and stay in place.  Where positions have gaps or there is no
+    group, both sides are joined on their ordinals."""
+    po, to = list(pred_order), list(template_order)
+    extra = [c for c in pred_tokens_df.columns if c not in po and c != token_col]
+    if len(po) > 1 and len(to) > 1:
+        a, b = _group_offsets(pred_tokens_df, po), _group_offsets(template_tokens_df, to)
+        irregular = a.select("__dense").unionByName(b.select("__dense")).where("not __dense").limit(1)
+        if irregular.isEmpty():
+            group = lambda d, cols, name: d.dropna(subset=cols).select(F.struct(*cols).alias(name), "__off", "__n")
+            seg = _segments(group(a, po[:-1], "x"), group(b, to[:-1], "y"))
+            lo, hi = F.col("start") - F.col("a_off"), F.col("end") - F.col("a_off")
+            seg = seg.select(*[F.col(f"x.{c}").alias(f"__g{i}") for i, c in enumerate(po[:-1])], "y", lo.alias("__lo"), hi.alias("__hi"),
+                             (F.col("a_off") - F.col("b_off")).alias("__shift"),
+                             F.explode(F.sequence(F.floor(lo / POSITION_BLOCK), F.floor((hi - 1) / POSITION_BLOCK))).alias("__sub"))
+            p = pred_tokens_df.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(po[:-1])], F.col(po[-1]).cast("long").alias("__pos"),
+                                      F.floor(F.col(po[-1]) / POSITION_BLOCK).alias("__sub"), F.col(token_col).alias("__pt"), *extra)
+            found = (p.join(seg.hint("shuffle_hash"), [*[f"__g{i}" for i in range(len(po) - 1)], "__sub"])
+                     .where("__pos >= __lo and __pos < __hi"))
+            at = (F.col("__pos") + F.col("__shift")).cast(template_tokens_df.schema[to[-1]].dataType)
+            return found.select(*[F.col("y").getField(c).alias(c) for c in to[:-1]], at.alias(to[-1]), F.col("__pt").alias(token_col), *extra)
+    p = _token_ordinals(pred_tokens_df, po, "__n")
+    t = _token_ordinals(template_tokens_df.select(*to, F.col(token_col).alias("__tt")), to, "__n")
     return (t.join(p.select("__n", F.col(token_col).alias("__pt"), *extra), "__n", "inner")
-            .select(*template_order, F.col("__pt").alias(token_col), *extra))
+            .select(*to, F.col("__pt").alias(token_col), *extra))
 
 
 BLOCK_LINES = 64

@@ -459,3 +459,35 @@ def test_entity_types_need_no_regular_expression(spark):
     out = d.select(entity_type(F.col("t")).alias("x"))
     assert [r.x for r in out.collect()] == ["X-Y", "", "", "", ""]
     assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def _restore(spark, sizes, paras, gap=0):
+    words = [f"w{i}" for i in range(sum(sizes))]
+    flat = iter(words)
+    pred = spark.createDataFrame([(s, p, next(flat), f"t{s}") for s, n in enumerate(sizes) for p in range(n)], "sent_id long, pos int, token string, tag string")
+    tmpl = spark.createDataFrame([(f"p{k:03d}", j * (1 + gap), "x") for k, n in enumerate(paras) for j in range(n)], "para_id string, pos int, token string")
+    return words, pred, tmpl
+
+
+def test_restored_tokens_are_not_sorted_or_joined_on_ordinals(spark, monkeypatch):
+    monkeypatch.setattr(SE, "SEGMENT_BLOCK", 8, raising=False)
+    monkeypatch.setattr(SE, "POSITION_BLOCK", 4, raising=False)
+    sizes, paras = [3, 1, 40, 2, 9, 1, 1], [1, 1, 20, 2, 3, 17, 1, 9, 5]        # the template is longer by two
+    words, pred, tmpl = _restore(spark, sizes, paras)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = SE.restore_paragraphs(pred, tmpl)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        got = out.orderBy("para_id", "pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    places = [(f"p{k:03d}", j) for k, n in enumerate(paras) for j in range(n)]
+    tags = [f"t{s}" for s, n in enumerate(sizes) for _ in range(n)]
+    assert [tuple(r) for r in got] == [(*at, w, t) for at, w, t in zip(places, words, tags)]
+    assert out.schema["pos"].dataType == tmpl.schema["pos"].dataType
+
+
+def test_restoring_by_positions_with_gaps_keeps_their_ordinals(spark):
+    _, pred, tmpl = _restore(spark, [4], [4], gap=1)
+    got = SE.restore_paragraphs(pred, tmpl).orderBy("pos").collect()
+    assert [(r.pos, r.token) for r in got] == [(0, "w0"), (2, "w2")]
