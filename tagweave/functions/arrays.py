@@ -9,7 +9,7 @@ values of a whole batch, with no per-row Python loop.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,20 @@ def in_slices(fn: Callable[[pa.Array], pa.Array], arr: pa.Array, values: int = S
         arr = arr.combine_chunks()
     if len(arr.values) <= values:
         return fn(arr)
+    return pa.concat_arrays([fn(arr.slice(at, n)) for at, n in row_slices(arr, values)])
+
+
+def row_slices(arr: pa.ListArray, values: int = SLICE_VALUES) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of stretches of about ``values`` elements, or one row;
+    an array without rows gives one empty stretch."""
     offsets = np.asarray(arr.offsets, dtype=np.int64)
-    cuts, at = [0], 0
-    while at < len(arr):
-        at = max(at + 1, int(np.searchsorted(offsets, offsets[at] + values, side="right")) - 1)
-        cuts.append(min(at, len(arr)))
-    return pa.concat_arrays([fn(arr.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+    at = 0
+    while True:
+        end = min(len(arr), max(at + 1, int(np.searchsorted(offsets, offsets[at] + values, side="right")) - 1))
+        yield at, end - at
+        at = end
+        if at >= len(arr):
+            return
 
 
 def _running_sum_arrow(arr: pa.Array) -> pa.Array:

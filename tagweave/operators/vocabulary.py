@@ -6,8 +6,9 @@ with the continuation prefix that the rest starts with.  A word that cannot be
 spelled to its end, an empty word and a null word are one unknown piece.
 
 ``VocabularySplitter`` ships the vocabulary as a broadcast trie: each task
-splits every distinct word of a batch once and gathers the pieces by word
-number, so sentences stay in their row and nothing is shuffled.  A vocabulary
+splits every distinct word of some sentences once and gathers the pieces by word
+number, so sentences stay in their row and nothing is shuffled; what it holds of
+pieces is bounded by ``SLICE_WORDS`` (or one sentence), not by Arrow's batch.  A vocabulary
 beyond ``max_bytes`` is not shipped: ``split_distinct_words`` then finds the
 pieces of the distinct words by joins with the vocabulary, one piece a round,
 and the sentences join them back.
@@ -15,18 +16,20 @@ and the sentences join them back.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.functions.arrays import row_slices
 from tagweave.session import cut_lineage
 
 UNK, CONT = "[UNK]", "##"
 MAX_VOCABULARY_BYTES = 64 << 20
 REMEMBERED_WORDS = 200_000
+SLICE_WORDS = 1 << 18
 _TYPE = "struct<pieces:array<string>,ids:array<int>,starts:array<int>,counts:array<int>>"
 
 
@@ -105,15 +108,8 @@ class VocabularySplitter:
         shipped, unk, unk_id, cont = self.shipped, self.unk, self.special_ids[self.unk], self.cont
         state: dict = {}                       # built once per task
 
-        def run(col: pa.Array) -> pa.Array:
-            if not state:
-                rows = [(p, i) for p, i in shipped.value if p != unk]
-                state["names"] = pa.array([p for p, _ in rows] + [unk], pa.string())
-                state["ids"] = np.array([i for _, i in rows] + [unk_id], dtype=np.int32)
-                state["trie"] = Trie(((p, n) for n, (p, _) in enumerate(rows)), len(rows), cont)
+        def split(col: pa.ListArray) -> pa.StructArray:
             trie: Trie = state["trie"]
-            if isinstance(col, pa.ChunkedArray):
-                col = col.combine_chunks()
             offsets = np.asarray(col.offsets, dtype=np.int64)
             flat = col.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
             coded = flat.dictionary_encode(null_encoding="encode")
@@ -137,6 +133,18 @@ class VocabularySplitter:
                      lists(pa.array(starts), piece_at), lists(pa.array(counts.astype(np.int32)), word_at)]
             return pa.StructArray.from_arrays(parts, names=["pieces", "ids", "starts", "counts"], mask=mask)
 
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            if not state:
+                rows = [(p, i) for p, i in shipped.value if p != unk]
+                state["names"] = pa.array([p for p, _ in rows] + [unk], pa.string())
+                state["ids"] = np.array([i for _, i in rows] + [unk_id], dtype=np.int32)
+                state["trie"] = Trie(((p, n) for n, (p, _) in enumerate(rows)), len(rows), cont)
+            for col in batches:
+                if isinstance(col, pa.ChunkedArray):
+                    col = col.combine_chunks()
+                for at, n in row_slices(col, SLICE_WORDS):
+                    yield split(col.slice(at, n))
+
         return F.arrow_udf(run, _TYPE)(tokens)
 
     def attach(self, sent_df: DataFrame, tokens_col: str, out: str) -> DataFrame:

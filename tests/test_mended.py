@@ -491,3 +491,19 @@ def test_restoring_by_positions_with_gaps_keeps_their_ordinals(spark):
     _, pred, tmpl = _restore(spark, [4], [4], gap=1)
     got = SE.restore_paragraphs(pred, tmpl).orderBy("pos").collect()
     assert [(r.pos, r.token) for r in got] == [(0, "w0"), (2, "w2")]
+
+
+def test_vocabulary_splitter_gives_its_pieces_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+    from tagweave.operators import vocabulary as V
+    monkeypatch.setattr(V, "SLICE_WORDS", 8, raising=False)
+    made = []
+    monkeypatch.setattr(V.F, "arrow_udf", lambda fn, kind: lambda tokens: made.append(fn))
+    vocab = spark.createDataFrame([("ab", 1), ("##c", 2), ("d", 3)], "piece string, id int")
+    V.VocabularySplitter(vocab).column(None)
+    rows = [["abc", "d"], None, [], ["ab"] * 20, ["x"], ["d", "", None]] * 3
+    out = list(made[0](iter([pa.array(rows, pa.list_(pa.string())), pa.array([], pa.list_(pa.string()))])))
+    assert max(sum(len(x["pieces"]) for x in o.to_pylist() if x) for o in out) == 20 and len(out) > 6
+    got = pa.concat_arrays(out).to_pylist()
+    assert len(got) == len(rows) and got[0] == {"pieces": ["ab", "##c", "d"], "ids": [1, 2, 3], "starts": [1, 0, 1], "counts": [2, 1]}
+    assert got[1] is None and got[2]["pieces"] == [] and got[5]["pieces"] == ["d", "[UNK]", "[UNK]"]
