@@ -8,7 +8,7 @@ linear in its length."""
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave import constants as C
-from tagweave.operators.vocabulary import VocabularySplitter  # noqa: F401  (a splitter for expand_pieces)
+from tagweave.functions.arrays import row_slices
+from tagweave.operators.vocabulary import VocabularySplitter, _ragged  # noqa: F401  (a splitter for expand_pieces)
 
+SLICE_PIECES = 1 << 19
 CLS, SEP = "[CLS]", "[SEP]"
 CONT = "##"
 
@@ -260,32 +262,79 @@ def _by_length(words: list[str], pieces: list[str | None]) -> list[int]:
     return first
 
 
+def _bytes(texts: pa.Array, which: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """The texts' bytes end to end, each without its first ``skip``."""
+    at = np.frombuffer(texts.buffers()[1], dtype="<i8" if pa.types.is_large_string(texts.type) else "<i4")
+    at = at[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    return raw[_ragged(at[which] + skip, at[which + 1] - at[which] - skip)]
+
+
+def _by_heads(p: pa.Array, kept: np.ndarray, row_of: np.ndarray, cont: np.ndarray, unknown: np.ndarray, prefix: int,
+              w: pa.Array, words: np.ndarray, w_row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in which every word that has pieces is one unknown piece or spelled
+    in full, all at once: (places in ``words``, their first pieces, rows left
+    out).  There ``align_unknown`` never has to choose: a piece without the
+    prefix begins the next word."""
+    head = ~cont[kept]
+    heads = np.bincount(row_of[head], minlength=n_rows)
+    bad = heads > np.bincount(w_row, minlength=n_rows)
+    first_piece = np.flatnonzero(np.diff(row_of, prepend=-1))
+    bad[row_of[first_piece][~head[first_piece]]] = True
+    ok = ~bad[row_of]
+    kept, row_of, head = kept[ok], row_of[ok], head[ok]
+    heads = np.where(bad, 0, heads)
+    word_at = np.searchsorted(w_row, np.arange(n_rows))           # a row's first word
+    before = np.cumsum(heads) - heads
+    word = word_at[row_of] + np.cumsum(head) - 1 - before[row_of]  # each piece's word
+    strange = unknown[kept]
+    pieces = np.bincount(word, minlength=len(words))
+    bad[row_of[strange & (pieces[word] > 1)]] = True               # an unknown piece beside others
+    skip = np.where(cont[kept], prefix, 0)
+    size = pc.binary_length(p).to_numpy(zero_copy_only=False).astype(np.int64)[kept] - skip
+    w_size = pc.binary_length(w).to_numpy(zero_copy_only=False).astype(np.int64)[words]
+    spelled = np.bincount(word, weights=np.where(strange, 0, size), minlength=len(words)).astype(np.int64)
+    known = np.zeros(len(words), dtype=bool)
+    known[word[~strange]] = True
+    bad[w_row[known & (spelled != w_size)]] = True
+    mine, theirs = ~strange & ~bad[row_of], np.flatnonzero(known & ~bad[w_row])
+    differ = np.flatnonzero(_bytes(p, kept[mine], skip[mine]) != _bytes(w, words[theirs], np.zeros(len(theirs), dtype=np.int64)))
+    bad[w_row[theirs[np.searchsorted(np.cumsum(w_size[theirs]), differ, side="right")]]] = True
+    good = head & ~bad[row_of]
+    return word[good], kept[good], bad
+
+
 def _word_tags_udf(cont_prefix: str, specials: Sequence[str], unk: str, with_starts: bool):
     """pieces, their tags, (their start flags,) words -> a tag for every word."""
-    plen = len(cont_prefix)
+    plen, bare = len(cont_prefix), len(cont_prefix.encode())
 
-    def run(pieces: pa.Array, tags: pa.Array, starts: pa.Array, words: pa.Array) -> pa.Array:
-        def parts(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
-            col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-            at = np.asarray(col.offsets, dtype=np.int64)
-            return col.values.slice(int(at[0]), int(at[-1] - at[0])), at - at[0]
+    def parts(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        at = np.asarray(col.offsets, dtype=np.int64)
+        return col.values.slice(int(at[0]), int(at[-1] - at[0])), at - at[0]
 
+    def tagged(pieces: pa.Array, tags: pa.Array, starts: pa.Array, words: pa.Array) -> pa.Array:
         (p, p_at), (t, _), (w, w_at) = parts(pieces), parts(tags), parts(words)
         p, w = pc.fill_null(p, ""), pc.fill_null(w, "")
-        cont = pc.starts_with(p, cont_prefix).to_numpy(zero_copy_only=False).astype(bool)
+        # what a piece is follows from its text: looked at once for each distinct one
+        coded = p.dictionary_encode()
+        code, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        prefixed = pc.starts_with(distinct, cont_prefix).to_numpy(zero_copy_only=False).astype(bool)
+        chars = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+        cont = prefixed[code]
         if with_starts:
             cont &= parts(starts)[0].to_numpy(zero_copy_only=False) == 0
-        unknown = pc.equal(p, unk).to_numpy(zero_copy_only=False).astype(bool)
-        drop = pc.is_in(p, pa.array(list(specials), pa.string())).to_numpy(zero_copy_only=False).astype(bool)
-        size = pc.utf8_length(p).to_numpy(zero_copy_only=False).astype(np.int64) - np.where(cont, plen, 0)
+        unknown = pc.equal(distinct, unk).to_numpy(zero_copy_only=False).astype(bool)[code]
+        drop = pc.is_in(distinct, pa.array(list(specials), pa.string())).to_numpy(zero_copy_only=False).astype(bool)[code]
+        size = chars[code] - np.where(cont, plen, 0)
         keep = np.flatnonzero(~drop & (size > 0))
-        row_of = np.repeat(np.arange(len(p_at) - 1), np.diff(p_at))[keep]
+        n_rows = len(p_at) - 1
+        row_of = np.repeat(np.arange(n_rows), np.diff(p_at))[keep]
         w_size = pc.utf8_length(w).to_numpy(zero_copy_only=False).astype(np.int64)
         w_row = np.repeat(np.arange(len(w_at) - 1), np.diff(w_at))
         # without unknown pieces both sides are laid end to end: a word takes the piece at its offset
         base = np.int64(1) << 40
         p_off = np.cumsum(size[keep]) - size[keep]
-        kept_at = np.concatenate([[0], np.cumsum(np.bincount(row_of, minlength=len(p_at) - 1))]).astype(np.int64)
+        kept_at = np.concatenate([[0], np.cumsum(np.bincount(row_of, minlength=n_rows))]).astype(np.int64)
         shift = lambda off, at, rows: off - (off[np.minimum(at[:-1], max(len(off) - 1, 0))])[rows] if len(off) else off
         p_key = row_of * base + shift(p_off, kept_at, row_of)
         w_off = np.cumsum(w_size) - w_size
@@ -294,7 +343,15 @@ def _word_tags_udf(cont_prefix: str, specials: Sequence[str], unk: str, with_sta
         hit = (at < len(p_key)) & (w_size > 0)
         hit[hit] = p_key[at[hit]] == w_key[hit]
         first = np.where(hit, keep[np.minimum(at, max(len(keep) - 1, 0))] if len(keep) else 0, -1)
-        for r in np.unique(row_of[unknown[keep]]).tolist():
+        strange = np.zeros(n_rows, dtype=bool)
+        strange[row_of[unknown[keep]]] = True
+        if strange.any():
+            mine, full = strange[row_of], np.flatnonzero(strange[w_row] & (w_size > 0))
+            place, piece, left = _by_heads(p, keep[mine], row_of[mine], cont, unknown, bare, w, full, w_row[full], n_rows)
+            first[strange[w_row]] = -1
+            first[full[place]] = piece
+            strange &= left
+        for r in np.flatnonzero(strange).tolist():
             mine = keep[kept_at[r]:kept_at[r + 1]]
             texts = p.take(pa.array(mine)).to_pylist()
             texts = [None if unknown[i] else x[plen:] if cont[i] else x for i, x in zip(mine.tolist(), texts)]
@@ -304,6 +361,12 @@ def _word_tags_udf(cont_prefix: str, specials: Sequence[str], unk: str, with_sta
         tag = t.take(pa.array(first, mask=first < 0)) if len(t) else pa.nulls(len(first), pa.string())
         return pa.ListArray.from_arrays(pa.array(w_at.astype(np.int32)), pc.fill_null(tag, "O"))
 
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for cols in batches:
+            cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
+            for at, n in row_slices(cols[0], SLICE_PIECES):
+                yield tagged(*[c.slice(at, n) for c in cols])
+
     return F.arrow_udf(run, "array<string>")
 
 

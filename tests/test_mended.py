@@ -507,3 +507,35 @@ def test_vocabulary_splitter_gives_its_pieces_in_slices(spark, monkeypatch):
     got = pa.concat_arrays(out).to_pylist()
     assert len(got) == len(rows) and got[0] == {"pieces": ["ab", "##c", "d"], "ids": [1, 2, 3], "starts": [1, 0, 1], "counts": [2, 1]}
     assert got[1] is None and got[2]["pieces"] == [] and got[5]["pieces"] == ["d", "[UNK]", "[UNK]"]
+
+
+def test_rows_with_unknown_pieces_are_aligned_together(spark, monkeypatch):
+    import random
+    import pyarrow as pa
+    rnd = random.Random(5)
+    slow = []
+    plain = P.align_unknown
+    monkeypatch.setattr(P, "align_unknown", lambda words, pieces: slow.append(words) or plain(words, pieces))
+    monkeypatch.setattr(P, "SLICE_PIECES", 40, raising=False)
+    words, pieces, starts, tags = [], [], [], []
+    for _ in range(400):
+        ws, ps, st = [rnd.choice(["a", "abc", "", "é", "x##y", "##b", "abab"]) for _ in range(rnd.randint(0, 7))], ["[CLS]"], [0]
+        for w in ws:
+            cut = sorted(rnd.sample(range(1, len(w)), rnd.randint(0, len(w) - 1))) if len(w) > 1 else []
+            made = [w[i:j] for i, j in zip([0, *cut], [*cut, len(w)])] if w and rnd.random() < .7 else ["[UNK]"] if w else [""]
+            if rnd.random() < .04:
+                made[-1] = rnd.choice(["[UNK]", "Q", made[-1].upper()])          # disagrees, or another case
+            ps += [m if k == 0 or m == "[UNK]" else "##" + m for k, m in enumerate(made)]
+            st += [1] + [0] * (len(made) - 1)
+        if rnd.random() < .1:
+            ps, st = ps[:len(ps) // 2 + 1], st[:len(st) // 2 + 1]                # truncated
+        words.append(ws), pieces.append(ps + ["[SEP]"]), starts.append(st + [0]), tags.append([f"t{i}" for i in range(len(ps) + 1)])
+    cols = [pa.array(x, pa.list_(k)) for x, k in ((pieces, pa.string()), (tags, pa.string()), (starts, pa.int32()), (words, pa.string()))]
+    run = P._word_tags_udf("##", ("[CLS]", "[SEP]"), "[UNK]", True).func
+    got = pa.concat_arrays(list(run(iter([tuple(cols)])))).to_pylist()
+    unknown = [r for r, ps in enumerate(pieces) if "[UNK]" in ps]
+    assert len(slow) < len(unknown) / 2
+    for r in unknown:
+        at = [i for i, x in enumerate(pieces[r]) if x not in ("[CLS]", "[SEP]", "") and (x != "##" or starts[r][i])]
+        text = [None if pieces[r][i] == "[UNK]" else pieces[r][i][2:] if pieces[r][i].startswith("##") and not starts[r][i] else pieces[r][i] for i in at]
+        assert got[r] == [tags[r][at[k]] if k >= 0 else "O" for k in plain(words[r], text)], (words[r], pieces[r])
