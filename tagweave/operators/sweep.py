@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,41 +36,51 @@ def claim(t_start: np.ndarray, t_end: np.ndarray, spans: list[tuple[int, int, st
     return tags
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
 def sweep(tokens: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """tokens(keys, pos, start, end, ...), spans(keys, s_start, s_end, s_label)
-    -> every token column and ``tag``.  One exchange of both sides by document;
-    a batch holds its documents, and one that a batch cuts waits for its rest."""
+    -> every token column and ``tag``.  One exchange of both sides by document,
+    where keys, places and the other token columns travel once; a batch holds its
+    documents, and one that a batch cuts waits for its rest.  Rows are sorted by
+    document only: a document with spans is put in order where it is swept."""
     columns = [c for c in tokens.columns if c != "tag"]
-    schema = T.StructType([*(tokens.schema[c] for c in columns), T.StructField("tag", T.StringType())])
+    kind = {c: tokens.schema[c].dataType for c in columns}
+    source = {c: f"__{c}" for c in ("start", "end", "pos") if isinstance(kind[c], _WHOLE)} | {k: f"__k{i}" for i, k in enumerate(keys)}
+    others = [c for c in columns if c not in source]
+    source |= {c: f"__o{i}" for i, c in enumerate(others)}
     key = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]
-    span = F.struct(F.col("s_start").cast("long").alias("s"), F.col("s_end").cast("long").alias("e"), F.col("s_label").alias("l"))
-    token = F.struct(*[F.col(f"`{c}`") for c in columns])
-    a = tokens.select(*key, F.lit(1).alias("__is_token"), F.col("start").cast("long").alias("__start"), F.col("end").cast("long").alias("__end"),
-                      F.col("pos").cast("long").alias("__pos"), F.lit(None).cast("struct<s:bigint,e:bigint,l:string>").alias("__span"), token.alias("__token"))
-    b = spans.select(*key, F.lit(0).alias("__is_token"), F.col("s_start").cast("long").alias("__start"), F.col("s_end").cast("long").alias("__end"),
-                     F.lit(None).cast("long").alias("__pos"), span.alias("__span"), F.lit(None).cast(T.StructType(schema.fields[:-1])).alias("__token"))
+    a = tokens.select(*key, F.lit(True).alias("__is_token"), *[F.col(c).cast("long").alias(f"__{c}") for c in ("start", "end", "pos")],
+                      F.lit(None).cast("string").alias("__label"), *[F.col(f"`{c}`").alias(source[c]) for c in others])
+    b = spans.select(*key, F.lit(False).alias("__is_token"), F.col("s_start").cast("long").alias("__start"), F.col("s_end").cast("long").alias("__end"),
+                     F.lit(None).cast("long").alias("__pos"), F.col("s_label").cast("string").alias("__label"),
+                     *[F.lit(None).cast(kind[c]).alias(source[c]) for c in others])
     ks = [f"__k{i}" for i in range(len(keys))]
-    rows = a.unionByName(b).repartition(*ks).sortWithinPartitions(*ks, "__is_token", "__start", "__end", "__pos")
+    rows = a.unionByName(b).repartition(*ks).sortWithinPartitions(*ks)
+    schema = T.StructType([*(T.StructField(c, rows.schema[source[c]].dataType) for c in columns), T.StructField("tag", T.StringType())])
+
+    def made(t: pa.Table | pa.RecordBatch, tags: pa.Array) -> pa.RecordBatch:
+        cols = (t.column(source[c]) for c in columns)
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols), tags], names=[*columns, "tag"])
 
     def document(t: pa.Table) -> pa.RecordBatch | None:
-        is_token = t.column("__is_token").to_numpy()
-        cut = int(np.searchsorted(is_token, 1))
-        if cut == t.num_rows:
+        is_token = t.column("__is_token").to_numpy().astype(bool)
+        if not is_token.any():
             return None
-        mine = t.slice(cut).combine_chunks()
-        out = pa.nulls(mine.num_rows, pa.string())
-        tags: list[str] | None = None
-        if cut:
-            start, end = (mine.column(c).to_numpy() for c in ("__start", "__end"))
-            if (np.diff(end) < 0).any():
-                raise ValueError("the tokens of a document overlap one another")
-            found = claim(start, end, [(x["s"], x["e"], x["l"]) for x in t.slice(0, cut).column("__span").to_pylist()])
-            tags = ["O"] * mine.num_rows
-            for i, tag in found.items():
-                tags[i] = tag
-        out = pa.array(tags if tags is not None else np.repeat("O", mine.num_rows), pa.string())
-        token_rows = mine.column("__token").combine_chunks()
-        return pa.RecordBatch.from_arrays([*token_rows.flatten(), out], names=[*columns, "tag"])
+        if is_token.all():
+            return made(t, pa.repeat("O", t.num_rows))
+        mine, claims = t.take(pa.array(np.flatnonzero(is_token))), t.take(pa.array(np.flatnonzero(~is_token)))
+        start, end, pos = (mine.column(c).to_numpy() for c in ("__start", "__end", "__pos"))
+        order = np.lexsort((pos, end, start))
+        mine, start, end = mine.take(pa.array(order)), start[order], end[order]
+        if (np.diff(end) < 0).any():
+            raise ValueError("the tokens of a document overlap one another")
+        tags = ["O"] * mine.num_rows
+        found = claim(start, end, list(zip(*(claims.column(c).to_pylist() for c in ("__start", "__end", "__label")))))
+        for i, tag in found.items():
+            tags[i] = tag
+        return made(mine, pa.array(tags, pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -79,22 +88,22 @@ def sweep(tokens: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                made = document(pa.Table.from_batches(held))
+                whole = document(pa.Table.from_batches(held))
                 held.clear()
-                if made is not None:
-                    yield made
+                if whole is not None:
+                    yield whole
 
         for b in batches:
             cols = [b.column(k) for k in ks]
             starts = np.flatnonzero(_documents(cols)).tolist()
-            has_span = pc.equal(b.column("__is_token"), 0).to_numpy(zero_copy_only=False).astype(bool)
+            has_span = np.logical_or.reduceat(~b.column("__is_token").to_numpy(zero_copy_only=False).astype(bool), starts).tolist() if starts else []
             plain: list[tuple[int, int]] = []              # documents without spans inside the batch need no sweep
-            for at, end in zip(starts, [*starts[1:], b.num_rows]):
+            for at, end, spanned in zip(starts, [*starts[1:], b.num_rows], has_span):
                 key = tuple(c[at].as_py() for c in cols)
                 if key != last:
                     yield from flush()
                     last = key
-                if end < b.num_rows and not held and not has_span[at]:
+                if end < b.num_rows and not held and not spanned:
                     if plain and plain[-1][1] == at:
                         plain[-1] = plain[-1][0], end
                     else:
@@ -102,8 +111,8 @@ def sweep(tokens: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
                 else:
                     held.append(b.slice(at, end - at))
             for at, end in plain:
-                token_rows = b.column("__token").slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*token_rows.flatten(), pa.array(np.repeat("O", end - at), pa.string())], names=[*columns, "tag"])
+                yield made(b.slice(at, end - at), pa.repeat("O", end - at))
         yield from flush()
 
-    return rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col(f"`{c}`").cast(kind[c]).alias(c) if schema[c].dataType != kind[c] else F.col(f"`{c}`") for c in columns], "tag")

@@ -539,3 +539,17 @@ def test_rows_with_unknown_pieces_are_aligned_together(spark, monkeypatch):
         at = [i for i, x in enumerate(pieces[r]) if x not in ("[CLS]", "[SEP]", "") and (x != "##" or starts[r][i])]
         text = [None if pieces[r][i] == "[UNK]" else pieces[r][i][2:] if pieces[r][i].startswith("##") and not starts[r][i] else pieces[r][i] for i in at]
         assert got[r] == [tags[r][at[k]] if k >= 0 else "O" for k in plain(words[r], text)], (words[r], pieces[r])
+
+
+def test_tokens_travel_once_to_their_spans(spark):
+    rows = [(d, p, f"w{p}", 3 * p, 3 * p + 2, None if p % 2 else f"n{p}") for p in (4, 0, 3, 1, 2) for d in (2, 1, 3)]
+    tokens = spark.createDataFrame(rows, "doc_id int, pos int, token string, start int, end int, note string").repartition(3)
+    spans = spark.createDataFrame([(1, 4, 7, "A"), (1, 4, 5, "B"), (3, 100, 101, "A"), (1, 9, 10, None), (9, 0, 1, "A")], "doc_id long, start int, end int, label string")
+    out = SP.spans_to_bio(tokens, spans)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == [*tokens.columns, "tag"] and [f.dataType for f in out.schema][:6] == [f.dataType for f in tokens.schema]
+    assert "Sort [__k0" in plan and "ASC NULLS FIRST, __" not in plan
+    got = {(r.doc_id, r.pos): (r.token, r.start, r.end, r.note, r.tag) for r in out.collect()}
+    assert len(got) == 15
+    for d, p, *rest in rows:
+        assert got[d, p] == (*rest, {(1, 1): "B-A", (1, 2): "I-A"}.get((d, p), "O"))
