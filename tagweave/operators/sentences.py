@@ -14,13 +14,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave import constants as C
 from tagweave.functions.text import py_strip
+from tagweave.operators.automaton import _documents
 from tagweave.operators.sampling import dense_ids, prefix_offsets
 from tagweave.operators.spans import _keys
+from tagweave.operators.vocabulary import _ragged
 from tagweave.session import cut_lineage
 from tagweave.sources.formats import read_lines
 
@@ -317,14 +321,131 @@ def differing_lines(a: DataFrame, b: DataFrame, block_lines: int = BLOCK_LINES)
     return left.join(right, "line", "full_outer").where(~F.col("token_a").eqNullSafe(F.col("token_b")))
 
 
+PACKED_POSITIONS = 512
+PACKED_ROWS = 1024           # packed rows that are matched together
+_PACKED_KEYS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.DateType)
+
+
+def _can_pack(a: DataFrame, b: DataFrame, keys: Sequence[str], token_col: str) -> bool:
+    kinds = [(a.schema[c].dataType, b.schema[c].dataType) for c in (*keys, token_col)]
+    return (all(x == y and isinstance(x, _PACKED_KEYS) for x, y in kinds) and isinstance(kinds[-1][0], T.StringType)
+            and isinstance(kinds[-2][0], _PACKED_KEYS[:4]))
+
+
+def _ranges(data: pa.Buffer | None, bounds: np.ndarray) -> pa.Array:
+    """A buffer cut at ``bounds``, without a copy."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype("<i4")), data or pa.py_buffer(b"")])
+
+
+def _end_to_end(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's values one after another, and where each begins."""
+    at = np.frombuffer(column.buffers()[1], dtype="<i8" if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else "<i4")
+    at = at[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[at[0]:at[-1]], at - at[0]
+
+
+def _packed(df: DataFrame, keys: Sequence[str], token_col: str, side: int) -> DataFrame:
+    """(__k0.., __block, __side, __rel, __size, __text): neighbouring rows of one
+    block of positions (the last key) as one row, with the places in the block
+    (two bytes each, -1 for null), the tokens' sizes (four bytes, -1 for null)
+    and their bytes; nothing is sorted or held."""
+    ks = [f"__k{i}" for i in range(len(keys) - 1)]
+    rows = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, ks)], F.col(f"`{keys[-1]}`").cast("long").alias("__pos"),
+                     F.col(f"`{token_col}`").alias("__token"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            pos, token = b.column(len(ks)), b.column(len(ks) + 1)
+            no_pos, no_token = (c.is_null().to_numpy(zero_copy_only=False) for c in (pos, token))
+            pos = pc.fill_null(pos, 0).to_numpy()
+            token = pc.fill_null(token, "") if token.null_count else token
+            group = [*(b.column(i) for i in range(len(ks))), pa.array(pos // PACKED_POSITIONS, mask=no_pos)]
+            first = np.flatnonzero(_documents(group))
+            bounds = np.append(first, b.num_rows)
+            _, at = _end_to_end(token)
+            start = int(np.frombuffer(token.buffers()[1], dtype="<i8" if pa.types.is_large_string(token.type) else "<i4")[token.offset])
+            rel = np.where(no_pos, -1, pos % PACKED_POSITIONS).astype("<i2")
+            size = np.where(no_token, -1, np.diff(at)).astype("<i4")
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(pa.array(first)) for c in group), pa.array(np.full(len(first), side, dtype=np.int8)),
+                 _ranges(pa.py_buffer(rel), bounds * 2), _ranges(pa.py_buffer(size), bounds * 4), _ranges(token.buffers()[2], at[bounds] + start)],
+                names=[*ks, "__block", "__side", "__rel", "__size", "__text"])
+
+    schema = T.StructType([*(rows.schema[c] for c in ks), T.StructField("__block", T.LongType()), T.StructField("__side", T.ByteType()),
+                           *(T.StructField(c, T.BinaryType()) for c in ("__rel", "__size", "__text"))])
+    return rows.mapInArrow(run, schema)
+
+
+def _join_packed(a: DataFrame, b: DataFrame, keys: Sequence[str], token_col: str) -> DataFrame:
+    """The full outer join on ``keys``, without the rows whose tokens agree:
+    blocks of neighbouring positions are exchanged and sorted as one row, and
+    both sides of a block are matched together.  A null key matches nothing."""
+    ks = [f"__k{i}" for i in range(len(keys) - 1)]
+    group = [*ks, "__block"]
+    rows = _packed(a, keys, token_col, 0).unionByName(_packed(b, keys, token_col, 1)).repartition(*group).sortWithinPartitions(*group)
+    schema = T.StructType([*(T.StructField(k, a.schema[k].dataType) for k in keys[:-1]), T.StructField(keys[-1], T.LongType()),
+                           T.StructField("token_a", T.StringType()), T.StructField("token_b", T.StringType())])
+
+    def matched(t: pa.Table) -> pa.RecordBatch:
+        cols = [t.column(c).combine_chunks() for c in group]
+        (rel, rel_at), (size, _), (text, _) = (_end_to_end(t.column(c).combine_chunks()) for c in ("__rel", "__size", "__text"))
+        rel, size = rel.copy().view("<i2"), size.copy().view("<i4")
+        row = np.repeat(np.arange(t.num_rows), np.diff(rel_at) // 2)
+        place = pa.array(rel.astype(np.int64), mask=rel < 0)
+        ends = np.concatenate([[0], np.cumsum(np.maximum(size, 0), dtype=np.int64)])
+        token = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(text)])
+        token = pc.if_else(pa.array(size < 0), pa.scalar(None, pa.large_string()), token) if (size < 0).any() else token
+        side = t.column("__side").to_numpy()[row]
+        whole = np.ones(t.num_rows, dtype=bool)
+        for c in cols:
+            whole &= c.is_valid().to_numpy(zero_copy_only=False)
+        whole, key = whole[row], (np.cumsum(_documents(cols)) * PACKED_POSITIONS)[row] + rel
+        left, right = (np.flatnonzero(whole & (side == n)) for n in (0, 1))
+        left, right = left[np.argsort(key[left], kind="stable")], right[np.argsort(key[right], kind="stable")]
+        lo, hi = (np.searchsorted(key[right], key[left], side=s) for s in ("left", "right"))
+        alone = np.searchsorted(key[left], key[right], side="left") == np.searchsorted(key[left], key[right], side="right")
+        none = lambda n: np.full(n, -1, dtype=np.int64)
+        odd_a, odd_b = (np.concatenate([own, np.flatnonzero(~whole & (side == n))]) for n, own in ((0, left[lo == hi]), (1, right[alone])))
+        x = np.concatenate([np.repeat(left, hi - lo), odd_a, none(len(odd_b))])
+        y = np.concatenate([right[_ragged(lo, hi - lo)], none(len(odd_a)), odd_b])
+        ta, tb = (token.take(pa.array(i, mask=i < 0)) for i in (x, y))
+        same = pc.or_(pc.fill_null(pc.equal(ta, tb), False), pc.and_(ta.is_null(), tb.is_null()))
+        keep = np.flatnonzero(~same.to_numpy(zero_copy_only=False).astype(bool))
+        at = np.where(x >= 0, x, y)[keep]
+        of, which = pa.array(row[at]), pa.array(keep)
+        pos = pc.add(pc.multiply(cols[-1].take(of), PACKED_POSITIONS), place.take(pa.array(at)))
+        return pa.RecordBatch.from_arrays([*(c.take(of) for c in cols[:-1]), pos, *(c.take(which).cast(pa.string()) for c in (ta, tb))], names=[*keys, "token_a", "token_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            for at in range(0, b.num_rows, PACKED_ROWS):
+                piece = pa.Table.from_batches([b.slice(at, PACKED_ROWS)])
+                held = (piece if held is None else pa.concat_tables([held, piece])).combine_chunks()
+                first = np.flatnonzero(_documents([held.column(c).combine_chunks() for c in group]))
+                if len(first) > 1:                    # the last block may go on
+                    yield matched(held.slice(0, int(first[-1])))
+                    held = held.slice(int(first[-1]))
+        if held is not None and held.num_rows:
+            yield matched(held)
+
+    out = rows.mapInArrow(run, schema)
+    return out.withColumn(keys[-1], F.col(f"`{keys[-1]}`").cast(a.schema[keys[-1]].dataType))
+
+
 def check_token_alignment(a_df: DataFrame, b_df: DataFrame, keys: Sequence[str] | None = None,
                           a_order: Sequence[str] = ("sent_id", "pos"), b_order: Sequence[str] = ("sent_id", "pos"),
                           token_col: str = "token") -> DataFrame:
     """Mismatching lines between two token tables: ``(line, token_a,
     token_b)`` where a line is missing on one side or the tokens differ.
-    With ``keys`` the sides are matched on those columns; otherwise on global
+    With ``keys`` the sides are matched on those columns (in blocks of
+    neighbouring positions, if the last key is a whole number); otherwise on global
     line ordinals (sentence counts, prefix-summed; tokens are not sorted) and
     by ``differing_lines``.  An empty result means aligned."""
+    if keys and _can_pack(a_df, b_df, keys, token_col):
+        return _join_packed(a_df, b_df, list(keys), token_col)
     if keys:
         a = a_df.select(*keys, F.col(token_col).alias("token_a"))
         b = b_df.select(*keys, F.col(token_col).alias("token_b"))

@@ -553,3 +553,33 @@ def test_tokens_travel_once_to_their_spans(spark):
     assert len(got) == 15
     for d, p, *rest in rows:
         assert got[d, p] == (*rest, {(1, 1): "B-A", (1, 2): "I-A"}.get((d, p), "O"))
+
+
+def test_aligned_tokens_travel_in_blocks_of_positions(spark, monkeypatch):
+    import random
+    from collections import Counter
+    monkeypatch.setattr(SE, "PACKED_POSITIONS", 4)
+    monkeypatch.setattr(SE, "PACKED_ROWS", 3)
+    rnd = random.Random(3)
+    side = lambda n: [(rnd.choice(["p", "q", None]), rnd.choice([*range(-9, 40), None]), rnd.choice(["x", "y", "", None])) for _ in range(n)]
+    a, b = side(150), side(150)
+    df = lambda rows: spark.createDataFrame(rows, "name string, pos int, token string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = SE.check_token_alignment(df(a), df(b), keys=["name", "pos"])
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        got = Counter(tuple(r) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = Counter()
+    meets = lambda x, y: None not in x[:2] and x[:2] == y[:2]
+    for x in a:
+        want.update([(*x, y[2]) for y in b if meets(x, y)] or [(*x, None)])
+    want.update((*y[:2], None, y[2]) for y in b if not any(meets(x, y) for x in a))
+    assert got == Counter({k: n for k, n in want.items() if k[2] != k[3]})
+    assert out.columns == ["name", "pos", "token_a", "token_b"] and out.schema["pos"].dataType.simpleString() == "int"
+    empty = df(a).limit(0)
+    assert SE.check_token_alignment(empty, empty, keys=["name", "pos"]).count() == 0
+    assert SE.check_token_alignment(df([("p", 5, "x")]), df([("p", 5, "z")]).withColumn("pos", F.col("pos").cast("long")), keys=["name", "pos"]).count() == 1
+    one = SE.check_token_alignment(df([("p", 5, "x"), ("q", 6, "y")]).select("pos", "token"), df([("p", 5, "z")]).select("pos", "token"), keys=["pos"])
+    assert sorted(map(tuple, one.collect())) == [(5, "x", "z"), (6, "y", None)]
