@@ -20,9 +20,13 @@ next, so every suffix is rewritten O(log batches) times.
 
 Decision.  Runs that occur twice are repeats as a whole.  Where *different*
 runs share an anchor (at the edges of repeats), one text of each is cut out and
-its windows are compared by their hashes: anchors with up to ``HOT`` runs meet
-in sorted batches, commoner ones are compared window by window after a
-pre-aggregation, so no task gathers a large group.
+its windows are compared by their hashes, in sorted batches of whole anchors.
+Anchors with more than ``HOT`` runs are divided first: their windows fall into
+ranges of distances from the anchor, and the bytes that all windows of a range
+hold tell the runs apart, so only those that share them meet again.  Runs equal
+over a whole range are settled together and one of them goes on.  Ranges narrow
+until a group has at most ``HOT`` runs; in a range of one window all are equal.
+So no task gathers a large group, and a run has a few rows, not one a window.
 
 Texts are known by 96 bits of hashes (xxhash64 and crc32), suffixes by 128 bits;
 texts themselves are never exchanged unless the intervals to apply exceed
@@ -55,6 +59,7 @@ GRAM = 32
 BUFFER = 1 << 18
 BATCHES = 4
 HOT = 256
+FANOUT = 4
 MAX_BROADCAST_BYTES = 48 << 20
 SLICE = 4 << 20
 
@@ -230,8 +235,8 @@ def _pack_runs(reps: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.put(listed.mapInArrow(run, "k1 long, k2 long, packed binary"), "suffix-packed")
 
 
-def _cut_runs(keyed: DataFrame, packed: DataFrame, length: int, windows: bool) -> DataFrame:
-    """The bytes of the runs, or one row for each of their windows."""
+def _cut_runs(keyed: DataFrame, packed: DataFrame, length: int) -> DataFrame:
+    """(akey, k1, k2, lo, off, twice, part): the bytes of the runs."""
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,23 +251,80 @@ def _cut_runs(keyed: DataFrame, packed: DataFrame, length: int, windows: bool) -
                     names=["akey", "k1", "k2", "lo", "off", "twice", "part"])
 
     joined = join_measured(keyed, packed, ["k1", "k2"], F.expr(_PACKED_BYTES), max_bytes=MAX_BROADCAST_BYTES).select("k1", "k2", "t", "packed")
-    cut = joined.mapInArrow(bytes_of, "akey long, k1 long, k2 long, lo int, off int, twice boolean, part binary")
-    if not windows:
-        return cut
+    return joined.mapInArrow(bytes_of, "akey long, k1 long, k2 long, lo int, off int, twice boolean, part binary")
 
-    def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _range_widths(length: int) -> list[int]:
+    """Widths of the ranges of a window's distance from its anchor, the last 1."""
+    widths, width = [], length - GRAM + 1
+    while width > 1:
+        width = -(-width // FANOUT)
+        widths.append(width)
+    return widths or [1]
+
+
+def _divide(cut: DataFrame, length: int, width: int) -> DataFrame:
+    """(akey, h, k1, k2, q, twice): the runs' windows by ranges of ``width``
+    distances from the anchor.  ``akey`` is now a hash of the run's own, the
+    range and the bytes common to all its windows - runs of different ``akey``
+    have no equal window in the range - and ``h`` one of all bytes that the
+    run's windows in the range cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(2 * BUFFER)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                row, j, h = _window_hashes(rolling, b.column(6).to_pylist(), b.column(4).to_numpy(), length)
-                take = pa.array(row)
+            for cut_at in range(0, whole.num_rows, 512):
+                b = whole.slice(cut_at, 512)
+                akey, k1, k2, lo, off = (b.column(i).to_numpy() for i in range(5))
+                parts = b.column(6).to_pylist()
+                sizes = np.array([len(p) for p in parts])
+                rolling.load(np.frombuffer(b"".join(parts), dtype=np.uint8))
+                off = off.astype(np.int64)
+                least = off - (sizes - length)                # the last window's distance
+                many = off // width - least // width + 1
+                row = np.repeat(np.arange(len(parts)), many)
+                first = (least // width)[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                near, far = first * width, np.minimum(first * width + width - 1, length - GRAM)
+                n_near, n_far = np.maximum(near, least[row]), np.minimum(far, off[row])
+                anchor = (np.cumsum(sizes) - sizes + off)[row]
+                with np.errstate(over="ignore"):
+                    core = rolling.stretch(anchor - near, anchor - far + length)
+                    group = finalize(core ^ finalize(akey.view(np.uint64)[row] + near.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                    h = finalize(rolling.stretch(anchor - n_far, anchor - n_near + length) + n_far.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                start = lo[row].astype(np.int64) + off[row] - n_far
+                q = start << 32 | (n_far - n_near + 1) << 16 | n_far
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), b.column(2).take(take),
-                     pa.array((b.column(3).to_numpy()[row] + b.column(4).to_numpy()[row] - j).astype(np.int32)),
-                     pa.array(h.view(np.int64)), b.column(5).take(take)], names=["akey", "k1", "k2", "at", "w", "twice"])
-
-    return cut.mapInArrow(window_rows, "akey long, k1 long, k2 long, at int, w long, twice boolean")
+                    [pa.array(group.view(np.int64)), pa.array(h.view(np.int64)), pa.array(k1[row]), pa.array(k2[row]), pa.array(q),
+                     b.column(5).take(pa.array(row))], names=["akey", "h", "k1", "k2", "q", "twice"])
+
+    return cut.mapInArrow(run, "akey long, h long, k1 long, k2 long, q long, twice boolean")
+
+
+def _groups(runs: DataFrame) -> DataFrame:
+    """Different runs, each known to occur twice or not, that share an anchor
+    with another and of which at least one is still to be decided; ``m`` is the
+    number of runs at the anchor."""
+    many = (runs.groupBy("akey").agg(F.count(F.lit(1)).alias("m"), F.min("twice").alias("done"))
+            .filter("m > 1 and not done").select("akey", "m"))
+    return runs.join(many, "akey").select("akey", "k1", "k2", *_unpacked(), "twice", "m")
+
+
+def _separate(keyed: DataFrame, reps: DataFrame, length: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Divides the anchors with more than ``HOT`` runs until none is left:
+    tables of runs to compare, of up to ``HOT`` for an ``akey``, and of
+    repeated stretches (k1, k2, start, end) found on the way."""
+    small, found = [reps.filter(F.col("m") <= HOT)], []
+    for width in _range_widths(length):
+        large = reps.filter(F.col("m") > HOT)
+        if large.isEmpty():
+            break
+        ranges = scratch.put(_divide(_cut_runs(keyed, _pack_runs(large, scratch), length), length, width), "suffix-ranges")
+        alike = scratch.put(ranges.groupBy("akey", "h").agg(F.count(F.lit(1)).alias("c"), F.max("twice").alias("twice"), *_one()), "suffix-alike")
+        equal = ranges.filter("not twice").join(alike.filter("c > 1"), ["akey", "h"], "left_semi").select("k1", "k2", *_unpacked())
+        found.append(equal.select("k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end")))
+        reps = scratch.put(_groups(alike.withColumn("twice", F.expr("twice or c > 1"))), "suffix-reps")
+        small.append(reps.filter(F.col("m") <= HOT))
+    return small, found
 
 
 def _window_hashes(rolling: Rolling, parts: list[bytes], off: np.ndarray, length: int):
@@ -389,15 +451,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ba
     whole = (index._union([w for w, _ in found])
              .select("k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end")))
     # one text of each run whose anchor has other runs
-    sharing = (index._union([s for _, s in found]).groupBy("akey", "h").agg(F.max("twice").alias("twice"), *_one()))
-    many = sharing.groupBy("akey").agg(F.count(F.lit(1)).alias("m"))
-    reps = scratch.put(sharing.join(many, "akey").select("akey", "h", "k1", "k2", *_unpacked(), "twice", "m"), "suffix-reps")
-    cold = _compare_cold(_cut_runs(keyed, _pack_runs(reps.filter(F.col("m") <= HOT), scratch), length, False), length)
-    hot = _cut_runs(keyed, _pack_runs(reps.filter(F.col("m") > HOT), scratch), length, True)
-    again = hot.groupBy("akey", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    hot_found = (hot.filter("not twice").join(again, ["akey", "w"])
-                 .select("k1", "k2", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
-    merged = _merge(whole.unionByName(cold).unionByName(hot_found))
+    sharing = index._union([s for _, s in found]).groupBy("akey", "h").agg(F.max("twice").alias("twice"), *_one())
+    small, equal = _separate(keyed, scratch.put(_groups(sharing), "suffix-reps"), length, scratch)
+    cold = _compare_cold(_cut_runs(keyed, _pack_runs(index._union(small), scratch), length), length)
+    merged = _merge(index._union([whole, cold, *equal]))
     scratch.clear()
 
     rows, names = numbered(docs)

@@ -99,6 +99,37 @@ def test_suffix_clashing_columns_and_long_repeats(spark, monkeypatch):
     assert sorted(map(tuple, out.select(*df.columns).collect()), key=lambda r: r[0]) == rows
 
 
+def test_suffix_common_anchors_make_a_few_rows_a_run(spark, table_dir, monkeypatch):
+    """Many different runs at one anchor: equal to brute force, and no step makes a row for each window."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, common = word(500), word(60)
+    docs = [(i, word(150) + common + word(150)) for i in range(80)]         # one anchor, nothing repeated
+    for i in range(100, 220):                                               # near copies, edited at up to three places
+        t = list(core)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(500)] = "é"
+        docs.append((i, "".join(t)))
+    docs += [(300 + i, word(rng.randint(0, 90)) + core[120:120 + rng.randint(195, 300)]) for i in range(60)]
+    docs += [(400 + i, core[:120 + rng.randint(60, 120)] + word(60)) for i in range(40)]
+    monkeypatch.setattr(SI, "HOT", 3)
+    made = {}
+    frame = type(spark.range(0))
+    plain = frame.mapInArrow
+
+    def counted(self, func, schema, *args, **kwargs):
+        out = plain(self, func, schema, *args, **kwargs)
+        made.setdefault(func.__qualname__, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    d = table_dir(spark, "documents", docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in Q.op4_suffix_index(spark, d).collect())
+    assert got == brute_repeats(docs)
+    runs = sum(made["_run_rows.<locals>.run"])
+    assert max(max(n) for n in made.values()) <= 2 * runs
+
+
 def brute_components(docs, width=3, percent=90):
     sets = {}
     for i, t in docs:
