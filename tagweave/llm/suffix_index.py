@@ -26,7 +26,7 @@ ranges of distances from the anchor, and the bytes that all windows of a range
 hold tell the runs apart, so only those that share them meet again.  Runs equal
 over a whole range are settled together and one of them goes on.  Ranges narrow
 until a group has at most ``HOT`` runs; in a range of one window all are equal.
-So no task gathers a large group, and a run has a few rows, not one a window.
+So no task compares a large group, and a run has a few rows, not one a window.
 
 Texts are known by 96 bits of hashes (xxhash64 and crc32), suffixes by 128 bits;
 texts themselves are never exchanged unless the intervals to apply exceed
