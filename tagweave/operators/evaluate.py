@@ -1,7 +1,7 @@
 """Entity-level evaluation, corpus statistics, and per-token losses.
 
 Exact-chunk scoring uses one window pass over the token rows of each
-sentence (or batch): gold and predicted chunk ends are found together, so a
+sentence (or batch), or the tag arrays of sentence rows as they are: gold and predicted chunk ends are found together, so a
 chunk is correct when both sides end at the same token with the same type
 and the same start.  No join of chunk tables is needed, and the only shuffle
 is the partitioning of tokens by sentence (reused if the input already has
@@ -9,10 +9,13 @@ it).  Per-type totals then use partial (map-side) aggregation."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave.operators.decode import log_sum_exp_online
 from tagweave.operators.spans import _keys, chunk_flags, entity_type
@@ -34,8 +37,12 @@ def scored_tokens(tokens_df: DataFrame, gold_col: str = "gold", pred_col: str =
                   part_cols: str | Sequence[str] = "sent_id", order_cols: Sequence[str] = ("pos",)) -> DataFrame:
     """Every token row with ``gold_type`` / ``pred_type`` (set where a gold /
     predicted chunk ends on this token), ``correct`` (both chunks end here
-    with the same type and start) and ``equal`` (token tags agree)."""
+    with the same type and start) and ``equal`` (token tags agree).  Where
+    ``gold_col`` and ``pred_col`` are arrays, a row is a whole part in order and
+    is scored in its row; token rows are sorted first."""
     ps = _keys(part_cols)
+    if isinstance(tokens_df.schema[gold_col].dataType, T.ArrayType):
+        return _scored_rows(tokens_df.select(*ps, gold_col, pred_col), ps)
     order = list(order_cols)
     w = Window.partitionBy(*ps).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -56,6 +63,68 @@ def scored_tokens(tokens_df: DataFrame, gold_col: str = "gold", pred_col: str =
                         F.coalesce(F.col("__g") == F.col("__p"), F.lit(False)).alias("equal"))
 
 
+SLICE_TOKENS = 262_144
+
+
+def _chunks(code: np.ndarray, names: list[str | None], types: dict[str, int], first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tag numbers -> (type number, whether a chunk ends, where the last one
+    started), by the rule of ``chunk_flags``."""
+    def type_of(tag: str | None) -> str:
+        return "" if tag is None or tag == "O" or "-" not in tag else tag.split("-", 1)[1]
+
+    kind = np.array([types.setdefault(type_of(t), len(types)) for t in names], dtype=np.int64)[code]
+    inside = np.array([t is not None and t != "O" for t in names])[code]
+    goes_on = np.array([t is not None and t.startswith("I-") for t in names])[code]
+    same = np.zeros(len(code), dtype=bool)
+    same[1:] = (kind[1:] == kind[:-1]) & ~first[1:] & goes_on[1:]
+    starts = inside.copy()
+    starts[1:] &= ~(same[1:] & inside[:-1])
+    ends = inside.copy()
+    ends[:-1] &= ~(same[1:] & ~last[:-1])
+    return kind, ends, np.maximum.accumulate(np.where(starts, np.arange(len(code)), -1))
+
+
+def _scored_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(keys, gold, pred), both arrays of one length -> the token rows of
+    ``scored_tokens``, in slices of about ``SLICE_TOKENS`` tokens."""
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("gold_type", T.StringType()), T.StructField("pred_type", T.StringType()),
+                           T.StructField("correct", T.BooleanType()), T.StructField("equal", T.BooleanType())])
+    nk = len(keys)
+
+    def score(b: pa.RecordBatch, size: np.ndarray) -> pa.RecordBatch:
+        n = int(size.sum())
+        first, last = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        at = (np.cumsum(size) - size)[size > 0]
+        first[at] = True
+        last[at + size[size > 0] - 1] = True
+        codes, tags, types, sides = [], {}, {}, []
+        for i in (nk, nk + 1):
+            d = b.column(i).flatten().dictionary_encode(null_encoding="encode")
+            names = d.dictionary.to_pylist()
+            code = d.indices.to_numpy(zero_copy_only=False)
+            codes.append(np.array([-1 if t is None else tags.setdefault(t, len(tags)) for t in names], dtype=np.int64)[code])
+            sides.append(_chunks(code, names, types, first, last))
+        (gk, ge, gs), (pk, pe, ps) = sides
+        values = pa.array(list(types), pa.string())
+        typed = [pa.DictionaryArray.from_arrays(pa.array(k.astype(np.int32), mask=~e), values).cast(pa.string()) for k, e in ((gk, ge), (pk, pe))]
+        row = pa.array(np.repeat(np.arange(b.num_rows), size))
+        return pa.RecordBatch.from_arrays([*(b.column(i).take(row) for i in range(nk)), *typed, pa.array(ge & pe & (gk == pk) & (gs == ps)),
+                                           pa.array((codes[0] == codes[1]) & (codes[0] >= 0))], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, other = (b.column(i).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (nk, nk + 1))
+            if (size != other).any():
+                raise ValueError("gold and predicted tags differ in number")
+            part = (np.cumsum(size) - size) // SLICE_TOKENS
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+            for a, z in zip(cuts, cuts[1:]):
+                if size[a:z].any():
+                    yield score(b.slice(a, z - a), size[a:z])
+
+    return rows.mapInArrow(run, schema)
+
+
 def chunk_matches(tokens_df: DataFrame, gold_col: str = "gold", pred_col: str = "pred",
                   part_cols: str | Sequence[str] = "sent_id", order_cols: Sequence[str] = ("pos",)) -> DataFrame:
     """Per chunk-ending token: ``(gold_type, pred_type, correct)``; either

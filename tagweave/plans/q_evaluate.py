@@ -180,7 +180,7 @@ def q_evaluate_files(spark, sf_dir):
     from tagweave.session import scratch_path
     from tagweave.sources.conll import write_conll
     gp, pp = scratch_path(spark, "gold"), scratch_path(spark, "pred")
-    sents = doc_sentences(spark, sf_dir)
-    write_conll(sents, gp, token_col="tokens", tag_col="tags")
-    write_conll(sents.withColumn("tags", pred_tags(F.col("sent_id"), F.col("tags"))), pp, token_col="tokens", tag_col="tags")
+    sents = doc_sentences(spark, sf_dir, ranged=True)
+    write_conll(sents, gp, token_col="tokens", tag_col="tags", compression="gzip")
+    write_conll(sents.withColumn("tags", pred_tags(F.col("sent_id"), F.col("tags"))), pp, token_col="tokens", tag_col="tags", compression="gzip")
     return _round_metrics(evaluate_files(spark, gp, pp, "\t"))

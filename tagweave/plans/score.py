@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.operators.evaluate import overall_scores, scored_tokens
-from tagweave.sources.conll import block_lines, line_fields, strict_sentences
+from tagweave.sources.conll import strict_sentences
 
 
 def evaluate_files(spark: SparkSession, gold_path: str, pred_path: str, sep: str = "\t") -> DataFrame:
@@ -14,18 +14,19 @@ def evaluate_files(spark: SparkSession, gold_path: str, pred_path: str, sep: str
     blank line closes it, so every token is scored), require the same token on every
     line, and return the micro scores plus token accuracy.  Both files are
     numbered by the same file-order rule; their sentences meet as whole rows, by
-    one exchange on the sentence id, and are compared line by line in the row.
-    The scoring windows reuse that partitioning.  A missing sentence or a
+    one join on the sentence id: their tokens are compared as one text, their
+    tags are scored in the row.  A missing sentence or a
     different token raises inside that same pass (no separate checking job)."""
-    none = F.lit(None).cast("string")
-    gold = strict_sentences(spark, gold_path, keep_last=True).select("sent_id", F.col("block").alias("__g"), none.alias("__p"))
-    pred = strict_sentences(spark, pred_path, keep_last=True).select("sent_id", none.alias("__g"), F.col("block").alias("__p"))
-    both = gold.unionByName(pred).groupBy("sent_id").agg(F.max("__g").alias("__g"), F.max("__p").alias("__p"))
-    lines = lambda c: block_lines(F.coalesce(F.col(c), F.lit("")))
-    pairs = both.select("sent_id", F.posexplode(F.arrays_zip(lines("__g").alias("g"), lines("__p").alias("p"))).alias("pos", "x"))
-    pairs = pairs.select("sent_id", "pos", line_fields(F.col("x.g"), sep).alias("g"), line_fields(F.col("x.p"), sep).alias("p"))
-    ok = F.get("g", 0).eqNullSafe(F.get("p", 0))
-    checked = pairs.select("sent_id", "pos", F.get("p", 1).alias("pred"), F.when(ok, F.get("g", 1)).otherwise(F.raise_error(
-        F.concat(F.lit("token mismatch at sentence "), F.col("sent_id").cast("string"), F.lit(" position "),
-                 F.col("pos").cast("string"))).cast("string")).alias("gold"))
-    return overall_scores(scored_tokens(checked, "gold", "pred", "sent_id", ["pos"]))
+    def side(path: str, words: str, tags: str) -> DataFrame:
+        return strict_sentences(spark, path, sep, keep_last=True).select("sent_id", F.col("tokens").alias(words), F.col("tags").alias(tags))
+
+    both = side(gold_path, "__gw", "gold").join(side(pred_path, "__pw", "pred"), "sent_id", "full")
+    # lines hold no newline, so equal texts are equal tokens
+    lines = lambda c: F.coalesce(F.split(c, "\n", -1), F.array().cast("array<string>"))
+    differs = F.zip_with(lines("__gw"), lines("__pw"), lambda g, p: ~g.eqNullSafe(p))
+    failed = F.raise_error(F.concat(F.lit("token mismatch at sentence "), F.col("sent_id").cast("string"), F.lit(" position "),
+                                    (F.array_position(differs, True) - 1).cast("string"))).cast("string")
+    gold = F.when(F.col("__gw").eqNullSafe(F.col("__pw")), F.col("gold")).otherwise(failed)
+    checked = both.select("sent_id", gold.alias("gold"), "pred")
+    tags = checked.where("gold is not null").select("sent_id", F.split("gold", "\n", -1).alias("gold"), F.split("pred", "\n", -1).alias("pred"))
+    return overall_scores(scored_tokens(tags, "gold", "pred", "sent_id"))
