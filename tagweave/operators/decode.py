@@ -150,6 +150,47 @@ def viterbi_paths(lengths: Sequence[int], emissions, trans: np.ndarray, start: n
     return out
 
 
+def viterbi_rows(size: np.ndarray, place: np.ndarray, scores: np.ndarray, trans: np.ndarray, start: np.ndarray, end: np.ndarray,
+                 max_cells: int = 1_000_000) -> np.ndarray:
+    """Best paths of many sequences, one after the other: ``size`` has their
+    lengths, ``place`` the row of ``scores`` (V x K) for every position.  The
+    scores of a chunk of sequences stay within ``max_cells`` (one sequence at
+    least); tags are traced from them without back-pointers."""
+    K, out, first = len(start), np.zeros(len(place), dtype=np.int32), np.cumsum(size) - size
+    some = np.flatnonzero(size)
+    order = some[np.argsort(-size[some], kind="stable")]
+    into = np.ascontiguousarray(trans.T)                        # of a tag: the scores of all tags before it
+    i = 0
+    while i < len(order):
+        T = int(size[order[i]])
+        rows = order[i:i + max(1, max_cells // (T * K))]
+        i += len(rows)
+        at, lens = first[rows], size[rows]
+        longer = np.append(np.searchsorted(-lens, -np.arange(T), side="left"), 0)       # sequences with length > t
+        final = np.empty((K, len(rows)))
+        score = scores[place[at]].T + start[:, None]
+        steps = [score]
+        final[:, longer[1]:] = score[:, longer[1]:] + end[:, None]
+        for t in range(1, T):
+            m, go_on = int(longer[t]), int(longer[t + 1])
+            best = score[0, :m] + trans[0][:, None]
+            cand = np.empty_like(best)
+            for p in range(1, K):
+                np.add(score[p, :m], trans[p][:, None], out=cand)
+                np.maximum(best, cand, out=best)
+            best += scores[place[at[:m] + t]].T
+            score = best
+            steps.append(score)
+            final[:, go_on:m] = score[:, go_on:] + end[:, None]
+        state = final.argmax(axis=0)
+        for t in range(T - 1, -1, -1):
+            m = int(longer[t])
+            out[at[:m] + t] = state[:m]
+            if t:
+                state[:m] = (steps[t - 1][:, :m] + into[state[:m]].T).argmax(axis=0)
+    return out
+
+
 # --------------------------------------------------------------------------
 # one long sequence in blocks: max-plus products
 # --------------------------------------------------------------------------

@@ -12,7 +12,7 @@ condition.  Scores are add-alpha smoothed log probabilities."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.text import py_strip, split_words
-from tagweave.operators.decode import block_firsts, block_forward, block_product, block_trace, viterbi_paths
+from tagweave.operators.decode import block_firsts, block_forward, block_product, block_trace, viterbi_rows
 from tagweave.operators.spans import _keys
 from tagweave.session import cut_lineage
 
@@ -32,21 +32,31 @@ MAX_TAGS = 1_000
 
 def tag_counts(tokens_df: DataFrame, sent_col: str = "sent_id", pos_col: str = "pos", token_col: str = "token",
                tag_col: str = "tag") -> DataFrame:
-    """Event counts ``(kind, a, b, n)``.  Words are counted in their tasks first;
-    only sentence, position and tag travel to the window pass that finds neighbours."""
-    w = Window.partitionBy(sent_col).orderBy(pos_col)
-    t = tokens_df.select(sent_col, pos_col, F.col(tag_col).alias("__t"),
-                         F.lag(tag_col).over(w).alias("__prev"), F.lead(tag_col).over(w).alias("__next"))
-    ev = t.select(F.explode(F.array(
-        F.when(F.col("__prev").isNull(), F.struct(F.lit("start").alias("kind"), F.lit("").alias("a"),
-                                                   F.col("__t").alias("b"))),
-        F.when(F.col("__next").isNull(), F.struct(F.lit("end").alias("kind"), F.col("__t").alias("a"),
-                                                   F.lit("").alias("b"))),
-        F.when(F.col("__prev").isNotNull(), F.struct(F.lit("trans").alias("kind"), F.col("__prev").alias("a"),
-                                                      F.col("__t").alias("b"))),
+    """Event counts ``(kind, a, b, n)``, of token rows or of sentence rows with
+    arrays.  Words are counted in their tasks first.  Neighbours are found in a
+    sentence's row; of token rows only sentence, position and tag travel to the
+    window pass that finds them."""
+    if isinstance(tokens_df.schema[tag_col].dataType, T.ArrayType):
+        # zipped arrays: exploding positions beside a kept array takes twice as long
+        tags = F.col(tag_col)
+        before = F.slice(F.concat(F.array(F.lit(None).cast("string")), tags), 1, F.size(tags))
+        near = F.arrays_zip(tags.alias("__t"), before.alias("__prev"), F.slice(tags, 2, F.size(tags)).alias("__next"))
+        t = tokens_df.select(F.explode(near).alias("x")).select("x.*")
+        words = tokens_df.select(F.explode(F.arrays_zip(tags.alias("__t"), F.col(token_col).alias("__w"))).alias("x")).select("x.*")
+    else:
+        w = Window.partitionBy(sent_col).orderBy(pos_col)
+        t = tokens_df.select(F.col(tag_col).alias("__t"), F.lag(tag_col).over(w).alias("__prev"), F.lead(tag_col).over(w).alias("__next"))
+        words = tokens_df.select(F.col(tag_col).alias("__t"), F.col(token_col).alias("__w"))
+    event = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    none, tag, prev = F.lit(""), F.col("__t"), F.col("__prev")
+    # different neighbourhoods are few; each gives its events once
+    seen = t.groupBy("__prev", "__t", F.col("__next").isNull().alias("__last")).agg(F.count(F.lit(1)).alias("n"))
+    ev = seen.select("n", F.explode(F.array(
+        F.when(prev.isNull(), event("start", none, tag)).otherwise(event("trans", prev, tag)),
+        F.when(F.col("__last"), event("end", tag, none)),
     )).alias("e")).where(F.col("e").isNotNull())
-    emit = tokens_df.groupBy(F.lit("emit").alias("kind"), F.col(tag_col).alias("a"), F.lower(F.col(token_col)).alias("b"))
-    return ev.groupBy("e.kind", "e.a", "e.b").agg(F.count(F.lit(1)).alias("n")).unionByName(emit.agg(F.count(F.lit(1)).alias("n")))
+    emit = words.groupBy(F.lit("emit").alias("kind"), tag.alias("a"), F.lower(F.col("__w")).alias("b"))
+    return ev.groupBy("e.kind", "e.a", "e.b").agg(F.sum("n").alias("n")).unionByName(emit.agg(F.count(F.lit(1)).alias("n")))
 
 
 def normalize_counts(counts: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -57,9 +67,9 @@ def normalize_counts(counts: DataFrame, alpha: float = 1.0) -> DataFrame:
     # the count table (model-sized: events x outcomes, not tokens) is read
     # three times below; materialize it once so the token pass runs once
     c = cut_lineage(counts.where(F.col("kind").isin(*KINDS)))
-    sizes = c.agg(
-        F.count_distinct(F.when(F.col("kind") == "emit", F.col("a"))).alias("__K"),
-        F.count_distinct(F.when(F.col("kind") == "emit", F.col("b"))).alias("__V"))
+    emit = c.where(F.col("kind") == "emit")
+    sizes = cut_lineage(emit.select("a").distinct().agg(F.count("a").alias("__K"))
+                        .crossJoin(emit.select("b").distinct().agg(F.count("b").alias("__V"))))
     cond = F.when(F.col("kind").isin("start", "end"), F.lit("")).otherwise(F.col("a"))
     c = c.withColumn("__cond", F.when(F.col("kind") == "end", F.lit("")).otherwise(cond))
     tot = c.groupBy("kind", "__cond").agg(F.sum("n").alias("__tot"))
@@ -123,7 +133,9 @@ def _small_matrices(model_df: DataFrame, tags: list[str]):
 
 SCORE_UNIT = 1e-6
 MAX_SHIPPED_SCORES = 64 << 20
+MAX_TAG_COLUMNS = 64
 BLOCK_TOKENS = 32_768
+SLICE_TOKENS = 262_144
 
 
 class Scores:
@@ -155,9 +167,13 @@ def _emission_table(model_df: DataFrame, tags: list[str]) -> tuple[DataFrame, li
     floor = min(unk.values(), default=0.0)
     unknown = [unk.get(t, floor) for t in tags]
     seen = model_df.where(F.col("kind") == "emit").select(F.col("a").alias("tag"), F.col("b").alias("w"), "n", _whole(F.col("logp")).alias("s"))
-    wide = seen.groupBy("w").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("tag", "s"))).alias("m"))
-    return wide.select("w", "n", F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(u)) for t, u in zip(tags, unknown)])
-                       .cast("array<int>").alias("em")), unknown
+    if len(tags) <= MAX_TAG_COLUMNS:                # a column for each tag is aggregated without objects
+        wide = seen.groupBy("w").agg(F.sum("n").alias("n"), *[F.max(F.when(F.col("tag") == t, F.col("s"))).alias(f"s{i}") for i, t in enumerate(tags)])
+        of = [F.col(f"s{i}") for i in range(len(tags))]
+    else:
+        wide = seen.groupBy("w").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("tag", "s"))).alias("m"))
+        of = [F.try_element_at("m", F.lit(t)) for t in tags]
+    return wide.select("w", "n", F.array(*[F.coalesce(c, F.lit(u)) for c, u in zip(of, unknown)]).cast("array<int>").alias("em")), unknown
 
 
 def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text",
@@ -167,7 +183,8 @@ def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text
     Scores are whole multiples of ``SCORE_UNIT``; of equally good tags the first
     in sorted order is taken, from the last word back.
 
-    Lines stay in their row.  The scores of the model's distinct words are
+    Lines stay in their row and travel to Python as texts.  The scores of the
+    model's distinct words are
     shipped after a check of their size; of a larger table, the commonest words
     that fit.  Then only lines that hold a rarer word travel: those words are
     joined with the table, never a line's other words.  Lines of more than
@@ -189,10 +206,11 @@ def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text
     n_bytes = F.octet_length("w") + 4 * len(tags) + 64
     size = table.agg(F.sum(n_bytes)).first()[0] or 0
     spark = lines_df.sparkSession
-    words = split_words(py_strip(F.col(text_col)))
-    rows = lines_df.select(*ks, words.alias("words")).where("words is not null")
+    text = py_strip(F.col(text_col))
+    # a line's words as one text, as given and lower-cased (no letter's case depends on the words beside its own)
+    rows = lines_df.select(*ks, text.alias("words"), F.lower(text).alias("w")).where("words is not null")
     lower = F.transform("words", lambda w: F.lower(w))
-    n = len(tags)
+    n, n_keys = len(tags), len(ks)
     all_shipped = size <= max_shipped
     common = table
     if not all_shipped:
@@ -203,18 +221,18 @@ def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text
         common = table.where(F.col("n") >= least) if least is not None else table.limit(0)
     got = common.select("w", "em").toArrow()
     matrix = np.asarray(got.column("em").combine_chunks().flatten()).reshape(-1, n) if got.num_rows else np.zeros((0, n), dtype=np.int32)
-    shipped = spark.sparkContext.broadcast((got.column("w").combine_chunks(), matrix))
+    shipped = spark.sparkContext.broadcast({"words": got.column("w").combine_chunks(), "rows": matrix})
     fixed = spark.sparkContext.broadcast((np.array(unknown), trans, start, end))
 
     def scores() -> Scores:
         unk, t, s, e = fixed.value
-        return Scores(*shipped.value, unk, t, s, e)
+        return Scores(shipped.value["words"], shipped.value["rows"], unk, t, s, e)
 
     def rare_words(w: pa.Array) -> pa.Array:
         """The distinct words of each line that were not shipped."""
         size = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False)
         flat = w.flatten()
-        away = pc.invert(pc.is_in(flat, shipped.value[0]))
+        away = pc.invert(pc.is_in(flat, shipped.value["words"]))
         line = np.repeat(np.arange(len(w)), size)[away.to_numpy(zero_copy_only=False).astype(bool)]
         at = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(w)))]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(at), flat.filter(away))
@@ -241,32 +259,79 @@ def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text
         out[place >= 0] = mine[place[place >= 0]]
         return out
 
-    def paths(w: pa.Array, known: pa.Array) -> pa.Array:
-        base = scores()
-        size = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False)
-        order = np.flatnonzero(size)[np.argsort(size[np.flatnonzero(size)], kind="stable")]
-        at = base.places(w.flatten())                           # null rows hold no words
-        first = np.cumsum(size) - size
-        # the rare words of all rows, as (row, word) numbers
-        words_of = known.flatten()
-        n_known = pc.fill_null(pc.list_value_length(known), 0).to_numpy(zero_copy_only=False)
-        begin = np.cumsum(n_known) - n_known
-        rare_w = words_of.field("w") if len(words_of) else None
-        rare_em = words_of.field("em").flatten().to_numpy(zero_copy_only=False).reshape(-1, n) if len(words_of) else None
-
-        def em(i: int) -> np.ndarray:
-            out = base.rows[at[first[i]:first[i] + size[i]]].astype(np.float64)
-            if n_known[i]:
-                place = pc.fill_null(pc.index_in(w[i].values, rare_w.slice(begin[i], n_known[i])), -1).to_numpy(zero_copy_only=False)
-                out[place >= 0] = rare_em[begin[i]:begin[i] + n_known[i]][place[place >= 0]]
-            return out
-
-        found = viterbi_paths(size[order].tolist(), lambda k: em(int(order[k])), base.trans, base.start, base.end)
-        out: list = [np.zeros(0, dtype=np.int32)] * len(w)
-        for i, p in zip(order.tolist(), found):
-            out[i] = p
-        at = np.concatenate([[0], np.cumsum([len(p) for p in out])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int32)))
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
+        """Lines of about ``SLICE_TOKENS`` words, with their sizes, the number of
+        every lower-cased word and these words."""
+        for b in batches:
+            upto = np.cumsum(pc.count_substring(b.column(n_keys + 1), " ").to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            cuts = [0, *(np.flatnonzero(np.diff(upto // SLICE_TOKENS)) + 1).tolist(), b.num_rows]
+            for a, z in zip(cuts, cuts[1:]):
+                if z > a:
+                    part = b.slice(a, z - a)
+                    w = pc.split_pattern(part.column(n_keys + 1), " ")
+                    code = w.flatten().dictionary_encode()
+                    yield part, pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64), code.indices.to_numpy(zero_copy_only=False), code.dictionary
+
+    def shipped_rows(words: pa.Array) -> np.ndarray:
+        """Row of every word in the shipped table, -1 where it was not shipped;
+        a worker builds its look-up table once."""
+        held = shipped.value
+        if "row" not in held:
+            held["row"] = {x: i for i, x in enumerate(held["words"].to_pylist())}
+        row = held["row"]
+        return np.array([row.get(x, -1) for x in words.to_pylist()], dtype=np.int64)
+
+    def apart(size: np.ndarray, code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether a line is too long for one piece; whether it is held back for
+        its rare words or its length; the line of every word."""
+        line = np.repeat(np.arange(len(size)), size)
+        long = size > block_tokens
+        return long, long | (np.bincount(line[row[code] < 0], minlength=len(size)) > 0 if not all_shipped else False), line
+
+    def find_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, size, code, words in slices(batches):
+            row = shipped_rows(words)
+            long, held, line = apart(size, code, row)
+            if held.any():
+                new = np.cumsum(held) - 1
+                mine = (row[code] < 0) & (held & ~long)[line]
+                pairs = np.unique(new[line[mine]] * len(words) + code[mine])             # the distinct rare words of each line
+                at = np.searchsorted(pairs // max(1, len(words)), np.arange(held.sum() + 1)).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(at), words.take(pa.array(pairs % max(1, len(words)))))
+                kept = part.filter(pa.array(held))
+                yield pa.RecordBatch.from_arrays([*kept.columns, rare, pa.array(long[held])], names=[*kept.schema.names, "rare", "long"])
+
+    tag_names = list(tags)
+
+    def decode(held_lines: bool):
+        """Lines, with the scores of their rare words where these were held back,
+        -> a row for each word."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unk, t, s, e = fixed.value
+            values = pa.array(tag_names, pa.string())
+            for part, size, code, words in slices(batches):
+                row = shipped_rows(words)
+                scores = np.where((row >= 0)[:, None], shipped.value["rows"][row], unk) if len(shipped.value["words"]) else np.tile(unk, (len(row), 1))
+                if held_lines:
+                    known = part.column(n_keys + 2).flatten()
+                    if len(known):
+                        w, em = known.flatten()
+                        place = pc.fill_null(pc.index_in(words, w), -1).to_numpy(zero_copy_only=False)
+                        em = em.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                        scores[place >= 0] = em[place[place >= 0]]
+                else:
+                    _, held, line = apart(size, code, row)
+                    if held.any():
+                        part, size, code = part.filter(pa.array(~held)), size[~held], code[~held[line]]
+                if not part.num_rows:
+                    continue
+                path = viterbi_rows(size, code, scores.astype(np.float64), t, s, e)
+                line = pa.array(np.repeat(np.arange(len(size)), size))
+                pos = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(line) for i in range(n_keys)), pa.array(pos.astype(np.int32)),
+                                                  pc.split_pattern(part.column(n_keys), " ").flatten(),
+                                                  pa.DictionaryArray.from_arrays(pa.array(path), values).cast(pa.string())], names=schema.names)
+        return run
 
     names = F.array(*[F.lit(t) for t in tags])
 
@@ -276,22 +341,24 @@ def predict_tags(lines_df: DataFrame, model_df: DataFrame, text_col: str = "text
                 .select(*ks, (F.col("__off") + F.col("pos")).cast("int").alias("pos"), F.col("x.word").alias("word"), F.get(names, F.col("x.p")).alias("tag")))
 
     row_id = "__row"
-    is_long = F.size("words") > block_tokens
-    short, path_of = rows.where(~is_long), F.arrow_udf(paths, "array<int>")("w", "known")
+    out = rows.mapInArrow(decode(False), schema)
     if all_shipped:
-        out = tagged(with_table(short, [row_id]).withColumn("path", path_of), F.lit(0))
+        spaces = F.length("words") - F.length(F.replace(F.col("words"), F.lit(" "), F.lit("")))
+        long_rows = rows.where((F.length("words") >= block_tokens) & (spaces >= block_tokens)).withColumn(row_id, F.monotonically_increasing_id())
     else:
-        none = F.lit(None).cast("array<struct<w:string,em:array<int>>>")
-        away = short.withColumn("w", lower).withColumn("away", F.size(rare) > 0)
-        out = tagged(away.where(~F.col("away")).withColumn("known", none).withColumn("path", path_of), F.lit(0))
-        held = cut_lineage(away.where("away").drop("w", "away").withColumn(row_id, F.monotonically_increasing_id()))
-        out = out.unionByName(tagged(with_table(held, [row_id]).withColumn("path", path_of), F.lit(0)))
-    if rows.where(is_long).isEmpty():
+        held_schema = T.StructType([*rows.schema, T.StructField("rare", T.ArrayType(T.StringType())), T.StructField("long", T.BooleanType())])
+        held = cut_lineage(rows.mapInArrow(find_held, held_schema).withColumn(row_id, F.monotonically_increasing_id()))
+        one = held.select(row_id, F.explode("rare").alias("w")).join(table.select("w", "em"), "w")
+        known = one.groupBy(row_id).agg(F.collect_list(F.struct("w", "em")).alias("known"))
+        joined = held.where(~F.col("long")).select(*ks, "words", "w", row_id).join(known, row_id, "left").select(*ks, "words", "w", "known")
+        out = out.unionByName(joined.mapInArrow(decode(True), schema))
+        long_rows = held.where("long")
+    if long_rows.isEmpty():
         return out
+    long_rows = long_rows.select(*ks, row_id, split_words(F.col("words")).alias("words"))
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / block_tokens).cast("int")),
                       lambda b: F.struct(b.alias("b"), F.slice(F.col("words"), b * block_tokens + 1, F.lit(block_tokens)).alias("words")))
-    long = cut_lineage(rows.where(is_long).withColumn(row_id, F.monotonically_increasing_id())
-                       .select(*ks, row_id, F.explode(cut).alias("x")).select(*ks, row_id, "x.b", "x.words").repartition(row_id, "b"))
+    long = cut_lineage(long_rows.select(*ks, row_id, F.explode(cut).alias("x")).select(*ks, row_id, "x.b", "x.words").repartition(row_id, "b"))
     blocks = with_table(long, [row_id, "b"])
 
     def each(fn, kind: str):

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from tagweave.operators import tagger as TG
 from tagweave.operators.sentences import split_sentences
 from tagweave.plans.catalog import register
-from tagweave.plans.fixtures import doc_tokens, normalized_documents
+from tagweave.plans.fixtures import doc_sentences, normalized_documents
 from tagweave.plans.q_sentences import SPLIT_SQL_TMPL
 from tagweave.plans.q_tokens import TAGGED_SQL
 
 
 def _gold(spark, sf_dir):
-    return doc_tokens(spark, sf_dir).select("sent_id", "pos", "token", F.col("gold").alias("tag"))
+    return doc_sentences(spark, sf_dir).select("sent_id", F.col("tokens").alias("token"), F.col("tags").alias("tag"))
 
 
 def _events_sql(src: str) -> str:

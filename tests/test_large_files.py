@@ -2,10 +2,13 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tagweave.operators import decode as D
 from tagweave.operators import evaluate as EV
+from tagweave.operators import tagger as TG
 from tagweave.plans import fixtures
 from tagweave.plans.score import evaluate_files
 from tagweave.sources import conll as CN
@@ -66,3 +69,49 @@ def test_file_queries_write_compressed_files_in_one_sort(spark, scratch):
     assert 3 * size[1] < size[0]
     a, b = (CN.read_conll_strict(spark, p, "\t") for p in (plain, gz))
     assert a.count() == b.count() and a.exceptAll(b).isEmpty()
+
+
+def test_tags_of_sentence_rows_count_as_token_rows(spark):
+    rows = [(0, ["a", "B", "a"], ["X", "Y", "X"]), (1, [], []), (2, ["c"], ["O"]), (3, ["a", "b", "c", "d"], ["O", None, "Y", "Y"]), (4, None, None)]
+    d = spark.createDataFrame(rows, "sent_id long, token array<string>, tag array<string>")
+    flat = d.select("sent_id", F.posexplode(F.arrays_zip("token", "tag")).alias("pos", "x")).select("sent_id", "pos", "x.token", "x.tag")
+    counts = lambda df: sorted(map(str, TG.tag_counts(df).collect()))
+    assert counts(d) == counts(flat) and len(counts(d)) > 10
+    assert "Window" not in _plan(TG.tag_counts(d))
+
+
+def test_predict_tags_scans_lines_twice_at_most(spark, monkeypatch):
+    words = ["a", "İx", "ΟΔΟΣ", "Σ", "rare", "", "É"]
+    lines = [(i, " ".join(words[(i * j + j) % 7] for j in range(i % 9 + 1))) for i in range(80)]
+    tokens = [(i, p, w, ("X", "Y", "O")[(i + p) % 3]) for i, t in lines[:40] for p, w in enumerate(t.strip().split(" "))]
+    model = TG.train_tag_model(spark.createDataFrame(tokens, "sent_id long, pos int, token string, tag string")).checkpoint()
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    asked = spark.createDataFrame(lines, "sent_id long, text string").mapInArrow(count, "sent_id long, text string")
+    want = sorted(map(tuple, TG.predict_tags(asked, model).collect()))
+    # each word is lower-cased alone in the model and with its line in the tagger
+    assert sorted((r[0], r[1], r[2]) for r in want) == sorted((i, p, w) for i, t in lines for p, w in enumerate(t.strip().split(" ")))
+    one = sorted(map(tuple, TG.predict_tags(asked, model, block_tokens=1).collect()))
+    assert one == want
+    monkeypatch.setattr(TG, "SLICE_TOKENS", 5)
+    assert sorted(map(tuple, TG.predict_tags(asked, model, max_shipped=300).collect())) == want
+    read.value = 0
+    TG.predict_tags(asked, model, max_shipped=300).collect()
+    assert read.value == 2 * len(lines)
+
+
+def test_paths_without_back_pointers():
+    rng = np.random.default_rng(3)
+    for high, k in ((2, 4), (1000, 3), (3, 1)):                 # small whole numbers: many ties
+        scores, trans = rng.integers(-high, 1, (20, k)).astype(float), rng.integers(-high, 1, (k, k)).astype(float)
+        start, end = rng.integers(-high, 1, k).astype(float), rng.integers(-high, 1, k).astype(float)
+        size = rng.integers(0, 12, 60)
+        place = rng.integers(0, 20, int(size.sum()))
+        want = [D._viterbi_one(scores[p], trans, start, end) for p in np.split(place, np.cumsum(size)[:-1]) if len(p)]
+        for cells in (1, 100, 1_000_000):
+            assert D.viterbi_rows(size, place, scores, trans, start, end, cells).tolist() == np.concatenate(want).tolist()
