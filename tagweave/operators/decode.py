@@ -150,6 +150,9 @@ def viterbi_paths(lengths: Sequence[int], emissions, trans: np.ndarray, start: n
     return out
 
 
+FEW_SEQUENCES = 32
+
+
 def viterbi_rows(size: np.ndarray, place: np.ndarray, scores: np.ndarray, trans: np.ndarray, start: np.ndarray, end: np.ndarray,
                  max_cells: int = 1_000_000) -> np.ndarray:
     """Best paths of many sequences, one after the other: ``size`` has their
@@ -173,11 +176,14 @@ def viterbi_rows(size: np.ndarray, place: np.ndarray, scores: np.ndarray, trans:
         final[:, longer[1]:] = score[:, longer[1]:] + end[:, None]
         for t in range(1, T):
             m, go_on = int(longer[t]), int(longer[t + 1])
-            best = score[0, :m] + trans[0][:, None]
-            cand = np.empty_like(best)
-            for p in range(1, K):
-                np.add(score[p, :m], trans[p][:, None], out=cand)
-                np.maximum(best, cand, out=best)
+            if m <= FEW_SEQUENCES:                              # one step over all pairs of tags costs fewer calls
+                best = (score[:, None, :m] + trans[:, :, None]).max(axis=0)
+            else:
+                best = score[0, :m] + trans[0][:, None]
+                cand = np.empty_like(best)
+                for p in range(1, K):
+                    np.add(score[p, :m], trans[p][:, None], out=cand)
+                    np.maximum(best, cand, out=best)
             best += scores[place[at[:m] + t]].T
             score = best
             steps.append(score)
